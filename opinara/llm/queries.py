@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opinara.llm import chunk_dedup, simhash
+from opinara.llm import bpe, chunk_dedup, fingerprint, langid, licenses, packing, pii, simhash, toxicity, urlfilter
 from opinara.llm.common import table
 
 
@@ -18,9 +19,49 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents"), width=3)
 
 
+def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chunk_dedup": op1_chunk_dedup,
+    "op2_fingerprint": op2_fingerprint,
     "op3_simhash": op3_simhash,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op5_license_scan": op5_license_scan,
+    "op6_best_fit": op6_best_fit,
+    "op7_toxicity": op7_toxicity,
+    "op8_language": op8_language,
+    "op9_url_filter": op9_url_filter,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {

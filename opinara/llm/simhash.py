@@ -19,10 +19,10 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opinara.llm.common import components, durable, even_join
+from opinara.llm.common import components, doc_key, durable, even_join
 
 SEED = 42
 THRESHOLD = 3
@@ -179,7 +179,8 @@ def near_links(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 def fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
     """(doc_id, fp long) for every row, as a durable table."""
-    return durable(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_prints, width=width), "doc_id long, fp long"), "simhash")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return durable(docs.select("doc_id", "text").mapInArrow(partial(_prints, width=width), f"doc_id {kind}, fp long"), "simhash")
 
 
 def near_dedup(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> DataFrame:
@@ -192,3 +193,13 @@ def near_dedup(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> D
     named = even_join(placed, placed.groupBy("root").agg(F.min("least").alias("component_id")), ["root"]).select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return even_join(prints, named, ["fp"]).select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> DataFrame:
+    """docs, all columns, with one document of each component: that of the first key. Rows that repeat a doc_id are one."""
+    keyed = docs.withColumn("_key", F.lpad(doc_key(F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.col("text"))), 65, "0"))
+    found = near_dedup(keyed.select(F.col("_key").alias("doc_id"), "text"), width, threshold)
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
+    whole = Window.partitionBy("_key").orderBy(F.length("text").desc(), F.xxhash64("text"))
+    first = keyed.withColumn("_nth", F.row_number().over(whole)).where("_nth = 1")
+    return first.join(stay, "_key", "left_semi").drop("_key", "_nth")
