@@ -96,7 +96,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     doubtful = durable(collisions(texts.select("text"), ids.select("print")), "collisions")
     doubtful = None if doubtful.isEmpty() else doubtful
     follow = durable(_followers(ids), "followers")
-    nexts = texts.join(follow, "key").where(F.xxhash64("text") == F.col("raw"))
+    # compared after the join, by the key alone: both uses of texts then share one exchange, and a key's rows are together
+    nexts = texts.join(follow, "key").where(F.xxhash64("text").bitwiseXOR(F.col("raw")) == 0)
     nexts = nexts.select("key", "after", F.expr("left(text, need)").alias("start"), F.col("print").alias("next_print")).dropDuplicates(["key"])
     nexts = nexts.select(F.col("after").alias("key"), "start", "next_print")
     both = texts.join(nexts, "key").withColumn("n_chars", F.length("text").cast("long")).withColumn("cut", F.floor(F.col("n_chars") / 3).cast("int"))
