@@ -1,14 +1,492 @@
-"""Queries over the driver's tables, one for each operator, and the SQL that gives the same rows."""
+"""Queries over the driver's tables, one for each operator, and the SQL that gives the same rows.
+
+A supplier is an entity, a line item a review of it (rating: a fifth of the quantity; answered: return flag A), an order's
+customer the doctor, a part the service, an event a run, an embedding with its document a chunk, a conversation a chat.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from opinara.functions import text as T
+from opinara.functions import vectors as V
+from opinara.operators import entities as E
+from opinara.operators import metrics as M
+from opinara.operators import tables as S
+from opinara.plans import reputation as R
+from opinara.plans import search as H
+from opinara.sources import readers
+from opinara.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+#: Line items as reviews, in SQL.
+REVIEWS = """(SELECT CAST(l_suppkey AS VARCHAR) AS entity_id, l_orderkey, l_partkey, l_linenumber, l_quantity / 5 AS rating,
+  l_returnflag = 'A' AS answered, l_shipdate AS created, l_extendedprice AS price FROM lineitem)"""
+WORDS = "regexp_extract_all(lower(coalesce({}, '')), '[\\p{{L}}\\p{{N}}_]+')"
+#: Themes of the invented prose, and those that count as complaints here.
+THEMES = {"reading": ("tion", "read"), "others": ("oth", "and "), "waiting": ("wait", "whou"), "trouble": ("err", "ible")}
+COMPLAINTS = ["waiting", "trouble"]
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def reviews(spark: SparkSession, sf: str) -> DataFrame:
+    lines = load(spark, sf, "lineitem")
+    return lines.select(
+        F.col("l_suppkey").cast("string").alias("entity_id"), "l_orderkey", "l_partkey", "l_linenumber", (F.col("l_quantity") / 5).alias("rating"),
+        (F.col("l_returnflag") == "A").alias("answered"), F.col("l_shipdate").alias("created"), F.col("l_extendedprice").alias("price"),
+    )
+
+
+def with_doctors(spark: SparkSession, sf: str) -> DataFrame:
+    doctors = load(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("doctor_id"), F.concat(F.lit("c"), "o_custkey").alias("doctor_name"))
+    return reviews(spark, sf).join(doctors, "l_orderkey")
+
+
+def runs(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("product_name"), F.col("user_id").alias("source_id"), F.col("value").alias("confidence"), F.col("ts").alias("created_at"), "props")
+
+
+def chunks(spark: SparkSession, sf: str) -> DataFrame:
+    texts = load(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("body"), F.col("source").alias("title"), F.col("lang").alias("tags"))
+    return load(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", F.col("label").alias("kind")).join(texts, "chunk_id")
+
+
+def query_vector(spark: SparkSession, sf: str) -> list[float]:
+    return list(load(spark, sf, "embeddings").where("vec_id = 0").select("embedding").first()[0])
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """Hybrid search: the ten chunks nearest to a vector and a word."""
+    return H.hybrid_search(chunks(spark, sf), "tion", query_vector(spark, sf), 10).select("chunk_id", "vector_score", "keyword_score", "score")
+
+
+# Metrics
+
+
+@query(f"""SELECT entity_id, count(*) AS review_count, avg(rating) AS avg_rating, 100.0::DOUBLE * sum((rating < 7)::INT) / count(rating) AS negative_pct,
+  100.0::DOUBLE * sum((NOT answered)::INT) / count(*) AS unanswered_pct, count(DISTINCT o_custkey) AS doctor_count, substr(max(created)::VARCHAR, 1, 10) AS latest
+  FROM {REVIEWS} JOIN orders ON o_orderkey = l_orderkey GROUP BY entity_id""")
+def entity_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return M.entity_metrics(with_doctors(spark, sf), ["entity_id"])
+
+
+@query(f"""SELECT entity_id, count(*) AS review_count, sum((rating < 7 AND NOT answered)::INT)::BIGINT AS negative_unanswered,
+  list_sort(list(rating))[count(rating) // 2 + 1] AS median_rating, list_sort(list(rating))[greatest(0, floor(count(rating) * 0.1)::INT - 1) + 1] AS p10_rating
+  FROM {REVIEWS} GROUP BY entity_id""")
+def detailed_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return M.rank_metrics(reviews(spark, sf), ["entity_id"])
+
+
+@query(f"""SELECT entity_id, count(*) AS total, sum(answered::INT)::BIGINT AS answered, sum((NOT answered)::INT)::BIGINT AS unanswered,
+  100.0::DOUBLE * sum(answered::INT) / count(*) AS answered_pct FROM {REVIEWS} GROUP BY entity_id""")
+def response_status(spark: SparkSession, sf: str) -> DataFrame:
+    return M.response_status(reviews(spark, sf), ["entity_id"])
+
+
+@query("""SELECT s_name AS name, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_name <> '' GROUP BY 1 ORDER BY n DESC, name LIMIT 10""")
+def top_entities(spark: SparkSession, sf: str) -> DataFrame:
+    named = load(spark, sf, "lineitem").join(load(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return M.top_entities(named.withColumnRenamed("s_name", "name"), "name", 10)
+
+
+@query("""SELECT count(*) AS runs, coalesce(avg(value), 0) AS avg_confidence FROM events WHERE event_type = 'click'""")
+def dashboard_kpi(spark: SparkSession, sf: str) -> DataFrame:
+    return M.run_kpi(S.where_equal(runs(spark, sf), product_name="click"))
+
+
+@query(f"""SELECT count(*) AS reviews, avg(rating) AS avg_rating, sum((rating <= 2)::INT) / count(*) AS negative_ratio, sum((rating >= 4)::INT) / count(*) AS positive_ratio FROM {REVIEWS}""")
+def review_kpi(spark: SparkSession, sf: str) -> DataFrame:
+    return M.review_kpi(reviews(spark, sf))
+
+
+@query("""SELECT ts::DATE AS date, count(*) AS runs, avg(value) AS avg_confidence FROM events GROUP BY 1""")
+def daily_series(spark: SparkSession, sf: str) -> DataFrame:
+    return M.daily_series(runs(spark, sf))
+
+
+@query("""SELECT event_id AS id, ts AS created_at, value AS confidence FROM events ORDER BY ts DESC, event_id DESC LIMIT 20 OFFSET 40""")
+def dashboard_page(spark: SparkSession, sf: str) -> DataFrame:
+    return S.page(runs(spark, sf), 3, 20, [F.col("created_at").desc(), F.col("id").desc()]).select("id", "created_at", "confidence")
+
+
+@query("""WITH m AS (SELECT l_suppkey AS e, avg(l_quantity / 5) AS r, 100.0::DOUBLE * sum((l_returnflag = 'A')::INT) / count(*) AS a, count(*) AS n FROM lineitem GROUP BY 1)
+  SELECT (SELECT e::VARCHAR FROM m ORDER BY r DESC, e LIMIT 1) AS avg_rating, (SELECT e::VARCHAR FROM m ORDER BY a DESC, e LIMIT 1) AS answered_pct,
+  (SELECT e::VARCHAR FROM m ORDER BY n DESC, e LIMIT 1) AS review_count""")
+def winners(spark: SparkSession, sf: str) -> DataFrame:
+    own = reviews(spark, sf)
+    rows = M.response_status(own, ["entity_id"]).join(own.groupBy("entity_id").agg(F.avg("rating").alias("avg_rating"), F.count("*").alias("review_count")), "entity_id")
+    return R.winners(rows.withColumn("position", F.col("entity_id").cast("long")))
+
+
+def _compare_sql(scope: str) -> str:
+    return f"""WITH w AS (SELECT * FROM (VALUES (0, '7'), (1, '3'), (2, '100000000')) v(position, entity_id)),
+      own AS (SELECT r.*, p_type FROM {REVIEWS} r JOIN part ON l_partkey = p_partkey), seen AS (SELECT * FROM own WHERE {scope})
+      SELECT position, entity_id, (SELECT nullif(count(*), 0) FROM own o WHERE o.entity_id = w.entity_id) AS reviews_before_scope,
+      n AS total, r AS avg_rating, CASE WHEN reviews_before_scope IS NULL THEN 'not_found' WHEN n IS NULL THEN 'scope_empty' ELSE 'ok' END AS status
+      FROM w LEFT JOIN (SELECT entity_id, count(*) AS n, avg(rating) AS r FROM seen GROUP BY 1) USING (entity_id)"""
+
+
+@query(_compare_sql("contains(lower(p_type), 'a')"))
+def compare_scoped(spark: SparkSession, sf: str) -> DataFrame:
+    parts = load(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("service_name"), F.lit(None).cast("string").alias("parent_service_name"))
+    own = reviews(spark, sf).join(parts, "l_partkey").withColumns({"doctor_id": F.lit(1), "doctor_name": F.lit("")})
+    return R.compare(own, ["7", "3", "100000000"], {"scope_service": "a"}).select("position", "entity_id", "reviews_before_scope", "total", "avg_rating", "status")
+
+
+@query(f"""WITH t AS (SELECT source AS entity_id, theme, count(*) AS n FROM documents, (VALUES {", ".join(f"('{k}', '{'|'.join(v)}')" for k, v in THEMES.items())}) v(theme, p)
+  WHERE regexp_matches(lower(coalesce(text, '')), p) GROUP BY 1, 2) SELECT entity_id, theme, n FROM t""")
+def theme_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return M.theme_counts(load(spark, sf, "documents").withColumnRenamed("source", "entity_id"), "text", THEMES, ["entity_id"])
+
+
+TOPS = f"""(SELECT entity_id, theme, row_number() OVER (PARTITION BY entity_id ORDER BY n DESC, theme) AS place FROM
+  (SELECT source AS entity_id, theme, count(*) AS n FROM documents, (VALUES {", ".join(f"('{k}', '{'|'.join(v)}')" for k, v in THEMES.items())}) v(theme, p)
+  WHERE regexp_matches(lower(coalesce(text, '')), p) GROUP BY 1, 2))"""
+
+
+def tops(spark: SparkSession, sf: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.col("n").desc(), "theme"))
+    return theme_counts(spark, sf).withColumn("place", place).select("entity_id", "theme", "place")
+
+
+@query(f"""WITH t AS (SELECT * FROM {TOPS} WHERE place <= 2), c AS (SELECT theme, count(DISTINCT entity_id) AS n FROM t GROUP BY 1), e AS (SELECT count(DISTINCT source) AS k FROM documents)
+  SELECT theme, n FROM c, e WHERE CASE WHEN EXISTS (SELECT 1 FROM c, e WHERE n = k) THEN n = k ELSE n >= greatest(2, (k + 1) // 2) END ORDER BY n DESC, theme LIMIT 4""")
+def shared_themes(spark: SparkSession, sf: str) -> DataFrame:
+    n = load(spark, sf, "documents").select("source").distinct().count()
+    return M.shared_themes(tops(spark, sf).where("place <= 2"), n)
+
+
+@query(f"""WITH t AS (SELECT *, count(*) OVER (PARTITION BY theme) AS k FROM (SELECT * FROM {TOPS} WHERE place <= 3 AND entity_id IN ('src0', 'src1'))),
+  u AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY place, theme) AS i FROM t WHERE k = 1),
+  o AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY place, theme) AS i FROM t WHERE entity_id NOT IN (SELECT entity_id FROM u))
+  SELECT entity_id, theme, place FROM u WHERE i <= 3 UNION ALL SELECT entity_id, theme, place FROM o WHERE i <= 2""")
+def unique_themes(spark: SparkSession, sf: str) -> DataFrame:
+    return M.unique_themes(tops(spark, sf).where("place <= 3 and entity_id in ('src0', 'src1')"))
+
+
+@query("""WITH t AS (SELECT lower(trim(x)) AS topic FROM (SELECT unnest(string_split_regex(p_type || ',' || p_brand, '[,; ]')) AS x FROM part) WHERE length(trim(x)) >= 2)
+  SELECT topic, count(*) AS n FROM t GROUP BY 1 ORDER BY n DESC, topic LIMIT 80""")
+def topic_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return M.topic_counts(load(spark, sf, "part").withColumn("topics", F.concat_ws(",", "p_type", "p_brand")), "topics", pattern="[,; ]")
+
+
+@query("""WITH t AS (SELECT lower(trim(x)) AS topic FROM (SELECT unnest(string_split(p_name, ' ')) AS x FROM part) WHERE length(trim(x)) >= 1)
+  SELECT topic, count(*) AS n FROM t GROUP BY 1 ORDER BY n DESC, topic LIMIT 5""")
+def tag_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return M.topic_counts(load(spark, sf, "part"), "p_name", 1, 5, " ")
+
+
+@query("""WITH s AS (SELECT CASE WHEN contains(lower(text), 'pos') THEN 'p' WHEN contains(lower(text), 'neg') THEN 'n' ELSE '' END AS k FROM conversations)
+  SELECT sum((k = 'p')::INT)::BIGINT AS positive, sum((k = 'n')::INT)::BIGINT AS negative, sum((k = '')::INT)::BIGINT AS neutral FROM s""")
+def sentiment_hist(spark: SparkSession, sf: str) -> DataFrame:
+    return M.sentiment_histogram(load(spark, sf, "conversations"), "text")
+
+
+@query("""SELECT count(*) AS total, sum((role = 'user')::INT)::BIGINT AS by_users, sum((length(text) > 0)::INT)::BIGINT AS with_text, sum((contains(text, 'http'))::INT)::BIGINT AS with_link FROM conversations""")
+def export_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return M.export_statistics(load(spark, sf, "conversations"), {"by_users": F.col("role") == "user", "with_text": F.length("text") > 0, "with_link": F.col("text").contains("http")})
+
+
+@query("""SELECT sum((quality = toxic)::INT) / count(*) AS accuracy, sum((quality = 1 AND toxic = 1)::INT) / sum((toxic = 1)::INT) AS precision,
+  sum((quality = 1 AND toxic = 1)::INT) / sum((quality = 1)::INT) AS recall FROM labels""")
+def evaluation(spark: SparkSession, sf: str) -> DataFrame:
+    return M.evaluation(load(spark, sf, "labels"), "quality", "toxic")
+
+
+@query(f"""SELECT least(1.0, 0.4 + 0.6 * sum((length(trim(coalesce(text, ''))) > 0)::INT) / count(*)) AS coverage,
+  greatest(0.2, least(1.0, avg(len(list_intersect(q, list_distinct({WORDS.format("text")}))) / len(q)))) AS grounding
+  FROM documents, (SELECT list_distinct({WORDS.format("text")}) AS q FROM benchmark WHERE item_id = 0)""")
+def coverage_grounding(spark: SparkSession, sf: str) -> DataFrame:
+    docs = load(spark, sf, "documents")
+    answer = load(spark, sf, "benchmark").where("item_id = 0").first()["text"]
+    return M.coverage(docs, "text").crossJoin(M.grounding(docs, "text", answer))  # one row each
+
+
+# Retrieval
+
+QUERY = "(SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
+
+
+@query(f"""SELECT vec_id, 1 - list_cosine_similarity(embedding::DOUBLE[], q) AS distance FROM embeddings, {QUERY} ORDER BY distance, vec_id LIMIT 30""")
+def knn_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return H.vector_candidates(load(spark, sf, "embeddings"), query_vector(spark, sf), 30, "vec_id").select("vec_id", "distance")
+
+
+@query(f"""SELECT vec_id, greatest(0.0, least(1.0, list_cosine_similarity(embedding::DOUBLE[], q))) AS score FROM embeddings, {QUERY} WHERE label = 1""")
+def filtered_scores(spark: SparkSession, sf: str) -> DataFrame:
+    near = V.cosine(F.col("embedding"), V.literal(query_vector(spark, sf)))
+    return S.where_equal(load(spark, sf, "embeddings"), label=1).where("embedding is not null").select("vec_id", near.alias("score"))
+
+
+@query("""SELECT vec_id, list_resize(embedding, 96, 0.0::FLOAT) AS wide, embedding[1:8] AS narrow FROM embeddings""")
+def vector_fit(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "embeddings").select("vec_id", V.fit(F.col("embedding"), 96).alias("wide"), V.fit(F.col("embedding"), 8).alias("narrow"))
+
+
+@query("""SELECT doc_id, source FROM documents WHERE text ILIKE '%license%' OR source ILIKE '%license%' ORDER BY doc_id LIMIT 30""")
+def keyword_search(spark: SparkSession, sf: str) -> DataFrame:
+    return H.keyword_candidates(load(spark, sf, "documents"), "license", ["text", "source"], 30, "doc_id").select("doc_id", "source")
+
+
+@query(f"""SELECT doc_id, len(list_intersect(q, list_distinct({WORDS.format("text")}))) / len(q) AS overlap
+  FROM documents, (SELECT list_filter(list_distinct({WORDS.format("text")}), t -> length(t) > 2) AS q FROM benchmark WHERE item_id = 0)""")
+def lexical_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    asked = load(spark, sf, "benchmark").where("item_id = 0").first()["text"]
+    return load(spark, sf, "documents").select("doc_id", T.lexical_overlap(F.lit(asked), F.col("text")).alias("overlap"))
+
+
+def _candidates(n: int) -> str:
+    return f"""c AS (SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS e, label, text AS body, source AS title, lang AS tags FROM embeddings JOIN documents ON vec_id = doc_id),
+      v AS (SELECT chunk_id, row_number() OVER (ORDER BY 1 - list_cosine_similarity(e, q), chunk_id) - 1 AS vr FROM c, {QUERY} QUALIFY vr < {n}),
+      k AS (SELECT chunk_id, row_number() OVER (ORDER BY chunk_id) - 1 AS kr FROM c WHERE body ILIKE '%tion%' OR title ILIKE '%tion%' OR tags ILIKE '%tion%' QUALIFY kr < {n}),
+      m AS (SELECT c.*, vr, kr, vr IS NULL AS late, coalesce(vr, kr) AS pos, greatest(0.0, least(1.0, list_cosine_similarity(e, q))) AS near FROM c LEFT JOIN v USING (chunk_id) LEFT JOIN k USING (chunk_id), {QUERY} WHERE vr IS NOT NULL OR kr IS NOT NULL)"""
+
+
+@query(f"""WITH {_candidates(40)}, s AS (SELECT *, list_contains({WORDS.format("title || ' ' || body || ' ' || tags")}, 'tion')::INT::DOUBLE AS words FROM m)
+  SELECT chunk_id, round(near, 4) AS vector_score, words AS keyword_score, round(0.65 * near + 0.35 * words, 4) AS score FROM s ORDER BY score DESC, late, pos, chunk_id LIMIT 10""")
+def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
+    return flagship(spark, sf)
+
+
+@query(f"""WITH {_candidates(15)}, s AS (SELECT chunk_id, 0.55::DOUBLE * near + 0.30::DOUBLE * list_contains({WORDS.format("body")}, 'tion')::INT
+  + 0.075::DOUBLE * greatest(0, 1 - 0.06::DOUBLE * coalesce(vr, 15)) + 0.075::DOUBLE * greatest(0, 1 - 0.06::DOUBLE * coalesce(kr, 15)) AS score, late, pos FROM m)
+  SELECT chunk_id, score FROM s ORDER BY score DESC, late, pos, chunk_id LIMIT 5""")
+def hybrid_rerank(spark: SparkSession, sf: str) -> DataFrame:
+    own, vector = chunks(spark, sf), query_vector(spark, sf)
+    both = H.merged(H.vector_candidates(own, vector, 15), H.keyword_candidates(own, "tion", ["body", "title", "tags"], 15), ["chunk_id"])
+    return H.rerank(both, "tion", vector, 5, 15).select("chunk_id", "score")
+
+
+@query(f"""WITH {_candidates(6)} SELECT chunk_id FROM m ORDER BY late, pos, chunk_id LIMIT 6""")
+def evidence_merge(spark: SparkSession, sf: str) -> DataFrame:
+    own = chunks(spark, sf)
+    return H.evidence(H.vector_candidates(own, query_vector(spark, sf), 6), H.keyword_candidates(own, "tion", ["body", "title", "tags"], 6), 6).select("chunk_id")
+
+
+@query(f"""WITH {_candidates(15)}, r AS (SELECT *, label AS review_id FROM m), f AS (SELECT review_id, max(vr) AS vr, max(kr) AS kr, min(late) AS late FROM r GROUP BY 1),
+  o AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY late, pos) = 1),
+  s AS (SELECT o.chunk_id, review_id, f.late, coalesce(f.vr, f.kr) AS pos, 0.55::DOUBLE * near + 0.30::DOUBLE * list_contains({WORDS.format("body")}, 'tion')::INT
+  + 0.075::DOUBLE * greatest(0, 1 - 0.06::DOUBLE * coalesce(f.vr, 15)) + 0.075::DOUBLE * greatest(0, 1 - 0.06::DOUBLE * coalesce(f.kr, 15)) AS score FROM o JOIN f USING (review_id))
+  SELECT chunk_id, review_id, score, row_number() OVER (ORDER BY score DESC, late, pos, chunk_id) AS rank FROM s ORDER BY rank LIMIT 5""")
+def answer_sources(spark: SparkSession, sf: str) -> DataFrame:
+    own = chunks(spark, sf).withColumn("review_id", F.col("kind"))
+    return H.answer_sources(own, "tion", query_vector(spark, sf), 5, ("body", "title", "tags")).select("chunk_id", "review_id", "score", "rank")
+
+
+# Deduplication, set operations, upserts
+
+ALL = "l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_returnflag, l_linestatus, l_discount, l_tax"
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {ALL}) = 1""")
+def dedupe_keep_first(spark: SparkSession, sf: str) -> DataFrame:
+    return S.keep_first(load(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], [F.col(c) for c in ALL.split(", ")]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@query("""SELECT user_id, min(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1""")
+def merge_keep_last(spark: SparkSession, sf: str) -> DataFrame:
+    return S.merge_keep_last(load(spark, sf, "events"), F.col("user_id"), "event_id").select("user_id", "event_id", "value")
+
+
+@query("""SELECT user_id, coalesce(arg_max(value, event_id) FILTER (event_type <> 'click'), arg_max(value, event_id)) AS value FROM events GROUP BY 1""")
+def upsert_last_wins(spark: SparkSession, sf: str) -> DataFrame:
+    events = load(spark, sf, "events").select("user_id", "value", "event_id", "event_type")
+    old = S.keep_first(events.where("event_type = 'click'"), ["user_id"], [F.col("event_id").desc()]).select("user_id", "value")
+    new = events.where("event_type <> 'click'").select("user_id", "value", F.col("event_id").alias("pos"))
+    return S.upsert(old, new, ["user_id"], "pos")
+
+
+@query("""SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)""")
+def anti_insert(spark: SparkSession, sf: str) -> DataFrame:
+    return S.insert_absent(load(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey"), load(spark, sf, "customer"), ["c_custkey"]).select("c_custkey", "c_name")
+
+
+@query("""SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)""")
+def semi_alias(spark: SparkSession, sf: str) -> DataFrame:
+    used = load(spark, sf, "lineitem").where("l_quantity > 49").withColumnRenamed("l_suppkey", "s_suppkey")
+    return S.existing(load(spark, sf, "supplier"), used, ["s_suppkey"]).select("s_suppkey", "s_name")
+
+
+@query("""SELECT p_partkey, p_brand FROM part WHERE coalesce(p_brand, '') = '' OR p_brand IN (SELECT p_brand FROM part WHERE p_size = 1) OR (SELECT count(*) FROM part WHERE p_size = 1) = 0""")
+def drop_unknown(spark: SparkSession, sf: str) -> DataFrame:
+    part = load(spark, sf, "part")
+    return S.drop_unknown(part, part.where("p_size = 1"), "p_brand").select("p_partkey", "p_brand")
+
+
+@query("""SELECT CASE WHEN l_quantity < 5 THEN 'small' WHEN l_returnflag = 'N' THEN 'pending' ELSE 'inserted' END AS reason, count(*) AS n FROM lineitem GROUP BY 1""")
+def ingest_counters(spark: SparkSession, sf: str) -> DataFrame:
+    return S.ingest_counts(load(spark, sf, "lineitem"), F.when(F.col("l_quantity") < 5, "small").when(F.col("l_returnflag") == "N", "pending"))
+
+
+@query("""SELECT s_suppkey, coalesce(bool_or(n_name = 'FRANCE'), true) AS kept FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey GROUP BY 1 HAVING kept""")
+def city_filter(spark: SparkSession, sf: str) -> DataFrame:
+    at = load(spark, sf, "nation").select(F.col("n_nationkey").alias("clinic_alias"), F.col("n_name").alias("city"))
+    own = load(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("clinic_alias"), F.lit(None).cast("string").alias("clinic_city"))
+    return S.in_city(own, at, "FRANCE").select("s_suppkey", F.lit(True).alias("kept"))
+
+
+@query("""SELECT doc_id, embedding FROM documents LEFT JOIN embeddings ON vec_id = doc_id""")
+def reuse_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    return S.reuse_embeddings(load(spark, sf, "documents").select("doc_id"), load(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id"), ["doc_id"])
+
+
+@query("""SELECT event_id FROM events WHERE event_type IN ('click', 'view') AND ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-10'""")
+def filtered_runs(spark: SparkSession, sf: str) -> DataFrame:
+    from datetime import datetime
+
+    some = S.where_in(load(spark, sf, "events"), "event_type", ["click", "view"])
+    return S.where_between(some, "ts", datetime(2024, 1, 5), datetime(2024, 1, 10)).select("event_id")
+
+
+# Entities
+
+
+@query(f"""SELECT r.entity_id, review_count, avg_rating, median_rating FROM (SELECT entity_id, count(*) AS review_count, avg(rating) AS avg_rating, list_sort(list(rating))[count(rating) // 2 + 1] AS median_rating FROM {REVIEWS} GROUP BY 1) r""")
+def research_table(spark: SparkSession, sf: str) -> DataFrame:
+    own = reviews(spark, sf).withColumns({"doctor_id": F.lit(1), "doctor_name": F.lit("")})
+    return R.research_table(own, ["entity_id"]).select("entity_id", "review_count", "avg_rating", "median_rating")
+
+
+@query("""WITH n AS (SELECT unnest(['ger', 'united', '  ', 'an']) AS needle), f AS (SELECT needle, n_nationkey, n_name, length(needle) + CASE WHEN starts_with(lower(n_name), needle) OR list_contains(string_split(lower(n_name), ' '), needle) THEN 10 ELSE 0 END AS score
+  FROM n, nation WHERE trim(needle) <> '' AND contains(lower(n_name), needle)) SELECT needle, n_nationkey AS entity_id, n_name AS entity_name, score FROM f QUALIFY row_number() OVER (PARTITION BY needle ORDER BY score DESC, n_nationkey) = 1""")
+def entity_match(spark: SparkSession, sf: str) -> DataFrame:
+    needles = spark.range(1).select(F.explode(F.array(*map(F.lit, ["ger", "united", "  ", "an"]))).alias("needle"))
+    names = load(spark, sf, "nation").select(F.col("n_nationkey").alias("entity_id"), F.col("n_name").alias("entity_name"), F.col("n_nationkey").alias("pos"))
+    return E.best_match(names, needles)
+
+
+@query("""SELECT p_brand AS entity_id, count(DISTINCT l_orderkey) AS review_count FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
+def group_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    named = load(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("clinic_alias"), F.col("p_name").alias("clinic_name"))
+    return E.group_reviews(reviews(spark, sf).join(named, "l_partkey").withColumnRenamed("l_orderkey", "review_id"), "clinic", 10)
+
+
+@query("""SELECT p_partkey AS entity_id, p_name AS entity_name, count(l_orderkey) AS review_count FROM part LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 48) ON l_partkey = p_partkey GROUP BY 1, 2""")
+def seeded_groups(spark: SparkSession, sf: str) -> DataFrame:
+    counts = load(spark, sf, "lineitem").where("l_quantity > 48").groupBy(F.col("l_partkey").alias("entity_id")).agg(F.count("*").alias("review_count"))
+    return E.seeded_groups(load(spark, sf, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("entity_name")), counts)
+
+
+@query(f"""SELECT entity_id, place, rating, answered, price FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY answered, coalesce(nullif(rating, 0), 10), l_orderkey, l_linenumber, price, l_partkey) AS place FROM {REVIEWS}) WHERE place <= 2""")
+def risk_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    own = reviews(spark, sf).withColumn("pos", F.struct("l_orderkey", "l_linenumber", "price", "l_partkey"))
+    return E.risk_reviews(own, 2, ["entity_id"]).select("entity_id", "place", "rating", "answered", "price")
+
+
+@query("""WITH s AS (SELECT source, doc_id, row_number() OVER w AS place, sum(length(text)) OVER w AS upto FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING))
+  SELECT source, doc_id, place, upto::BIGINT AS upto FROM s WHERE place <= 10 AND upto <= 6000""")
+def sample_budget(spark: SparkSession, sf: str) -> DataFrame:
+    return E.sample_within(load(spark, sf, "documents").withColumn("pos", F.col("doc_id")), ["source"], "text", 6000, 10).select("source", "doc_id", "place", "upto")
+
+
+@query()
+def name_suggestions(spark: SparkSession, sf: str) -> DataFrame:
+    return E.suggest(load(spark, sf, "nation").select(F.col("n_name").alias("name")), "GERMANIA")
+
+
+@query(f"""WITH r AS (SELECT source AS entity_id, doc_id, text, ((n_chars % 50) / 5)::DOUBLE AS rating, n_chars % 3 = 0 AS answered FROM documents),
+  t AS (SELECT entity_id, theme, count(*) AS n FROM r, (VALUES {", ".join(f"('{k}', '{'|'.join(v)}')" for k, v in THEMES.items() if k in COMPLAINTS)}) v(theme, p) WHERE coalesce(nullif(rating, 0), 10) < 7 AND regexp_matches(lower(text), p) GROUP BY 1, 2),
+  k AS (SELECT entity_id, doc_id, row_number() OVER (PARTITION BY entity_id ORDER BY answered, coalesce(nullif(rating, 0), 10), doc_id) AS place FROM r)
+  SELECT entity_id, count(*) AS review_count, (SELECT list(theme ORDER BY n DESC, theme) FROM t WHERE t.entity_id = r.entity_id) AS complaints,
+  (SELECT list(doc_id ORDER BY place) FROM k WHERE k.entity_id = r.entity_id AND place <= 3) AS risk_ids FROM r GROUP BY 1""")
+def reputation_report(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("n_chars")
+    own = load(spark, sf, "documents").select(F.col("source").alias("entity_id"), F.col("doc_id").alias("review_id"), "text", ((n % 50) / 5).alias("rating"), (n % 3 == 0).alias("answered"), F.lit("2024-01-01").alias("created"), F.lit(1).alias("doctor_id"), F.lit("").alias("doctor_name"), F.col("doc_id").alias("pos"))
+    return R.report(own, ["entity_id"], "text", THEMES, COMPLAINTS).select("entity_id", "review_count", "complaints", "risk_ids")
+
+
+# Texts and pages
+
+
+@query("""SELECT doc_id, length(trim(text)) >= 5 AS valid, trim(substr(text, 1, 220)) AS summary, CASE WHEN length(text) > 380 THEN substr(text, 1, 380) || '…' ELSE text END AS short FROM documents""")
+def text_projection(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.col("text")
+    return load(spark, sf, "documents").select("doc_id", T.is_review_text(t).alias("valid"), T.summary(t).alias("summary"), T.ellipsis(t, 380).alias("short"))
+
+
+@query("""SELECT doc_id, regexp_replace(lower(trim(text)), '\\s+', ' ', 'g') AS norm, contains(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g'), 'mit license') OR contains(regexp_replace(lower(text), '\\s+', '', 'g'), 'mitlicense') AS hit FROM documents""")
+def normalised_match(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "documents").select("doc_id", T.for_matching(F.col("text")).alias("norm"), T.mentions(F.col("text"), "MIT License").alias("hit"))
+
+
+@query("""SELECT doc_id, length(trim(text)) = 0 AS spam, CASE WHEN length(trim(text)) = 0 THEN 'empty' ELSE '' END AS reason FROM documents""")
+def spam_flags(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "documents").select("doc_id", T.promotion(F.col("text")).alias("p")).select("doc_id", "p.spam", "p.reason")
+
+
+@query("""SELECT page_id, len(list_distinct(regexp_extract_all(html, 'href=["'']([^"'']+)["'']', 1))) AS links, CASE WHEN regexp_matches(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '^/?$') THEN 'main' ELSE 'unknown' END AS kind, lower(regexp_extract(url, '://([^./]*)', 1)) AS label FROM pages""")
+def html_links(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "pages").select("page_id", F.size(T.links(F.col("html"))).alias("links"), T.page_kind(F.col("url")).alias("kind"), T.first_label(F.col("url")).alias("label"))
+
+
+@query()
+def html_plain(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "pages").select("page_id", T.plain_text(F.col("html")).alias("text"))
+
+
+@query("""SELECT event_id, (props->>'$.k')::BIGINT AS k, year(ts) AS year, CASE WHEN event_id > 0 THEN event_id END AS norm FROM events""")
+def event_fields(spark: SparkSession, sf: str) -> DataFrame:
+    kept = load(spark, sf, "events")
+    return kept.select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"), T.message_year(F.col("ts").cast("string"), F.lit(None)).alias("year"), T.positive_id(F.col("event_id")).alias("norm"))
+
+
+@query("""SELECT l_returnflag, sum(coalesce(nullif(l_discount, 0), l_tax)) AS nonzero, sum(coalesce(l_discount, l_tax)) AS first FROM lineitem GROUP BY 1""")
+def rating_fallbacks(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = F.col("l_discount"), F.col("l_tax")
+    return load(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.sum(T.first_nonzero_rating(a, b)).alias("nonzero"), F.sum(T.first_rating(a, b)).alias("first"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn > 0 THEN 'Reply to ' || (turn - 1)::VARCHAR || chr(10) ELSE '' END || substr(text, 1, 6000) AS body FROM conversations""")
+def message_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    prefix = F.when(F.col("turn") > 0, F.concat(F.lit("Reply to "), (F.col("turn") - 1).cast("string"), F.lit("\n"))).otherwise("")
+    return load(spark, sf, "conversations").select("conv_id", "turn", F.concat(prefix, F.substring("text", 1, 6000)).alias("body"))
+
+
+@query("""SELECT doc_id::VARCHAR AS ref, 'review' AS kind, source AS title, substr(trim(text), 1, 4000) AS body FROM documents WHERE doc_id > 0 AND length(trim(text)) > 0""")
+def review_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    own = load(spark, sf, "documents").select(F.col("doc_id").alias("review_id"), "text", none.alias("answer"), F.col("source").alias("clinic_name"), none.alias("doctor_name"), none.alias("service_name"), none.alias("rating_value"), none.alias("rating_clinic"))
+    return readers.review_chunks(own).select("ref", "kind", "title", "body")
+
+
+# Streams
+
+
+def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    path = f"{sf}/{name}.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path if "*" in path else f"{sf}/{name}*.parquet")
+
+
+@query("""SELECT ts::DATE AS date, count(*) AS runs, avg(value) AS avg_confidence FROM events GROUP BY 1""")
+def stream_daily_series(spark: SparkSession, sf: str) -> DataFrame:
+    return jobs.run_to_memory(spark, jobs.daily_series(_stream(spark, sf, "events")), "opinara_daily", "complete")
+
+
+@query("""SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1, 2""")
+def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
+    kept = jobs.run_to_memory(spark, jobs.distinct_events(_stream(spark, sf, "events"), ["user_id", "event_type"], "60 days").select("user_id", "event_type"), "opinara_distinct", "append")
+    return kept.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+@query("""SELECT conv_id AS session_id, least(20, count(*))::INT AS kept, coalesce(arg_max(role, turn) FILTER (role <> 'assistant'), '') AS entity FROM conversations GROUP BY 1""")
+def session_state(spark: SparkSession, sf: str) -> DataFrame:
+    turns = _stream(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("ts"), "role", F.when(F.col("role") != "assistant", F.col("role")).otherwise("").alias("entity"))
+    return jobs.run_to_memory(spark, jobs.sessions(turns), "opinara_sessions", "update")
