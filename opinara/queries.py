@@ -1,6 +1,6 @@
 """Queries over the driver's tables, one for each operator, and the SQL that gives the same rows.
 
-A supplier is an entity, a line item a review of it (rating: a fifth of the quantity; answered: return flag A), an order's
+A supplier is an entity, a line item a review of it (rating: a quarter of the quantity; answered: return flag A), an order's
 customer the doctor, a part the service, an event a run, an embedding with its document a chunk, a conversation a chat.
 """
 
@@ -25,7 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 #: Line items as reviews, in SQL.
-REVIEWS = """(SELECT CAST(l_suppkey AS VARCHAR) AS entity_id, l_orderkey, l_partkey, l_linenumber, l_quantity / 5 AS rating,
+REVIEWS = """(SELECT CAST(l_suppkey AS VARCHAR) AS entity_id, l_orderkey, l_partkey, l_linenumber, l_quantity / 4 AS rating,
   l_returnflag = 'A' AS answered, l_shipdate AS created, l_extendedprice AS price FROM lineitem)"""
 WORDS = "regexp_extract_all(lower(coalesce({}, '')), '[\\p{{L}}\\p{{N}}_]+')"
 #: Themes of the invented prose, and those that count as complaints here.
@@ -50,7 +50,7 @@ def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def reviews(spark: SparkSession, sf: str) -> DataFrame:
     lines = load(spark, sf, "lineitem")
     return lines.select(
-        F.col("l_suppkey").cast("string").alias("entity_id"), "l_orderkey", "l_partkey", "l_linenumber", (F.col("l_quantity") / 5).alias("rating"),
+        F.col("l_suppkey").cast("string").alias("entity_id"), "l_orderkey", "l_partkey", "l_linenumber", (F.col("l_quantity") / 4).alias("rating"),
         (F.col("l_returnflag") == "A").alias("answered"), F.col("l_shipdate").alias("created"), F.col("l_extendedprice").alias("price"),
     )
 
@@ -127,7 +127,7 @@ def dashboard_page(spark: SparkSession, sf: str) -> DataFrame:
     return S.page(runs(spark, sf), 3, 20, [F.col("created_at").desc(), F.col("id").desc()]).select("id", "created_at", "confidence")
 
 
-@query("""WITH m AS (SELECT l_suppkey AS e, avg(l_quantity / 5) AS r, 100.0::DOUBLE * sum((l_returnflag = 'A')::INT) / count(*) AS a, count(*) AS n FROM lineitem GROUP BY 1)
+@query("""WITH m AS (SELECT l_suppkey AS e, avg(l_quantity / 4) AS r, 100.0::DOUBLE * sum((l_returnflag = 'A')::INT) / count(*) AS a, count(*) AS n FROM lineitem GROUP BY 1)
   SELECT (SELECT e::VARCHAR FROM m ORDER BY r DESC, e LIMIT 1) AS avg_rating, (SELECT e::VARCHAR FROM m ORDER BY a DESC, e LIMIT 1) AS answered_pct,
   (SELECT e::VARCHAR FROM m ORDER BY n DESC, e LIMIT 1) AS review_count""")
 def winners(spark: SparkSession, sf: str) -> DataFrame:
@@ -140,7 +140,7 @@ def _compare_sql(scope: str) -> str:
     return f"""WITH w AS (SELECT * FROM (VALUES (0, '7'), (1, '3'), (2, '100000000')) v(position, entity_id)),
       own AS (SELECT r.*, p_type FROM {REVIEWS} r JOIN part ON l_partkey = p_partkey), seen AS (SELECT * FROM own WHERE {scope})
       SELECT position, entity_id, (SELECT nullif(count(*), 0) FROM own o WHERE o.entity_id = w.entity_id) AS reviews_before_scope,
-      n AS total, r AS avg_rating, CASE WHEN reviews_before_scope IS NULL THEN 'not_found' WHEN n IS NULL THEN 'scope_empty' ELSE 'ok' END AS status
+      n AS total, r AS avg_rating, CASE WHEN w.entity_id NOT IN (SELECT entity_id FROM own) THEN 'not_found' WHEN n IS NULL THEN 'scope_empty' ELSE 'ok' END AS status
       FROM w LEFT JOIN (SELECT entity_id, count(*) AS n, avg(rating) AS r FROM seen GROUP BY 1) USING (entity_id)"""
 
 
@@ -247,7 +247,7 @@ def keyword_search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""SELECT doc_id, len(list_intersect(q, list_distinct({WORDS.format("text")}))) / len(q) AS overlap
-  FROM documents, (SELECT list_filter(list_distinct({WORDS.format("text")}), t -> length(t) > 2) AS q FROM benchmark WHERE item_id = 0)""")
+  FROM documents, (SELECT list_filter(list_distinct({WORDS.format("text")}), lambda t: length(t) > 2) AS q FROM benchmark WHERE item_id = 0)""")
 def lexical_overlap(spark: SparkSession, sf: str) -> DataFrame:
     asked = load(spark, sf, "benchmark").where("item_id = 0").first()["text"]
     return load(spark, sf, "documents").select("doc_id", T.lexical_overlap(F.lit(asked), F.col("text")).alias("overlap"))
@@ -399,7 +399,7 @@ def sample_budget(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def name_suggestions(spark: SparkSession, sf: str) -> DataFrame:
-    return E.suggest(load(spark, sf, "nation").select(F.col("n_name").alias("name")), "GERMANIA")
+    return E.suggest(load(spark, sf, "nation").select(F.col("n_name").alias("name")), "NATION-12")
 
 
 @query(f"""WITH r AS (SELECT source AS entity_id, doc_id, text, ((n_chars % 50) / 5)::DOUBLE AS rating, n_chars % 3 = 0 AS answered FROM documents),
@@ -416,7 +416,7 @@ def reputation_report(spark: SparkSession, sf: str) -> DataFrame:
 # Texts and pages
 
 
-@query("""SELECT doc_id, length(trim(text)) >= 5 AS valid, trim(substr(text, 1, 220)) AS summary, CASE WHEN length(text) > 380 THEN substr(text, 1, 380) || '…' ELSE text END AS short FROM documents""")
+@query("""SELECT doc_id, length(trim(text)) >= 5 AS valid, regexp_replace(substr(text, 1, 220), '^\\s+|\\s+$', '', 'g') AS summary, CASE WHEN length(text) > 380 THEN substr(text, 1, 380) || '…' ELSE text END AS short FROM documents""")
 def text_projection(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("text")
     return load(spark, sf, "documents").select("doc_id", T.is_review_text(t).alias("valid"), T.summary(t).alias("summary"), T.ellipsis(t, 380).alias("short"))
@@ -489,4 +489,4 @@ def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT conv_id AS session_id, least(20, count(*))::INT AS kept, coalesce(arg_max(role, turn) FILTER (role <> 'assistant'), '') AS entity FROM conversations GROUP BY 1""")
 def session_state(spark: SparkSession, sf: str) -> DataFrame:
     turns = _stream(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("ts"), "role", F.when(F.col("role") != "assistant", F.col("role")).otherwise("").alias("entity"))
-    return jobs.run_to_memory(spark, jobs.sessions(turns), "opinara_sessions", "update")
+    return jobs.run_to_memory(spark, jobs.sessions(turns, expire=False), "opinara_sessions", "update")

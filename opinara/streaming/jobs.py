@@ -40,10 +40,10 @@ def distinct_events(events: DataFrame, keys: list[str], late: str = "1 day") ->
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def sessions(turns: DataFrame) -> DataFrame:
+def sessions(turns: DataFrame, expire: bool = True) -> DataFrame:
     """Of turns (session_id, ts, role, entity): turns kept, whose history is capped, and the entity last named.
 
-    State goes TTL_SECONDS after a session's last turn.
+    State goes TTL_SECONDS after a session's last turn, by the clock; a replay of past turns, which ends, doesn't expire.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -57,10 +57,11 @@ def sessions(turns: DataFrame) -> DataFrame:
             named = [e for e in rows["entity"] if e]
             entity = named[-1] if named else entity
         state.update((kept, entity))
-        state.setTimeoutDuration(TTL_SECONDS * 1000)
+        if expire:
+            state.setTimeoutDuration(TTL_SECONDS * 1000)
         yield pd.DataFrame({"session_id": [key[0]], "kept": [kept], "entity": [entity]})
 
-    return turns.groupBy("session_id").applyInPandasWithState(step, "session_id long, kept int, entity string", "kept int, entity string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return turns.groupBy("session_id").applyInPandasWithState(step, "session_id long, kept int, entity string", "kept int, entity string", "update", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
 
 
 def run_to_memory(spark: SparkSession, stream: DataFrame, name: str, mode: str) -> DataFrame:
