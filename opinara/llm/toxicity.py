@@ -41,7 +41,7 @@ LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 _WORD = re.compile(r"[^\W\d_]+")
 _SIGNS = re.escape("".join(LOOKALIKES))
 _SUSPECT = re.compile(
-    rf"(?<![\w{_SIGNS}])(?:[^\W\d_]+[{_SIGNS}]+(?=[^\W\d_])|[{_SIGNS}]{{1,2}}(?=[^\W\d_]{{2}}))[\w{_SIGNS}]*"
+    rf"(?<![\w{_SIGNS}])(?:[^\W\d_]+[{_SIGNS}]+(?=[^\W\d_])|[{_SIGNS}]{{1,3}}(?=[^\W\d_]))[\w{_SIGNS}]*"
     rf"|(?<!\w)(?:[\w{_SIGNS}][ ._*-]){{3,}}[\w{_SIGNS}](?!\w)"
     r"|[^\W\d_]*([a-z])\1\1[^\W\d_]*"
 )
