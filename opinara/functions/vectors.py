@@ -22,7 +22,7 @@ def raw_cosine(a: Column, b: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Cosine within 0 and 1; 0 for empty vectors, unequal sizes and norms of zero."""
     usable = (F.size(a) > 0) & (F.size(a) == F.size(b))
-    return F.when(usable, F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw_cosine(a, b))), F.lit(0.0))).otherwise(0.0)
+    return F.when(usable, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(raw_cosine(a, b), F.lit(0.0))))).otherwise(0.0)
 
 
 def literal(vector: list[float]) -> Column:
