@@ -27,6 +27,8 @@ from opinara.llm.common import components, doc_key, durable, even_join
 SEED = 42
 THRESHOLD = 3
 PAIRS_AT_ONCE = 1 << 20
+VERIFY, CANDIDATE = 2, 3  # SimHashes of a document's shingles, and of its words
+SKETCH = [*(f"v{i}" for i in range(VERIFY)), *(f"c{i}" for i in range(CANDIDATE))]
 
 _BITS31 = np.arange(31, dtype=np.int64)
 #: Syndrome of each byte at each of the four places of a half; bit i of the low 31 counts as i + 1, bit 31 is free.
@@ -113,6 +115,19 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[root[other]]
 
 
+def meetings(first: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of homes and of replicas at the same anchor, in blocks; home i meets n[i] replicas from first[i] on."""
+    ends, at = np.cumsum(n), 0
+    while at < len(n):
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + PAIRS_AT_ONCE, "right")))
+        for lo in range(0, int(n[at]) if to == at + 1 else 1, PAIRS_AT_ONCE):
+            m = np.minimum(n[at:to] - lo, PAIRS_AT_ONCE) if to == at + 1 else n[at:to]
+            starts = first[at:to] + lo - np.concatenate(([0], np.cumsum(m)[:-1]))
+            yield np.repeat(np.arange(at, to), m), np.repeat(starts, m) + np.arange(m.sum())
+        at = to
+
+
 class Linker:
     """Compares homes with replicas, keeping a forest of the links."""
 
@@ -136,18 +151,10 @@ class Linker:
                     self.compare(hb[oh], h[oh], fb[of], f[of], True)
             easy = n <= 4096
             homes, first, n = homes[easy], first[easy], n[easy]
-        ends = np.cumsum(n)
-        at = 0
-        while at < len(n):
-            done = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, done + PAIRS_AT_ONCE, "right")))
-            for lo in range(0, int(n[at]) if to == at + 1 else 1, PAIRS_AT_ONCE):
-                m = np.minimum(n[at:to] - lo, PAIRS_AT_ONCE) if to == at + 1 else n[at:to]
-                x = np.repeat(homes[at:to], m)
-                y = fps[np.repeat(first[at:to] + lo - np.concatenate(([0], np.cumsum(m)[:-1])), m) + np.arange(m.sum())]
-                near = (np.bitwise_count((x ^ y).view(np.uint64)) <= self.threshold) & (x != y)
-                self.add(x[near], y[near])
-            at = to
+        for own, other in meetings(first, n):
+            x, y = homes[own], fps[other]
+            near = (np.bitwise_count((x ^ y).view(np.uint64)) <= self.threshold) & (x != y)
+            self.add(x[near], y[near])
 
 
 def _links(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
@@ -195,10 +202,110 @@ def near_dedup(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> D
     return even_join(prints, named, ["fp"]).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> DataFrame:
-    """docs, all columns, with one document of each component: that of the first key. Rows that repeat a doc_id are one."""
+# Near-duplicates by similarity
+
+
+def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
+    """Another hash of what h is a hash of."""
+    z = h ^ np.uint64(0x9E3779B97F4A7C15 * (seed + 1) & 0xFFFFFFFFFFFFFFFF)
+    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return z ^ z >> np.uint64(31)
+
+
+def _majority(h: np.ndarray, seeds: int) -> list[int]:
+    """SimHashes of the hashes h, one for each seed."""
+    out = []
+    for seed in range(seeds):
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(h), 1 << 14):
+            counts += np.unpackbits(_mixed(h[at : at + (1 << 14)], seed).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+        out.append(int(np.packbits(2 * counts > len(h), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def sketch(text: bytes, width: int) -> list[int]:
+    """VERIFY SimHashes of the set of shingles, then CANDIDATE ones of the set of words."""
+    words = text.lower().split()
+    if not words:
+        return [0] * (VERIFY + CANDIDATE)
+    digest, k = xxhash.xxh64_intdigest, min(width, len(words))
+    shingles = {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)}
+    hashes = [np.array([digest(x, SEED) for x in items], np.uint64) for items in (shingles, set(words))]
+    return _majority(hashes[0], VERIFY) + _majority(hashes[1], CANDIDATE)
+
+
+def _sketches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = np.array([sketch(t or b"", width) for t in batch.column(1).cast(pa.binary()).to_pylist()], np.int64).reshape(-1, VERIFY + CANDIDATE)
+        yield pa.record_batch([batch.column(0), *(pa.array(c) for c in rows.T.copy())], names=["doc_id", *SKETCH])
+
+
+def _sketch_replicas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        v0, v1, *candidates = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        for at in range(0, len(v0), 1 << 13):
+            for side in range(2 * CANDIDATE):
+                half = candidates[side // 2][at : at + (1 << 13)] >> 32 * (side % 2) & 0xFFFFFFFF
+                places, anchors = near_anchors(half)
+                own = anchors == home(half)[places]
+                places = places + at
+                yield pa.record_batch([pa.array(anchors | side << 32), pa.array(v0[places]), pa.array(v1[places]), pa.array(own)], names=["anchor", "v0", "v1", "home"])
+
+
+def _similar(batches: Iterator[pa.RecordBatch], differ: int) -> Iterator[pa.RecordBatch]:
+    """A forest of the pairs at each anchor that differ in that many bits at most; rows come in order of their anchor."""
+    rest = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
+
+    def links(key: np.ndarray, v0: np.ndarray, v1: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+        homes, a, b = np.flatnonzero(own), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        first = np.searchsorted(key, key[homes])
+        for i, j in meetings(first, np.searchsorted(key, key[homes], "right") - first):
+            i = homes[i]
+            apart = np.bitwise_count((v0[i] ^ v0[j]).view(np.uint64)).astype(np.int16) + np.bitwise_count((v1[i] ^ v1[j]).view(np.uint64))
+            near = (apart <= differ) & (apart > 0)
+            if near.any():
+                a, b = forest(np.concatenate((a, i[near])), np.concatenate((b, j[near])))
+        return pa.record_batch([pa.array(x) for x in (v0[a], v1[a], v0[b], v1[b])], names=["a0", "a1", "b0", "b1"])
+
+    for batch in batches:
+        rest = [np.concatenate((r, c.to_numpy(zero_copy_only=False))) for r, c in zip(rest, batch.columns)]
+        cut = int(np.searchsorted(rest[0], rest[0][-1])) if len(rest[0]) else 0
+        if cut:
+            yield links(*(r[:cut] for r in rest))
+            rest = [r[cut:] for r in rest]
+    if len(rest[0]):
+        yield links(*rest)
+
+
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id and component_id, by links of documents whose sets of shingles are alike.
+
+    Candidates meet at an anchor of one of 2 * CANDIDATE halves of SimHashes of their words: nearly always if few words
+    differ. They link if their shingles' 64 * VERIFY bits differ no more than those of sets of that Jaccard similarity are
+    expected to and one and a half standard errors. Whole groups are compared, but a task returns a forest of their links.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = docs.select("doc_id", "text").mapInArrow(partial(_sketches, width=width), f"doc_id {kind}, " + ", ".join(f"{c} long" for c in SKETCH))
+    found = durable(found, "sketches")
+    nodes = durable(found.groupBy("v0", "v1").agg(F.min("doc_id").alias("least"), F.min(F.struct(*SKETCH[VERIFY:])).alias("c")).select("v0", "v1", "least", "c.*"), "nodes")
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    bits = 64 * VERIFY
+    differ = int(bits * share + 1.5 * np.sqrt(bits * share * (1 - share)))
+    replicas = nodes.select(*SKETCH).mapInArrow(_sketch_replicas, "anchor long, v0 long, v1 long, home boolean")
+    links = replicas.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(partial(_similar, differ=differ), "a0 long, a1 long, b0 long, b1 long").distinct()
+    edges = links.select(F.struct(F.col("a0").alias("v0"), F.col("a1").alias("v1")).alias("a"), F.struct(F.col("b0").alias("v0"), F.col("b1").alias("v1")).alias("b"))
+    roots = components(edges, "similar").select("node.v0", "node.v1", "root")
+    own = F.struct("v0", "v1")
+    placed = durable(nodes.join(roots, ["v0", "v1"], "left").select("v0", "v1", "least", F.coalesce("root", own).alias("root")), "placed")
+    named = even_join(placed, placed.groupBy("root").agg(F.min("least").alias("component_id")), ["root"]).select("v0", "v1", "component_id")
+    return even_join(found.select("doc_id", "v0", "v1"), named, ["v0", "v1"]).select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs, all columns, with one document of each group of similar_groups: that of the first key. Rows that repeat a doc_id are one."""
     keyed = docs.withColumn("_key", F.lpad(doc_key(F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.col("text"))), 65, "0"))
-    found = near_dedup(keyed.select(F.col("_key").alias("doc_id"), "text"), width, threshold)
+    found = similar_groups(keyed.select(F.col("_key").alias("doc_id"), "text"), width, similarity)
     stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
     whole = Window.partitionBy("_key").orderBy(F.length("text").desc(), F.xxhash64("text"))
     first = keyed.withColumn("_nth", F.row_number().over(whole)).where("_nth = 1")

@@ -181,3 +181,24 @@ def test_a_shared_hash_is_told_apart(spark, monkeypatch):
 @pytest.mark.parametrize("text", ODD)
 def test_simhash_of_odd_texts(text):
     assert simhash.fingerprint((text or "").encode(), 3) == brute_simhash(text, 3)
+
+
+def test_similar_documents_are_grouped(spark, empty):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for _ in range(40):
+        words = [word() for _ in range(200)]
+        copy = list(words)
+        for at in rng.sample(range(200), 3):
+            copy[at] = word()
+        texts += [" ".join(words), " ".join(copy)]
+    texts += ["", None, "short one", "short one"]
+    docs = make(spark, texts)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
+    together = sum(got[i] == got[i + 1] for i in range(0, 80, 2))
+    assert together >= 36 and all(got[i] in (i, i - 1) for i in range(80))
+    assert got[80] == got[81] == 80 and got[82] == got[83] == 82
+    kept = simhash.keep_one(docs)
+    assert kept.count() == len(set(got.values())) and kept.columns == docs.columns
+    assert simhash.keep_one(empty).count() == 0
