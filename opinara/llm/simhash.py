@@ -28,6 +28,8 @@ SEED = 42
 THRESHOLD = 3
 PAIRS_AT_ONCE = 1 << 20
 VERIFY, CANDIDATE = 2, 3  # SimHashes of a document's shingles, and of its words
+FORESTS = 2  # spanning forests of candidates that each task returns
+LEEWAY = 3.0  # standard errors
 SKETCH = [*(f"v{i}" for i in range(VERIFY)), *(f"c{i}" for i in range(CANDIDATE))]
 
 _BITS31 = np.arange(31, dtype=np.int64)
@@ -224,21 +226,27 @@ def _majority(h: np.ndarray, seeds: int) -> list[int]:
     return out
 
 
+def shingle_set(text: bytes, width: int) -> set[bytes]:
+    words = text.lower().split()
+    k = min(width, len(words))
+    return {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
+
+
 def sketch(text: bytes, width: int) -> list[int]:
     """VERIFY SimHashes of the set of shingles, then CANDIDATE ones of the set of words."""
-    words = text.lower().split()
-    if not words:
+    shingles = shingle_set(text, width)
+    if not shingles:
         return [0] * (VERIFY + CANDIDATE)
-    digest, k = xxhash.xxh64_intdigest, min(width, len(words))
-    shingles = {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)}
-    hashes = [np.array([digest(x, SEED) for x in items], np.uint64) for items in (shingles, set(words))]
+    hashes = [np.array([xxhash.xxh64_intdigest(x, SEED) for x in items], np.uint64) for items in (shingles, set(text.lower().split()))]
     return _majority(hashes[0], VERIFY) + _majority(hashes[1], CANDIDATE)
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = np.array([sketch(t or b"", width) for t in batch.column(1).cast(pa.binary()).to_pylist()], np.int64).reshape(-1, VERIFY + CANDIDATE)
-        yield pa.record_batch([batch.column(0), *(pa.array(c) for c in rows.T.copy())], names=["doc_id", *SKETCH])
+        raws = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        rows = np.array([sketch(t, width) for t in raws], np.int64).reshape(-1, VERIFY + CANDIDATE)
+        whole = np.array([xxhash.xxh64_intdigest(t, SEED) for t in raws], np.uint64).view(np.int64)
+        yield pa.record_batch([batch.column(0), pa.array(whole), *(pa.array(c) for c in rows.T.copy())], names=["doc_id", "whole", *SKETCH])
 
 
 def _sketch_replicas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,19 +261,57 @@ def _sketch_replicas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 yield pa.record_batch([pa.array(anchors | side << 32), pa.array(v0[places]), pa.array(v1[places]), pa.array(own)], names=["anchor", "v0", "v1", "home"])
 
 
+def lightest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Places of the links of the lightest spanning forest; ties go by a and b."""
+    order = np.lexsort((b, a, weight))
+    nodes, at = np.unique(np.concatenate((a[order], b[order])), return_inverse=True)
+    x, y, root = at[: len(order)], at[len(order) :], np.arange(len(nodes))
+    chosen, live = np.zeros(len(order), bool), np.arange(len(order))
+    while True:
+        live = live[root[x[live]] != root[y[live]]]
+        if not len(live):
+            return order[chosen]
+        best = np.full(len(nodes), len(order))  # of each tree so far, its lightest link to another one
+        np.minimum.at(best, root[x[live]], live)
+        np.minimum.at(best, root[y[live]], live)
+        take = np.unique(best[best < len(order)])
+        chosen[take] = True
+        while (root[x[take]] != root[y[take]]).any():
+            rx, ry = root[x[take]], root[y[take]]
+            low = np.minimum(rx, ry)
+            np.minimum.at(root, rx, low)
+            np.minimum.at(root, ry, low)
+            while (root[root] != root).any():
+                root = root[root]
+
+
+def forests(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Places of the links of FORESTS lightest spanning forests, each of what the ones before left."""
+    kept, rest = [], np.arange(len(a))
+    for _ in range(FORESTS):
+        if len(rest):
+            found = lightest(a[rest], b[rest], weight[rest])
+            kept.append(rest[found])
+            rest = np.delete(rest, found)
+    return np.concatenate(kept) if kept else rest
+
+
 def _similar(batches: Iterator[pa.RecordBatch], differ: int) -> Iterator[pa.RecordBatch]:
-    """A forest of the pairs at each anchor that differ in that many bits at most; rows come in order of their anchor."""
+    """Of the pairs at each anchor that differ in that many bits at most, FORESTS forests of the likest; rows come in order."""
     rest = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
 
     def links(key: np.ndarray, v0: np.ndarray, v1: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
-        homes, a, b = np.flatnonzero(own), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        homes, a, b, weight = np.flatnonzero(own), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int16)
         first = np.searchsorted(key, key[homes])
         for i, j in meetings(first, np.searchsorted(key, key[homes], "right") - first):
             i = homes[i]
             apart = np.bitwise_count((v0[i] ^ v0[j]).view(np.uint64)).astype(np.int16) + np.bitwise_count((v1[i] ^ v1[j]).view(np.uint64))
-            near = (apart <= differ) & (apart > 0)
+            near = (apart <= differ) & (apart > 0) & ((i < j) | ~own[j])  # two homes meet twice
             if near.any():
-                a, b = forest(np.concatenate((a, i[near])), np.concatenate((b, j[near])))
+                i, j, apart = i[near], j[near], apart[near]
+                a, b, weight = np.concatenate((a, np.minimum(i, j))), np.concatenate((b, np.maximum(i, j))), np.concatenate((weight, apart))
+                kept = forests(a, b, weight)
+                a, b, weight = a[kept], b[kept], weight[kept]
         return pa.record_batch([pa.array(x) for x in (v0[a], v1[a], v0[b], v1[b])], names=["a0", "a1", "b0", "b1"])
 
     for batch in batches:
@@ -278,23 +324,51 @@ def _similar(batches: Iterator[pa.RecordBatch], differ: int) -> Iterator[pa.Reco
         yield links(*rest)
 
 
+def _verified(batches: Iterator[pa.RecordBatch], width: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Which pairs of texts have shingles of that Jaccard similarity; columns: the first's and second's SimHashes, and texts."""
+    last, last_set = None, set()
+    for batch in batches:
+        stay = []
+        for at in range(batch.num_rows):  # one pair's texts at a time become Python objects
+            one, two = (batch.column(c)[at].as_buffer().to_pybytes() for c in (4, 5))
+            if two != last:
+                last, last_set = two, shingle_set(two, width)
+            mine = shingle_set(one, width)
+            both = len(mine & last_set)
+            stay.append(both >= similarity * (len(mine) + len(last_set) - both) - 1e-9)
+        yield batch.select([0, 1, 2, 3]).filter(pa.array(stay, pa.bool_()))
+
+
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id and component_id, by links of documents whose sets of shingles are alike.
+    """doc_id and component_id, by links of documents whose sets of shingles have that Jaccard similarity or more.
 
     Candidates meet at an anchor of one of 2 * CANDIDATE halves of SimHashes of their words: nearly always if few words
-    differ. They link if their shingles' 64 * VERIFY bits differ no more than those of sets of that Jaccard similarity are
-    expected to and one and a half standard errors. Whole groups are compared, but a task returns a forest of their links.
+    differ. They are pairs whose shingles' 64 * VERIFY bits differ no more than those of sets of that similarity are expected to
+    and LEEWAY standard errors. Whole groups are compared, but a task returns only FORESTS spanning forests of the likest pairs;
+    each of these is then checked on the whole texts, so that no link is below the similarity. Texts whose SimHashes are all
+    equal count as one, the first's.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", "text").mapInArrow(partial(_sketches, width=width), f"doc_id {kind}, " + ", ".join(f"{c} long" for c in SKETCH))
+    found = docs.select("doc_id", "text").mapInArrow(partial(_sketches, width=width), f"doc_id {kind}, whole long, " + ", ".join(f"{c} long" for c in SKETCH))
     found = durable(found, "sketches")
-    nodes = durable(found.groupBy("v0", "v1").agg(F.min("doc_id").alias("least"), F.min(F.struct(*SKETCH[VERIFY:])).alias("c")).select("v0", "v1", "least", "c.*"), "nodes")
+    nodes = found.groupBy("v0", "v1").agg(F.min(F.struct("doc_id", "whole", *SKETCH[VERIFY:])).alias("c"))
+    nodes = durable(nodes.select("v0", "v1", F.col("c.doc_id").alias("least"), "c.whole", *(f"c.{c}" for c in SKETCH[VERIFY:])), "nodes")
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     bits = 64 * VERIFY
-    differ = int(bits * share + 1.5 * np.sqrt(bits * share * (1 - share)))
+    differ = int(bits * share + LEEWAY * np.sqrt(bits * share * (1 - share)))
     replicas = nodes.select(*SKETCH).mapInArrow(_sketch_replicas, "anchor long, v0 long, v1 long, home boolean")
-    links = replicas.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(partial(_similar, differ=differ), "a0 long, a1 long, b0 long, b1 long").distinct()
-    edges = links.select(F.struct(F.col("a0").alias("v0"), F.col("a1").alias("v1")).alias("a"), F.struct(F.col("b0").alias("v0"), F.col("b1").alias("v1")).alias("b"))
+    replicas = replicas.repartition("anchor").sortWithinPartitions("anchor", "v0", "v1")
+    links = durable(replicas.mapInArrow(partial(_similar, differ=differ), "a0 long, a1 long, b0 long, b1 long").distinct(), "candidates")
+
+    ends = links.select(F.col("a0").alias("v0"), F.col("a1").alias("v1")).union(links.select("b0", "b1")).distinct()
+    named = nodes.join(ends, ["v0", "v1"], "left_semi").select("v0", "v1", F.col("least").alias("doc_id"), "whole")
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("whole")).join(named, ["doc_id", "whole"])
+    texts = durable(texts.groupBy("v0", "v1").agg(F.first("text").alias("text")), "texts")
+    side = lambda c: texts.select(F.col("v0").alias(f"{c}0"), F.col("v1").alias(f"{c}1"), F.col("text").alias(f"{c}_text"))
+    pairs = even_join(even_join(links, side("a"), ["a0", "a1"]), side("b"), ["b0", "b1"])
+    pairs = pairs.select("a0", "a1", "b0", "b1", "a_text", "b_text").mapInArrow(partial(_verified, width=width, similarity=similarity), "a0 long, a1 long, b0 long, b1 long")
+    edges = pairs.select(F.struct(F.col("a0").alias("v0"), F.col("a1").alias("v1")).alias("a"), F.struct(F.col("b0").alias("v0"), F.col("b1").alias("v1")).alias("b"))
     roots = components(edges, "similar").select("node.v0", "node.v1", "root")
     own = F.struct("v0", "v1")
     placed = durable(nodes.join(roots, ["v0", "v1"], "left").select("v0", "v1", "least", F.coalesce("root", own).alias("root")), "placed")

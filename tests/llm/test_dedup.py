@@ -202,3 +202,61 @@ def test_similar_documents_are_grouped(spark, empty):
     kept = simhash.keep_one(docs)
     assert kept.count() == len(set(got.values())) and kept.columns == docs.columns
     assert simhash.keep_one(empty).count() == 0
+
+
+def brute_similar(texts, width=5, similarity=0.8):
+    words = {d: (t or "").lower().split() for d, t in texts.items()}
+    sets = {d: {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set() for d, w in words.items()}
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {d: find(d) for d in sets}
+
+
+def test_similar_groups_are_brute_force(spark, documents):
+    """Copies on either side of the threshold: none below it is taken for one, and none above it is missed."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = [r["text"] for r in documents.where("length(text) < 5000").collect()]
+    for edits in range(1, 16):
+        words = [word() for _ in range(250)]
+        copy = list(words)
+        for at in rng.sample(range(250), edits):
+            copy[at] = word()
+        texts += [" ".join(words), " ".join(copy)]
+    docs = make(spark, texts)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
+    assert got == brute_similar(dict(enumerate(texts)))
+
+
+def test_lightest_forest_is_brute_force():
+    rng = np.random.default_rng(10)
+    a, b = rng.integers(0, 40, (2, 300))
+    a, b, weight = a[a != b], b[a != b], rng.integers(0, 9, (a != b).sum())
+    root, want = list(range(40)), []
+    for at in np.lexsort((b, a, weight)):
+        x, y = root[a[at]], root[b[at]]
+        if x != y:
+            root = [min(x, y) if r in (x, y) else r for r in root]
+            want.append(at)
+    found = simhash.lightest(a, b, weight)
+    assert sorted(found.tolist()) == sorted(want)
+    two = simhash.forests(a, b, weight)
+    assert set(found.tolist()) < set(two.tolist()) and len(set(two.tolist())) == len(two)
+    none = np.zeros(0, np.int64)
+    assert len(simhash.forests(none, none, none)) == 0
+
+
+def test_rows_that_share_a_doc_id_but_not_a_text(spark):
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join(words), " ".join(reversed(words)), " ".join([*words[:99], "other"]), None]
+    assert simhash.keep_one(make(spark, texts, [1, 1, 2, None])).count() == 2
