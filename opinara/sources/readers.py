@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,28 @@ MESSAGE = "type string, id bigint, date string, date_unixtime string, `from` str
 EXPORT = f"id string, name string, type string, messages array<struct<{', '.join(f.strip().replace(' ', ': ', 1) for f in MESSAGE.replace('struct<question: string, answers: array<struct<text: string>>>', 'POLL').split(', '))}>>".replace("POLL", "struct<question: string, answers: array<struct<text: string>>>")
 
 
+CHUNK = (
+    "kind string, ref string, title string, body string, service_external_id bigint, service_name string, parent_service_name string, clinic_alias string, "
+    "clinic_name string, doctor_external_id bigint, doctor_name string, rating_value double, source_page_url string, tags string"
+)
+WIDEST = {"title": 512, "body": 4000, "tags": 256, "source_page_url": 512}
+
+
+def columns_of(df: DataFrame) -> Callable[[str], Column]:
+    """Columns by name, null where df lacks one."""
+    return lambda name: F.col(name) if name in df.columns else F.lit(None).cast("string")
+
+
+def as_chunks(df: DataFrame, made: dict[str, Column]) -> DataFrame:
+    """The columns of CHUNK: those in made, else the ones of df; names and links are blank rather than null."""
+    c, out = columns_of(df), []
+    for name, kind in (part.split(" ") for part in CHUNK.split(", ")):
+        value = made.get(name, c(name)).try_cast(kind)
+        value = F.coalesce(T.strip(value) if name == "body" else value, F.lit("")) if kind == "string" else value
+        out.append((F.substring(value, 1, WIDEST[name]) if name in WIDEST else value).alias(name))
+    return df.select(*out)
+
+
 def tables(spark: SparkSession, folder: str, *names: str) -> list[DataFrame]:
     return [spark.read.parquet(f"{folder}/{name}.parquet") for name in names]
 
@@ -114,12 +138,75 @@ def canonical_api_review(raw: DataFrame, body: str) -> DataFrame:
 
 
 def review_chunks(reviews: DataFrame) -> DataFrame:
-    """Reviews as chunks: kind, ref, title, body, tags; without those that have no id or text."""
-    title = F.concat_ws(" — ", T.or_null(F.col("clinic_name")), T.or_null(F.col("doctor_name")), T.or_null(F.col("service_name")))
-    rating = T.first_nonzero_rating(F.col("rating_value"), F.col("rating_clinic"))
-    body = F.concat_ws("\n", T.strip(F.col("text")), F.when(T.filled(F.col("answer")), F.concat(F.lit("Answer: "), T.strip(F.col("answer")))))
-    own = reviews.where((F.col("review_id") > 0) & T.filled(F.col("text")))
-    return own.select(F.lit("review").alias("kind"), F.col("review_id").cast("string").alias("ref"), F.substring(title, 1, 512).alias("title"), F.substring(body, 1, 4000).alias("body"), F.when(T.filled(F.col("answer")), "answered").otherwise("").alias("tags"), rating.alias("rating"))
+    """Reviews as chunks (CHUNK); without those that have no id or text. Columns that reviews lack count as null."""
+    c = columns_of(reviews)
+    parts = [T.or_null(c(name)) for name in ("parent_service_name", "service_name", "clinic_name")]
+    answered, ref = T.filled(c("answer")), c("review_id").cast("string")
+    made = {
+        "kind": F.lit("review"),
+        "ref": ref,
+        "title": F.coalesce(F.nullif(F.concat_ws(" — ", *parts), F.lit("")), F.concat(F.lit("Отзыв #"), ref)),
+        "body": F.concat(T.strip(c("text")), F.when(answered, F.concat(F.lit("\n\n[Ответ клиники]: "), T.strip(c("answer")))).otherwise("")),
+        "service_external_id": T.positive_id(c("service_id")),
+        "doctor_external_id": T.positive_id(c("doctor_id")),
+        "rating_value": T.first_nonzero_rating(c("rating_value"), c("rating_clinic")),
+        "tags": F.when(answered, "answered").otherwise("no_answer"),
+    }
+    return as_chunks(reviews.where((F.col("review_id") > 0) & T.filled(F.col("text"))), made)
+
+
+def service_chunks(services: DataFrame) -> DataFrame:
+    """Services (id, name, parent_service_name, avg_price, description_plain, synonyms, direction, page_url) as chunks."""
+    c = columns_of(services)
+    parent, text = T.or_null(c("parent_service_name")), lambda label, value: F.when(T.filled(value), F.concat(F.lit(label), value))
+    price = c("avg_price").cast("double")
+    lines = [
+        F.concat(F.lit("Услуга: "), c("name")),
+        F.concat(F.lit("Направление: "), F.coalesce(parent, c("direction"), F.lit(""))),
+        F.when(price != 0, F.concat(F.lit("Средняя цена: "), price.cast("string"))),
+        text("\n", c("description_plain")),
+        text("Синонимы: ", F.array_join(F.slice(c("synonyms").cast("array<string>"), 1, 8), ", ")),
+    ]
+    made = {
+        "kind": F.lit("service"),
+        "ref": c("id").cast("string"),
+        "title": F.concat_ws(" — ", parent, c("name")),
+        "body": F.concat_ws("\n", *lines),
+        "service_external_id": c("id"),
+        "service_name": c("name"),
+        "source_page_url": c("page_url"),
+        "tags": F.lit("catalog"),
+    }
+    return as_chunks(services.where("id > 0 and name <> ''"), made)
+
+
+def doctor_chunks(doctors: DataFrame) -> DataFrame:
+    """Doctors' cards (doctor_id, name, speciality, address, total_rating, reviews_count, price, service names) as chunks."""
+    c = columns_of(doctors)
+    line = lambda label, value: F.when(F.coalesce(value.cast("string"), F.lit("")) != "", F.concat(F.lit(label), value.cast("string")))
+    service = F.when(T.filled(c("service_name")), F.concat_ws(" — ", T.or_null(c("parent_service_name")), c("service_name")))
+    lines = [
+        line("Врач: ", c("name")),
+        line("Специальность: ", c("speciality")),
+        line("Услуга: ", service),
+        line("Адрес: ", c("address")),
+        line("Рейтинг: ", c("total_rating").cast("double")),
+        line("Число отзывов: ", c("reviews_count")),
+        line("Цена приёма: ", c("price")),
+    ]
+    made = {
+        "kind": F.lit("doctor"),
+        "ref": c("doctor_id").cast("string"),
+        "title": F.concat_ws(" — ", c("name"), T.or_null(c("speciality"))),
+        "body": F.concat_ws("\n", *lines),
+        "service_external_id": T.positive_id(c("service_id")),
+        "doctor_external_id": c("doctor_id"),
+        "doctor_name": c("name"),
+        "rating_value": c("total_rating"),
+        "source_page_url": c("profile_url"),
+        "tags": F.lit("doctor_card"),
+    }
+    return as_chunks(doctors.where("doctor_id > 0 and name <> ''"), made)
 
 
 def price_list(df: DataFrame, body: str) -> DataFrame:
