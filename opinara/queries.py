@@ -11,13 +11,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from opinara.functions import routing
 from opinara.functions import text as T
 from opinara.functions import vectors as V
 from opinara.operators import entities as E
 from opinara.operators import metrics as M
 from opinara.operators import tables as S
+from opinara.plans import ingest, tools
 from opinara.plans import reputation as R
 from opinara.plans import search as H
+from opinara.sources import pages as readers_of_pages
 from opinara.sources import readers
 from opinara.streaming import jobs
 
@@ -225,9 +228,9 @@ def coverage_grounding(spark: SparkSession, sf: str) -> DataFrame:
 QUERY = "(SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
 
 
-@query(f"""SELECT vec_id, 1 - list_cosine_similarity(embedding::DOUBLE[], q) AS distance FROM embeddings, {QUERY} ORDER BY distance, vec_id LIMIT 30""")
+@query(f"""SELECT vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], q), 9) + 0.0 AS distance FROM embeddings, {QUERY} ORDER BY 1 - list_cosine_similarity(embedding::DOUBLE[], q), vec_id LIMIT 30""")
 def knn_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return H.vector_candidates(load(spark, sf, "embeddings"), query_vector(spark, sf), 30, "vec_id").select("vec_id", "distance")
+    return H.vector_candidates(load(spark, sf, "embeddings"), query_vector(spark, sf), 30, "vec_id").select("vec_id", F.round("distance", 9).alias("distance"))
 
 
 @query(f"""SELECT vec_id, greatest(0.0, least(1.0, list_cosine_similarity(embedding::DOUBLE[], q))) AS score FROM embeddings, {QUERY} WHERE label = 1""")
@@ -314,9 +317,9 @@ def upsert_last_wins(spark: SparkSession, sf: str) -> DataFrame:
     return S.upsert(old, new, ["user_id"], "pos")
 
 
-@query("""SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)""")
+@query("""SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')""")
 def anti_insert(spark: SparkSession, sf: str) -> DataFrame:
-    return S.insert_absent(load(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey"), load(spark, sf, "customer"), ["c_custkey"]).select("c_custkey", "c_name")
+    return S.insert_absent(load(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").withColumnRenamed("o_custkey", "c_custkey"), load(spark, sf, "customer"), ["c_custkey"]).select("c_custkey", "c_name")
 
 
 @query("""SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)""")
@@ -336,11 +339,11 @@ def ingest_counters(spark: SparkSession, sf: str) -> DataFrame:
     return S.ingest_counts(load(spark, sf, "lineitem"), F.when(F.col("l_quantity") < 5, "small").when(F.col("l_returnflag") == "N", "pending"))
 
 
-@query("""SELECT s_suppkey, coalesce(bool_or(n_name = 'FRANCE'), true) AS kept FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey GROUP BY 1 HAVING kept""")
+@query("""SELECT s_suppkey, coalesce(bool_or(n_name = 'NATION_3'), true) AS kept FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey GROUP BY 1 HAVING kept""")
 def city_filter(spark: SparkSession, sf: str) -> DataFrame:
     at = load(spark, sf, "nation").select(F.col("n_nationkey").alias("clinic_alias"), F.col("n_name").alias("city"))
     own = load(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("clinic_alias"), F.lit(None).cast("string").alias("clinic_city"))
-    return S.in_city(own, at, "FRANCE").select("s_suppkey", F.lit(True).alias("kept"))
+    return S.in_city(own, at, "NATION_3").select("s_suppkey", F.lit(True).alias("kept"))
 
 
 @query("""SELECT doc_id, embedding FROM documents LEFT JOIN embeddings ON vec_id = doc_id""")
@@ -365,10 +368,10 @@ def research_table(spark: SparkSession, sf: str) -> DataFrame:
     return R.research_table(own, ["entity_id"]).select("entity_id", "review_count", "avg_rating", "median_rating")
 
 
-@query("""WITH n AS (SELECT unnest(['ger', 'united', '  ', 'an']) AS needle), f AS (SELECT needle, n_nationkey, n_name, length(needle) + CASE WHEN starts_with(lower(n_name), needle) OR list_contains(string_split(lower(n_name), ' '), needle) THEN 10 ELSE 0 END AS score
+@query("""WITH n AS (SELECT unnest(['nation_1', '_2', '  ', '4']) AS needle), f AS (SELECT needle, n_nationkey, n_name, length(needle) + CASE WHEN starts_with(lower(n_name), needle) OR list_contains(string_split(lower(n_name), ' '), needle) THEN 10 ELSE 0 END AS score
   FROM n, nation WHERE trim(needle) <> '' AND contains(lower(n_name), needle)) SELECT needle, n_nationkey AS entity_id, n_name AS entity_name, score FROM f QUALIFY row_number() OVER (PARTITION BY needle ORDER BY score DESC, n_nationkey) = 1""")
 def entity_match(spark: SparkSession, sf: str) -> DataFrame:
-    needles = spark.range(1).select(F.explode(F.array(*map(F.lit, ["ger", "united", "  ", "an"]))).alias("needle"))
+    needles = spark.range(1).select(F.explode(F.array(*map(F.lit, ["nation_1", "_2", "  ", "4"]))).alias("needle"))
     names = load(spark, sf, "nation").select(F.col("n_nationkey").alias("entity_id"), F.col("n_name").alias("entity_name"), F.col("n_nationkey").alias("pos"))
     return E.best_match(names, needles)
 
@@ -467,6 +470,106 @@ def review_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return readers.review_chunks(own).select("ref", "kind", "title", "body")
 
 
+@query("""SELECT p_partkey::VARCHAR AS ref, 'service' AS kind, p_brand || ' — ' || p_name AS title, 'catalog' AS tags,
+  'Услуга: ' || p_name || chr(10) || 'Направление: ' || p_brand || chr(10) || 'Средняя цена: ' || p_retailprice::VARCHAR || chr(10) || 'Синонимы: ' || array_to_string(string_split(p_name, ' '), ', ') AS body
+  FROM part WHERE p_partkey > 0""")
+def service_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    services = load(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("parent_service_name"), F.col("p_retailprice").alias("avg_price"), F.split("p_name", " ").alias("synonyms"))
+    return readers.service_chunks(services).select("ref", "kind", "title", "tags", "body")
+
+
+@query("""SELECT s_suppkey::VARCHAR AS ref, 'doctor' AS kind, s_name || ' — ' || n_name AS title, s_acctbal AS rating_value,
+  'Врач: ' || s_name || chr(10) || 'Специальность: ' || n_name || chr(10) || 'Рейтинг: ' || s_acctbal::VARCHAR || chr(10) || 'Число отзывов: ' || s_nationkey AS body
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey > 0""")
+def doctor_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    named = load(spark, sf, "supplier").join(load(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    cards = named.select(F.col("s_suppkey").alias("doctor_id"), F.col("s_name").alias("name"), F.col("n_name").alias("speciality"), F.col("s_acctbal").alias("total_rating"), F.col("s_nationkey").alias("reviews_count"))
+    return readers.doctor_chunks(cards).select("ref", "kind", "title", "rating_value", "body")
+
+
+@query("""SELECT doc_id, coalesce(embedding, [0.0::FLOAT]) AS embedding FROM documents LEFT JOIN embeddings ON vec_id = doc_id""")
+def index_build(spark: SparkSession, sf: str) -> DataFrame:
+    stored = load(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    blank = lambda df: df.withColumn("embedding", F.array(F.lit(0.0).cast("float")))
+    return ingest.build_index(load(spark, sf, "documents").select("doc_id"), stored, blank, ("doc_id",))
+
+
+@query("""SELECT source AS source_id, doc_id AS external_id, 4 AS ai_rating, substr(text, 1, 200) AS summary FROM documents
+  WHERE doc_id % 3 <> 0 AND length(trim(text)) >= 5""")
+def review_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    new = load(spark, sf, "documents").select(F.col("source").alias("source_id"), F.col("doc_id").alias("external_id"), "text")
+    return ingest.ingest_reviews(new, new.where("external_id % 3 = 0")).select("source_id", "external_id", "ai_rating", "summary")
+
+
+@query("""SELECT conv_id AS export_key, turn AS message_id, CASE WHEN turn > 0 THEN '[ответ на #' || (turn - 1) || '] ' ELSE '' END || text AS body, false AS spam_or_ad
+  FROM conversations WHERE length(trim(text)) > 0 AND role <> 'system' QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) = 1""")
+def chat_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    every = load(spark, sf, "conversations").select(F.col("conv_id").alias("export_key"), F.col("turn").alias("message_id"), "text", F.when(F.col("turn") > 0, F.col("turn") - 1).alias("reply_to"), "role")
+    return ingest.ingest_chat(every.where("role <> 'system'"), every.where("role = 'system'")).select("export_key", "message_id", "body", "spam_or_ad")
+
+
+_ASKED = "(SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'Отзыв пациента о клинике: ' WHEN 1 THEN 'какой ноутбук лучше, ' WHEN 2 THEN 'сравни ' ELSE '' END || text AS q FROM conversations)"
+_STEMS = lambda stems: "list_sum([contains(lower(q), s)::INT FOR s IN [" + ", ".join(f"'{s}'" for s in stems) + "]])"
+
+
+@query(f"""WITH h AS (SELECT *, {_STEMS(routing.CLINIC_STEMS)} AS c, {_STEMS(routing.GOODS_STEMS)} AS g, starts_with(q, 'сравни ') AS asks FROM {_ASKED})
+  SELECT conv_id, turn, CASE WHEN c > 0 AND c >= g THEN 'clinics' WHEN g > 0 THEN 'general' WHEN asks THEN 'clinics' ELSE 'general' END AS system,
+  CASE WHEN c > 0 AND c >= g THEN CASE WHEN c >= 2 OR asks THEN 0.85 ELSE 0.7 END WHEN g > 0 THEN CASE WHEN g >= 2 THEN 0.7 ELSE 0.55 END WHEN asks THEN 0.55 ELSE 0.4 END::DOUBLE AS confidence,
+  CASE WHEN {_STEMS(routing.QUESTION_KINDS["comparison"])} > 0 THEN 'comparison' WHEN {_STEMS(routing.QUESTION_KINDS["pros_cons"])} > 0 THEN 'pros_cons'
+  WHEN {_STEMS(routing.QUESTION_KINDS["sentiment"])} > 0 THEN 'sentiment' ELSE 'product_lookup' END AS kind FROM h""")
+def question_routes(spark: SparkSession, sf: str) -> DataFrame:
+    turn = F.col("turn") % 4
+    said = F.when(turn == 0, "Отзыв пациента о клинике: ").when(turn == 1, "какой ноутбук лучше, ").when(turn == 2, "сравни ").otherwise("")
+    asked = load(spark, sf, "conversations").select("conv_id", "turn", F.concat(said, "text").alias("q"))
+    return asked.select("conv_id", "turn", routing.route(F.col("q")).alias("r"), routing.question_kind(F.col("q")).alias("kind")).select("conv_id", "turn", "r.system", "r.confidence", "kind")
+
+
+@query("""SELECT sum(contains(lower(p_type), 'pos')::INT)::BIGINT AS positive, sum((contains(lower(p_type), 'neg') AND NOT contains(lower(p_type), 'pos'))::INT)::BIGINT AS negative,
+  sum((NOT contains(lower(p_type), 'neg') AND NOT contains(lower(p_type), 'pos'))::INT)::BIGINT AS neutral,
+  (SELECT list(topic ORDER BY n DESC, topic) FROM (SELECT topic, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS topic FROM part) GROUP BY 1 ORDER BY n DESC, topic LIMIT 5)) AS top_tags FROM part""")
+def product_insight(spark: SparkSession, sf: str) -> DataFrame:
+    cited = load(spark, sf, "part").select(F.col("p_type").alias("sentiment"), F.translate("p_name", " ", ",").alias("tags"))
+    return tools.product_insight(cited, "X").select("positive", "negative", "neutral", "top_tags")
+
+
+@query("""SELECT p_partkey AS id, p_name AS name, p_brand AS parent_service_name, p_retailprice AS avg_price, 'Москва' AS city, p_size % 3 AS doctors, (p_size % 2 = 0)::INT AS reviews, (p_size % 2 = 1)::INT AS dropped FROM part""")
+def service_pages(spark: SparkSession, sf: str) -> DataFrame:
+    doctors = F.transform(F.filter(F.sequence(F.lit(0), F.lit(2)), lambda i: i < F.col("p_size") % 3), lambda i: F.struct(i.alias("id"), F.lit("D").alias("name")))
+    review = F.array(F.struct(F.lit(1).alias("id"), F.struct(F.when(F.col("p_size") % 2 == 0, "a").otherwise("b").alias("alias")).alias("clinic")))
+    clinics = F.array(*(F.struct(F.lit(a).alias("alias"), F.struct(F.lit(c).alias("city")).alias("fullAddress")) for a, c in (("a", "Москва"), ("b", "Самара"))))
+    info = F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("parentServiceName"), F.col("p_retailprice").alias("avgPrice"))
+    state = F.to_json(F.struct(F.struct(F.struct(F.struct(F.struct(info.alias("serviceInfo"), doctors.alias("bestDoctors"), review.alias("reviews"), clinics.alias("clinics")).alias("servicePage")).alias("preloadedState")).alias("pageProps")).alias("props")))
+    pages = load(spark, sf, "part").select(F.lit("https://msk.example.com/service/a/b").alias("page_url"), F.concat(F.lit('<script id="__NEXT_DATA__">'), state, F.lit("</script>")).alias("html"))
+    read = readers_of_pages.service_pages(pages)
+    return read.select("info.id", "info.name", F.col("info.parentServiceName").alias("parent_service_name"), F.col("info.avgPrice").alias("avg_price"), F.col("target_city_name").alias("city"), F.size("raw_doctors").alias("doctors"), F.size("reviews").alias("reviews"), F.col("reviews_dropped_other_city").alias("dropped"))
+
+
+@query("""SELECT event_id, 'u' || user_id AS reviewer, (value::INT % 6) AS rating, ts::DATE::VARCHAR AS review_date, event_type AS comment FROM events""")
+def shop_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    html = F.format_string(
+        '<ul class="comments__list"><li class="comments__item"><p class="feedback__header">u%s</p><span class="feedback__rating star%s"></span><div class="feedback__date"> %s </div><span class="feedback__text--item">%s</span></li></ul>',
+        F.col("user_id").cast("string"), (F.rint("value").cast("int") % 6).cast("string"), F.to_date("ts").cast("string"), "event_type",
+    )
+    return load(spark, sf, "events").select("event_id", F.explode(readers_of_pages.shop_reviews(html)).alias("r")).select("event_id", "r.*")
+
+
+@query("""SELECT page_id, list_sort(['https://example.com' || x FOR x IN list_distinct(regexp_extract_all(html, '<li><a href="(/[^"]*)"', 1))]) AS links FROM pages""")
+def page_list_links(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "pages").select("page_id", F.array_sort(readers_of_pages.category_links(F.col("html"), "https://example.com/map/", "/")).alias("links"))
+
+
+@query("""SELECT event_id, (props->>'$.k')::BIGINT AS k, strftime(ts, '%Y-%m-%d %H:%M:%S')::TIMESTAMP AS at FROM events""")
+def model_answers(spark: SparkSession, sf: str) -> DataFrame:
+    fenced = F.concat(F.lit("Answer:\n```json\n"), "props", F.lit("\n``` done"))
+    at = T.review_time(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS")).cast("timestamp_ntz")
+    return load(spark, sf, "events").select("event_id", F.get_json_object(T.lenient_object(fenced), "$.k").cast("bigint").alias("k"), at.alias("at"))
+
+
+@query("""SELECT c_custkey, c_name FROM customer WHERE c_custkey = 7""")
+def point_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    return S.lookup(load(spark, sf, "customer"), "c_custkey", 7).select("c_custkey", "c_name")
+
+
 # Streams
 
 
