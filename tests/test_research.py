@@ -1,7 +1,9 @@
 """Fields, filters, views and the chat's dispatch."""
 
+import difflib
 import json
 
+from opinara.operators import entities as E
 from opinara.plans import research as C
 from opinara.plans.tools import Tools
 
@@ -45,3 +47,12 @@ def test_chat(spark):
     assert C.chat(spark, "а теперь «Б2»", tools, ("reputation_analyze", "doctor", ["А1"]))["result"] == ("reputation_analyze", "doctor", ["Б2"])
     assert C.chat(spark, "привет", tools)["result"] == ("rag_search", "clinic", [])
     assert C.chat(spark, "разбери", tools)["error"] == "need_entities" and C.chat(spark, "привет", tools, override="reputation_analyze")["error"] == "need_entities"
+
+
+def test_suggestions_are_by_substring_then_by_difflib(spark):
+    names = ["Клиника Альфа", "Альфа Центр", "Бета", "Alphabet", "Alpine"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    assert {r["name"] for r in E.suggest(df, "альфа").collect()} == {"Клиника Альфа", "Альфа Центр"}
+    near = {n for n in names if difflib.SequenceMatcher(None, "Alphabit", n).ratio() >= 0.5}
+    assert {r["name"] for r in E.suggest(df, "Alphabit").collect()} == near and near
+    assert E.suggest(df, "zzz").count() == 0
