@@ -13,6 +13,7 @@ null. An empty table gives an empty table. Other columns of the input are neithe
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -27,10 +28,9 @@ from opinara.llm.common import components, doc_key, durable, even_join
 SEED = 42
 THRESHOLD = 3
 PAIRS_AT_ONCE = 1 << 20
-VERIFY, CANDIDATE = 2, 3  # SimHashes of a document's shingles, and of its words
+COMMON = 1 << 18  # shingles whose counts order the prefixes
 FORESTS = 2  # spanning forests of candidates that each task returns
-LEEWAY = 3.0  # standard errors
-SKETCH = [*(f"v{i}" for i in range(VERIFY)), *(f"c{i}" for i in range(CANDIDATE))]
+DIGEST = ["d0", "d1"]  # of a set of shingles
 
 _BITS31 = np.arange(31, dtype=np.int64)
 #: Syndrome of each byte at each of the four places of a half; bit i of the low 31 counts as i + 1, bit 31 is free.
@@ -207,58 +207,96 @@ def near_dedup(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> D
 # Near-duplicates by similarity
 
 
-def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
-    """Another hash of what h is a hash of."""
-    z = h ^ np.uint64(0x9E3779B97F4A7C15 * (seed + 1) & 0xFFFFFFFFFFFFFFFF)
-    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return z ^ z >> np.uint64(31)
-
-
-def _majority(h: np.ndarray, seeds: int) -> list[int]:
-    """SimHashes of the hashes h, one for each seed."""
-    out = []
-    for seed in range(seeds):
-        counts = np.zeros(64, np.int64)
-        for at in range(0, len(h), 1 << 14):
-            counts += np.unpackbits(_mixed(h[at : at + (1 << 14)], seed).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-        out.append(int(np.packbits(2 * counts > len(h), bitorder="little").view("<i8")[0]))
-    return out
-
-
-def shingle_set(text: bytes, width: int) -> set[bytes]:
+def _shingles(text: bytes, width: int) -> np.ndarray:
+    """Hashes of the set of a text's shingles, sorted."""
     words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
     k = min(width, len(words))
-    return {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
+    each, n = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64), len(words) - k + 1
+    h = np.full(n, k, np.uint64)
+    for i in range(k):
+        h = (h ^ each[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(h ^ h >> np.uint64(31))
+
 
+def _texts(batch: pa.RecordBatch, column: int) -> Iterator[bytes]:
+    return (t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist())
 
-def sketch(text: bytes, width: int) -> list[int]:
-    """VERIFY SimHashes of the set of shingles, then CANDIDATE ones of the set of words."""
-    shingles = shingle_set(text, width)
-    if not shingles:
-        return [0] * (VERIFY + CANDIDATE)
-    hashes = [np.array([xxhash.xxh64_intdigest(x, SEED) for x in items], np.uint64) for items in (shingles, set(text.lower().split()))]
-    return _majority(hashes[0], VERIFY) + _majority(hashes[1], CANDIDATE)
 
+def _repeated(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Shingles of more than one text among those a task counts at once, and of how many."""
+    parts, size = [], 0
+
+    def counted() -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
+        return pa.record_batch([pa.array(found[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["token", "n"])
 
-def _sketches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        raws = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        rows = np.array([sketch(t, width) for t in raws], np.int64).reshape(-1, VERIFY + CANDIDATE)
-        whole = np.array([xxhash.xxh64_intdigest(t, SEED) for t in raws], np.uint64).view(np.int64)
-        yield pa.record_batch([batch.column(0), pa.array(whole), *(pa.array(c) for c in rows.T.copy())], names=["doc_id", "whole", *SKETCH])
+        for text in _texts(batch, 0):
+            parts.append(_shingles(text, width))
+            size += len(parts[-1])
+            if size > 1 << 22:
+                yield counted()
+                parts, size = [], 0
+    yield counted()
+
+
+def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of most texts, COMMON at most, sorted, and a count of texts for each. They set the order
+    of prefixes alone: which ones are known makes prefixes cheaper, never wrong."""
+    counts = docs.select("text").mapInArrow(partial(_repeated, width=width), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n >= 8")
+    counts = durable(counts, "common")
+    level, left = 62, COMMON
+    for row in counts.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).count().orderBy(F.desc("level")).collect():  # 63 rows at most
+        left -= row["count"]
+        if left < 0:
+            break
+        level = row["level"]
+    rows = counts.where(F.col("n") >= 1 << level).toArrow()  # COMMON rows at most
+    token, n = rows.column("token").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    order = np.argsort(token)
+    return token[order], n[order]
 
 
-def _sketch_replicas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _prefixes(batches: Iterator[pa.RecordBatch], width: int, similarity: float, common: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """For each text: digest of its set of shingles, size, parities of the hashes' places in 128 bits, and the prefix."""
     for batch in batches:
-        v0, v1, *candidates = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        for at in range(0, len(v0), 1 << 13):
-            for side in range(2 * CANDIDATE):
-                half = candidates[side // 2][at : at + (1 << 13)] >> 32 * (side % 2) & 0xFFFFFFFF
-                places, anchors = near_anchors(half)
-                own = anchors == home(half)[places]
-                places = places + at
-                yield pa.record_batch([pa.array(anchors | side << 32), pa.array(v0[places]), pa.array(v1[places]), pa.array(own)], names=["anchor", "v0", "v1", "home"])
+        whole, digests, sizes, bits, prefixes = [], [], [], [], []
+        for text in _texts(batch, 1):
+            s = _shingles(text, width)
+            n, first = len(s), s
+            if len(common) and n:
+                at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                known = common[at] == s
+                if known.any():
+                    first = s[np.argsort(np.where(known, counts[at], 0), kind="stable")]
+            whole.append(xxhash.xxh64_intdigest(text, SEED))
+            digests.append(xxhash.xxh3_128_digest(s.tobytes()))
+            sizes.append(n)
+            bits.append(np.packbits(np.bincount((s & np.uint64(127)).astype(np.int64), minlength=128).astype(np.uint8) & 1).tobytes())
+            prefixes.append(first[: n - math.ceil(similarity * n - 1e-9) + 1 if n else 0].tobytes())
+        d, b = (np.frombuffer(b"".join(x), np.int64).reshape(-1, 2).T.copy() for x in (digests, bits))
+        columns = [batch.column(0), pa.array(np.array(whole, np.uint64).view(np.int64)), *map(pa.array, d), pa.array(np.array(sizes, np.int32)), *map(pa.array, b), pa.array(prefixes, pa.binary())]
+        yield pa.record_batch(columns, names=["doc_id", "whole", *DIGEST, "n", "b0", "b1", "prefix"])
+
+
+def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of each prefix, with its place."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 1 << 10):
+            batch = whole.slice(lo, 1 << 10)
+            prefixes = batch.column(0).to_pylist()
+            length = np.array([len(p) // 8 for p in prefixes], np.int64)
+            at = np.repeat(np.arange(len(length)), length)
+            place = np.arange(len(at)) - np.repeat(np.cumsum(length) - length, length)
+            columns = [c.take(pa.array(at)) for c in batch.columns[1:]]
+            yield pa.record_batch([pa.array(np.frombuffer(b"".join(prefixes), np.int64)), pa.array(place.astype(np.int32)), *columns], names=["token", "place", *batch.schema.names[1:]])
+
+
+REPLICAS = "token long, place int, node long, n int, b0 long, b1 long, root long"
 
 
 def lightest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -296,84 +334,107 @@ def forests(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.concatenate(kept) if kept else rest
 
 
-def _similar(batches: Iterator[pa.RecordBatch], differ: int) -> Iterator[pa.RecordBatch]:
-    """Of the pairs at each anchor that differ in that many bits at most, FORESTS forests of the likest; rows come in order."""
-    rest = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
-
-    def links(key: np.ndarray, v0: np.ndarray, v1: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
-        homes, a, b, weight = np.flatnonzero(own), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int16)
-        first = np.searchsorted(key, key[homes])
-        for i, j in meetings(first, np.searchsorted(key, key[homes], "right") - first):
-            i = homes[i]
-            apart = np.bitwise_count((v0[i] ^ v0[j]).view(np.uint64)).astype(np.int16) + np.bitwise_count((v1[i] ^ v1[j]).view(np.uint64))
-            near = (apart <= differ) & (apart > 0) & ((i < j) | ~own[j])  # two homes meet twice
-            if near.any():
-                i, j, apart = i[near], j[near], apart[near]
-                a, b, weight = np.concatenate((a, np.minimum(i, j))), np.concatenate((b, np.maximum(i, j))), np.concatenate((weight, apart))
-                kept = forests(a, b, weight)
-                a, b, weight = a[kept], b[kept], weight[kept]
-        return pa.record_batch([pa.array(x) for x in (v0[a], v1[a], v0[b], v1[b])], names=["a0", "a1", "b0", "b1"])
+def _candidates(batches: Iterator[pa.RecordBatch], similarity: float, thin: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of nodes of other roots that share a shingle of their prefixes and can be as similar; if thin, FORESTS forests
+    of the likest. Rows come in order of token and n. Nothing is left out but what can't reach the similarity: by size,
+    by the shingles that are left after the first shared one, and as sets differ by as many shingles at least as parities."""
+    rest = None
+
+    def pairs(token, place, node, n, b0, b1, root) -> Iterator[tuple[np.ndarray, ...]]:
+        group = np.cumsum(np.concatenate(([0], token[1:] != token[:-1])))
+        many = np.bincount(group)[group] > 1
+        group, place, node, n, b0, b1, root = (x[many].astype(np.int64) for x in (group, place, node, n, b0, b1, root))
+        first = np.arange(len(n)) + 1
+        last = np.searchsorted(group << 32 | n, group << 32 | np.floor(n / similarity + 1e-9).astype(np.int64), "right")
+        for i, j in meetings(first, np.maximum(last - first, 0)):
+            other = root[i] != root[j]
+            i, j = i[other], j[other]
+            total = n[i] + n[j]
+            need = np.ceil(similarity / (1 + similarity) * total - 1e-9)
+            apart = np.bitwise_count((b0[i] ^ b0[j]).view(np.uint64)).astype(np.int64) + np.bitwise_count((b1[i] ^ b1[j]).view(np.uint64))
+            can = (np.minimum(n[i] - place[i], n[j] - place[j]) >= need) & (total - apart >= 2 * need)
+            i, j, apart = i[can], j[can], apart[can]
+            yield np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), apart
+
+    def links(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        kept = [np.zeros(0, np.int64)] * 3
+        for found in pairs(*columns):
+            if len(found[0]):
+                kept = [np.concatenate(x) for x in zip(kept, found)]
+                order = np.lexsort((kept[1], kept[0]))
+                a, b = kept[0][order], kept[1][order]
+                kept = [x[order][np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))] for x in kept]
+                if thin:
+                    stay = forests(*kept)
+                    kept = [x[stay] for x in kept]
+                elif len(kept[0]) > PAIRS_AT_ONCE:
+                    yield pa.record_batch([pa.array(x) for x in kept[:2]], names=["a", "b"])
+                    kept = [np.zeros(0, np.int64)] * 3
+        yield pa.record_batch([pa.array(x) for x in kept[:2]], names=["a", "b"])
 
     for batch in batches:
-        rest = [np.concatenate((r, c.to_numpy(zero_copy_only=False))) for r, c in zip(rest, batch.columns)]
+        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        rest = new if rest is None else [np.concatenate(x) for x in zip(rest, new)]
         cut = int(np.searchsorted(rest[0], rest[0][-1])) if len(rest[0]) else 0
         if cut:
-            yield links(*(r[:cut] for r in rest))
+            yield from links([r[:cut] for r in rest])
             rest = [r[cut:] for r in rest]
-    if len(rest[0]):
-        yield links(*rest)
+    if rest is not None and len(rest[0]):
+        yield from links(rest)
+
+
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.record_batch([batch.column(0), pa.array([_shingles(t, width).tobytes() for t in _texts(batch, 1)], pa.binary())], names=["node", "set"])
 
 
-def _verified(batches: Iterator[pa.RecordBatch], width: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Which pairs of texts have shingles of that Jaccard similarity; columns: the first's and second's SimHashes, and texts."""
-    last, last_set = None, set()
+def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Which pairs of sets have that Jaccard similarity."""
     for batch in batches:
         stay = []
-        for at in range(batch.num_rows):  # one pair's texts at a time become Python objects
-            one, two = (batch.column(c)[at].as_buffer().to_pybytes() for c in (4, 5))
-            if two != last:
-                last, last_set = two, shingle_set(two, width)
-            mine = shingle_set(one, width)
-            both = len(mine & last_set)
-            stay.append(both >= similarity * (len(mine) + len(last_set) - both) - 1e-9)
-        yield batch.select([0, 1, 2, 3]).filter(pa.array(stay, pa.bool_()))
+        for at in range(batch.num_rows):  # one pair's sets at a time
+            x, y = (np.frombuffer(batch.column(c)[at].as_buffer(), np.uint64) for c in (2, 3))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            stay.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+        yield batch.select([0, 1]).filter(pa.array(stay, pa.bool_()))
 
 
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id and component_id, by links of documents whose sets of shingles have that Jaccard similarity or more.
 
-    Candidates meet at an anchor of one of 2 * CANDIDATE halves of SimHashes of their words: nearly always if few words
-    differ. They are pairs whose shingles' 64 * VERIFY bits differ no more than those of sets of that similarity are expected to
-    and LEEWAY standard errors. Whole groups are compared, but a task returns only FORESTS spanning forests of the likest pairs;
-    each of these is then checked on the whole texts, so that no link is below the similarity. Texts whose SimHashes are all
-    equal count as one, the first's.
+    Candidates are found by prefixes, without exception: of two sets of that similarity, each in one order (common shingles
+    last), the first n - ceil(similarity * n) + 1 share a shingle. Each task returns FORESTS spanning forests of the
+    likest pairs, which are then checked. Shingles are compared
+    as 64-bit hashes; texts of equal sets are one node.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", "text").mapInArrow(partial(_sketches, width=width), f"doc_id {kind}, whole long, " + ", ".join(f"{c} long" for c in SKETCH))
-    found = durable(found, "sketches")
-    nodes = found.groupBy("v0", "v1").agg(F.min(F.struct("doc_id", "whole", *SKETCH[VERIFY:])).alias("c"))
-    nodes = durable(nodes.select("v0", "v1", F.col("c.doc_id").alias("least"), "c.whole", *(f"c.{c}" for c in SKETCH[VERIFY:])), "nodes")
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    bits = 64 * VERIFY
-    differ = int(bits * share + LEEWAY * np.sqrt(bits * share * (1 - share)))
-    replicas = nodes.select(*SKETCH).mapInArrow(_sketch_replicas, "anchor long, v0 long, v1 long, home boolean")
-    replicas = replicas.repartition("anchor").sortWithinPartitions("anchor", "v0", "v1")
-    links = durable(replicas.mapInArrow(partial(_similar, differ=differ), "a0 long, a1 long, b0 long, b1 long").distinct(), "candidates")
-
-    ends = links.select(F.col("a0").alias("v0"), F.col("a1").alias("v1")).union(links.select("b0", "b1")).distinct()
-    named = nodes.join(ends, ["v0", "v1"], "left_semi").select("v0", "v1", F.col("least").alias("doc_id"), "whole")
-    text = F.coalesce("text", F.lit(""))
-    texts = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("whole")).join(named, ["doc_id", "whole"])
-    texts = durable(texts.groupBy("v0", "v1").agg(F.first("text").alias("text")), "texts")
-    side = lambda c: texts.select(F.col("v0").alias(f"{c}0"), F.col("v1").alias(f"{c}1"), F.col("text").alias(f"{c}_text"))
-    pairs = even_join(even_join(links, side("a"), ["a0", "a1"]), side("b"), ["b0", "b1"])
-    pairs = pairs.select("a0", "a1", "b0", "b1", "a_text", "b_text").mapInArrow(partial(_verified, width=width, similarity=similarity), "a0 long, a1 long, b0 long, b1 long")
-    edges = pairs.select(F.struct(F.col("a0").alias("v0"), F.col("a1").alias("v1")).alias("a"), F.struct(F.col("b0").alias("v0"), F.col("b1").alias("v1")).alias("b"))
-    roots = components(edges, "similar").select("node.v0", "node.v1", "root")
-    own = F.struct("v0", "v1")
-    placed = durable(nodes.join(roots, ["v0", "v1"], "left").select("v0", "v1", "least", F.coalesce("root", own).alias("root")), "placed")
-    named = even_join(placed, placed.groupBy("root").agg(F.min("least").alias("component_id")), ["root"]).select("v0", "v1", "component_id")
-    return even_join(found.select("doc_id", "v0", "v1"), named, ["v0", "v1"]).select("doc_id", "component_id")
+    common, counts = common_shingles(docs, width)
+    prefixes = partial(_prefixes, width=width, similarity=similarity, common=common, counts=counts)
+    found = durable(docs.select("doc_id", "text").mapInArrow(prefixes, f"doc_id {kind}, whole long, d0 long, d1 long, n int, b0 long, b1 long, prefix binary"), "prefixes")
+    nodes = found.groupBy(*DIGEST).agg(F.min(F.struct("doc_id", "whole")).alias("c"), *(F.first(c).alias(c) for c in ("n", "b0", "b1", "prefix")))
+    nodes = nodes.select(*DIGEST, F.col("c.doc_id").alias("least"), "c.whole", "n", "b0", "b1", "prefix")
+    nodes = durable(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+    def candidates(rooted: DataFrame, thin: bool) -> DataFrame:
+        replicas = rooted.select("prefix", "node", "n", "b0", "b1", "root").mapInArrow(_replicate, REPLICAS)
+        replicas = replicas.repartition("token").sortWithinPartitions("token", "n", "node")
+        return replicas.mapInArrow(partial(_candidates, similarity=similarity, thin=thin), "a long, b long").distinct()
+
+    def verified(links: DataFrame) -> DataFrame:
+        ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+        named = nodes.join(ends, "node", "left_semi").select("node", F.col("least").alias("id"), F.col("whole").alias("digest"))
+        text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("whole", F.xxhash64("text"))
+        texts = text.join(named, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("whole") == F.col("digest"))).groupBy("node").agg(F.first("text").alias("text"))
+        sets = durable(texts.select("node", "text").mapInArrow(partial(_sets, width=width), "node long, set binary"), "sets")
+        side = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"{c}_set"))
+        pairs = even_join(even_join(links, side("a"), ["a"]), side("b"), ["b"])
+        return pairs.select("a", "b", "a_set", "b_set").mapInArrow(partial(_verified, similarity=similarity), "a long, b long")
+
+    first = durable(candidates(nodes.withColumn("root", F.col("node")), True), "candidates")
+    roots = components(verified(first), "similar")
+    placed = durable(nodes.select(*DIGEST, "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+    named = even_join(placed, placed.groupBy("root").agg(F.min("least").alias("component_id")), ["root"]).select(*DIGEST, "component_id")
+    return even_join(found.select("doc_id", *DIGEST), named, DIGEST).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

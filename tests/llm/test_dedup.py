@@ -260,3 +260,43 @@ def test_rows_that_share_a_doc_id_but_not_a_text(spark):
     words = [f"w{i}" for i in range(100)]
     texts = [" ".join(words), " ".join(reversed(words)), " ".join([*words[:99], "other"]), None]
     assert simhash.keep_one(make(spark, texts, [1, 1, 2, None])).count() == 2
+
+
+def blocks(rng, words):
+    """A text of words and copies of it that differ in one stretch, of Jaccard similarity between 0.8 and 0.84."""
+    n = len(words)
+    word = lambda: "w%06d" % rng.randrange(10**6)
+    k, r = int(0.2 * n) - 1, (n - 4) // 9 - 4
+    at = rng.randrange(n - r)
+    return [words + [word() for _ in range(k)], words[: n - k], words[:at] + [word() for _ in range(r)] + words[at + r :], words]
+
+
+def test_copies_that_differ_in_one_stretch_are_grouped(spark):
+    rng, texts = random.Random(11), []
+    for n in (60, 200, 1000):
+        for _ in range(25):
+            base = ["w%06d" % rng.randrange(10**6) for _ in range(n)]
+            texts += [*map(" ".join, blocks(rng, base))]
+    want = brute_similar(dict(enumerate(texts)))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(make(spark, texts)).collect()}
+    together = sum(got[i] == got[i | 3] for i in range(len(texts)) if i % 4 < 3)
+    assert got == want and together == len(texts) // 4 * 3, f"{together} of {len(texts) // 4 * 3} copies are with their text"
+
+
+def crowd(rng, n):
+    """Texts of one template, most of similarity 0.6 to 0.8, some over it."""
+    base = ["w%06d" % rng.randrange(10**6) for _ in range(200)]
+    texts = []
+    for _ in range(n):
+        copy = list(base)
+        for at in rng.sample(range(200), rng.randint(2, 10)):
+            copy[at] = "w%06d" % rng.randrange(10**6)
+        texts.append(" ".join(copy))
+    return texts
+
+
+def test_no_link_of_a_crowd_is_lost(spark):
+    texts = crowd(random.Random(12), 400)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(make(spark, texts)).collect()}
+    want = brute_similar(dict(enumerate(texts)))
+    assert got == want, f"{len(set(got.values()))} groups, not {len(set(want.values()))}"
