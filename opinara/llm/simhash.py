@@ -29,7 +29,7 @@ SEED = 42
 THRESHOLD = 3
 PAIRS_AT_ONCE = 1 << 20
 COMMON = 1 << 18  # shingles whose counts order the prefixes
-FORESTS = 2  # spanning forests of candidates that each task returns
+FORESTS = 2  # spanning forests of candidates that each task returns at first
 DIGEST = ["d0", "d1"]  # of a set of shingles
 
 _BITS31 = np.arange(31, dtype=np.int64)
@@ -403,8 +403,8 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     """doc_id and component_id, by links of documents whose sets of shingles have that Jaccard similarity or more.
 
     Candidates are found by prefixes, without exception: of two sets of that similarity, each in one order (common shingles
-    last), the first n - ceil(similarity * n) + 1 share a shingle. Each task returns FORESTS spanning forests of the
-    likest pairs, which are then checked. Shingles are compared
+    last), the first n - ceil(similarity * n) + 1 share a shingle. Pairs are checked twice over: first FORESTS spanning forests of
+    the likest pairs of each task, which unite most groups, then every pair that is left between other components. Shingles are compared
     as 64-bit hashes; texts of equal sets are one node.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -432,6 +432,9 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
 
     first = durable(candidates(nodes.withColumn("root", F.col("node")), True), "candidates")
     roots = components(verified(first), "similar")
+    rooted = nodes.select("node", "n", "b0", "b1", "prefix").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    others = durable(candidates(rooted, False).join(first, ["a", "b"], "left_anti"), "candidates")
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(others)), "similar")
     placed = durable(nodes.select(*DIGEST, "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
     named = even_join(placed, placed.groupBy("root").agg(F.min("least").alias("component_id")), ["root"]).select(*DIGEST, "component_id")
     return even_join(found.select("doc_id", *DIGEST), named, DIGEST).select("doc_id", "component_id")
