@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opinara.llm.common import SLICE_BYTES, doc_key, durable, even_join
+from opinara.llm.common import SLICE_BYTES, durable, even_join
 
 SPACE = b" \t\n\x0b\x0c\r"
 WINDOW = 16
@@ -135,10 +135,10 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs, all columns, with one document of each group of equal texts. Rows that repeat a doc_id are one document."""
-    verdicts = exact_dedup(docs).where("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), F.col("text_sha256"))).alias("_key"))
+    """docs, all columns, with one row of each group of equal texts, whatever its doc_id: the longest, of the first doc_id."""
+    verdicts = exact_dedup(docs).where("kept").select(F.concat_ws(":", "text_sha256", F.col("doc_id").cast("string")).alias("_key"))
     bare = F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]", "")
-    keyed = docs.withColumn("_key", doc_key(F.col("doc_id"), F.when(F.col("doc_id").isNull(), bare)))
+    keyed = docs.withColumn("_key", F.concat_ws(":", F.sha2(bare, 256), F.col("doc_id").cast("string")))
     whole = Window.partitionBy("_key").orderBy(F.length("text").desc(), F.xxhash64("text"))
     first = keyed.withColumn("_nth", F.row_number().over(whole)).where("_nth = 1")
-    return first.join(verdicts.distinct(), "_key", "left_semi").drop("_key", "_nth")
+    return first.join(verdicts, "_key", "left_semi").drop("_key", "_nth")

@@ -20,7 +20,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinara.llm.common import components, doc_key, durable, even_join
@@ -441,8 +441,19 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs, all columns, with one document of each group of similar_groups: that of the first key. Rows that repeat a doc_id are one."""
-    keyed = docs.withColumn("_key", F.lpad(doc_key(F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.col("text"))), 65, "0"))
+    """docs, all columns, with one document of each group of similar_groups: that of the first key. Rows that repeat a doc_id
+    are one document, of which the longest row stays; keep_one_row takes rows for themselves."""
+    return _keep(docs, F.lpad(doc_key(F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.col("text"))), 65, "0"), width, similarity)
+
+
+def keep_one_row(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs, all columns, with one row of each group of similar_groups, whatever its doc_id: that of the first doc_id and digest."""
+    key = F.concat_ws(":", F.lpad(F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), 20, "0"), F.sha2(F.coalesce("text", F.lit("")), 256))
+    return _keep(docs, key, width, similarity)
+
+
+def _keep(docs: DataFrame, key: Column, width: int, similarity: float) -> DataFrame:
+    keyed = docs.withColumn("_key", key)
     found = similar_groups(keyed.select(F.col("_key").alias("doc_id"), "text"), width, similarity)
     stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
     whole = Window.partitionBy("_key").orderBy(F.length("text").desc(), F.xxhash64("text"))

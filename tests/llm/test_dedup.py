@@ -300,3 +300,13 @@ def test_no_link_of_a_crowd_is_lost(spark):
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(make(spark, texts)).collect()}
     want = brute_similar(dict(enumerate(texts)))
     assert got == want, f"{len(set(got.values()))} groups, not {len(set(want.values()))}"
+
+
+def test_other_texts_of_a_doc_id_stay(spark):
+    words = [f"w{i}" for i in range(100)]
+    long, unique = " ".join(words), "only here"
+    docs = make(spark, [long, long, unique], [1, 2, 2])
+    assert sorted(r["text"] for r in chunk_dedup.keep_first(docs).collect()) == sorted([long, unique])
+    near = make(spark, [long, long + " more", unique, unique, "x", None, None], [1, 2, 2, 2, None, None, None])
+    got = sorted((r["doc_id"] or -1, r["text"] or "") for r in simhash.keep_one_row(near).collect())
+    assert got == [(-1, ""), (-1, "x"), (1, long), (2, unique)]
