@@ -4,7 +4,7 @@ Generators of high recall propose spans. Those of the four base kinds (email, ip
 and always stay. Other candidates (credentials, numbers written like telephones, cards, accounts or national ids, mail addresses
 that are spelled out) are judged by boosted trees over their format and the words before them; the trees are fitted on the
 driver, on examples made by rule, and run as a sum of CASE expressions. The kind's threshold, set on examples left out
-of fitting, selects what is redacted. A candidate that overlaps a base span gives way to it.
+of fitting, selects what is redacted. A candidate that overlaps a base span gives way to it, and one that overlaps another to the higher score.
 
 Defined results: null text counts as empty and has no spans. Starts and ends are in code points, ends exclusive. Texts are read
 whole. Repeated rows give repeated rows; an empty table an empty one; other columns are not read (redact returns them).
@@ -30,7 +30,7 @@ PATTERNS = {
 #: What a text must have for a kind's pattern to be tried.
 GATES = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"(?:[0-9][\x20-]?){11}[0-9]", "phone": r"\+[0-9]"}
 
-#: Generators of the method's own kinds, tried in this order at each place.
+#: Generators of the method's own kinds, each tried by itself, so that candidates of different kinds may overlap.
 EXTRA = {
     "secret": r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{20,}|(?<=[=:]['\x22]?\s?['\x22]?)(?<![A-Za-z0-9])[A-Za-z0-9+/_-]{12,}={0,2}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -38,7 +38,13 @@ EXTRA = {
     "local": r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
     "spelled": r"(?<![A-Za-z0-9])[A-Za-z0-9._]{1,40}\x20?[\[(]\x20?at\x20?[\])]\x20?[A-Za-z0-9-]{1,40}(?:(?:\.|\x20?[\[(]\x20?dot\x20?[\])]\x20?)[A-Za-z0-9-]{1,40}){1,6}",
 }
-EXTRA_GATE = r"(?:AKIA|ASIA|gh[pousr]_|[=:]['\x22]?\s?['\x22]?[A-Za-z0-9+/_-]{12}|[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}|[0-9]{3}\)?[\x20.-][0-9]|[\[(]\x20?at\x20?[\])])"
+EXTRA_GATES = {
+    "secret": r"AKIA|ASIA|gh[pousr]_|[=:]['\x22]?\s?['\x22]?[A-Za-z0-9+/_-]{12}",
+    "iban": r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}",
+    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    "local": r"[0-9]{3}\)?[\x20.-][0-9]",
+    "spelled": r"[\[(]\x20?at\x20?[\])]",
+}
 CONTEXT = 24
 
 #: Words before a span that speak for it, by feature.
@@ -213,28 +219,30 @@ def _tree_column(tree, features: list[Column]) -> Column:
     return F.when(features[tree[0]] <= tree[1], _tree_column(tree[2], features)).otherwise(_tree_column(tree[3], features))
 
 
-def extra_spans(text: Column) -> Column:
-    """Candidates of the method's own kinds, over their kind's threshold."""
+def extra_spans(text: Column, base: Column) -> Column:
+    """Candidates of the method's own kinds over their kind's threshold, without those that overlap base or one of a higher score."""
     trees, rate, cuts = boosted()
-    pattern = "|".join(f"(?:{p})" for p in EXTRA.values())
-    none = F.array().cast("array<struct<start:int,kind_no:int,kind:string,end:int,text:string>>")
-    found = F.when(text.rlike(EXTRA_GATE), spans(text, pattern, "secret", lambda m: F.lit(True))).otherwise(none)
+    kind_of = "struct<start:int,kind_no:int,kind:string,end:int,text:string>"
+    none = F.array().cast(f"array<{kind_of}>")
+    found = F.concat(*(F.when(text.rlike(EXTRA_GATES[k]), spans(text, p, k, lambda m: F.lit(True))).otherwise(none) for k, p in EXTRA.items()))
+    before = lambda s: F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
+    rated = F.transform(found, lambda s: F.struct(s.alias("s"), F.array(*feature_columns(s["kind_no"], s["text"], before(s))).alias("f")))
 
-    def kind_no(m: Column) -> Column:
-        tests = [("iban", r"^[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}\x20?[A-Z0-9]{4}\x20?[A-Z0-9]{4}"), ("ssn", r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), ("local", r"^\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}$"), ("spelled", r"[\[(]\x20?at\x20?[\])]")]
-        return reduce(lambda rest, t: F.when(m.rlike(t[1]), len(KINDS) + list(EXTRA).index(t[0])).otherwise(rest), reversed(tests), F.lit(len(KINDS)))
+    def score(r: Column) -> Column:
+        return reduce(lambda a, b: a + b, (_tree_column(t, [r["f"][i] for i in range(len(FEATURES))]) for t in trees)) * rate
 
-    names = F.array(*map(F.lit, [*KINDS, *EXTRA]))
-    before = lambda s: F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
-    typed = F.transform(found, lambda s: F.struct(s["start"].alias("start"), kind_no(s["text"]).alias("kind_no"), F.element_at(names, kind_no(s["text"]) + 1).alias("kind"), s["end"].alias("end"), s["text"].alias("text"), before(s).alias("before")))
-    rated = F.transform(typed, lambda s: F.struct(s.alias("s"), F.array(*feature_columns(s["kind_no"], s["text"], s["before"])).alias("f")))
+    def least(s: Column) -> Column:
+        return reduce(lambda rest, kv: F.when(s["kind_no"] == kv[0], kv[1]).otherwise(rest), cuts.items(), F.lit(0.0))
+
+    overlap = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    scored = F.transform(rated, lambda r: F.struct((-score(r)).alias("less"), r["s"].alias("s")))
+    over = F.filter(scored, lambda r: (-r["less"] >= least(r["s"])) & ~F.exists(base, lambda b: overlap(b, r["s"])))
 
-    def passes(r: Column) -> Column:
-        total = reduce(lambda a, b: a + b, (_tree_column(t, [r["f"][i] for i in range(len(FEATURES))]) for t in trees)) * rate
-        least = reduce(lambda rest, kv: F.when(r["s"]["kind_no"] == kv[0], kv[1]).otherwise(rest), cuts.items(), F.lit(0.0))
-        return total >= least
+    def take(kept: Column, r: Column) -> Column:
+        return F.when(F.exists(kept, lambda k: overlap(k, r["s"])), kept).otherwise(F.concat(kept, F.array(r["s"])))
 
-    return F.transform(F.filter(rated, passes), lambda r: F.struct(*(r["s"][c].alias(c) for c in ("start", "kind_no", "kind", "end", "text"))))
+    best = F.aggregate(F.array_sort(over), none, take)
+    return F.when(reduce(lambda a, b: a | b, (text.rlike(g) for g in EXTRA_GATES.values())), best).otherwise(none)
 
 
 def _joined(found: Column) -> Column:
@@ -244,10 +252,10 @@ def _joined(found: Column) -> Column:
 def find(docs: DataFrame) -> DataFrame:
     """docs with base and found: their spans, sorted by start and kind, found with those of the method too."""
     text = F.coalesce("text", F.lit(""))
-    each = docs.withColumns({f"_{k}": v for k, v in base_spans(text).items()} | {"_extra": extra_spans(text)})
+    each = docs.withColumns({f"_{k}": v for k, v in base_spans(text).items()})
     each = each.withColumn("base", F.array_sort(F.concat(*(f"_{k}" for k in KINDS))))
-    free = F.filter("_extra", lambda e: ~F.exists("base", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
-    return each.withColumn("found", F.when(F.size("_extra") > 0, F.array_sort(F.concat("base", free))).otherwise(F.col("base"))).drop("_extra", *(f"_{k}" for k in KINDS))
+    each = each.withColumn("_extra", extra_spans(text, F.col("base")))
+    return each.withColumn("found", F.when(F.size("_extra") > 0, F.array_sort(F.concat("base", "_extra"))).otherwise(F.col("base"))).drop("_extra", *(f"_{k}" for k in KINDS))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -214,3 +214,9 @@ def test_pipeline_follows_its_stages(spark, both, tmp_path):
     bare = [re.sub(r"[\x20\x09-\x0D]", "", t) for t in texts(steps[1]).values()]
     assert len(set(bare)) == len(bare) == len({re.sub(r"[\x20\x09-\x0D]", "", t) for t in texts(steps[0]).values()})
     assert not any(brute_pii(t) for t in texts(steps[3]).values())
+
+
+def test_overlapping_candidates_are_all_judged(spark):
+    docs = make(spark, ["email: maria_gonzalez [at] mail [dot] com", "write to=maria_gonzalez (at) mail (dot) com now"])
+    rows = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert rows == {0: "email: [SPELLED]", 1: "write to=[SPELLED] now"}
