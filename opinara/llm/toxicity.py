@@ -1,6 +1,7 @@
 """Toxicity by noisy-channel deobfuscation.
 
-Suspicious stretches of a lower-cased text (letters mixed with look-alike signs, letters spaced out, letters repeated) are
+Suspicious stretches of a lower-cased text (letters mixed with or followed by look-alike signs, single letters between white
+space or punctuation, letters repeated) are
 read as a lattice: each sign may stand for some letters at a cost, separators vanish, runs shrink to one or two. The Viterbi
 path under a character trigram model, whose counts come from every document, is the restored word. Restored words and
 all others are then scored: words and their prefixes carry the smoothed odds with which labelled documents that contain
@@ -40,11 +41,13 @@ LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SIGNS = re.escape("".join(LOOKALIKES))
+_ONE, _GAP = rf"[^\W_{_SIGNS}]|[{_SIGNS}]", rf"(?:[^\w{_SIGNS}]|_)+"
 _SUSPECT = re.compile(
-    rf"(?<![\w{_SIGNS}])(?:[^\W\d_]+[{_SIGNS}]+(?=[^\W\d_])|[{_SIGNS}]{{1,3}}(?=[^\W\d_]))[\w{_SIGNS}]*"
-    rf"|(?<!\w)(?:[\w{_SIGNS}][ ._*-]){{3,}}[\w{_SIGNS}](?!\w)"
+    rf"(?<![\w{_SIGNS}])(?:[^\W\d_]+[{_SIGNS}]+|[{_SIGNS}]{{1,3}}(?=[^\W\d_]))[\w{_SIGNS}]*"
+    rf"|(?<![^\W_])(?:(?:{_ONE}){_GAP}){{3,}}(?:{_ONE})(?![^\W_])"
     r"|[^\W\d_]*([a-z])\1\1[^\W\d_]*"
 )
+_PAIR = re.compile(rf"([{_SIGNS}])\1")
 SYMBOLS = 28  # a to z, other letters, everything else
 _CODE = np.full(256, 27, np.int64)
 _CODE[97:123] = np.arange(26)
@@ -80,9 +83,14 @@ def trigram_model(counts: np.ndarray) -> np.ndarray:
     return np.log(three / three.sum(2, keepdims=True))
 
 
-def restore(token: str, trigrams: np.ndarray) -> str:
-    """The likeliest word behind a suspicious stretch."""
-    chars = [c for c in token if c not in " ._*-"]
+def bare(token: str) -> str:
+    """A stretch without what separates its letters."""
+    return "".join(c for c in token if c.isalnum() or c in LOOKALIKES)
+
+
+def restore(token: str, trigrams: np.ndarray, pairs: bool = False) -> str:
+    """The likeliest word behind a suspicious stretch; with pairs, one where two equal signs are two letters."""
+    chars = bare(token)
     runs: list[list] = []
     for c in chars:
         if runs and runs[-1][0] == c:
@@ -96,7 +104,7 @@ def restore(token: str, trigrams: np.ndarray) -> str:
         for (a, b), (value, text) in paths.items():
             for letter, price in options:
                 k = symbol(letter)
-                for times in (1, 2) if n > 1 else (1,):
+                for times in (2,) if pairs and n == 2 else (1, 2) if n > 1 else (1,):
                     total, x, y = value - price * times, a, b
                     if n > 2 and times == 2:
                         total -= 0.5
@@ -109,35 +117,35 @@ def restore(token: str, trigrams: np.ndarray) -> str:
     return max(((value + trigrams[a, b, 27], text) for (a, b), (value, text) in paths.items()), default=(0, ""))[1]
 
 
-_LETTERS = np.zeros(256, bool)
-_LETTERS[[*range(97, 123), *range(128, 256)]] = True
-_AS_SIGN = np.zeros(256, bool)
-_AS_SIGN[[b for sign in LOOKALIKES for b in sign.encode()]] = True
-_BETWEEN = np.zeros(256, bool)
-_BETWEEN[list(b" ._*-")] = True
-_REACH = 96  # bytes around a suspicious place that are looked at, on to the next spaces
+_LETTERS = np.zeros(129, bool)  # by code point; 128 stands for all beyond ASCII, which may be letters or not
+_LETTERS[[*range(97, 123), 128]] = True
+_AS_SIGN = np.zeros(129, bool)
+_AS_SIGN[[ord(sign) for sign in LOOKALIKES]] = True
+_REACH = 96  # characters around a suspicious place that are looked at, on to the next spaces
 
 
 def suspects(low: str) -> set[str]:
     """Suspicious stretches of a text in lower case. Arrays find the places; the pattern is only tried around them."""
-    raw = low.encode("utf-8", "replace")
-    data = np.frombuffer(raw, np.uint8)
-    if len(data) < 3:
+    code = np.frombuffer(low.encode("utf-32-le", "replace"), np.uint32)
+    if len(code) < 2:
         return set()
-    letter, sign, gap = _LETTERS[data], _AS_SIGN[data], _BETWEEN[data]
-    places = letter[1:] & sign[:-1] & (data[:-1] < 128)
-    places[1:] |= (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & letter[1:-1] & (data[1:-1] < 128)
-    if len(data) >= 7:
-        one = letter | sign
-        places[5:] |= one[:-6] & gap[1:-5] & one[2:-4] & gap[3:-3] & one[4:-2] & gap[5:-1] & one[6:]
-    found, done = set(), 0
-    for at in np.flatnonzero(places).tolist():
-        if at >= done or not done:
-            start = max(raw.rfind(b" ", done, max(done, at - _REACH)), done)
-            end = raw.find(b" ", at + _REACH)
-            end = len(raw) if end < 0 else end
-            found.update(m.group() for m in _SUSPECT.finditer(raw[start:end].decode("utf-8", "replace")))
-            done = end
+    code = np.minimum(code, 128)
+    letter, sign, wide = _LETTERS[code], _AS_SIGN[code], code == 128
+    mixed = letter[1:] & sign[:-1] | sign[1:] & letter[:-1]
+    mixed[1:] |= (code[2:] == code[1:-1]) & (code[1:-1] == code[:-2]) & letter[1:-1] & ~wide[1:-1]
+    firsts = lasts = np.flatnonzero(mixed) + 1
+    edge = np.concatenate(([True], ~(letter | sign) | wide, [True]))
+    single = np.flatnonzero(letter | sign)
+    alone = (edge[:-2] & edge[2:])[single]
+    four = np.flatnonzero(alone[:-3] & alone[1:-2] & alone[2:-1] & alone[3:]) if len(single) > 3 else single[:0]
+    if len(four):
+        firsts, lasts = np.concatenate((firsts, single[four])), np.concatenate((lasts, single[four + 3]))
+        order = np.argsort(firsts, kind="stable")
+        firsts, lasts = firsts[order], np.maximum.accumulate(lasts[order])
+    found, cuts = set(), np.flatnonzero(firsts[1:] - lasts[:-1] > 2 * _REACH) + 1
+    for first, last in zip(firsts[[0, *cuts]].tolist(), lasts[[*(cuts - 1), -1]].tolist()) if len(firsts) else ():
+        start, end = max(low.rfind(" ", 0, max(0, first - _REACH)), 0), low.find(" ", last + _REACH)
+        found.update(m.group() for m in _SUSPECT.finditer(low, start, end if end >= 0 else len(low)))
     return found
 
 
@@ -150,13 +158,15 @@ class Reader:
     def words(self, text: str | None) -> set[str]:
         low = (text or "").lower()
         found = set(_WORD.findall(low))
-        for token in suspects(low):
+        for token in map(bare, suspects(low)):
             for at in range(0, len(token), _LONGEST_TOKEN):
                 part = token[at : at + _LONGEST_TOKEN]
                 if part not in self.known:
                     if len(self.known) > 100_000:
                         self.known.clear()
                     self.known[part] = restore(part, self.trigrams)
+                    if _PAIR.search(part):
+                        self.known[part] += " " + restore(part, self.trigrams, True)
                 found.update(_WORD.findall(self.known[part]))
         return found
 

@@ -220,3 +220,14 @@ def test_overlapping_candidates_are_all_judged(spark):
     docs = make(spark, ["email: maria_gonzalez [at] mail [dot] com", "write to=maria_gonzalez (at) mail (dot) com now"])
     rows = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
     assert rows == {0: "email: [SPELLED]", 1: "write to=[SPELLED] now"}
+
+
+@pytest.mark.parametrize(
+    "written,word",
+    [("idio7", "idiot"), ("a$$", "ass"), ("shi7", "shit"), ("dumba$$", "dumbass"), ("idi0+", "idiot"), ("i  d  i  o  t", "idiot"), ("i, d, i, o, t", "idiot"), ("i\nd\ni\no\nt", "idiot"), ("i \u00b7 d \u00b7 i \u00b7 o \u00b7 t", "idiot")],
+)
+def test_signs_at_the_end_and_wide_gaps_are_restored(written, word):
+    text = "the idiot and the trash of a stupid ass and a dumbass, that shit of a loser was there " * 30
+    reader = toxicity.Reader(toxicity.trigram_model(toxicity.trigram_counts(text.encode())))
+    assert word in reader.words(f"and {written} was")
+    assert word in reader.words(f"{'plain words ' * 20}{written}")
