@@ -20,13 +20,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opinara.llm.common import SLICE_BYTES, durable, even_join
+from opinara.llm.common import durable, even_join, same_rows, slices, whole_row
 
 SPACE = b" \t\n\x0b\x0c\r"
 WINDOW = 16
 MEAN_BITS = 11  # a chunk has about 2 KiB
 MAX_CHUNK = 1 << 16
 ID_BYTES = 16
+NO_ID = -(1 << 63)  # stands for a null doc_id in joins
 
 RECIPES = T.StructType(
     [
@@ -52,7 +53,7 @@ def cut_points(data: bytes) -> np.ndarray:
 
 
 def chunks_of(texts: list[bytes]) -> Iterator[list[bytes]]:
-    """The chunks of each text. A chunk has WINDOW to MAX_CHUNK bytes but for a text's last one."""
+    """The chunks of each text, of MAX_CHUNK bytes at most. The first has WINDOW bytes at least; later cuts may lie closer."""
     cuts, at = cut_points(b"".join(texts)) if texts else [], 0
     for text in texts:
         inner = cuts[np.searchsorted(cuts, at + WINDOW) : np.searchsorted(cuts, at + len(text))] - at
@@ -63,16 +64,8 @@ def chunks_of(texts: list[bytes]) -> Iterator[list[bytes]]:
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
     for batch in batches:
-        ids, raws, size = [], [], 0
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-            ids.append(doc_id)
-            raws.append(text or b"")
-            size += len(raws[-1])
-            if size >= SLICE_BYTES:
-                yield ids, raws
-                ids, raws, size = [], [], 0
-        if ids:
-            yield ids, raws
+        for part in slices(batch, 1):
+            yield part.column(0).to_pylist(), [raw or b"" for raw in part.column(1).cast(pa.binary()).to_pylist()]
 
 
 def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,10 +128,13 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs, all columns, with one row of each group of equal texts, whatever its doc_id: the longest, of the first doc_id."""
-    verdicts = exact_dedup(docs).where("kept").select(F.concat_ws(":", "text_sha256", F.col("doc_id").cast("string")).alias("_key"))
-    bare = F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]", "")
-    keyed = docs.withColumn("_key", F.concat_ws(":", F.sha2(bare, 256), F.col("doc_id").cast("string")))
-    whole = Window.partitionBy("_key").orderBy(F.length("text").desc(), F.xxhash64("text"))
-    first = keyed.withColumn("_nth", F.row_number().over(whole)).where("_nth = 1")
-    return first.join(verdicts, "_key", "left_semi").drop("_key", "_nth")
+    """docs, all columns, with one row of each group of equal texts: the longest, of the first doc_id; among rows that are
+    equal in both, that of the smallest hash. Decisions are by text, length and doc_id, so that no other text of a doc_id
+    goes with a copy. Whole rows move once; what a task has several of is thinned before."""
+    verdicts = exact_dedup(docs).where("kept").select(F.col("text_sha256").alias("bare"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id"))
+    text = F.coalesce("text", F.lit(""))
+    bare = F.sha2(F.regexp_replace(text, "[\\x20\\x09-\\x0D]", ""), 256)
+    keyed = docs.select(bare.alias("bare"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.length(text).alias("n"), same_rows(docs).alias("h"), whole_row(docs).alias("row"))
+    nth = F.row_number().over(Window.partitionBy("bare", "id").orderBy(F.desc("n"), "h"))
+    first = keyed.withColumn("nth", nth).where("nth = 1")
+    return first.join(verdicts, ["bare", "id"], "left_semi").select("row.*")

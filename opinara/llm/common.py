@@ -6,7 +6,11 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +22,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """batch in parts whose texts in column have about SLICE_BYTES together; a longer text is a part of its own."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(size) - size) // SLICE_BYTES
+    bounds = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+    yield from (batch.slice(a, b - a) for a, b in zip(bounds, bounds[1:]))
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of docs as one, so that no name of theirs can clash with a name inside an operator."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def same_rows(docs: DataFrame) -> Column:
+    """A hash of a row's columns, but for those of kinds that have none, to choose among rows that are otherwise equal."""
+    plain = [f.name for f in docs.schema.fields if not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))]
+    return F.xxhash64(*(F.col(f"`{c}`") for c in plain)) if plain else F.lit(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a local master gets one of its own; a
+    cluster is refused, since its machines don't see each other's folders."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="opinara-")
         spark.conf.set("spark.checkpoint.dir", root)
@@ -56,11 +82,6 @@ def even_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return left.withColumn(mark, salt).join(right.withColumn(mark, salt), [*keys, mark], how).drop(mark)
 
 
-def doc_key(doc_id: Column, text: Column) -> Column:
-    """Identifies a row's document: its doc_id, or its text where that is null."""
-    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("~"), F.sha2(F.coalesce(text, F.lit("")), 256)))
-
-
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 

@@ -4,7 +4,9 @@ Fingerprints of 64 bits link at 3 or fewer differing bits, so that in one of the
 half, the anchors are the words of a covering code: the [31,26] Hamming code with one free bit, of covering radius 1. Each
 fingerprint is at home at its nearest anchor and is replicated to every anchor within covering radius plus threshold, 2:
 17 of 2**27. Any two that link meet at the home of either, where they are compared; each task returns a spanning forest
-of its links instead of all pairs, and the links' components follow.
+of its links instead of all pairs, and the links' components follow. An anchor of more than CROWD fingerprints is told by the
+task that meets it; its fingerprints are first compared with their neighbours in order alone, and then only those of
+different components with each other, in blocks dealt out over many tasks (across).
 
 Defined results: null text counts as empty; a text without words has fingerprint zero and links like any other. Repeated
 rows and copies share a fingerprint and are compared once. A null doc_id is only the smallest of its component if all are
@@ -14,22 +16,24 @@ null. An empty table gives an empty table. Other columns of the input are neithe
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from functools import partial
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opinara.llm.common import components, doc_key, durable, even_join
+from opinara.llm.common import components, durable, even_join, same_rows, slices, whole_row
 
 SEED = 42
 THRESHOLD = 3
 PAIRS_AT_ONCE = 1 << 20
 COMMON = 1 << 18  # shingles whose counts order the prefixes
-FORESTS = 2  # spanning forests of candidates that each task returns at first
+FORESTS = 2  # spanning forests of neighbours that are checked first
+CROWD = 4096  # rows under one key that a task compares with each other
+NEIGHBOURS = 8  # rows before it that a row of a crowd is compared with at first
 DIGEST = ["d0", "d1"]  # of a set of shingles
 
 _BITS31 = np.arange(31, dtype=np.int64)
@@ -56,8 +60,9 @@ def fingerprint(text: bytes, width: int) -> int:
 
 def _prints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = [fingerprint(t or b"", width) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        yield pa.record_batch([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64), pa.int64())], names=["doc_id", "fp"])
+        for part in slices(batch, 1):
+            prints = [fingerprint(t, width) for t in _texts(part, 1)]
+            yield pa.record_batch([part.column(0), pa.array(np.array(prints, np.uint64).view(np.int64), pa.int64())], names=["doc_id", "fp"])
 
 
 def syndrome(half: np.ndarray) -> np.ndarray:
@@ -130,52 +135,116 @@ def meetings(first: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.
         at = to
 
 
-class Linker:
-    """Compares homes with replicas, keeping a forest of the links."""
+def arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [c.to_numpy(zero_copy_only=False) for c in batch.columns]
 
-    def __init__(self, threshold: int) -> None:
-        self.threshold, self.a, self.b = threshold, np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        if len(a):
-            self.a, self.b = forest(np.concatenate((self.a, a)), np.concatenate((self.b, b)))
-
-    def compare(self, home_key: np.ndarray, homes: np.ndarray, key: np.ndarray, fps: np.ndarray, deep: bool = False) -> None:
-        """Of equal keys, each home with each replica; both in order of their keys."""
-        first, last = np.searchsorted(key, home_key), np.searchsorted(key, home_key, "right")
-        n = last - first
-        if not deep and len(n) and n.max() > 4096:  # a crowded anchor: who links agrees in one byte of the other half at least
-            for group in np.unique(home_key[n > 4096]):
-                h, f, up = homes[home_key == group], fps[key == group], 0 if group >> 32 else 32
-                for byte in range(4):
-                    hb, fb = (h >> up + 8 * byte) & 255, (f >> up + 8 * byte) & 255
-                    oh, of = np.argsort(hb, kind="stable"), np.argsort(fb, kind="stable")
-                    self.compare(hb[oh], h[oh], fb[of], f[of], True)
-            easy = n <= 4096
-            homes, first, n = homes[easy], first[easy], n[easy]
-        for own, other in meetings(first, n):
-            x, y = homes[own], fps[other]
-            near = (np.bitwise_count((x ^ y).view(np.uint64)) <= self.threshold) & (x != y)
-            self.add(x[near], y[near])
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int = 1, most: int | None = None) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Columns of rows, which come in order of their first keys columns, in parts that hold whole groups of equal keys; and
+    the (single) keys of groups of more than most rows, of which the rows are left out."""
+    rest, skipped = None, None
+    for batch in batches:
+        new = arrays(batch)
+        if skipped is not None:
+            new = [c[int(np.searchsorted(new[0], skipped, "right")) :] for c in new]
+        if not len(new[0]):
+            continue
+        rest, skipped = new if rest is None else [np.concatenate(x) for x in zip(rest, new)], None
+        changed = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in rest[:keys]])) + 1
+        last = int(changed[-1]) if len(changed) else 0
+        crowds = np.zeros(0, np.int64)
+        if most is not None:
+            sizes = np.diff(np.concatenate(([0], changed, [len(rest[0])])))
+            crowds = rest[0][np.concatenate(([0], changed))][sizes > most]
+            if len(crowds) and crowds[-1] == rest[0][-1]:
+                skipped = crowds[-1]
+        ready = [c[:last] for c in rest]
+        rest = [c[last:] for c in rest] if skipped is None else None
+        if len(crowds):
+            stay = ~np.isin(ready[0], crowds)
+            ready = [c[stay] for c in ready]
+        if len(ready[0]) or len(crowds):
+            yield ready, crowds
+    if rest is not None and len(rest[0]):
+        yield rest, np.zeros(0, np.int64)
 
 
-def _links(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
-    """Rows come in order of their anchor; the last anchor of a batch may go on in the next."""
-    rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
+def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Rows of which a key's follow each other, and places of pairs of the same key, NEIGHBOURS apart at most."""
+    tail = None
+    for batch in batches:
+        rows = arrays(batch)
+        old = 0 if tail is None else len(tail[0])
+        rows = rows if tail is None else [np.concatenate(x) for x in zip(tail, rows)]
+        later = [np.arange(max(old, step), len(rows[0])) for step in range(1, NEIGHBOURS + 1)]
+        i, j = np.concatenate(later), np.concatenate([x - step for step, x in enumerate(later, 1)])
+        same = rows[0][i] == rows[0][j]
+        yield rows, i[same], j[same]
+        tail = [c[-NEIGHBOURS:] for c in rows]
+
+
+def _block_pairs(batches: Iterator[pa.RecordBatch], test: Callable) -> Iterator[pa.RecordBatch]:
+    """Of each block (key, k, m) the pairs of a row of side 1 and one of side 0 that pass test and have other roots."""
+    for rows, _ in whole_groups(batches, 3):
+        key, k, m, side, node, root, *more = rows
+        group = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (k[1:] != k[:-1]) | (m[1:] != m[:-1]))))
+        right = np.flatnonzero(side == 1)
+        first = np.searchsorted(group, group[right])
+        left = np.bincount(group[side == 0], minlength=int(group[-1]) + 1)[group[right]]
+        for at, j in meetings(first, left):
+            i = right[at]
+            near = root[i] != root[j]
+            i, j = i[near], j[near]
+            near = test(more, i, j)
+            a, b = node[i[near]], node[j[near]]
+            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def across(rows: DataFrame, test: Callable) -> DataFrame:
+    """Distinct pairs (a, b) of nodes of different roots that share a key and pass test, for keys that crowds share.
+
+    rows: (key, node, root, ...); test gets the other columns and places of pairs. Of two roots one isn't the key's most
+    frequent: rows of other roots are compared with all, in blocks of about CROWD rows by CROWD, each a group of its own."""
+    more = [c for c in rows.columns if c not in ("key", "node", "root")]
+    counts = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
+    main = counts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("total"), F.max("n").alias("most")).where("total > most")
+    blocks = main.select("key", "main", F.ceil(F.col("total") / CROWD).cast("int").alias("ks"), F.ceil((F.col("total") - F.col("most")) / CROWD).cast("int").alias("ms"))
+    marked = even_join(rows, blocks, ["key"])
+    dealt = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = marked.select("key", dealt("ks", 1).alias("k"), every("ms").alias("m"), F.lit(0).alias("side"), "node", "root", *more)
+    right = marked.where("root <> main").select("key", every("ks").alias("k"), dealt("ms", 2).alias("m"), F.lit(1).alias("side"), "node", "root", *more)
+    both = left.unionByName(right).repartition("key", "k", "m").sortWithinPartitions("key", "k", "m", "side")
+    return both.mapInArrow(partial(_block_pairs, test=test), "a long, b long").distinct()
+
+
+def _apart(more: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: int) -> np.ndarray:
+    """Pairs of fingerprints of which one is at home, that differ in at most threshold bits."""
+    fp, home_ = more
+    return (home_[i] | home_[j]) & (np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)) <= threshold)
 
-    def links(key: np.ndarray, fp: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
-        found = Linker(threshold)
-        found.compare(key[own], fp[own], key, fp)
-        return pa.record_batch([pa.array(found.a, pa.int64()), pa.array(found.b, pa.int64())], names=["a", "b"])
 
-    for batch in batches:
-        rest = [np.concatenate((r, c.to_numpy(zero_copy_only=False))) for r, c in zip(rest, batch.columns)]
-        cut = int(np.searchsorted(rest[0], rest[0][-1])) if len(rest[0]) else 0
-        if cut:
-            yield links(*(r[:cut] for r in rest))
-            rest = [r[cut:] for r in rest]
-    if len(rest[0]):
-        yield links(*rest)
+def _links(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
+    """A forest of each task's links (a, b), and anchors that are too crowded for it (crowd)."""
+    none = np.zeros(0, np.int64)
+    for (anchor, fp, own), crowds in whole_groups(batches, 1, CROWD):
+        homes = np.flatnonzero(own)
+        first, last = np.searchsorted(anchor, anchor[homes]), np.searchsorted(anchor, anchor[homes], "right")
+        a, b = none, none
+        for at, j in meetings(first, last - first):
+            i = homes[at]
+            near = (np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)) <= threshold) & (fp[i] != fp[j])
+            if near.any():
+                a, b = forest(np.concatenate((a, fp[i[near]])), np.concatenate((b, fp[j[near]])))
+        n, c = len(a), len(crowds)
+        yield pa.record_batch([pa.array(np.concatenate((x, y)), pa.int64(), mask=np.arange(n + c) >= n if k < 2 else np.arange(n + c) < n) for k, (x, y) in enumerate(((a, crowds), (b, crowds), (np.zeros(n, np.int64), crowds)))], names=["a", "b", "crowd"])
+
+
+def _neighbour_links(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
+    for (_, fp, own), i, j in neighbours(batches):
+        near = _apart([fp, own], i, j, threshold)
+        a, b = forest(fp[i[near]], fp[j[near]])
+        yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
 def near_links(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -183,7 +252,15 @@ def near_links(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     if not 0 <= threshold <= 3:
         raise ValueError("the anchors cover thresholds from 0 to 3")
     replicas = prints.select("fp").mapInArrow(_replicas, "anchor long, fp long, home boolean")
-    return replicas.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(partial(_links, threshold=threshold), "a long, b long").distinct()
+    found = durable(replicas.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(partial(_links, threshold=threshold), "a long, b long, crowd long"), "links")
+    links, crowded = found.where("crowd is null").select("a", "b"), found.where("crowd is not null").select(F.col("crowd").alias("anchor")).distinct()
+    if crowded.isEmpty():
+        return links.distinct()
+    rows = durable(replicas.join(crowded, "anchor", "left_semi"), "crowds")
+    near = rows.repartitionByRange("anchor", "fp").sortWithinPartitions("anchor", "fp").mapInArrow(partial(_neighbour_links, threshold=threshold), "a long, b long")
+    roots = components(links.union(near), "links")
+    rooted = rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(F.col("anchor").alias("key"), F.col("fp").alias("node"), F.coalesce("root", "fp").alias("root"), "fp", "home")
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(across(rooted, partial(_apart, threshold=threshold)))
 
 
 def fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -234,13 +311,12 @@ def _repeated(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
         found, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
         return pa.record_batch([pa.array(found[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["token", "n"])
 
-    for batch in batches:
-        for text in _texts(batch, 0):
-            parts.append(_shingles(text, width))
-            size += len(parts[-1])
-            if size > 1 << 22:
-                yield counted()
-                parts, size = [], 0
+    for text in (t for batch in batches for part in slices(batch, 0) for t in _texts(part, 0)):
+        parts.append(_shingles(text, width))
+        size += len(parts[-1])
+        if size > 1 << 22:
+            yield counted()
+            parts, size = [], 0
     yield counted()
 
 
@@ -263,7 +339,7 @@ def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
 
 def _prefixes(batches: Iterator[pa.RecordBatch], width: int, similarity: float, common: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """For each text: digest of its set of shingles, size, parities of the hashes' places in 128 bits, and the prefix."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 1)):
         whole, digests, sizes, bits, prefixes = [], [], [], [], []
         for text in _texts(batch, 1):
             s = _shingles(text, width)
@@ -283,8 +359,8 @@ def _prefixes(batches: Iterator[pa.RecordBatch], width: int, similarity: float,
         yield pa.record_batch(columns, names=["doc_id", "whole", *DIGEST, "n", "b0", "b1", "prefix"])
 
 
-def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each shingle of each prefix, with its place."""
+def _replicate(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of each prefix, with its place and whether it is one of hot."""
     for whole in batches:
         for lo in range(0, whole.num_rows, 1 << 10):
             batch = whole.slice(lo, 1 << 10)
@@ -293,10 +369,12 @@ def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.repeat(np.arange(len(length)), length)
             place = np.arange(len(at)) - np.repeat(np.cumsum(length) - length, length)
             columns = [c.take(pa.array(at)) for c in batch.columns[1:]]
-            yield pa.record_batch([pa.array(np.frombuffer(b"".join(prefixes), np.int64)), pa.array(place.astype(np.int32)), *columns], names=["token", "place", *batch.schema.names[1:]])
+            token = np.frombuffer(b"".join(prefixes), np.int64)
+            crowded = pa.array(np.isin(token, hot)) if len(hot) else pa.array(np.zeros(len(token), bool))
+            yield pa.record_batch([pa.array(token), *columns, pa.array(place.astype(np.int32)), crowded], names=["key", *batch.schema.names[1:], "place", "hot"])
 
 
-REPLICAS = "token long, place int, node long, n int, b0 long, b1 long, root long"
+REPLICAS = "key long, node long, root long, n int, b0 long, b1 long, place int, hot boolean"
 
 
 def lightest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -334,58 +412,77 @@ def forests(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.concatenate(kept) if kept else rest
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], similarity: float, thin: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of nodes of other roots that share a shingle of their prefixes and can be as similar; if thin, FORESTS forests
-    of the likest. Rows come in order of token and n. Nothing is left out but what can't reach the similarity: by size,
-    by the shingles that are left after the first shared one, and as sets differ by as many shingles at least as parities."""
-    rest = None
-
-    def pairs(token, place, node, n, b0, b1, root) -> Iterator[tuple[np.ndarray, ...]]:
-        group = np.cumsum(np.concatenate(([0], token[1:] != token[:-1])))
-        many = np.bincount(group)[group] > 1
-        group, place, node, n, b0, b1, root = (x[many].astype(np.int64) for x in (group, place, node, n, b0, b1, root))
-        first = np.arange(len(n)) + 1
-        last = np.searchsorted(group << 32 | n, group << 32 | np.floor(n / similarity + 1e-9).astype(np.int64), "right")
-        for i, j in meetings(first, np.maximum(last - first, 0)):
-            other = root[i] != root[j]
-            i, j = i[other], j[other]
-            total = n[i] + n[j]
-            need = np.ceil(similarity / (1 + similarity) * total - 1e-9)
-            apart = np.bitwise_count((b0[i] ^ b0[j]).view(np.uint64)).astype(np.int64) + np.bitwise_count((b1[i] ^ b1[j]).view(np.uint64))
-            can = (np.minimum(n[i] - place[i], n[j] - place[j]) >= need) & (total - apart >= 2 * need)
-            i, j, apart = i[can], j[can], apart[can]
-            yield np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), apart
-
-    def links(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        kept = [np.zeros(0, np.int64)] * 3
-        for found in pairs(*columns):
-            if len(found[0]):
-                kept = [np.concatenate(x) for x in zip(kept, found)]
-                order = np.lexsort((kept[1], kept[0]))
-                a, b = kept[0][order], kept[1][order]
-                kept = [x[order][np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))] for x in kept]
-                if thin:
-                    stay = forests(*kept)
-                    kept = [x[stay] for x in kept]
-                elif len(kept[0]) > PAIRS_AT_ONCE:
-                    yield pa.record_batch([pa.array(x) for x in kept[:2]], names=["a", "b"])
-                    kept = [np.zeros(0, np.int64)] * 3
-        yield pa.record_batch([pa.array(x) for x in kept[:2]], names=["a", "b"])
-
-    for batch in batches:
-        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        rest = new if rest is None else [np.concatenate(x) for x in zip(rest, new)]
-        cut = int(np.searchsorted(rest[0], rest[0][-1])) if len(rest[0]) else 0
-        if cut:
-            yield from links([r[:cut] for r in rest])
-            rest = [r[cut:] for r in rest]
-    if rest is not None and len(rest[0]):
-        yield from links(rest)
+def _can(more: list[np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs can be as similar. Nothing is left out but what can't: by size and the shingles left after the shared
+    one, and as sets differ by as many shingles at least as parities."""
+    n, b0, b1, place = (x.astype(np.int64, copy=False) for x in more)
+    total = n[i] + n[j]
+    need = np.ceil(similarity / (1 + similarity) * total - 1e-9)
+    can = np.minimum(n[i] - place[i], n[j] - place[j]) >= need
+    can &= total - _parity(b0, b1, i, j) >= 2 * need
+    return can
+
+
+def _parity(b0: np.ndarray, b1: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((b0[i] ^ b0[j]).view(np.uint64)).astype(np.int64) + np.bitwise_count((b1[i] ^ b1[j]).view(np.uint64))
+
+
+def _distinct(a: np.ndarray, b: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
+    """Pairs in order, each once."""
+    order = np.lexsort((b, a))
+    columns = [x[order] for x in (a, b, *more)]
+    new = np.ones(len(order), bool)
+    new[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])
+    return [x[new] for x in columns]
+
+
+def _neighbour_pairs(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of neighbours in order of size that can be as similar: FORESTS forests of the likest."""
+    for (_, node, _, n, b0, b1, place), i, j in neighbours(batches):
+        can = _can([n, b0, b1, place], i, j, similarity)
+        i, j = i[can], j[can]
+        a, b, weight = _distinct(np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), _parity(b0, b1, i, j))
+        stay = forests(a, b, weight)
+        yield pa.record_batch([pa.array(a[stay]), pa.array(b[stay])], names=["a", "b"])
+
+
+def _other_pairs(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """All pairs of different roots that share a key and can be as similar, and keys that are too crowded (crowd)."""
+    none = np.zeros(0, np.int64)
+
+    def found(a: np.ndarray, b: np.ndarray, crowds: np.ndarray) -> pa.RecordBatch:
+        size = len(a) + len(crowds)
+        pair = np.arange(size) < len(a)
+        columns = (np.concatenate((a, crowds)), ~pair), (np.concatenate((b, crowds)), ~pair), (np.concatenate((np.zeros(len(a), np.int64), crowds)), pair)
+        return pa.record_batch([pa.array(x, pa.int64(), mask=mask) for x, mask in columns], names=["a", "b", "crowd"])
+
+    for rows, crowds in whole_groups(batches, 1, CROWD):
+        a, b = none, none
+        if len(rows[0]):
+            group = np.cumsum(np.concatenate(([0], rows[0][1:] != rows[0][:-1])))
+            lowest, highest = np.full(group[-1] + 1, np.iinfo(np.int64).max), np.full(group[-1] + 1, np.iinfo(np.int64).min)
+            np.minimum.at(lowest, group, rows[2])
+            np.maximum.at(highest, group, rows[2])
+            some = (lowest < highest)[group]  # else one row, or all of one root
+            group, (node, root, n, b0, b1, place) = group[some], (x[some].astype(np.int64) for x in rows[1:])
+            last = np.searchsorted(group << 32 | n, group << 32 | np.floor(n / similarity + 1e-9).astype(np.int64), "right")
+            first = np.arange(len(n)) + 1
+            for i, j in meetings(first, np.maximum(last - first, 0)):
+                other = root[i] != root[j]
+                i, j = i[other], j[other]
+                can = _can([n, b0, b1, place], i, j, similarity)
+                i, j = i[can], j[can]
+                a, b = _distinct(np.concatenate((a, np.minimum(node[i], node[j]))), np.concatenate((b, np.maximum(node[i], node[j]))))
+                if len(a) > PAIRS_AT_ONCE:
+                    yield found(a, b, none)
+                    a, b = none, none
+        yield found(a, b, crowds)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.record_batch([batch.column(0), pa.array([_shingles(t, width).tobytes() for t in _texts(batch, 1)], pa.binary())], names=["node", "set"])
+        for part in slices(batch, 1):
+            yield pa.record_batch([part.column(0), pa.array([_shingles(t, width).tobytes() for t in _texts(part, 1)], pa.binary())], names=["node", "set"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
@@ -403,9 +500,10 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     """doc_id and component_id, by links of documents whose sets of shingles have that Jaccard similarity or more.
 
     Candidates are found by prefixes, without exception: of two sets of that similarity, each in one order (common shingles
-    last), the first n - ceil(similarity * n) + 1 share a shingle. Pairs are checked twice over: first FORESTS spanning forests of
-    the likest pairs of each task, which unite most groups, then every pair that is left between other components. Shingles are compared
-    as 64-bit hashes; texts of equal sets are one node.
+    last), the first n - ceil(similarity * n) + 1 share a shingle. Pairs are checked twice over: first those of NEIGHBOURS rows
+    under a shingle in order of size, which unite most groups, then every pair that is left between different components. Rows
+    under a shingle of a crowd, known from the counts or told by the task that meets it, are dealt out in blocks (across).
+    Shingles are compared as 64-bit hashes; texts of equal sets are one node.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     common, counts = common_shingles(docs, width)
@@ -415,10 +513,29 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     nodes = nodes.select(*DIGEST, F.col("c.doc_id").alias("least"), "c.whole", "n", "b0", "b1", "prefix")
     nodes = durable(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    def candidates(rooted: DataFrame, thin: bool) -> DataFrame:
-        replicas = rooted.select("prefix", "node", "n", "b0", "b1", "root").mapInArrow(_replicate, REPLICAS)
-        replicas = replicas.repartition("token").sortWithinPartitions("token", "n", "node")
-        return replicas.mapInArrow(partial(_candidates, similarity=similarity, thin=thin), "a long, b long").distinct()
+    hot = common[counts > CROWD].view(np.int64)
+
+    def replicated(rooted: DataFrame) -> DataFrame:
+        return rooted.select("prefix", "node", "root", "n", "b0", "b1").mapInArrow(partial(_replicate, hot=hot), REPLICAS)
+
+    def near(rooted: DataFrame) -> DataFrame:
+        rows = replicated(rooted)
+        hashed = rows.where("not hot").drop("hot").repartition("key").sortWithinPartitions("key", "n", "node")
+        ranged = rows.where("hot").drop("hot").repartitionByRange("key", "n", "node").sortWithinPartitions("key", "n", "node")
+        pairs = [part.mapInArrow(partial(_neighbour_pairs, similarity=similarity), "a long, b long") for part in ((hashed, ranged) if len(hot) else (hashed,))]
+        return reduce(DataFrame.union, pairs).distinct()
+
+    def other(rooted: DataFrame) -> DataFrame:
+        rows, can = replicated(rooted), partial(_can, similarity=similarity)
+        hashed = rows.where("not hot").drop("hot").repartition("key").sortWithinPartitions("key", "n", "node")
+        found = durable(hashed.mapInArrow(partial(_other_pairs, similarity=similarity), "a long, b long, crowd long"), "pairs")
+        pairs, told = found.where("crowd is null").select("a", "b"), found.where("crowd is not null").select(F.col("crowd").alias("key")).distinct()
+        crowds = [rows.where("hot").drop("hot")] if len(hot) else []
+        if not told.isEmpty():
+            crowds.append(rows.where("not hot").drop("hot").join(told, "key", "left_semi"))
+        if crowds:
+            pairs = pairs.union(across(durable(reduce(DataFrame.unionByName, crowds), "crowds"), can))
+        return pairs.distinct()
 
     def verified(links: DataFrame) -> DataFrame:
         ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
@@ -430,10 +547,10 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
         pairs = even_join(even_join(links, side("a"), ["a"]), side("b"), ["b"])
         return pairs.select("a", "b", "a_set", "b_set").mapInArrow(partial(_verified, similarity=similarity), "a long, b long")
 
-    first = durable(candidates(nodes.withColumn("root", F.col("node")), True), "candidates")
+    first = durable(near(nodes.withColumn("root", F.col("node"))), "candidates")
     roots = components(verified(first), "similar")
     rooted = nodes.select("node", "n", "b0", "b1", "prefix").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    others = durable(candidates(rooted, False).join(first, ["a", "b"], "left_anti"), "candidates")
+    others = durable(other(rooted).join(first, ["a", "b"], "left_anti"), "candidates")
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(others)), "similar")
     placed = durable(nodes.select(*DIGEST, "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
     named = even_join(placed, placed.groupBy("root").agg(F.min("least").alias("component_id")), ["root"]).select(*DIGEST, "component_id")
@@ -441,21 +558,14 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs, all columns, with one document of each group of similar_groups: that of the first key. Rows that repeat a doc_id
-    are one document, of which the longest row stays; keep_one_row takes rows for themselves."""
-    return _keep(docs, F.lpad(doc_key(F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.col("text"))), 65, "0"), width, similarity)
-
-
-def keep_one_row(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs, all columns, with one row of each group of similar_groups, whatever its doc_id: that of the first doc_id and digest."""
+    """docs, all columns, with one row of each group of similar_groups, whatever its doc_id: that of the first doc_id and digest.
+    Rows that repeat both are one; of them that of the smallest hash stays. Whole rows move once."""
     key = F.concat_ws(":", F.lpad(F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), 20, "0"), F.sha2(F.coalesce("text", F.lit("")), 256))
-    return _keep(docs, key, width, similarity)
+    found = similar_groups(docs.select(key.alias("doc_id"), "text"), width, similarity)
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
+    keyed = docs.select(key.alias("key"), same_rows(docs).alias("tie"), whole_row(docs).alias("row"))
+    first = keyed.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("tie"))).where("nth = 1")
+    return first.join(stay, "key", "left_semi").select("row.*")
 
 
-def _keep(docs: DataFrame, key: Column, width: int, similarity: float) -> DataFrame:
-    keyed = docs.withColumn("_key", key)
-    found = similar_groups(keyed.select(F.col("_key").alias("doc_id"), "text"), width, similarity)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
-    whole = Window.partitionBy("_key").orderBy(F.length("text").desc(), F.xxhash64("text"))
-    first = keyed.withColumn("_nth", F.row_number().over(whole)).where("_nth = 1")
-    return first.join(stay, "_key", "left_semi").drop("_key", "_nth")
+keep_one_row = keep_one

@@ -116,18 +116,19 @@ def test_every_link_meets_at_an_anchor(spark):
     assert all(len(g) == 1 for g in groups.values()) and len({g.pop() for g in groups.values()}) == len(set(want.values()))
 
 
-def test_crowded_anchor_is_split_exactly():
+def test_crowded_anchor_is_split_exactly(spark):
     rng = np.random.default_rng(6)
     other = rng.integers(0, 1 << 31, 6000)
     other[3000:] = other[:3000] ^ (1 << rng.integers(0, 31, 3000))
     fps = np.unique(other << 32)
-    found = simhash.Linker(3)
-    key = np.zeros(len(fps), np.int64)
-    found.compare(key, fps, key, fps)
-    roots = dict(zip(found.a.tolist(), found.b.tolist()))
+    assert len(fps) > simhash.CROWD
+    df = spark.createDataFrame([(int(v),) for v in fps], "fp long")
+    roots = {r["node"]: r["root"] for r in common.components(simhash.near_links(df)).collect()}
     prints = dict(enumerate(fps.tolist()))
-    want = brute_components(prints)
-    assert len({roots.get(v, v) for v in prints.values()}) == len(set(want.values()))
+    want, groups = brute_components(prints), defaultdict(set)
+    for i, v in prints.items():
+        groups[want[i]].add(roots.get(v, v))
+    assert all(len(g) == 1 for g in groups.values()) and len({g.pop() for g in groups.values()}) == len(set(want.values()))
 
 
 def test_components_of_a_long_chain(spark):
@@ -259,7 +260,8 @@ def test_lightest_forest_is_brute_force():
 def test_rows_that_share_a_doc_id_but_not_a_text(spark):
     words = [f"w{i}" for i in range(100)]
     texts = [" ".join(words), " ".join(reversed(words)), " ".join([*words[:99], "other"]), None]
-    assert simhash.keep_one(make(spark, texts, [1, 1, 2, None])).count() == 2
+    kept = simhash.keep_one(make(spark, texts, [1, 1, 2, None])).collect()
+    assert sorted(r["text"] or "" for r in kept) == sorted(["", texts[0], texts[1]])  # a row for each group, whatever its doc_id
 
 
 def blocks(rng, words):
@@ -310,3 +312,69 @@ def test_other_texts_of_a_doc_id_stay(spark):
     near = make(spark, [long, long + " more", unique, unique, "x", None, None], [1, 2, 2, 2, None, None, None])
     got = sorted((r["doc_id"] or -1, r["text"] or "") for r in simhash.keep_one_row(near).collect())
     assert got == [(-1, ""), (-1, "x"), (1, long), (2, unique)]
+
+
+def test_no_link_of_a_crowded_shingle_is_lost(spark):
+    """More near copies than a task compares with each other, some of them linked only by others."""
+    rng, base = random.Random(13), [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(simhash.CROWD + 900):
+        copy = list(base)
+        for at in rng.sample(range(120), rng.choice([1, 2, 3, 4, 5])):
+            copy[at] = f"x{rng.randrange(3)}"
+        texts.append(" ".join(copy))
+    place = {}
+    sets = [{place.setdefault(tuple(w[i : i + 5]), len(place)) for i in range(116)} for w in map(str.split, texts)]
+    x = np.zeros((len(texts), len(place)), np.float32)
+    for row, s in enumerate(sets):
+        x[row, list(s)] = 1
+    both, n = x @ x.T, x.sum(axis=1)
+    linked = both >= 0.8 * (n[:, None] + n[None] - both) - 1e-3
+    want = np.full(len(texts), -1)
+    for start in range(len(texts)):
+        front = np.array([start]) if want[start] < 0 else np.zeros(0, int)
+        want[front] = start
+        while len(front):
+            front = np.flatnonzero(linked[front].any(axis=0) & (want < 0))
+            want[front] = start
+    docs = spark.range(0, len(texts), numPartitions=4).selectExpr("id as doc_id").join(make(spark, texts).select("doc_id", "text"), "doc_id")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
+    assert len(set(want)) > 10 and got == dict(enumerate(want.tolist()))
+
+
+@pytest.mark.parametrize("words", [8, 16, 24, 40, 250])
+def test_pairs_over_the_threshold_are_found_at_every_length(spark, words):
+    rng, texts = random.Random(words), []
+    for _ in range(100):
+        base = ["w%05d" % rng.randrange(10**5) for _ in range(words)]
+        texts += [" ".join(base), " ".join([*base, "more"]), " ".join(base[:-1] + ["other"])]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(make(spark, texts)).collect()}
+    assert got == brute_similar(dict(enumerate(texts)))
+
+
+def test_columns_of_any_name_and_other_texts_of_an_id_stay(spark):
+    schema = "doc_id long, text string, _key string, _nth int, key string, row string, tie map<string,int>, nth int, bare string"
+    rows = [(1, "unique short"), (1, "a much longer text shared by two"), (2, "a much longer text  shared by two "), (None, None), (None, "")]
+    docs = spark.createDataFrame([(*r, "k", i, "x", "y", {"a": i}, i, "b") for i, r in enumerate(rows)], schema)
+    for keep in (chunk_dedup.keep_first, simhash.keep_one):
+        kept = keep(docs)
+        assert kept.schema == docs.schema
+        got = [(r["doc_id"], r["text"], r["_key"], r["key"], r["bare"]) for r in kept.collect()]
+        assert len(got) == 3 and {g[1] for g in got} >= {"unique short"} and {g[2:] for g in got} == {("k", "x", "b")}
+    assert [r["doc_id"] for r in chunk_dedup.keep_first(docs).where("text like 'a much%'").collect()] == [2]
+    assert chunk_dedup.keep_first(docs.where("doc_id < 0")).schema == docs.schema == simhash.keep_one(docs.where("doc_id < 0")).schema
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
