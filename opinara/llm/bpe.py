@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinara.llm.common import SLICE_BYTES
+from opinara.llm.common import slices
 
 KNOWN = 300_000  # matches whose ids a task remembers between slices
 ENCODED = "doc_id long, ids array<int>, starts array<int>, ends array<int>, byte_starts array<int>"
@@ -158,16 +158,8 @@ def codec(definition: str, pattern: str) -> Codec:
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
     for batch in batches:
-        ids, texts, size = [], [], 0
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids.append(doc_id)
-            texts.append(text or "")
-            size += len(texts[-1])
-            if size >= SLICE_BYTES:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-        if ids:
-            yield ids, texts
+        for rows in slices(batch, 1):
+            yield rows.column(0).to_pylist(), [text or "" for text in rows.column(1).to_pylist()]
 
 
 def _encode(batches: Iterator[pa.RecordBatch], definition: str, pattern: str) -> Iterator[pa.RecordBatch]:
