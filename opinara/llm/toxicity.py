@@ -11,8 +11,8 @@ Odds come from at most MAX_LABELLED labelled rows (those with the smallest hash
 is fitted on odds from which a row's own label was taken out.
 
 Defined results: null and empty texts score as a text without any telling word. Without labels of both kinds the score is the
-share of toxic ones (0.05 without any). A doc_id labelled twice counts as toxic if either is; null labels and doc_ids are not
-used. Texts are read whole. Repeated rows give repeated rows; an empty table an empty one; other columns are not read.
+share of toxic ones (0.05 without any). A doc_id labelled twice counts as toxic if either is, and one with several texts by the first of them; null labels
+and doc_ids are not used. Texts are read whole. Repeated rows give repeated rows; an empty table an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinara.llm.common import SLICE_BYTES
+from opinara.llm.common import durable, slices
 
 MAX_LABELLED = 40_000
 LEAST_TOXIC = 3
 CUT = 0.7
+INPUTS = 7  # of the regression
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
 
 #: What a sign may stand for.
@@ -53,7 +54,6 @@ _CODE = np.full(256, 27, np.int64)
 _CODE[97:123] = np.arange(26)
 _CODE[65:91] = np.arange(26)
 _CODE[128:] = 26
-_LONGEST_TOKEN = 64  # a stretch of more characters is read as parts of that size
 
 
 class Model(NamedTuple):
@@ -89,19 +89,21 @@ def bare(token: str) -> str:
 
 
 def restore(token: str, trigrams: np.ndarray, pairs: bool = False) -> str:
-    """The likeliest word behind a suspicious stretch; with pairs, one where two equal signs are two letters."""
-    chars = bare(token)
+    """The likeliest word behind a suspicious stretch; with pairs, one where two equal signs are two letters.
+
+    States are the last two symbols, so that work grows with the stretch's length alone; the word is read off back pointers."""
     runs: list[list] = []
-    for c in chars:
+    for c in bare(token):
         if runs and runs[-1][0] == c:
             runs[-1][1] += 1
         else:
             runs.append([c, 1])
-    paths = {(27, 27): (0.0, "")}
+    values, steps = {(27, 27): 0.0}, []  # steps: for each run, state to the state before and the letters between
     for char, n in runs:
         options = [(c, 0.5 if c != char else 0.0) for c in LOOKALIKES.get(char, "")] + ([(char, 0.0)] if char.isalpha() else [(char, 6.0)])
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (value, text) in paths.items():
+        new: dict[tuple[int, int], float] = {}
+        back: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
+        for (a, b), value in values.items():
             for letter, price in options:
                 k = symbol(letter)
                 for times in (2,) if pairs and n == 2 else (1, 2) if n > 1 else (1,):
@@ -111,17 +113,23 @@ def restore(token: str, trigrams: np.ndarray, pairs: bool = False) -> str:
                     for _ in range(times):
                         total += trigrams[x, y, k]
                         x, y = y, k
-                    if (x, y) not in new or new[x, y][0] < total:
-                        new[x, y] = total, text + letter * times
-        paths = new
-    return max(((value + trigrams[a, b, 27], text) for (a, b), (value, text) in paths.items()), default=(0, ""))[1]
+                    if (x, y) not in new or new[x, y] < total:
+                        new[x, y], back[x, y] = total, ((a, b), letter * times)
+        values = new
+        steps.append(back)
+    _, state = max(((value + trigrams[a, b, 27], (a, b)) for (a, b), value in values.items()))
+    letters = []
+    for back in reversed(steps):
+        state, written = back[state]
+        letters.append(written)
+    return "".join(reversed(letters))
 
 
 _LETTERS = np.zeros(129, bool)  # by code point; 128 stands for all beyond ASCII, which may be letters or not
 _LETTERS[[*range(97, 123), 128]] = True
 _AS_SIGN = np.zeros(129, bool)
 _AS_SIGN[[ord(sign) for sign in LOOKALIKES]] = True
-_REACH = 96  # characters around a suspicious place that are looked at, on to the next spaces
+_REACH = 96  # characters around a suspicious place, on to the next spaces, in which the pattern finds all it would in the whole text
 
 
 def suspects(low: str) -> set[str]:
@@ -136,39 +144,52 @@ def suspects(low: str) -> set[str]:
     firsts = lasts = np.flatnonzero(mixed) + 1
     edge = np.concatenate(([True], ~(letter | sign) | wide, [True]))
     single = np.flatnonzero(letter | sign)
-    alone = (edge[:-2] & edge[2:])[single]
-    four = np.flatnonzero(alone[:-3] & alone[1:-2] & alone[2:-1] & alone[3:]) if len(single) > 3 else single[:0]
+    before, after = edge[:-2][single], edge[2:][single]
+    alone = before & after
+    four = np.flatnonzero(after[:-3] & alone[1:-2] & alone[2:-1] & before[3:]) if len(single) > 3 else single[:0]
     if len(four):
         firsts, lasts = np.concatenate((firsts, single[four])), np.concatenate((lasts, single[four + 3]))
         order = np.argsort(firsts, kind="stable")
         firsts, lasts = firsts[order], np.maximum.accumulate(lasts[order])
-    found, cuts = set(), np.flatnonzero(firsts[1:] - lasts[:-1] > 2 * _REACH) + 1
+    cuts = np.flatnonzero(firsts[1:] - lasts[:-1] > 2 * _REACH) + 1
+    windows: list[list[int]] = []  # from space to space: what has spaces inside lies between a first and its last
     for first, last in zip(firsts[[0, *cuts]].tolist(), lasts[[*(cuts - 1), -1]].tolist()) if len(firsts) else ():
         start, end = max(low.rfind(" ", 0, max(0, first - _REACH)), 0), low.find(" ", last + _REACH)
-        found.update(m.group() for m in _SUSPECT.finditer(low, start, end if end >= 0 else len(low)))
-    return found
+        end = end if end >= 0 else len(low)
+        if windows and start < windows[-1][1]:
+            windows[-1][1] = max(end, windows[-1][1])
+        else:
+            windows.append([start, end])
+    return {m.group() for start, end in windows for m in _SUSPECT.finditer(low, start, end)}
 
 
 class Reader:
     """Reads texts as sets of words, remembering what it has restored."""
 
     def __init__(self, trigrams: np.ndarray) -> None:
-        self.trigrams, self.known = trigrams, {}
+        self.trigrams, self.known, self.size = trigrams, {}, 0
+
+    def restored(self, token: str) -> set[str]:
+        """The words behind a suspicious stretch."""
+        token = bare(token)
+        if token not in self.known:
+            if self.size > 1 << 22:
+                self.known.clear()
+                self.size = 0
+            word = restore(token, self.trigrams)
+            if _PAIR.search(token):
+                word += " " + restore(token, self.trigrams, True)
+            self.known[token] = word
+            self.size += len(token) + 50
+        return set(_WORD.findall(self.known[token]))
+
+    def read(self, text: str | None) -> tuple[set[str], set[str]]:
+        """The words of a text as they stand, and those behind its suspicious stretches."""
+        low = (text or "").lower()
+        return set(_WORD.findall(low)), set().union(*map(self.restored, suspects(low)))
 
     def words(self, text: str | None) -> set[str]:
-        low = (text or "").lower()
-        found = set(_WORD.findall(low))
-        for token in map(bare, suspects(low)):
-            for at in range(0, len(token), _LONGEST_TOKEN):
-                part = token[at : at + _LONGEST_TOKEN]
-                if part not in self.known:
-                    if len(self.known) > 100_000:
-                        self.known.clear()
-                    self.known[part] = restore(part, self.trigrams)
-                    if _PAIR.search(part):
-                        self.known[part] += " " + restore(part, self.trigrams, True)
-                found.update(_WORD.findall(self.known[part]))
-        return found
+        return set().union(*self.read(text))
 
 
 def keys(word: str) -> list[str]:
@@ -176,15 +197,20 @@ def keys(word: str) -> list[str]:
     return [word, f"{word[:4]}-", f"{word[:5]}-"][: 1 + (len(word) > 4) + (len(word) > 5)]
 
 
-def telling_words(words: set[str], table: dict[str, object]) -> list[str]:
-    """Those of words of which a feature is in table."""
-    return [w for w in words if w in table or f"{w[:4]}-" in table or f"{w[:5]}-" in table]
+def telling(words: set[str], table: dict[str, object], worth) -> list[float]:
+    """What those of words are worth of which a feature is in table, if over 0."""
+    near = (w for w in words if w in table or f"{w[:4]}-" in table or f"{w[:5]}-" in table)
+    return [v for w in near if (v := max((worth(k) for k in keys(w) if k in table), default=0.0)) > 0]
 
 
-def strongest(values: list[float]) -> list[float]:
-    """What the regression sees of a document: its three strongest words, and how many tell."""
-    top = sorted(values, reverse=True)[:3] + [0.0] * 3
-    return [top[0], top[1], top[2], min(len(values), 5) / 5, 1.0]
+def document(text: str | None, reader: Reader, table: dict[str, object], worth) -> list[float]:
+    """What the regression sees of a document: its three strongest words, all others together, the strongest restored word
+    that doesn't stand in the text itself, and how many words tell."""
+    plain, hidden = reader.read(text)
+    veiled = telling(hidden - plain, table, worth)
+    values = sorted(telling(plain, table, worth) + veiled, reverse=True)
+    top = values[:3] + [0.0] * 3
+    return [*top[:3], math.log1p(sum(values[3:])), max(veiled, default=0.0), min(len(values), 5) / 5, 1.0]
 
 
 def evidence(toxic: float, clean: float, share: float) -> float:
@@ -196,13 +222,8 @@ def evidence(toxic: float, clean: float, share: float) -> float:
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SYMBOLS**3, np.int64)
     for batch in batches:
-        raws, size = [], 0
-        for raw in [*batch.column(0).cast(pa.binary()).to_pylist(), None]:
-            if raw is None or size > SLICE_BYTES:
-                total += trigram_counts(b"  ".join(raws) + b"  ")
-                raws, size = [], 0
-            raws.append(raw or b"")
-            size += len(raws[-1])
+        for rows in slices(batch, 0):
+            total += trigram_counts(b"".join((raw or b"") + b"  " for raw in rows.column(0).cast(pa.binary()).to_pylist()))
     at = np.flatnonzero(total)
     yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["code", "n"])
 
@@ -210,26 +231,22 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _features(batches: Iterator[pa.RecordBatch], trigrams: np.ndarray) -> Iterator[pa.RecordBatch]:
     reader = Reader(trigrams)
     for batch in batches:
-        counts = (Counter(), Counter())
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts[toxic].update({k for word in reader.words(text) for k in keys(word)})
-        every = list(counts[0].keys() | counts[1].keys())
-        columns = [every, [counts[1][k] for k in every], [counts[0][k] for k in every]]
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64()))], names=["key", "toxic", "clean"])
+        for rows in slices(batch, 0):
+            counts = (Counter(), Counter())
+            for text, toxic in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+                counts[toxic].update({k for word in reader.words(text) for k in keys(word)})
+            every = list(counts[0].keys() | counts[1].keys())
+            columns = [every, [counts[1][k] for k in every], [counts[0][k] for k in every]]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64()))], names=["key", "toxic", "clean"])
 
 
 def _left_out(batches: Iterator[pa.RecordBatch], trigrams: np.ndarray, counts: dict[str, tuple[int, int]], share: float) -> Iterator[pa.RecordBatch]:
     reader = Reader(trigrams)
     for batch in batches:
-        rows, truth = [], batch.column(1).to_pylist()
-        for text, toxic in zip(batch.column(0).to_pylist(), truth):
-            values = []
-            for word in telling_words(reader.words(text), counts):
-                found = [evidence(counts[k][0] - toxic, counts[k][1] - 1 + toxic, share) for k in keys(word) if k in counts]
-                if found and max(found) > 0:
-                    values.append(max(found))
-            rows.append(strongest(values))
-        yield pa.record_batch([pa.array(rows, pa.list_(pa.float64())), pa.array(truth, pa.int32())], names=["x", "toxic"])
+        for rows in slices(batch, 0):
+            truth = rows.column(1).to_pylist()
+            seen = [document(text, reader, counts, lambda k, own=own: evidence(counts[k][0] - own, counts[k][1] - 1 + own, share)) for text, own in zip(rows.column(0).to_pylist(), truth)]
+            yield pa.record_batch([pa.array(seen, pa.list_(pa.float64())), pa.array(truth, pa.int32())], names=["x", "toxic"])
 
 
 def regression(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> list[float]:
@@ -253,38 +270,36 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     trigrams = trigram_model(counts)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))  # MAX_LABELLED small rows
-    totals = known.agg(F.count("*").alias("n"), F.count_if(F.col("toxic") > 0).alias("toxic")).first()
+    known = durable(known, "known")  # MAX_LABELLED small rows
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first(F.col("toxic") > 0).cast("int").alias("toxic"))  # a doc_id counts once however often it stands there
+    rows = durable(rows.select("text", "toxic"), "labelled")
+    totals = rows.agg(F.count("*").alias("n"), F.count_if(F.col("toxic") > 0).alias("toxic")).first()
     if not 0 < totals["toxic"] < totals["n"]:
         share = 0.05 if not totals["n"] else 0.01 + 0.98 * totals["toxic"] / totals["n"]
-        return Model(trigrams, {}, [0.0, 0.0, 0.0, 0.0, math.log(share / (1 - share))])
+        return Model(trigrams, {}, [0.0] * (INPUTS - 1) + [math.log(share / (1 - share))])
     share = totals["toxic"] / totals["n"]
     found = rows.mapInArrow(partial(_features, trigrams=trigrams), "key string, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     telling = found.where((F.col("toxic") >= LEAST_TOXIC) & (F.col("toxic") > 3 * share * (F.col("toxic") + F.col("clean"))))
     table = {r["key"]: (r["toxic"], r["clean"]) for r in telling.collect()}  # bounded by the labelled rows' words
     seen = rows.mapInArrow(partial(_left_out, trigrams=trigrams, counts=table, share=share), "x array<double>, toxic int").collect()
-    weights = regression(np.array([r["x"] for r in seen]), np.array([r["toxic"] for r in seen], float)) if seen else [0.0] * 5
+    weights = regression(np.array([r["x"] for r in seen]), np.array([r["toxic"] for r in seen], float)) if seen else [0.0] * INPUTS
     return Model(trigrams, {k: evidence(*n, share) for k, n in table.items()}, weights)
 
 
 def score(texts: list[str | None], model: Model, reader: Reader) -> list[float]:
-    out = []
-    for text in texts:
-        values = []
-        if model.odds:
-            for word in telling_words(reader.words(text), model.odds):
-                if found := max((model.odds.get(k, 0.0) for k in keys(word)), default=0.0):
-                    values.append(found)
-        out.append(1 / (1 + math.exp(-sum(w * x for w, x in zip(model.weights, strongest(values))))))
-    return out
+    blank = [0.0] * (INPUTS - 1) + [1.0]
+    found = [document(text, reader, model.odds, model.odds.__getitem__) if model.odds else blank for text in texts]
+    return [1 / (1 + math.exp(-sum(w * x for w, x in zip(model.weights, row)))) for row in found]
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     reader = Reader(model.trigrams)
     for batch in batches:
-        found = np.array(score(batch.column(2).to_pylist(), model, reader), float)
-        columns = [batch.column(0), batch.column(1), pa.array(found), pa.array((found >= CUT).astype(np.int32))]
-        yield pa.record_batch(columns, names=[c.split()[0] for c in SCORED.split(", ")])
+        for rows in slices(batch, 2):
+            found = np.array(score(rows.column(2).to_pylist(), model, reader), float)
+            columns = [rows.column(0), rows.column(1), pa.array(found), pa.array((found >= CUT).astype(np.int32))]
+            yield pa.record_batch(columns, names=[c.split()[0] for c in SCORED.split(", ")])
 
 
 def classify(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
