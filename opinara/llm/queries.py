@@ -32,7 +32,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit_packing(table(spark, sf_dir, "documents"))
+    return packing.best_fit_packing(table(spark, sf_dir, "documents"), tokens=(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
