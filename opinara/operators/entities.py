@@ -45,10 +45,16 @@ def in_scope(reviews: DataFrame, scope: dict[str, str]) -> DataFrame:
     return reviews
 
 
+MOST_NEEDLES = 1000
+
+
 def match_needles(entities: DataFrame, needles: DataFrame) -> DataFrame:
-    """(needle, entity_id, entity_name, pos, score) of names that contain a needle; needles are a query's few words."""
+    """(needle, entity_id, entity_name, pos, score) of names that contain a needle. Needles are a query's few words: more than
+    MOST_NEEDLES, which would have to be compared with each name, raise ValueError."""
+    if needles.limit(MOST_NEEDLES + 1).count() > MOST_NEEDLES:
+        raise ValueError(f"more than {MOST_NEEDLES} needles")
     name, needle = T.for_matching(F.col("entity_name")), T.for_matching(F.col("needle"))
-    found = entities.join(F.broadcast(needles), name.contains(needle) & (needle != ""))  # of an argument's length
+    found = entities.join(F.broadcast(needles), name.contains(needle) & (needle != ""))  # MOST_NEEDLES rows
     whole = F.array_contains(F.split(name, " "), needle)
     return found.withColumn("score", F.length(needle) + F.when(name.startswith(needle) | whole, 10).otherwise(0))
 

@@ -29,7 +29,14 @@ THEMES = {
     "качество обслуживания в целом": ("на высшем", "отличн", "рекоменд", "доволен", "супер"),
 }
 #: Themes that count as complaints; the others as praise.
-COMPLAINTS = list(THEMES)[8:14]
+COMPLAINTS = [
+    "долгое ожидание и очереди",
+    "высокая цена",
+    "грубость и плохое отношение",
+    "ошибки диагностики и лечения",
+    "проблемы с записью и администрацией",
+    "скрытые доплаты и прозрачность цены",
+]
 
 
 def entity_metrics(reviews: DataFrame, by: list[str]) -> DataFrame:
@@ -143,6 +150,13 @@ def grounding(chunks: DataFrame, text: str, answer: str) -> DataFrame:
     return chunks.agg(F.when(F.count("*") == 0, 0.15).when(F.first(F.size(words), True) == 0, 0.7).otherwise(mean).alias("grounding"))
 
 
+def confidence(chunks: DataFrame, text: str, answer: str) -> DataFrame:
+    """One row: the mean of coverage and grounding within 0 and 1, to two digits, and whether there is any chunk."""
+    both = coverage(chunks, text).crossJoin(grounding(chunks, text, answer)).crossJoin(chunks.agg(F.count("*").alias("n")))  # one row each
+    mean = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("coverage") + F.col("grounding")) / 2))
+    return both.select(F.round(mean, 2).alias("confidence"), (F.col("n") > 0).alias("passed"), F.when(F.col("n") > 0, "ok").otherwise("no_relevant_chunks").alias("notes"))
+
+
 def export_statistics(messages: DataFrame, kinds: dict[str, Column]) -> DataFrame:
     """Conditional counts of one pass."""
     return messages.agg(F.count("*").alias("total"), *(F.count_if(c).alias(name) for name, c in kinds.items()))
@@ -153,7 +167,3 @@ def evaluation(scores: DataFrame, truth: str, guess: str) -> DataFrame:
     t, g = F.col(truth) == 1, F.col(guess) == 1
     hit = F.count_if(t & g)
     return scores.agg((F.count_if(t == g) / F.count("*")).alias("accuracy"), (hit / F.nullif(F.count_if(g), F.lit(0))).alias("precision"), (hit / F.nullif(F.count_if(t), F.lit(0))).alias("recall"))
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinara.functions import text as T
+from opinara.storage import durable
 
 
 def where_equal(df: DataFrame, **values: object) -> DataFrame:
@@ -35,10 +36,36 @@ def first_nonempty(*candidates: DataFrame) -> DataFrame:
     return next((df for df in candidates[:-1] if not df.isEmpty()), candidates[-1])
 
 
+def where_true(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows in which all columns are true; null counts as false."""
+    return reduce(lambda d, c: d.where(F.col(c)), columns, df)
+
+
+def where_false(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows in which no column is true or null."""
+    return reduce(lambda d, c: d.where(~F.col(c)), columns, df)
+
+
+def where_present(df: DataFrame, *columns: str) -> DataFrame:
+    return reduce(lambda d, c: d.where(F.col(c).isNotNull()), columns, df)
+
+
 def page(df: DataFrame, number: int, size: int, order: list[Column]) -> DataFrame:
-    """A page of a total order; numbers beyond the ends give the first or last page."""
-    pages = max(1, -(-df.count() // size))
-    return df.orderBy(*order).offset((min(max(1, number), pages) - 1) * size).limit(size)
+    """A page of a total order; numbers beyond the ends give the first or last page.
+
+    Rows are ranked where they lie: partitions of a sort are numbered by their sizes, so that a late page brings its own
+    rows together and no others."""
+    ranked = durable(df.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_nth": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "page")
+    parts = ranked.groupBy("_part").agg(F.count("*").alias("_rows"))  # a row for each partition
+    ahead = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = parts.select("_part", ahead.alias("_ahead"), "_rows").collect()
+    total = sum(r["_rows"] for r in sizes)
+    low = (min(max(1, number), max(1, -(-total // size))) - 1) * size
+    hit = [r for r in sizes if r["_ahead"] < low + size and r["_ahead"] + r["_rows"] > low]
+    at = reduce(lambda rest, r: F.when(F.col("_part") == r["_part"], F.col("_nth") + r["_ahead"]).otherwise(rest), hit, F.lit(-1).cast("long"))
+    rows = ranked.where(F.col("_part").isin(*(r["_part"] for r in hit))) if hit else ranked.where("false")
+    rows = rows.withColumn("_at", at).where(F.col("_at").between(low, low + size - 1))
+    return rows.orderBy("_at").drop("_part", "_nth", "_at")
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -47,10 +74,11 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
 
 
 def merge_keep_last(df: DataFrame, key: Column, position: str) -> DataFrame:
-    """Of each key the last row, at the position of its first one."""
-    own = Window.partitionBy("_key")
-    ranked = df.withColumn("_key", key).withColumn("_nth", F.row_number().over(own.orderBy(F.col(position).desc()))).withColumn("_at", F.min(position).over(own))
-    return ranked.where("_nth = 1").withColumn(position, F.col("_at")).drop("_key", "_nth", "_at")
+    """Of each key the last row, at the position of its first one. One aggregate, so that a key's rows meet only as their
+    tasks' last and first ones."""
+    last = F.max_by(F.struct(*df.columns), position).alias("_last")
+    merged = df.groupBy(key.alias("_key")).agg(last, F.min(position).alias("_at")).select("_last.*", "_at")
+    return merged.withColumn(position, F.col("_at")).drop("_at")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], position: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,26 +11,61 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from opinara.storage import exists, scratch
+
 TTL_SECONDS = 3600
 HISTORY_TURNS = 10
 
 
-def poll(spark: SparkSession, folder: str, schema: str, target: str, checkpoint: str, keys: list[str], interval: str | None = "30 seconds") -> StreamingQuery:
-    """Appends what arrives in folder to target, without rows whose keys target has; None takes what is there and ends."""
+def poll(spark: SparkSession, folder: str, schema: str, target: str, checkpoint: str, keys: list[str], interval: str | None = "30 seconds", by: str | None = None) -> StreamingQuery:
+    """Appends what arrives in folder to target, without rows whose keys target has; None takes what is there and ends.
+
+    by: a column by which target is partitioned and which is part of what makes rows equal (a day); a batch then reads only
+    the partitions it has rows of. The checkpoint and the target's own rows make a repeated batch add nothing.
+    """
+    own = [*keys, *([by] if by and by not in keys else [])]
 
     def write(batch: DataFrame, _: int) -> None:
-        new = batch.dropDuplicates(keys)
-        context = batch.sparkSession.sparkContext
-        where = context._jvm.org.apache.hadoop.fs.Path(target)
-        if where.getFileSystem(context._jsc.hadoopConfiguration()).exists(where):
-            new = new.join(batch.sparkSession.read.parquet(target).select(*keys), keys, "left_anti")
-        new.write.mode("append").parquet(target)
+        new = batch.dropDuplicates(own)
+        if exists(batch.sparkSession, target):
+            known = batch.sparkSession.read.parquet(target)
+            if by:
+                known = known.join(F.broadcast(batch.select(by).distinct()), by, "left_semi")  # the batch's days: pruned as the join runs
+            new = new.join(known.select(*own), own, "left_anti")
+        writer = new.write.mode("append")
+        (writer.partitionBy(by) if by else writer).parquet(target)
 
     source = spark.readStream.schema(schema).parquet(folder)
     writer = source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
+class Poller:
+    """Starts, stops and tells the state of a polling query. Without a restart a failed one stays failed, with its error."""
+
+    def __init__(self, start: Callable[[], StreamingQuery]) -> None:
+        self._start, self.query = start, None
+
+    def start(self) -> bool:
+        """False if it runs already."""
+        if self.query is not None and self.query.isActive:
+            return False
+        self.query = self._start()
+        return True
+
+    def stop(self) -> bool:
+        if self.query is None or not self.query.isActive:
+            return False
+        self.query.stop()
+        return True
+
+    def status(self) -> dict[str, Any]:
+        if self.query is None:
+            return {"running": False, "batches": 0, "error": None}
+        last, failed = self.query.lastProgress, self.query.exception()
+        return {"running": self.query.isActive, "batches": 0 if last is None else last["batchId"] + 1, "error": None if failed is None else str(failed)}
+
+
 def daily_series(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Count and mean of each day; in append mode a day comes once the watermark has passed it."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
@@ -40,8 +76,9 @@ def distinct_events(events: DataFrame, keys: list[str], late: str = "1 day") ->
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def sessions(turns: DataFrame, expire: bool = True) -> DataFrame:
-    """Of turns (session_id, ts, role, entity): turns kept, whose history is capped, and the entity last named.
+def sessions(turns: DataFrame, expire: bool = True, limit: int = HISTORY_TURNS) -> DataFrame:
+    """Of turns (session_id, ts, role, said, entity): the last 2 * limit of them in order of ts (history, kept), and the entity
+    that the latest turn with one names. Turns may come in any order and in any batch.
 
     State goes TTL_SECONDS after a session's last turn, by the clock; a replay of past turns, which ends, doesn't expire.
     """
@@ -50,22 +87,38 @@ def sessions(turns: DataFrame, expire: bool = True) -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        kept, entity = state.get if state.exists else (0, "")
+        times, said, at, entity = state.get if state.exists else ([], [], None, "")
+        turns_, at = list(zip(times, said)), None if at is None or pd.isna(at) else at
         for rows in batches:
-            rows = rows.sort_values("ts")
-            kept = min(2 * HISTORY_TURNS, kept + len(rows))
-            named = [e for e in rows["entity"] if e]
-            entity = named[-1] if named else entity
-        state.update((kept, entity))
+            turns_ += zip(map(int, rows["ts"]), rows["said"])
+            for ts, name in zip(rows["ts"], rows["entity"]):
+                if name and (at is None or ts >= at):
+                    at, entity = int(ts), name
+        turns_ = sorted(turns_)[-2 * limit :]
+        state.update(([t for t, _ in turns_], [s for _, s in turns_], at, entity))
         if expire:
             state.setTimeoutDuration(TTL_SECONDS * 1000)
-        yield pd.DataFrame({"session_id": [key[0]], "kept": [kept], "entity": [entity]})
+        yield pd.DataFrame({"session_id": [key[0]], "kept": [len(turns_)], "entity": [entity], "history": [[s for _, s in turns_]]})
+
+    rows = turns.select("session_id", F.col("ts").cast("long").alias("ts"), "role", F.coalesce("said", F.lit("")).alias("said"), "entity")
+    kept = "times array<long>, said array<string>, at long, entity string"
+    return rows.groupBy("session_id").applyInPandasWithState(step, "session_id long, kept int, entity string, history array<string>", kept, "update", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
+
+
+def run_to_table(spark: SparkSession, stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """What a stream over what is there now leaves, as a table in the shared folder; of rows with equal keys the last batch's.
 
-    return turns.groupBy("session_id").applyInPandasWithState(step, "session_id long, kept int, entity string", "kept int, entity string", "update", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
+    Each batch writes a folder of its own, over what a failed try of it has left, so that a repeated one adds nothing."""
+    path = scratch(spark, "stream")
 
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/table/_batch={number}")
 
-def run_to_memory(spark: SparkSession, stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """What a stream over what is there now leaves in a memory table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    writer = stream.writeStream.outputMode("append" if keys is None else "update").option("checkpointLocation", f"{path}/checkpoint")
+    writer.foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    table = spark.read.schema(f"{stream.schema.toDDL()}, _batch long").parquet(f"{path}/table")
+    if keys is None:
+        return table.drop("_batch")
+    rest = [c for c in table.columns if c not in (*keys, "_batch")]
+    last = F.max_by(F.struct(*rest), "_batch").alias("_last")
+    return table.groupBy(*keys).agg(last).select(*keys, "_last.*")
