@@ -34,6 +34,7 @@ QUESTION_KINDS = {
     "pros_cons": ("плюс", "минус", "достоин", "недостат"),
     "sentiment": ("настроен", "эмоци", "sentiment", "тон"),
 }
+# Patterns of questions, quotes, keys and pairs.
 ASKS = r"(?iU)\b(проанализируй|разбери|сделай разбор|сравни|сравнение|сравнить)\b"
 QUOTED = "(?U)[«\"'']\\s*([^«»\"'']{2,120}?)\\s*[»\"'']"
 AFTER_KEY = (
@@ -43,6 +44,7 @@ AFTER_KEY = (
 PAIR = r"(?iU)(?:сравни(?:ть)?|сравнение)\s+(.+?)\s+(?:и|с|vs|против)\s+(.+?)(?:[.?!,;]|$)"
 ABOUT = r"(?iU)(?:про|о)\s+(.+?)(?:[.?!,;]|$)"
 MARKS = " .,;:!?\"'«»"
+# Phrases to search for by kind of entity, and by field.
 DEFAULT_SEARCH = {
     "clinic": "жалобы пациентов, ожидание, отношение администраторов, цены, что хвалят и что раздражает",
     "service": "что раздражает пациентов в этой услуге, цена, подготовка, длительность, результат, чего не хватает на странице",
@@ -53,6 +55,7 @@ FIELD_HINTS = {
     "top_complaints": "жалобы", "top_praises": "похвала", "target_audience": "целевая аудитория", "ad_angle": "ракурс для рекламы",
     "landing_page_gaps": "чего не хватает на странице", "service_improvements": "что улучшить в сервисе",
 }
+# Fields that doctors' cards and services answer.
 DOCTOR_FIELDS, SERVICE_FIELDS = {"best_doctor", "doctor_signal"}, {"service_description", "landing_page_gaps"}
 
 

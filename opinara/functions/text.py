@@ -71,10 +71,6 @@ def mentions(hay: Column, needle: str) -> Column:
     return found | F.regexp_replace(text, " ", "").contains(own.replace(" ", "")) if own.isascii() else found
 
 
-def mentions_any(hay: Column, needles: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, (mentions(hay, n) for n in needles), F.lit(False))
-
-
 def contains_any(columns: list[Column], query: str) -> Column:
     """ILIKE over several columns; % and _ in the query stay wildcards."""
     return reduce(lambda a, b: a | b, (F.coalesce(c.ilike(f"%{query}%"), F.lit(False)) for c in columns))
@@ -212,7 +208,8 @@ def page_state(html: Column) -> Column:
 
 def attribute_json(html: Column, name: str) -> Column:
     """The JSON text in an attribute, entities unescaped."""
-    return F.nullif(unescape(F.regexp_extract(html, rf"(?s)[\s:]{name}=(?:\"([^\"]*)\"|'([^']*)')", 1)), F.lit(""))
+    pattern = rf"(?s)[\s:]{name}=(?:\"([^\"]*)\"|'([^']*)')"
+    return F.nullif(unescape(F.concat(F.regexp_extract(html, pattern, 1), F.regexp_extract(html, pattern, 2))), F.lit(""))
 
 
 def _balanced(text: str | None, open_: str, close: str) -> str | None:
@@ -249,9 +246,28 @@ def lenient_array(text: pd.Series) -> pd.Series:
     return text.map(read, na_action="ignore")
 
 
+def salvaged(text: Column) -> Column:
+    """struct<rating, sentiment, summary, tags> from what looks like keys of an analysis in text that is no JSON; null without any."""
+    found = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
+    rating = found(r'"rating"\s*:\s*(\d+)').try_cast("int")
+    sentiment = found(r'"sentiment"\s*:\s*"([^"]*)"')
+    summary = F.coalesce(found(r'(?s)"summary"\s*:\s*"((?:[^"\\]|\\.)*)"'), found(r'(?s)"summary"\s*:\s*"([^"]{1,800})'))
+    inner = found(r'(?s)"tags"\s*:\s*\[(.*?)\]')
+    listed = F.regexp_extract_all(inner, F.lit('"([^"]*)"'), F.lit(1))
+    tags_ = F.when(inner.isNotNull(), F.when(F.size(listed) > 0, listed).otherwise(F.array(strip(inner))))
+    some = rating.isNotNull() | sentiment.isNotNull() | summary.isNotNull() | tags_.isNotNull()
+    return F.when(some, F.struct(rating.alias("rating"), sentiment.alias("sentiment"), strip(F.replace(summary, F.lit("\\n"), F.lit("\n"))).alias("summary"), tags_.alias("tags")))
+
+
+def payload(*columns: str | Column) -> Column:
+    """Columns as a JSON object: times in ISO form, nulls kept."""
+    return F.to_json(F.struct(*columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss", "ignoreNullFields": "false"})
+
+
 @F.pandas_udf(DoubleType())
 def python_round(value: pd.Series, places: pd.Series) -> pd.Series:
-    """Rounding of the exact binary value, ties to even."""
+    """Rounding of the exact binary value, ties to even. Spark's round and bround go by the shortest decimal that reads back
+    as the value, so that 2.675, which lies below its decimal, becomes 2.68; casts to decimal do the same."""
     return pd.Series([None if pd.isna(v) else round(v, int(p)) for v, p in zip(value, places)], dtype="float64")
 
 

@@ -47,6 +47,23 @@ def ingest_crawl(doc: DataFrame, skip_empty: bool = True) -> tuple[dict[str, Dat
     return out, counts
 
 
+def crawl_stats(doc: DataFrame) -> DataFrame:
+    """One row: what a crawl has fetched by phase, and its distinct reviews."""
+    size = lambda c: F.coalesce(F.sum(F.greatest(F.size(c), F.lit(0))), F.lit(0))
+    fetched = doc.agg(
+        size("services").alias("services_fetched"),
+        size("clinics").alias("clinics_fetched"),
+        size("doctor_profiles").alias("doctor_profiles_fetched"),
+        F.coalesce(F.sum(F.aggregate("services", F.lit(0), lambda n, s: n + F.greatest(F.size(s["doctors"]), F.lit(0)))), F.lit(0)).alias("doctors_on_services"),
+    )
+    return fetched.crossJoin(S.reviews_deduped(readers.crawl_reviews(doc)).agg(F.count("*").alias("reviews_collected")))  # one row each
+
+
+def upsert_chunks(stored: DataFrame, new: DataFrame, position: str) -> DataFrame:
+    """Stored chunks with new ones over those of their kind and ref; an embedding that the new chunk lacks becomes null."""
+    return S.upsert(stored, new, ["kind", "ref"], position)
+
+
 def crawl_chunks(doc: DataFrame, kinds: tuple[str, ...] = ("service", "doctor", "review")) -> DataFrame:
     """Chunks of a crawl's services, doctors and reviews, the first of each id."""
     found, _ = ingest_crawl(doc, skip_empty=False)
@@ -84,7 +101,9 @@ def ingest_reviews(new: DataFrame, stored: DataFrame, analyse: Model | None = No
 
 def analysed(raw: DataFrame, answer: str) -> DataFrame:
     """The columns of an analysis from a model's text: ratings within 1 and 5 (4 if none), 500 characters of summary, tags joined."""
-    v = F.from_json(T.lenient_object(F.col(answer)), "rating string, sentiment string, summary string, tags array<string>")
+    kind = "struct<rating: string, sentiment: string, summary: string, tags: array<string>>"
+    v = F.coalesce(F.from_json(T.lenient_object(F.col(answer)), kind), T.salvaged(F.col(answer)).cast(kind))
+    v = {name: v[name] for name in ("rating", "sentiment", "summary", "tags")}
     rating = F.coalesce(v["rating"].try_cast("double").cast("int"), F.lit(4))
     summary = F.coalesce(F.substring(v["summary"], 1, 500), F.when(v["rating"].isNull() & v["summary"].isNull(), F.substring(F.col(answer), 1, 200)), F.lit(""))
     return raw.withColumns({"ai_rating": F.greatest(F.lit(1), F.least(F.lit(5), rating)), "sentiment": F.coalesce(v["sentiment"], F.lit("")), "summary": summary, "tags": F.coalesce(T.tags(v["tags"]), F.lit(""))})

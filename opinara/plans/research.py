@@ -24,10 +24,12 @@ TEXTS = {
     "executive_summary": "Сводка для руководителя",
 }
 PRESETS = {
-    "clinic_competitors": "reviews_count avg_rating negative_share_pct unanswered_share_pct top_praises top_complaints target_audience ad_angle",
-    "service_competitors": "reviews_count avg_rating negative_share_pct top_praises top_complaints landing_page_gaps ad_angle",
-    "category_landscape": "reviews_count avg_rating top_complaints target_audience service_improvements executive_summary",
-}
+    "clinic_competitors": [
+        "reviews_count", "avg_rating", "negative_share_pct", "unanswered_share_pct", "top_praises", "top_complaints", "target_audience", "ad_angle",
+    ],
+    "service_competitors": ["reviews_count", "avg_rating", "negative_share_pct", "top_praises", "top_complaints", "landing_page_gaps", "ad_angle"],
+    "category_landscape": ["reviews_count", "avg_rating", "top_complaints", "target_audience", "service_improvements", "executive_summary"],
+}
 
 
 class Field(NamedTuple):
@@ -38,7 +40,7 @@ class Field(NamedTuple):
 
 def fields_of(keys: list[str] | None = None, preset: str | None = None) -> list[Field]:
     """The keys asked for, else the preset's, else the clinics'; unknown keys are texts of their own name."""
-    chosen = keys or PRESETS.get(preset or "", PRESETS["clinic_competitors"]).split()
+    chosen = keys or PRESETS.get(preset or "", PRESETS["clinic_competitors"])
     return [Field(k, "metric" if k in METRICS else "text", METRICS.get(k) or TEXTS.get(k) or k) for k in chosen]
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
 from opinara.functions import text as T
+from opinara.operators import tables as S
 
 _CLINIC = "id bigint, name string, alias string, fullAddress string, address string"
 _DOCTOR = "id: bigint, name: string, url: string, image: string, price: double, specialPrice: double, specialPricePercent: double, totalRating: double, reviewsCount: int, station: string, address: string"
@@ -146,6 +147,30 @@ def clinic_pages(pages: DataFrame) -> DataFrame:
 _MED = "map<string, struct<name: string, specialityId: bigint, title: string, prices: array<struct<id: bigint, name: string, price: double, specialPrice: double, finalPrice: double, description: string>>>>"
 
 
+def parsed(pages: DataFrame) -> dict[str, DataFrame]:
+    """Of pages (page_url, html) those of each kind by their own reader: service, doctor, clinic; main pages with their links
+    to services and hubs; unknown ones as they are."""
+    kind = T.page_kind(F.col("page_url"))
+    of = lambda name: pages.where(kind == name)
+    services, hubs = T.service_links(F.col("html"))
+    return {
+        "service": service_pages(of("service")),
+        "doctor": doctor_pages(of("doctor")),
+        "clinic": clinic_pages(of("clinic")),
+        "main": of("main").select("page_url", services.alias("service_urls"), hubs.alias("hub_urls")),
+        "unknown": of("unknown").select("page_url"),
+    }
+
+
+def merged_reviews(main: DataFrame, review_pages: DataFrame) -> DataFrame:
+    """Reviews (review_id, text, created, pos, ...) of a page and of its review pages: of equal ids, or else equal text and day, the
+    last, at the place of the first."""
+    both = main.withColumn("_late", F.lit(0)).unionByName(review_pages.withColumn("_late", F.lit(1)))
+    both = both.withColumn("pos", F.col("_late") * F.lit(1 << 40) + F.col("pos")).drop("_late")
+    key = F.coalesce(F.col("review_id").cast("string"), F.concat_ws("|", "text", "created"))
+    return S.merge_keep_last(both, key, "pos")
+
+
 def review_feed(pages: DataFrame, path: str) -> DataFrame:
     """Where the review feed of a service's page goes on: service_id, offset, filter, sort, total and the next request's url.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinara.functions import text as T
+from opinara.storage import exists
 
 DOCTOR = "doctor_id bigint, name string, speciality string, address string, total_rating double, reviews_count int, price double, service_id bigint, service_name string, parent_service_name string, profile_url string, profile_path string"
 REVIEW = (
@@ -52,9 +53,18 @@ def tables(spark: SparkSession, folder: str, *names: str) -> list[DataFrame]:
     return [spark.read.parquet(f"{folder}/{name}.parquet") for name in names]
 
 
-def crawl(spark: SparkSession, path: str) -> DataFrame:
-    """A crawl file; unreadable ones give a row of nulls."""
-    return spark.read.schema(CRAWL).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+def crawl(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A crawl file, which is one document; with lines a document in each line, of which tasks share a file's. Unreadable ones
+    give a row of nulls."""
+    return spark.read.schema(CRAWL).option("multiLine", not lines).option("mode", "PERMISSIVE").json(path)
+
+
+def crawl_checkpoint(spark: SparkSession, path: str) -> DataFrame | None:
+    """A crawl's saved state; None where there is none or it can't be read."""
+    if not exists(spark, path):
+        return None
+    doc = crawl(spark, path)
+    return None if doc.where("base_url is not null or services is not null or reviews is not null").isEmpty() else doc
 
 
 def crawl_reviews(doc: DataFrame) -> DataFrame:
@@ -93,13 +103,11 @@ def message_text(m: dict[str, Column]) -> Column:
     return F.when(said != "", said).otherwise(F.when(T.filled(m["sticker_emoji"]), F.concat(F.lit("[sticker "), m["sticker_emoji"], F.lit("]"))).otherwise(""))
 
 
-def chat_messages(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Messages of a chat export, normalised: export_key, message_id, sent_at, author, text, reply_to, media."""
-    doc = spark.read.schema(EXPORT).option("multiLine", True).json(path)
-    each = doc.select(T.export_key(F.col("id").try_cast("bigint"), F.col("name")).alias("export_key"), F.explode("messages").alias("m")).where("m.type = 'message'")
+def normalised_messages(each: DataFrame) -> DataFrame:
+    """Of (export_key, m: an export's message): export_key, message_id, sent_at, author, text, reply_to, media."""
     m = {f: F.col(f"m.`{f}`") for f in ("text", "text_entities", "caption", "poll", "sticker_emoji")}
     media = F.when(F.col("m.photo").isNotNull(), "photo").when(F.col("m.media_type").isNotNull(), F.col("m.media_type")).when(F.col("m.file").isNotNull(), "file")
-    rows = each.select(
+    return each.where("m.type = 'message'").select(
         "export_key",
         F.col("m.id").alias("message_id"),
         T.message_time(F.col("m.date"), F.col("m.date_unixtime")).alias("sent_at"),
@@ -108,9 +116,36 @@ def chat_messages(spark: SparkSession, path: str, limit: int | None = None) -> D
         F.col("m.reply_to_message_id").alias("reply_to"),
         media.alias("media"),
     )
+
+
+def _exported(doc: DataFrame) -> DataFrame:
+    return doc.select(T.export_key(F.col("id").try_cast("bigint"), F.col("name")).alias("export_key"), F.explode("messages").alias("m"))
+
+
+def chat_messages(spark: SparkSession, path: str, limit: int | None = None, lines: bool = False) -> DataFrame:
+    """Messages of chat exports, normalised. Each file is one document, which is read as one record; with lines each line is."""
+    rows = normalised_messages(_exported(spark.read.schema(EXPORT).option("multiLine", not lines).json(path)))
     return rows.limit(limit) if limit else rows
 
 
+def chat_meta(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """chat_id, name, type and export_key of chat exports; only these columns are parsed."""
+    doc = spark.read.schema("id string, name string, type string").option("multiLine", not lines).json(path)
+    number = F.col("id").try_cast("bigint")
+    return doc.select(number.alias("chat_id"), T.or_null(F.col("name")).alias("name"), "type", T.export_key(number, F.col("name")).alias("export_key"))
+
+
+def chat_stream(spark: SparkSession, folder: str, files: int = 16, lines: bool = False) -> DataFrame:
+    """Messages of exports as they come into a folder, files at a time: for exports that must not be read at once."""
+    return normalised_messages(_exported(spark.readStream.schema(EXPORT).option("multiLine", not lines).option("maxFilesPerTrigger", files).json(folder)))
+
+
+def message_lines(spark: SparkSession, path: str, export_key: str) -> DataFrame:
+    """Messages of an export of any size that has a message in each line: lines are split among tasks."""
+    lines = spark.read.schema(MESSAGE).json(path)
+    return normalised_messages(lines.select(F.lit(export_key).alias("export_key"), F.struct("*").alias("m")))
+
+
 def page_reviews(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Reviews in a page's microdata: a row for each block with text."""
     blocks = F.regexp_extract_all(html, F.lit(r"(?s)<[^>]+itemprop=[\"']review[\"'].*?(?=<[^>]+itemprop=[\"']review[\"']|$)"), F.lit(0))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opinara.storage import file_system
+
 
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
@@ -20,6 +24,27 @@ def json_rows(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def json_backup(df: DataFrame, path: str) -> None:
+    """df as JSON lines, in place of what path held: written beside it and then renamed, so that a reader finds the one or the other."""
+    spark, new = df.sparkSession, f"{path}.new-{uuid.uuid4().hex}"
+    df.write.json(new)
+    system, where = file_system(spark, path)
+    aside = where.suffix(f".old-{uuid.uuid4().hex}")
+    had = system.exists(where) and system.rename(where, aside)
+    if not system.rename(file_system(spark, new)[1], where):
+        if had:
+            system.rename(aside, where)
+        raise OSError(f"can't replace {path}")
+    if had:
+        system.delete(aside, True)
+
+
+def experiment(spark: SparkSession, path: str, params: dict[str, object], metrics: dict[str, float]) -> None:
+    """Appends a row (at, params, metrics) to a table of experiments."""
+    row = [({k: str(v) for k, v in params.items()}, {k: float(v) for k, v in metrics.items()})]
+    spark.createDataFrame(row, "params map<string,string>, metrics map<string,double>").withColumn("at", F.current_timestamp()).write.mode("append").parquet(path)
+
+
 def by_year(messages: DataFrame, path: str, years: list[int]) -> None:
     """Messages of some years, a folder for each."""
     messages.where(F.year("sent_at").isin(*years)).withColumn("year", F.year("sent_at")).write.mode("overwrite").partitionBy("year").json(path)
