@@ -7,8 +7,9 @@ customer the doctor, a part the service, an event a run, an embedding with its d
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opinara.functions import routing
@@ -17,11 +18,13 @@ from opinara.functions import vectors as V
 from opinara.operators import entities as E
 from opinara.operators import metrics as M
 from opinara.operators import tables as S
-from opinara.plans import ingest, tools
+from opinara.plans import heuristics, ingest, research, tools
+from opinara.plans import jobs as work
 from opinara.plans import reputation as R
 from opinara.plans import search as H
 from opinara.sources import pages as readers_of_pages
-from opinara.sources import readers
+from opinara.sources import readers, sinks
+from opinara.storage import scratch
 from opinara.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,12 +180,12 @@ def shared_themes(spark: SparkSession, sf: str) -> DataFrame:
     return M.shared_themes(tops(spark, sf).where("place <= 2"), n)
 
 
-@query(f"""WITH t AS (SELECT *, count(*) OVER (PARTITION BY theme) AS k FROM (SELECT * FROM {TOPS} WHERE place <= 3 AND entity_id IN ('src0', 'src1'))),
+@query(f"""WITH t AS (SELECT *, count(*) OVER (PARTITION BY theme) AS k FROM (SELECT * FROM {TOPS} WHERE place <= 3)),
   u AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY place, theme) AS i FROM t WHERE k = 1),
   o AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY place, theme) AS i FROM t WHERE entity_id NOT IN (SELECT entity_id FROM u))
   SELECT entity_id, theme, place FROM u WHERE i <= 3 UNION ALL SELECT entity_id, theme, place FROM o WHERE i <= 2""")
 def unique_themes(spark: SparkSession, sf: str) -> DataFrame:
-    return M.unique_themes(tops(spark, sf).where("place <= 3 and entity_id in ('src0', 'src1')"))
+    return M.unique_themes(tops(spark, sf).where("place <= 3"))
 
 
 @query("""WITH t AS (SELECT lower(trim(x)) AS topic FROM (SELECT unnest(string_split_regex(p_type || ',' || p_brand, '[,; ]')) AS x FROM part) WHERE length(trim(x)) >= 2)
@@ -339,11 +342,13 @@ def ingest_counters(spark: SparkSession, sf: str) -> DataFrame:
     return S.ingest_counts(load(spark, sf, "lineitem"), F.when(F.col("l_quantity") < 5, "small").when(F.col("l_returnflag") == "N", "pending"))
 
 
-@query("""SELECT s_suppkey, coalesce(bool_or(n_name = 'NATION_3'), true) AS kept FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey GROUP BY 1 HAVING kept""")
+@query("""SELECT c_custkey FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey < 20
+  WHERE CASE WHEN n_name IS NOT NULL THEN n_name = 'NATION_3' WHEN c_mktsegment = 'BUILDING' THEN false ELSE true END""")
 def city_filter(spark: SparkSession, sf: str) -> DataFrame:
-    at = load(spark, sf, "nation").select(F.col("n_nationkey").alias("clinic_alias"), F.col("n_name").alias("city"))
-    own = load(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("clinic_alias"), F.lit(None).cast("string").alias("clinic_city"))
-    return S.in_city(own, at, "NATION_3").select("s_suppkey", F.lit(True).alias("kept"))
+    """Clinics that are not known go by the review's own city, which one segment names and the others don't."""
+    at = load(spark, sf, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("clinic_alias"), F.col("n_name").alias("city"))
+    own = load(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("clinic_alias"), F.when(F.col("c_mktsegment") == "BUILDING", "elsewhere").alias("clinic_city"))
+    return S.in_city(own, at, "NATION_3").select("c_custkey")
 
 
 @query("""SELECT doc_id, embedding FROM documents LEFT JOIN embeddings ON vec_id = doc_id""")
@@ -400,8 +405,13 @@ def sample_budget(spark: SparkSession, sf: str) -> DataFrame:
     return E.sample_within(load(spark, sf, "documents").withColumn("pos", F.col("doc_id")), ["source"], "text", 6000, 10).select("source", "doc_id", "place", "upto")
 
 
-@query()
+@query("""SELECT n_name AS name, 1.0::DOUBLE AS ratio FROM nation WHERE contains(lower(n_name), 'nation_1') ORDER BY n_name LIMIT 5""")
 def name_suggestions(spark: SparkSession, sf: str) -> DataFrame:
+    return E.suggest(load(spark, sf, "nation").select(F.col("n_name").alias("name")), "Nation_1")
+
+
+@query()
+def name_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return E.suggest(load(spark, sf, "nation").select(F.col("n_name").alias("name")), "NATION-12")
 
 
@@ -430,17 +440,53 @@ def normalised_match(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "documents").select("doc_id", T.for_matching(F.col("text")).alias("norm"), T.mentions(F.col("text"), "MIT License").alias("hit"))
 
 
-@query("""SELECT doc_id, length(trim(text)) = 0 AS spam, CASE WHEN length(trim(text)) = 0 THEN 'empty' ELSE '' END AS reason FROM documents""")
+#: Texts that are advertisements, by a document's number: what makes them so, and why.
+PROMOTED = {
+    0: ("Не пропустите вебинар: https://example.com/x. ", "promo_event_or_links"),
+    1: ("Приглашаем вас. ", "short_promo_cta"),
+    2: ("конференция в zoom.us, код доступа: 12 ", "promo_event_or_links"),
+    3: ("   ", "empty"),
+}
+_PROMOTED = " ".join(f"WHEN {k} THEN '{text}'" for k, (text, _) in PROMOTED.items())
+
+
+def promoted(key: str, text: str) -> Column:
+    """text, or an advertisement in its place for four of ten."""
+    made = reduce(lambda rest, kv: F.when(F.col(key) % 10 == kv[0], kv[1][0]).otherwise(rest), PROMOTED.items(), F.lit(None).cast("string"))
+    return F.coalesce(made, F.col(text))
+
+
+@query(f"""WITH t AS (SELECT doc_id, CASE doc_id % 10 {" ".join(f"WHEN {k} THEN '{why}'" for k, (_, why) in PROMOTED.items())} ELSE '' END AS reason FROM documents)
+  SELECT doc_id, reason <> '' AS spam, reason FROM t""")
 def spam_flags(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "documents").select("doc_id", T.promotion(F.col("text")).alias("p")).select("doc_id", "p.spam", "p.reason")
+    own = load(spark, sf, "documents").select("doc_id", T.promotion(promoted("doc_id", "text")).alias("p"))
+    return own.select("doc_id", "p.spam", "p.reason")
+
+
+#: Paths of a site's kinds of pages, by a page's number.
+KINDS = {0: ("main", "/"), 1: ("service", "/service/a"), 2: ("clinic", "/clinic/b"), 3: ("doctor", "/doctor/c"), 4: ("unknown", "/servicex")}
 
 
-@query("""SELECT page_id, len(list_distinct(regexp_extract_all(html, 'href=["'']([^"'']+)["'']', 1))) AS links, CASE WHEN regexp_matches(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '^/?$') THEN 'main' ELSE 'unknown' END AS kind, lower(regexp_extract(url, '://([^./]*)', 1)) AS label FROM pages""")
+def sited(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages with urls of each kind."""
+    path = reduce(lambda rest, kv: F.when(F.col("page_id") % 5 == kv[0], kv[1][1]).otherwise(rest), KINDS.items(), F.lit(""))
+    host = F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1)
+    return load(spark, sf, "pages").select("page_id", F.concat(host, path, F.lit("?q=1")).alias("page_url"), "html")
+
+
+@query(f"""SELECT page_id, len(list_distinct(regexp_extract_all(html, 'href=["'']([^"'']+)["'']', 1))) AS links,
+  CASE page_id % 5 {" ".join(f"WHEN {k} THEN '{name}'" for k, (name, _) in KINDS.items())} END AS kind, lower(regexp_extract(url, '://([^./]*)', 1)) AS label FROM pages""")
 def html_links(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "pages").select("page_id", F.size(T.links(F.col("html"))).alias("links"), T.page_kind(F.col("url")).alias("kind"), T.first_label(F.col("url")).alias("label"))
+    return sited(spark, sf).select("page_id", F.size(T.links(F.col("html"))).alias("links"), T.page_kind(F.col("page_url")).alias("kind"), T.first_label(F.col("page_url")).alias("label"))
 
 
-@query()
+@query(f"""SELECT CASE page_id % 5 {" ".join(f"WHEN {k} THEN '{name}'" for k, (name, _) in KINDS.items())} END AS kind, count(*) AS n FROM pages GROUP BY 1""")
+def page_dispatch(spark: SparkSession, sf: str) -> DataFrame:
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n") for kind, df in readers_of_pages.parsed(sited(spark, sf)).items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages""")
 def html_plain(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "pages").select("page_id", T.plain_text(F.col("html")).alias("text"))
 
@@ -487,11 +533,11 @@ def doctor_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return readers.doctor_chunks(cards).select("ref", "kind", "title", "rating_value", "body")
 
 
-@query("""SELECT doc_id, coalesce(embedding, [0.0::FLOAT]) AS embedding FROM documents LEFT JOIN embeddings ON vec_id = doc_id""")
+@query("""SELECT doc_id, coalesce(embedding, [length(text)::FLOAT, (doc_id % 7)::FLOAT]) AS embedding FROM documents LEFT JOIN embeddings ON vec_id = doc_id""")
 def index_build(spark: SparkSession, sf: str) -> DataFrame:
     stored = load(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    blank = lambda df: df.withColumn("embedding", F.array(F.lit(0.0).cast("float")))
-    return ingest.build_index(load(spark, sf, "documents").select("doc_id"), stored, blank, ("doc_id",))
+    embed = lambda df: df.withColumn("embedding", F.array(F.length("text").cast("float"), (F.col("doc_id") % 7).cast("float")))
+    return ingest.build_index(load(spark, sf, "documents").select("doc_id", "text"), stored, embed, ("doc_id",)).select("doc_id", "embedding")
 
 
 @query("""SELECT source AS source_id, doc_id AS external_id, 4 AS ai_rating, substr(text, 1, 200) AS summary FROM documents
@@ -501,10 +547,12 @@ def review_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.ingest_reviews(new, new.where("external_id % 3 = 0")).select("source_id", "external_id", "ai_rating", "summary")
 
 
-@query("""SELECT conv_id AS export_key, turn AS message_id, CASE WHEN turn > 0 THEN '[ответ на #' || (turn - 1) || '] ' ELSE '' END || text AS body, false AS spam_or_ad
-  FROM conversations WHERE length(trim(text)) > 0 AND role <> 'system' QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) = 1""")
+@query(f"""WITH t AS (SELECT conv_id, turn, role, CASE conv_id % 10 {_PROMOTED} ELSE text END AS said FROM conversations)
+  SELECT conv_id AS export_key, turn AS message_id, CASE WHEN turn > 0 THEN '[ответ на #' || (turn - 1) || '] ' ELSE '' END || said AS body, conv_id % 10 < 4 AS spam_or_ad
+  FROM t WHERE length(trim(said)) > 0 AND role <> 'system' QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY said) = 1""")
 def chat_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    every = load(spark, sf, "conversations").select(F.col("conv_id").alias("export_key"), F.col("turn").alias("message_id"), "text", F.when(F.col("turn") > 0, F.col("turn") - 1).alias("reply_to"), "role")
+    said = promoted("conv_id", "text").alias("text")
+    every = load(spark, sf, "conversations").select(F.col("conv_id").alias("export_key"), F.col("turn").alias("message_id"), said, F.when(F.col("turn") > 0, F.col("turn") - 1).alias("reply_to"), "role")
     return ingest.ingest_chat(every.where("role <> 'system'"), every.where("role = 'system'")).select("export_key", "message_id", "body", "spam_or_ad")
 
 
@@ -580,16 +628,330 @@ def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 @query("""SELECT ts::DATE AS date, count(*) AS runs, avg(value) AS avg_confidence FROM events GROUP BY 1""")
 def stream_daily_series(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.run_to_memory(spark, jobs.daily_series(_stream(spark, sf, "events")), "opinara_daily", "complete")
+    return jobs.run_to_table(spark, jobs.daily_series(_stream(spark, sf, "events")), ["date"])
 
 
 @query("""SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1, 2""")
 def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    kept = jobs.run_to_memory(spark, jobs.distinct_events(_stream(spark, sf, "events"), ["user_id", "event_type"], "60 days").select("user_id", "event_type"), "opinara_distinct", "append")
+    kept = jobs.run_to_table(spark, jobs.distinct_events(_stream(spark, sf, "events"), ["user_id", "event_type"], "60 days").select("user_id", "event_type"))
     return kept.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT conv_id AS session_id, least(20, count(*))::INT AS kept, coalesce(arg_max(role, turn) FILTER (role <> 'assistant'), '') AS entity FROM conversations GROUP BY 1""")
+@query("""WITH t AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations)
+  SELECT conv_id AS session_id, least(20, count(*))::INT AS kept, coalesce(arg_max(role, turn) FILTER (role <> 'assistant'), '') AS entity,
+  list(role || turn::VARCHAR ORDER BY turn) FILTER (back <= 20) AS history FROM t GROUP BY 1""")
 def session_state(spark: SparkSession, sf: str) -> DataFrame:
-    turns = _stream(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("ts"), "role", F.when(F.col("role") != "assistant", F.col("role")).otherwise("").alias("entity"))
-    return jobs.run_to_memory(spark, jobs.sessions(turns, expire=False), "opinara_sessions", "update")
+    entity = F.when(F.col("role") != "assistant", F.col("role")).otherwise("")
+    turns = _stream(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("ts"), "role", F.concat("role", F.col("turn").cast("string")).alias("said"), entity.alias("entity"))
+    return jobs.run_to_table(spark, jobs.sessions(turns, expire=False), ["session_id"])
+
+
+@query("""SELECT event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, ts::DATE FROM events) GROUP BY 1""")
+def polled_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Files are polled twice into one table, by day; what is there already isn't added again."""
+    folder = scratch(spark, "poll")
+    days = load(spark, sf, "events").select("user_id", "event_type", F.to_date("ts").alias("day"))
+    for part, rows in enumerate((days.where("user_id % 2 = 0"), days)):
+        rows.write.mode("append").parquet(f"{folder}/in")
+        jobs.poll(spark, f"{folder}/in", days.schema.simpleString()[7:-1].replace(":", " "), f"{folder}/table", f"{folder}/checkpoint{part}", ["user_id", "event_type"], None, "day").awaitTermination()
+    return spark.read.parquet(f"{folder}/table").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+# Files made from the tables, and read back
+
+
+def _chat_export(spark: SparkSession, sf: str) -> str:
+    """An export for each conversation: texts as strings or fragments, captions, polls, stickers, photos, replies."""
+    path, turn = scratch(spark, "exports"), F.col("turn")
+    some = lambda when, value: F.when(when, value)
+    message = F.struct(
+        F.when(turn % 11 == 10, "service").otherwise("message").alias("type"),
+        turn.alias("id"),
+        some(turn % 3 != 0, F.date_format(F.timestamp_seconds(turn * 3600), "yyyy-MM-dd'T'HH:mm:ss")).alias("date"),
+        some(turn % 3 == 0, (turn * 3600).cast("string")).alias("date_unixtime"),
+        some(F.col("role") != "assistant", F.col("role")).alias("from"),
+        F.concat(F.lit("id-"), "role").alias("from_id"),
+        some(turn > 0, turn - 1).alias("reply_to_message_id"),
+        F.when(turn % 5 == 1, F.concat(F.lit("["), F.to_json(F.struct(F.col("text").alias("text"))), F.lit(', " end"]'))).when(turn % 5 != 2, F.col("text")).alias("text"),
+        some(turn % 5 == 2, F.array(F.struct(F.col("text").alias("text")), F.struct(F.lit("!").alias("text")))).alias("text_entities"),
+        some(turn % 4 == 1, F.lit("see photo")).alias("caption"),
+        some(turn % 4 == 1, F.lit("a.jpg")).alias("photo"),
+        some(turn % 7 == 6, F.struct(F.lit("ok?").alias("question"), F.array(F.struct(F.lit("yes").alias("text")), F.struct(F.lit("no").alias("text"))).alias("answers"))).alias("poll"),
+    )
+    chats = load(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", message.alias("m")))).alias("each"))  # a conversation is one file
+    doc = F.struct(some(F.col("conv_id") % 2 == 0, F.col("conv_id")).alias("id"), F.concat(F.lit("Chat no. "), "conv_id").alias("name"), F.lit("personal_chat").alias("type"), F.transform("each", lambda x: x["m"]).alias("messages"))
+    chats.select(F.to_json(doc).alias("value")).write.text(path)
+    return path
+
+
+_SAID = """CASE turn % 5 WHEN 1 THEN text || ' end' WHEN 2 THEN text || '!' ELSE text END || CASE WHEN turn % 4 = 1 THEN chr(10) || 'see photo' ELSE '' END || CASE WHEN turn % 7 = 6 THEN chr(10) || 'ok?' || chr(10) || 'yes' || chr(10) || 'no' ELSE '' END"""
+_EXPORT_KEY = "CASE WHEN conv_id % 2 = 0 THEN conv_id::VARCHAR ELSE 'name:Chat_no_' || conv_id END"
+
+
+@query(f"""SELECT {_EXPORT_KEY} AS export_key, turn AS message_id, TIMESTAMP '1970-01-01 00:00:00' + INTERVAL (turn) HOUR AS sent_at, CASE WHEN role <> 'assistant' THEN role ELSE 'id-' || role END AS author,
+  {_SAID} AS text, CASE WHEN turn > 0 THEN turn - 1 END AS reply_to, CASE WHEN turn % 4 = 1 THEN 'photo' END AS media FROM conversations WHERE turn % 11 <> 10""")
+def chat_export(spark: SparkSession, sf: str) -> DataFrame:
+    return _utc(readers.chat_messages(spark, _chat_export(spark, sf), lines=True), "sent_at")
+
+
+@query(f"""SELECT count(*) AS n, count(DISTINCT {_EXPORT_KEY}) AS chats, sum(length({_SAID}))::BIGINT AS characters FROM conversations WHERE turn % 11 <> 10""")
+def chat_export_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same exports a few files at a time."""
+    rows = jobs.run_to_table(spark, readers.chat_stream(spark, _chat_export(spark, sf), 1, lines=True).select("export_key", "text"))
+    return rows.agg(F.count("*").alias("n"), F.count_distinct("export_key").alias("chats"), F.sum(F.length("text")).alias("characters"))
+
+
+@query(f"""SELECT CASE WHEN conv_id % 2 = 0 THEN conv_id END AS chat_id, 'Chat no. ' || conv_id AS name, 'personal_chat' AS type, {_EXPORT_KEY} AS export_key FROM conversations GROUP BY conv_id""")
+def chat_meta(spark: SparkSession, sf: str) -> DataFrame:
+    return readers.chat_meta(spark, _chat_export(spark, sf), lines=True)
+
+
+def _utc(df: DataFrame, column: str) -> DataFrame:
+    """A time as it reads in the session's zone."""
+    return df.withColumn(column, F.col(column).cast("timestamp_ntz"))
+
+
+def _crawl(spark: SparkSession, sf: str) -> str:
+    """A crawl document for each part (a service): its doctor, its clinic and its reviews, twice over; and one of the clinics."""
+    path = scratch(spark, "crawl")
+    line = lambda c: F.col(c)
+    number = line("l_orderkey") * 10 + line("l_linenumber")
+    review = F.struct(
+        F.when(number % 50 == 7, F.lit(0)).otherwise(number).alias("review_id"),
+        F.when(number % 9 == 4, F.lit(" ")).otherwise(F.concat(F.lit("review "), number.cast("string"))).alias("text"),
+        F.concat(F.lit("n"), (number % 25).cast("string")).alias("clinic_alias"),
+        F.when(number % 10 == 3, "Самара").otherwise("москва").alias("clinic_city"),
+        (number % 11).cast("double").alias("rating_value"),
+    )
+    own = load(spark, sf, "lineitem").where("l_quantity > 46").groupBy(line("l_partkey").alias("p_partkey")).agg(F.collect_list(review).alias("reviews"))  # a service's page holds its reviews
+    none = F.array().cast(f"array<{F_REVIEW}>")
+    doctor = F.struct((F.col("p_partkey") % 100 + 1).alias("doctor_id"), F.lit("D").alias("name"), (F.col("p_partkey") % 100 % 3).alias("reviews_count"))
+    clinic = F.struct(F.concat(F.lit("n"), (F.col("p_partkey") % 25).cast("string")).alias("clinic_alias"))
+    page = F.struct(F.lit(True).alias("ok"), F.concat(F.lit("/s/"), F.col("p_partkey").cast("string")).alias("page_url"), F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")).alias("service"), F.array(doctor).alias("doctors"), F.array(clinic).alias("clinics"), F.coalesce("reviews", none).alias("reviews"))
+    services = load(spark, sf, "part").join(own, "p_partkey", "left").select(F.lit("Москва").alias("target_city_name"), F.array(page).alias("services"), F.array().cast("array<struct<ok:boolean>>").alias("clinics"), F.coalesce("reviews", none).alias("reviews"))
+    named = F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: F.struct(F.lit(True).alias("ok"), F.concat(F.lit("n"), i.cast("string")).alias("clinic_alias")))
+    clinics = spark.range(1).select(F.lit("Москва").alias("target_city_name"), named.alias("clinics"))
+    lines = services.select(F.to_json(F.struct("*")).alias("value")).union(clinics.select(F.to_json(F.struct("*")).alias("value")))
+    lines.write.text(path)
+    return path
+
+
+F_REVIEW = "struct<review_id:bigint,text:string,clinic_alias:string,clinic_city:string,rating_value:double>"
+#: The reviews of _crawl that count, by id; ids of 0 drop out.
+_CRAWLED = "(SELECT DISTINCT l_orderkey * 10 + l_linenumber AS id FROM lineitem WHERE l_quantity > 46 AND (l_orderkey * 10 + l_linenumber) % 50 <> 7)"
+
+
+@query(f"""SELECT 'services' AS entity, CASE WHEN p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 46) THEN 'inserted' ELSE 'skipped_empty' END AS reason, count(*) AS n FROM part WHERE p_partkey > 0 GROUP BY 2
+  UNION ALL SELECT 'doctors', CASE WHEN d % 3 > 0 THEN 'inserted' ELSE 'skipped_empty' END, count(*) FROM (SELECT DISTINCT p_partkey % 100 AS d FROM part) GROUP BY 2
+  UNION ALL SELECT 'clinics', CASE WHEN i < 25 THEN 'inserted' ELSE 'skipped_empty' END, count(*) FROM (SELECT unnest(range(30)) AS i) GROUP BY 2
+  UNION ALL SELECT 'reviews', CASE WHEN id % 10 = 3 THEN 'skipped_other_city' WHEN id % 9 = 4 THEN 'skipped' ELSE 'inserted' END, count(*) FROM {_CRAWLED} GROUP BY 2""")
+def crawl_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.ingest_crawl(readers.crawl(spark, _crawl(spark, sf), lines=True))[1].where("n > 0")
+
+
+@query(f"""SELECT id AS review_id, CASE WHEN id % 9 = 4 THEN ' ' ELSE 'review ' || id END AS text, (id % 11)::DOUBLE AS rating FROM {_CRAWLED}""")
+def crawl_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    rows = S.reviews_deduped(readers.crawl_reviews(readers.crawl(spark, _crawl(spark, sf), lines=True)))
+    return R.canonical_reviews(rows).select("review_id", "text", "rating")
+
+
+@query(f"""SELECT (SELECT count(*) FROM part) AS services_fetched, 30::BIGINT AS clinics_fetched, 0::BIGINT AS doctor_profiles_fetched, (SELECT count(*) FROM part) AS doctors_on_services, (SELECT count(*) FROM {_CRAWLED}) AS reviews_collected""")
+def crawl_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.crawl_stats(readers.crawl(spark, _crawl(spark, sf), lines=True))
+
+
+@query("""SELECT event_type AS product_name, count(*) AS n, sum(length('say ' || chr(39) || event_type || chr(39) || ' now'))::BIGINT AS characters, round(sum(value), 3) AS confidence FROM events GROUP BY 1""")
+def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch(spark, "csv")
+    said = F.concat(F.lit('say "'), "product_name", F.lit('"\r\nnow'))
+    sinks.insights_csv(runs(spark, sf).withColumn("summary", said), path)
+    read = spark.read.csv(path, header=True, schema="id long, product_name string, created_at string, confidence double, summary string, source_id long")
+    return read.groupBy("product_name").agg(F.count("*").alias("n"), F.sum(F.length("summary")).alias("characters"), F.round(F.sum("confidence"), 3).alias("confidence"))
+
+
+@query("""SELECT year(o_orderdate)::INT AS year, count(*) AS n FROM orders WHERE year(o_orderdate) IN (1995, 1996) GROUP BY 1""")
+def yearly_export(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch(spark, "years")
+    sinks.by_year(load(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").alias("sent_at")), path, [1995, 1996])
+    return spark.read.schema("o_orderkey long, year int").json(path).groupBy("year").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT r_regionkey, r_name FROM region WHERE r_regionkey > 1""")
+def json_backups(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch(spark, "backup")
+    for least in (0, 1):
+        sinks.json_backup(load(spark, sf, "region").where(F.col("r_regionkey") > least), path)
+    return spark.read.schema("r_regionkey int, r_name string").json(path)
+
+
+@query("""SELECT event_type AS product_name, count(*) AS events FROM events WHERE event_id % 2 = 0 GROUP BY 1""")
+def persisted_runs(spark: SparkSession, sf: str) -> DataFrame:
+    folder, own = scratch(spark, "runs"), runs(spark, sf)
+    for part in (0, 2):
+        some = own.where(F.col("id") % 4 == part)
+        tools.persist_run(some, some.select(F.col("id").alias("run_id"), "created_at"), f"{folder}/runs", f"{folder}/events")
+    both = spark.read.parquet(f"{folder}/events").join(spark.read.parquet(f"{folder}/runs"), F.col("run_id") == F.col("id"))
+    return both.groupBy("product_name").agg(F.count("*").alias("events"))
+
+
+@query("""SELECT l_returnflag, count(*) AS n, max(l_quantity) AS most FROM lineitem WHERE l_quantity > 10 GROUP BY 1""")
+def resumed_phases(spark: SparkSession, sf: str) -> DataFrame:
+    """Two phases; the second run finds both and makes neither."""
+    folder = scratch(spark, "phases")
+
+    def never(*_) -> DataFrame:
+        raise AssertionError("a finished phase is made again")
+
+    select = lambda spark, done: load(spark, sf, "lineitem").where("l_quantity > 10").select("l_returnflag", "l_quantity")
+    count = lambda spark, done: done["select"].groupBy("l_returnflag").agg(F.count("*").alias("n"), F.max("l_quantity").alias("most"))
+    work.run_phases(spark, folder, [("select", select), ("count", count)])
+    return work.run_phases(spark, folder, [("select", never), ("count", never)])["count"]
+
+
+# Further filters, fields and reports
+
+
+@query("""SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0""")
+def boolean_filters(spark: SparkSession, sf: str) -> DataFrame:
+    flags = load(spark, sf, "labels").select("doc_id", (F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic"), F.nullif("quality", F.lit(0)).alias("kept"))
+    return S.where_present(S.where_false(S.where_true(flags, "good"), "toxic"), "kept").select("doc_id")
+
+
+@query("""SELECT count(*) > 0 AS known, (SELECT count(*) > 0 FROM events WHERE user_id = -5) AS unknown FROM events WHERE user_id = (SELECT min(user_id) FROM events) AND event_id >= 0""")
+def existence_probe(spark: SparkSession, sf: str) -> DataFrame:
+    own = load(spark, sf, "events").select(F.col("user_id").alias("source_id"), F.col("event_type").alias("external_id"))
+    first = own.orderBy("source_id", "external_id").first()
+    return spark.createDataFrame([(tools.has_source(own, first["source_id"], first["external_id"]), tools.has_source(own, -5, first["external_id"]))], "known boolean, unknown boolean")
+
+
+@query("""SELECT p_partkey, p_size FROM part WHERE p_size <= 5""")
+def source_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    part = load(spark, sf, "part").select("p_partkey", "p_size")
+    return S.first_nonempty(part.where("p_size > 1000"), part.where("p_size <= 5"), part)
+
+
+@query("""SELECT doc_id, length(trim(CASE doc_id % 3 WHEN 0 THEN '  ' WHEN 1 THEN source ELSE '' END)) > 0 AS answered, (n_chars % 9)::DOUBLE AS rating FROM documents""")
+def answered_flags(spark: SparkSession, sf: str) -> DataFrame:
+    answer = F.when(F.col("doc_id") % 3 == 0, "  ").when(F.col("doc_id") % 3 == 1, F.col("source"))
+    rated = load(spark, sf, "documents").select("doc_id", answer.alias("answer"), F.lit("none").alias("rating_value"), (F.col("n_chars") % 9).cast("string").alias("rating_clinic"))
+    return R.canonical_reviews(rated).select("doc_id", "answered", "rating")
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_name END AS clinic_alias, CASE WHEN s_suppkey % 2 = 1 THEN s_name END AS clinic_name_like, CASE WHEN s_suppkey % 3 > 0 THEN (s_suppkey % 3)::VARCHAR END AS doctor_external_id FROM supplier""")
+def entity_filters(spark: SparkSession, sf: str) -> DataFrame:
+    own = load(spark, sf, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).otherwise(" ").alias("clinic_alias"), F.col("s_name").alias("clinic_name"), (F.col("s_suppkey") % 3).alias("doctor_id"), F.lit(None).cast("string").alias("doctor_name"))
+    own = own.withColumns({"clinic": research.entity_filter("clinic"), "doctor": F.map_filter(F.create_map(F.lit("doctor_external_id"), F.nullif("doctor_id", F.lit(0)).cast("string")), lambda k, v: v.isNotNull())})
+    return own.select("s_suppkey", F.col("clinic")["clinic_alias"].alias("clinic_alias"), F.col("clinic")["clinic_name_like"].alias("clinic_name_like"), F.col("doctor")["doctor_external_id"].alias("doctor_external_id"))
+
+
+@query("""SELECT doc_id, substr(text, 1, 400) AS snippet FROM documents""")
+def search_views(spark: SparkSession, sf: str) -> DataFrame:
+    return research.search_view(load(spark, sf, "documents").select("doc_id", F.col("text").alias("body"), F.lit(1).alias("pos")))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 2 THEN 4 ELSE least(5, greatest(1, (props->>'$.k')::INT)) END AS ai_rating, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN 'a' || chr(10) || event_type ELSE 'no keys at all' END AS summary, CASE WHEN event_id % 3 < 2 THEN 'x, y' ELSE '' END AS tags FROM events""")
+def salvaged_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Analyses as a model writes them: JSON in a fence, keys that aren't JSON, and prose."""
+    k = F.get_json_object("props", "$.k")
+    fenced = F.concat(F.lit('Here:\n```json\n{"rating": '), k, F.lit(', "summary": "'), "event_type", F.lit('", "tags": ["x", " y "]}\n```'))
+    broken = F.concat(F.lit('{"rating": '), k, F.lit(' "summary": "a\\n'), "event_type", F.lit('", "tags": ["x", "y"], oops'))
+    said = F.when(F.col("event_id") % 3 == 0, fenced).when(F.col("event_id") % 3 == 1, broken).otherwise("no keys at all")
+    return ingest.analysed(load(spark, sf, "events").withColumn("answer", said), "answer").select("event_id", "ai_rating", "summary", "tags")
+
+
+@query(f"""WITH c AS (SELECT least(1.0, 0.4 + 0.6 * sum((length(trim(coalesce(text, ''))) > 0)::INT) / count(*)) AS coverage,
+  greatest(0.2, least(1.0, avg(len(list_intersect(q, list_distinct({WORDS.format("text")}))) / len(q)))) AS grounding
+  FROM documents, (SELECT list_distinct({WORDS.format("text")}) AS q FROM benchmark WHERE item_id = 0)) SELECT round((coverage + grounding) / 2, 2)::DOUBLE AS confidence, true AS passed, 'ok' AS notes FROM c""")
+def answer_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    return M.confidence(load(spark, sf, "documents"), "text", load(spark, sf, "benchmark").where("item_id = 0").first()["text"])
+
+
+@query("""SELECT conv_id, turn, [role, conv_id::VARCHAR] AS quoted, turn < 3 AS incomplete FROM conversations""")
+def quoted_names(spark: SparkSession, sf: str) -> DataFrame:
+    asked = F.concat(F.lit("сравни « "), "role", F.lit("» и \""), F.col("conv_id").cast("string"), F.lit("aa\""))
+    return load(spark, sf, "conversations").select("conv_id", "turn", F.transform(routing.quoted(asked), lambda x: F.regexp_replace(x, "aa$", "")).alias("quoted"), routing.is_incomplete(F.col("turn"), F.lit(3)).alias("incomplete"))
+
+
+@query("""SELECT l_suppkey::VARCHAR AS entity_id, count(*) AS review_count, coalesce(max(CASE WHEN l_returnflag = 'A' THEN 'seen' END), '') AS a, coalesce(max(CASE WHEN l_returnflag = 'R' THEN 'seen' END), '') AS r FROM lineitem GROUP BY 1""")
+def table_of_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics with a column for each field of texts."""
+    own = reviews(spark, sf).withColumns({"doctor_id": F.lit(1), "doctor_name": F.lit("")})
+    cells = load(spark, sf, "lineitem").where("l_returnflag <> 'N'").select(F.col("l_suppkey").cast("string").alias("entity_id"), F.lower("l_returnflag").alias("field"), F.lit("seen").alias("value")).distinct()
+    return R.research_table(own, ["entity_id"], cells).select("entity_id", "review_count", "a", "r")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 4 = 1 THEN 'new' ELSE c_mktsegment END AS address, c_name AS name FROM customer""")
+def profile_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Later profiles overwrite what was there, with null as well."""
+    old = load(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment").alias("address"), F.col("c_name").alias("name"))
+    some = old.where("c_custkey % 4 < 2").withColumn("address", F.when(F.col("c_custkey") % 4 == 1, "new"))
+    return S.upsert(old, some.withColumn("pos", F.lit(1)), ["c_custkey"], "pos")
+
+
+@query("""SELECT 'review' AS kind, doc_id::VARCHAR AS ref, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 20) ELSE source END AS body, CASE WHEN doc_id % 2 = 0 THEN embedding END AS embedding
+  FROM documents JOIN embeddings ON vec_id = doc_id""")
+def chunk_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    docs = load(spark, sf, "documents").join(load(spark, sf, "embeddings"), F.col("doc_id") == F.col("vec_id"))
+    stored = docs.select(F.lit("review").alias("kind"), F.col("doc_id").cast("string").alias("ref"), F.substring("text", 1, 20).alias("body"), "embedding")
+    new = docs.where("doc_id % 2 = 1").select(F.lit("review").alias("kind"), F.col("doc_id").cast("string").alias("ref"), F.col("source").alias("body"), F.lit(None).cast("array<float>").alias("embedding"), F.lit(0).alias("pos"))
+    return ingest.upsert_chunks(stored, new, "pos")
+
+
+@query("""SELECT DISTINCT doc_id AS chunk_id, CASE WHEN doc_id % 3 = 0 THEN 'negative' ELSE 'general' END AS asked FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0""")
+def merged_snippets(spark: SparkSession, sf: str) -> DataFrame:
+    docs = load(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("title"), "text", F.col("doc_id").alias("pos"))
+    return R.snippets_merged(docs.where("chunk_id % 3 = 0").withColumn("asked", F.lit("negative")), docs.where("chunk_id % 2 = 0").withColumn("asked", F.lit("general"))).select("chunk_id", "asked")
+
+
+@query("""WITH b AS (SELECT event_id, user_id, value, ts::DATE::VARCHAR AS created, event_id % 2 AS late FROM events)
+  SELECT user_id AS review_id, arg_max(value, late * 10000000000 + event_id) AS rating FROM b GROUP BY 1""")
+def merged_page_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    rows = load(spark, sf, "events").select(F.col("user_id").alias("review_id"), F.col("event_type").alias("text"), F.to_date("ts").cast("string").alias("created"), F.col("value").alias("rating"), F.col("event_id").alias("pos"))
+    return readers_of_pages.merged_reviews(rows.where("pos % 2 = 0"), rows.where("pos % 2 = 1")).select("review_id", "rating")
+
+
+def _lists(rows: str, kinds: list[str], k: int) -> str:
+    """Of rows (entity_id, text) the k most frequent themes among kinds, as a list."""
+    values = ", ".join(f"('{t}', '{'|'.join(THEMES[t])}')" for t in kinds)
+    return f"""(SELECT entity_id, list(theme ORDER BY n DESC, theme)[1:{k}] AS themes FROM (SELECT entity_id, theme, count(*) AS n FROM {rows}, (VALUES {values}) v(theme, p)
+      WHERE regexp_matches(lower(text), p) GROUP BY 1, 2) GROUP BY 1)"""
+
+
+_PRAISES = [t for t in THEMES if t not in COMPLAINTS]
+_RATED = "(SELECT source AS entity_id, doc_id, text, ((n_chars % 50) / 5)::DOUBLE AS rating, n_chars % 3 = 0 AS answered FROM documents)"
+
+
+def _rated(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("n_chars")
+    return load(spark, sf, "documents").select(
+        F.col("source").alias("entity_id"), F.concat(F.lit("Source "), "source").alias("entity_name"), F.col("doc_id").alias("review_id"), "text", ((n % 50) / 5).alias("rating"),
+        (n % 3 == 0).alias("answered"), F.lit("2024-01-01").alias("created"), F.lit(1).alias("doctor_id"), F.lit("").alias("doctor_name"), F.col("doc_id").alias("pos"),
+    )
+
+
+@query(f"""WITH r AS (SELECT * FROM {_RATED}), good AS (SELECT * FROM r WHERE rating >= 8), bad AS (SELECT * FROM r WHERE coalesce(nullif(rating, 0), 10) < 7),
+  risky AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY answered, coalesce(nullif(rating, 0), 10), doc_id) <= 5),
+  m AS (SELECT entity_id, 100.0 * sum((NOT answered)::INT) / count(*) AS unanswered, 100.0 * sum((rating < 7)::INT) / count(*) AS negative FROM r GROUP BY 1),
+  t AS (SELECT m.*, coalesce(g.themes, []) AS g, coalesce(b.themes, []) AS b, coalesce(k.themes, []) AS k FROM m LEFT JOIN {_lists("good", _PRAISES, 5)} g USING (entity_id)
+    LEFT JOIN {_lists("bad", COMPLAINTS, 5)} b USING (entity_id) LEFT JOIN {_lists("risky", COMPLAINTS, 4)} k USING (entity_id))
+  SELECT entity_id, CASE WHEN len(g) > 0 THEN g ELSE ['{heuristics.NO_PRAISE}'] END AS what_patients_value, CASE WHEN len(b) > 0 THEN b ELSE ['{heuristics.NO_COMPLAINTS}'] END AS top_complaints,
+  CASE WHEN len(k) > 0 THEN k WHEN len(b) > 0 THEN b[1:3] ELSE ['{heuristics.NO_RISKS}'] END AS risk_topics,
+  list_concat(CASE WHEN unanswered > 15 THEN ['{heuristics.ANSWER_MORE}'] ELSE [] END, CASE WHEN negative > 20 THEN ['{heuristics.SET_STANDARDS}'] ELSE [] END, ['Устранить повторяющуюся тему: ' || x FOR x IN b[1:3]]) AS service_improvements,
+  CASE WHEN len(g) > 0 THEN 'Акцент для рекламы: ' || g[1] || ' — формулировка из повторяющихся похвал в отзывах.' ELSE 'Сначала соберите больше положительных отзывов для точного рекламного угла.' END AS ad_angle FROM t""")
+def heuristic_report(spark: SparkSession, sf: str) -> DataFrame:
+    made = heuristics.report(_rated(spark, sf), ["entity_id"], "entity_name", "text", THEMES, COMPLAINTS)
+    return made.select("entity_id", "what_patients_value", "top_complaints", "risk_topics", "service_improvements", "ad_angle")
+
+
+@query(f"""WITH r AS (SELECT * FROM {_RATED} WHERE entity_id IN ('src0', 'src1', 'src2')), good AS (SELECT * FROM r WHERE rating >= 8), bad AS (SELECT * FROM r WHERE coalesce(nullif(rating, 0), 10) < 7)
+  SELECT position, entity_id, 'Source ' || entity_id AS entity_name, coalesce(g.themes, ['{heuristics.NO_PRAISE}']) AS strengths, coalesce(b.themes, ['{heuristics.FEW_COMPLAINTS}']) AS weaknesses
+  FROM (VALUES (1, 'src2'), (2, 'src0'), (3, 'src1')) v(position, entity_id) LEFT JOIN {_lists("good", _PRAISES, 4)} g USING (entity_id) LEFT JOIN {_lists("bad", COMPLAINTS, 4)} b USING (entity_id)""")
+def heuristic_compare(spark: SparkSession, sf: str) -> DataFrame:
+    each, _ = heuristics.compare(_rated(spark, sf), ["src2", "src0", "src1"], "entity_name", "text", THEMES, COMPLAINTS)
+    return each.select("position", "entity_id", "entity_name", "strengths", "weaknesses")
+
+
+@query(f"""WITH r AS (SELECT * FROM {_RATED} WHERE entity_id IN ('src0', 'src1', 'src2')), m AS (SELECT entity_id, avg(rating) AS r, sum(answered::INT) / count(*) AS a, count(*) AS n FROM r GROUP BY 1)
+  SELECT (SELECT 'Source ' || entity_id FROM m ORDER BY r DESC, entity_id LIMIT 1) AS avg_rating, (SELECT 'Source ' || entity_id FROM m ORDER BY a DESC, entity_id LIMIT 1) AS answered_pct, (SELECT 'Source ' || entity_id FROM m ORDER BY n DESC, entity_id LIMIT 1) AS review_count""")
+def heuristic_winners(spark: SparkSession, sf: str) -> DataFrame:
+    return heuristics.compare(_rated(spark, sf), ["src0", "src1", "src2"], "entity_name", "text", THEMES, COMPLAINTS)[1].select("winner_by_metric.*")
