@@ -6,12 +6,13 @@ Texts whose canonical forms share a fingerprint are compared byte by byte: the d
 rows are counted, and where a bucket has several, the form's SHA-256 is appended. Which rows need that is told by a
 bitmap of fixed size (BITMAP_BITS), which lets through all of them and, by chance, some others.
 
+Edited texts are never stored: their forms are told apart, from each other and from the documents' own, by SHA-256.
+
 Likeness of fingerprints is 1 where they are equal, else 0: an exact digest knows no degrees.
 
-Defined results: null text counts as empty. The document after the last one in falling order of doc_id is the first; a lone
-document follows itself. A null doc_id comes last. Rows that repeat a doc_id are versions of one document: each keeps its
-row, and the version with the smallest hash stands for it where it is the next document. An empty table gives an empty
-one; other columns are not read.
+Defined results: null text counts as empty. Documents follow each other by falling doc_id, null ones last, and those of one
+doc_id by a hash of their text; rows that share doc_id and text are one document, each with its row. After the last
+document comes the first; a lone document follows itself. An empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opinara.llm.common import durable
+from opinara.llm.common import durable, even_join
 
 BITMAP_BITS = 1 << 22
 _PER_MAP = 1 << 15  # what one row of bitmap_construct_agg holds
@@ -40,20 +41,26 @@ def wide_hash(canon: Column) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(F.xxhash64(canon)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(1), canon)), 16, "0")))
 
 
-def _place(print_: Column) -> Column:
-    return F.pmod(F.xxhash64(print_), F.lit(BITMAP_BITS))
+def raw_hash(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def _place(raw: Column) -> Column:
+    return F.pmod(F.xxhash64(raw), F.lit(BITMAP_BITS))
 
 
 def collisions(texts: DataFrame, prints: DataFrame) -> DataFrame:
-    """Fingerprints that stand for several canonical forms. texts: (text); prints: (print) of each of its rows."""
-    shared = prints.groupBy("print").count().where("count > 1").select(_place(F.col("print")).alias("at"))
+    """Fingerprints that stand for several canonical forms. texts: (text); prints: (print, raw) of each of its rows, raw being
+    a hash of the text as it is, which tells the rows of shared fingerprints without making their form anew."""
+    shared = even_join(prints, prints.groupBy("print").count().where("count > 1").select("print"), ["print"]).select(_place(F.col("raw")).alias("at"))
     maps = shared.groupBy(F.floor(F.col("at") / _PER_MAP).alias("part")).agg(F.bitmap_construct_agg(F.col("at") % _PER_MAP).alias("bits"))
-    forms = texts.select(canonical(F.coalesce("text", F.lit(""))).alias("canon")).withColumn("print", wide_hash(F.col("canon")))
-    forms = forms.withColumn("at", _place(F.col("print"))).withColumn("part", F.floor(F.col("at") / _PER_MAP))
+    text = F.coalesce("text", F.lit(""))
+    placed = texts.select(text.alias("text"), _place(raw_hash(text)).alias("at")).withColumn("part", F.floor(F.col("at") / _PER_MAP))
     byte = F.conv(F.hex(F.expr(f"substring(bits, cast(at % {_PER_MAP} div 8 as int) + 1, 1)")), 16, 10).cast("int")
     set_ = byte.bitwiseAND(F.expr("shiftleft(1, cast(at % 8 as int))")) > 0
-    near = forms.join(F.broadcast(maps), "part").where(set_)  # BITMAP_BITS / 8 bytes at most
-    return near.select("print", "canon").distinct().groupBy("print").count().where("count > 1").select("print")
+    near = placed.join(F.broadcast(maps), "part").where(set_)  # BITMAP_BITS / 8 bytes at most
+    forms = near.select(canonical(F.col("text")).alias("canon")).withColumn("print", wide_hash(F.col("canon")))
+    return forms.distinct().groupBy("print").count().where("count > 1").select("print")
 
 
 def verified(df: DataFrame, doubtful: DataFrame | None, print_: str, canon: str) -> DataFrame:
@@ -67,22 +74,26 @@ def verified(df: DataFrame, doubtful: DataFrame | None, print_: str, canon: str)
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, canon) of every row: equal fingerprints are equal canonical forms."""
-    rows = docs.select("doc_id", canonical(F.coalesce("text", F.lit(""))).alias("canon")).withColumn("fingerprint", wide_hash(F.col("canon")))
-    doubtful = durable(collisions(docs.select("text"), rows.select(F.col("fingerprint").alias("print"))), "collisions")
-    return verified(rows, None if doubtful.isEmpty() else doubtful, "fingerprint", "canon")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", canonical(text).alias("canon"), raw_hash(text).alias("raw")).withColumn("fingerprint", wide_hash(F.col("canon")))
+    doubtful = durable(collisions(docs.select("text"), rows.select(F.col("fingerprint").alias("print"), "raw")), "collisions")
+    return verified(rows.drop("raw"), None if doubtful.isEmpty() else doubtful, "fingerprint", "canon")
+
+
+KEY = ["id", "raw", "raw2"]  # of a document: its doc_id, and 128 bits of its text
 
 
 def _followers(ids: DataFrame) -> DataFrame:
-    """(key, after, need, raw, print): each document, that after which it comes, the characters this may take of it."""
-    one = ids.groupBy("key").agg(F.min(F.struct("raw", "print")).alias("v"), F.max("n").alias("longest"))
-    one = one.select("key", "v.raw", "v.print", "longest").orderBy(F.col("key").desc())
+    """Of each document (KEY) its print and sha as next_print and next_sha, and the KEY of the document that it follows, as
+    after_*, with n of that."""
+    one = ids.groupBy(*KEY).agg(*(F.first(c).alias(c) for c in ("n", "print", "sha"))).orderBy(F.col("id").desc(), "raw", "raw2")
     one = durable(one.withColumn("part", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "order")
     parts = one.groupBy("part").agg(F.count("*").alias("rows"))  # a row for each partition
     before = F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = one.join(F.broadcast(parts.select("part", before.alias("before"))), "part").withColumn("rank", F.col("before") + F.col("nth"))
     total = one.count()
-    ahead = ranked.select(F.pmod(F.col("rank") + 1, F.lit(max(1, total))).alias("rank"), F.col("key").alias("after"), F.floor(F.col("longest") / 3).cast("int").alias("need"))
-    return ranked.select("rank", "key", "raw", "print").join(ahead, "rank").drop("rank")
+    ahead = ranked.select(F.pmod(F.col("rank") + 1, F.lit(max(1, total))).alias("rank"), F.col("n").alias("after_n"), *(F.col(c).alias(f"after_{c}") for c in ("print", "sha", *KEY)))
+    return ranked.select("rank", *KEY, F.col("print").alias("next_print"), F.col("sha").alias("next_sha")).join(ahead, "rank").drop("rank")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -90,33 +101,35 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    texts = docs.select(key.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = durable(texts.select("key", F.length("text").alias("n"), F.xxhash64("text").alias("raw"), wide_hash(canonical(F.col("text"))).alias("print")), "prints")
-    doubtful = durable(collisions(texts.select("text"), ids.select("print")), "collisions")
-    doubtful = None if doubtful.isEmpty() else doubtful
+    whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = whole.select("id", raw_hash(F.col("text")).alias("raw"), F.xxhash64(F.lit(1), "text").alias("raw2"), "text")
+    forms = texts.select(*KEY, F.length("text").alias("n"), canonical(F.col("text")).alias("canon"))
+    ids = durable(forms.select(*KEY, "n", wide_hash(F.col("canon")).alias("print"), F.sha2("canon", 256).alias("sha")), "prints")
     follow = durable(_followers(ids), "followers")
-    # compared after the join, by the key alone: both uses of texts then share one exchange, and a key's rows are together
-    nexts = texts.join(follow, "key").where(F.xxhash64("text").bitwiseXOR(F.col("raw")) == 0)
-    nexts = nexts.select("key", "after", F.expr("left(text, need)").alias("start"), F.col("print").alias("next_print")).dropDuplicates(["key"])
-    nexts = nexts.select(F.col("after").alias("key"), "start", "next_print")
-    both = texts.join(nexts, "key").withColumn("n_chars", F.length("text").cast("long")).withColumn("cut", F.floor(F.col("n_chars") / 3).cast("int"))
+    # both joins keep hot documents apart and share one exchange of the texts
+    nexts = even_join(texts, follow, KEY).withColumn("start", F.expr("left(text, cast(after_n div 3 as int))"))
+    nexts = nexts.select(*(F.col(f"after_{c}").alias(c) for c in (*KEY, "print", "sha")), "start", "next_print", "next_sha")
+    if follow.count() < ids.count():  # rows that are one document bring the same start
+        nexts = nexts.dropDuplicates(KEY)
+    both = even_join(texts, nexts, KEY).withColumn("n_chars", F.length("text").cast("long")).withColumn("cut", F.floor(F.col("n_chars") / 3).cast("int"))
     both = both.withColumn("edited", F.concat(F.expr("left(text, cast(n_chars as int) - cut)"), F.expr("left(start, cut)")))
-    out = both.select(
-        F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id"),
+    both = both.select("id", "n_chars", "print", "sha", "next_print", "next_sha", F.sha2("edited", 256).alias("edited_sha256"), canonical(F.col("edited")).alias("canon"))
+    out = durable(both.withColumn("edited_print", wide_hash(F.col("canon"))).withColumn("edited_form", F.sha2("canon", 256)).drop("canon"), "edited")
+    seen = out.select(F.col("edited_print").alias("print"), F.col("edited_form").alias("sha")).union(ids.select("print", "sha")).distinct()
+    doubtful = seen.groupBy("print").count().where("count > 1").select("print").union(collisions(whole.select("text"), ids.select("print", "raw"))).distinct()
+    doubtful = durable(doubtful, "collisions")
+    told = lambda c, sha: F.col(c)
+    if not doubtful.isEmpty():
+        for c in ("print", "edited_print", "next_print"):
+            out = even_join(out, doubtful.select(F.col("print").alias(c), F.lit(True).alias(f"{c}_shared")), [c], "left")
+        told = lambda c, sha: F.when(F.col(f"{c}_shared"), F.concat(c, F.lit("-"), sha)).otherwise(F.col(c))
+    own, edited, after = told("print", "sha"), told("edited_print", "edited_form"), told("next_print", "next_sha")
+    return out.select(
+        F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"),
         "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
-        "next_print",
-        canonical(F.col("text")).alias("canon"),
-        canonical(F.col("edited")).alias("edited_canon"),
+        "edited_sha256",
+        own.alias("fingerprint"),
+        edited.alias("edited_fingerprint"),
+        (own == edited).cast("double").alias("near_edited"),
+        (own == after).cast("double").alias("near_next"),
     )
-    out = out.withColumn("fingerprint", wide_hash(F.col("canon"))).withColumn("edited_fingerprint", wide_hash(F.col("edited_canon")))
-    out = out.withColumn("near_next", (F.col("fingerprint") == F.col("next_print")).cast("double"))
-    if doubtful is not None:  # the next document's form isn't here: a shared fingerprint alone doesn't make it like
-        shared = doubtful.select(F.col("print").alias("next_print"), F.lit(0.0).alias("_none"))
-        out = out.join(shared, "next_print", "left").withColumn("near_next", F.coalesce("_none", "near_next")).drop("_none")
-    same_print = (F.col("fingerprint") == F.col("edited_fingerprint")) & (F.col("canon") != F.col("edited_canon"))
-    out = out.withColumn("edited_fingerprint", F.when(same_print, F.concat("edited_fingerprint", F.lit("-"), F.sha2("edited_canon", 256))).otherwise(F.col("edited_fingerprint")))
-    out = verified(verified(out, doubtful, "fingerprint", "canon"), doubtful, "edited_fingerprint", "edited_canon")
-    near = (F.col("fingerprint") == F.col("edited_fingerprint")).cast("double")
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near.alias("near_edited"), "near_next")
