@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,6 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opinara.storage import durable, remove, shared_dir
+
+__all__ = ["SLICE_BYTES", "components", "durable", "even_join", "same_rows", "shared_dir", "slices", "table", "whole_row"]
+
 #: Bytes of text that a Python step works on at once.
 SLICE_BYTES = 4 << 20
 
@@ -41,36 +42,6 @@ def same_rows(docs: DataFrame) -> Column:
     return F.xxhash64(*(F.col(f"`{c}`") for c in plain)) if plain else F.lit(0)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the session names none, a local master gets one of its own; a
-    cluster is refused, since its machines don't see each other's folders."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="opinara-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        atexit.register(_remove, spark, root)
-    return root
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # the session may be gone
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: later steps don't repeat its lineage, and
-    a lost executor takes none of it along. The table goes when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def even_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """An equi-join for a left side with hot keys and a right side that was aggregated by the same keys.
 
@@ -101,4 +72,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = even_join(large, least, ["a"])
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", "m")).distinct()
-        edges = durable(small, name)
+        new = durable(small, name)
+        for path in edges.inputFiles()[:1]:  # what the round before has left isn't read any more
+            remove(edges.sparkSession, path.rsplit("/", 1)[0])
+        edges = new
