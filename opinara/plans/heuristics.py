@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,19 @@ NO_PRAISE, NO_COMPLAINTS, NO_ADVICE, NO_RISKS = (
 )
 FEW_COMPLAINTS, NOTHING_SHARED = "Явных жалоб мало", "Общих повторяющихся жалоб не выделено"
 MADE_BY_RULE = "Текст сформирован автоматически из отзывов (LLM недоступен или не вернул JSON)."
+# The parts of a report, those that are one text, and other names that models give them.
+PARTS = {
+    "executive_summary": ["executive_summary", "summary", "сводка", "резюме"],
+    "what_patients_value": ["what_patients_value", "what_patients_like", "strengths", "positives", "плюсы", "что_ценят"],
+    "top_complaints": ["top_complaints", "complaints", "weaknesses", "negatives", "жалобы"],
+    "service_improvements": ["service_improvements", "improvements", "fixes", "что_починить"],
+    "landing_page_gaps": ["landing_page_gaps", "landing_gaps", "page_gaps", "на_страницу"],
+    "ad_angle": ["ad_angle", "advertising_angle", "реклама", "ad"],
+    "target_audience": ["target_audience", "audience", "целевая_аудитория", "ца"],
+    "risk_topics": ["risk_topics", "risks", "risk", "риски"],
+}
+ONE_TEXT = {"executive_summary", "ad_angle", "target_audience"}
+NESTED = ["report", "result", "data", "analysis", "ответ"]
 WINNERS = {"avg_rating": "рейтинг", "answered_pct": "ответы на отзывы", "review_count": "число отзывов"}
 
 
@@ -59,6 +74,51 @@ def _hints(table: dict[str, str], themes: Column, otherwise) -> Column:
     return F.array_compact(F.transform(themes, lambda t: F.coalesce(F.try_element_at(known, t), otherwise(t))))
 
 
+def normalised(made: object) -> dict[str, Any]:
+    """A model's report as the eight PARTS whatever it calls them or wraps them in: texts stripped, lists without blanks, and a
+    text where a list should be as its lines."""
+    plain = lambda d: {str(k).lower().replace(" ", "_"): v for k, v in d.items()}
+    names = {alias for aliases in PARTS.values() for alias in aliases}
+    own = plain(made) if isinstance(made, dict) else {}
+    inner = (plain(own[k]) for k in NESTED if isinstance(own.get(k), dict))
+    own = next((d for d in inner if names & d.keys()), own)
+    out: dict[str, Any] = {}
+    for part, aliases in PARTS.items():
+        value = next((own[a] for a in aliases if own.get(a) is not None), None)
+        if part in ONE_TEXT:
+            out[part] = str(value or "").strip()
+        elif isinstance(value, str):
+            out[part] = [bare for line in value.split("\n") if line.strip() and (bare := line.strip(" -•"))]
+        else:
+            out[part] = [str(x).strip() for x in value if str(x).strip()] if isinstance(value, list) else []
+    return out
+
+
+def report_answer(name: str, metrics: dict[str, Any], report: dict[str, Any]) -> str:
+    """A report as a chat's answer: paragraphs for what it has."""
+    head = f"**{name}** — отзывов: {metrics.get('review_count', 0)}, avg: {metrics.get('avg_rating')}, негатив: {metrics.get('negative_pct')}%, без ответа: {metrics.get('unanswered_pct')}%"
+    titled = [("Что ценят", "what_patients_value"), ("Жалобы", "top_complaints"), ("На страницу добавить", "landing_page_gaps"), ("Угол для рекламы", "ad_angle")]
+    said = lambda v: v if isinstance(v, str) else "; ".join(v)
+    return "\n\n".join([head, *filter(None, [report.get("executive_summary")]), *(f"**{title}:** {said(report[part])}" for title, part in titled if report.get(part))])
+
+
+def comparison_answer(whole: dict[str, Any], each: list[dict[str, Any]]) -> str:
+    """A comparison as a chat's answer."""
+    blocks = ["\n".join([f"**{e['entity_name']}**", *(f"{title}: {'; '.join(e[part])}" for title, part in (("сильные", "strengths"), ("слабые", "weaknesses")) if e.get(part))]) for e in each]
+    shared = f"**Общие жалобы:** {'; '.join(whole['shared_complaints'])}" if whole.get("shared_complaints") else ""
+    angle = f"**Кому какой угол:** {whole['ad_angle']}" if whole.get("ad_angle") else ""
+    return "\n\n".join(filter(None, [whole.get("summary"), *blocks, shared, angle]))
+
+
+def search_answer(query: str, found: list[dict[str, Any]]) -> str:
+    """Chunks as a chat's answer: five titles with the first 240 characters of each."""
+    if not found:
+        return f"По запросу «{query}» в RAG-индексе ничего не нашлось."
+    short = lambda t: t if len(t) <= 240 else t[:240] + "…"
+    lines = [f"- **{f.get('title') or f.get('chunk_id')}** — {short((f.get('snippet') or '').strip().replace(chr(10), ' '))}" for f in found[:5]]
+    return "\n".join([f"Нашёл {len(found)} релевантных фрагментов:", *lines])
+
+
 def report(reviews: DataFrame, by: list[str], name: str, text: str, themes: dict = M.THEMES, complaints: list[str] = M.COMPLAINTS, risky: int = 5) -> DataFrame:
     """The eight parts of a report for each entity: executive_summary, ad_angle and target_audience as texts, the others as lists.
 

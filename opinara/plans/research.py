@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -92,15 +93,16 @@ def api_reviews(raw: DataFrame, body: str, position: str, size: int, clinics: Da
     return kept, count(first, "a").crossJoin(count(kept, "b")).select((F.col("a") - F.col("b")).alias("dropped"))  # one row each
 
 
-def chat(spark: SparkSession, query: str, tools: Tools, last: tuple[str, str | None, list[str]] | None = None, override: str | None = None) -> dict[str, Any]:
+def chat(spark: SparkSession, query: str, tools: Tools, last: tuple[str, str | None, list[str]] | None = None, override: str | None = None, detect: Callable[[Column], Column] = routing.intent) -> dict[str, Any]:
     """Answers a question by the tool of its intent (entity_kind, entities and query are passed on).
 
     Intents: reputation_compare (two entities or more), reputation_analyze (one), rag_search and fallback. Where entities lack,
-    error is need_entities and nothing runs. last is the session's previous (intent, entity_kind, entities).
+    error is need_entities and nothing runs. last is the session's previous (intent, entity_kind, entities); detect gives the
+    intent, as routing.intent does.
     """
     q = F.col("q")
     df = spark.createDataFrame([(query, last)], "q string, last struct<intent: string, entity_kind: string, entities: array<string>>")
-    asked = df.select(routing.in_session(q, routing.intent(q), F.col("last")).alias("v")).first()["v"].asDict()
+    asked = df.select(routing.in_session(q, detect(q), F.col("last")).alias("v")).first()["v"].asDict()
     asked["intent"] = override if override in ("reputation_analyze", "reputation_compare", "rag_search", "fallback") else asked["intent"]
     entities, kind = asked["entities"] or [], asked["entity_kind"] or "clinic"
     if len(entities) < {"reputation_compare": 2, "reputation_analyze": 1}.get(asked["intent"], 0):

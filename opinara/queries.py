@@ -18,7 +18,7 @@ from opinara.functions import vectors as V
 from opinara.operators import entities as E
 from opinara.operators import metrics as M
 from opinara.operators import tables as S
-from opinara.plans import heuristics, ingest, research, tools
+from opinara.plans import heuristics, ingest, models, research, tools
 from opinara.plans import jobs as work
 from opinara.plans import reputation as R
 from opinara.plans import search as H
@@ -955,3 +955,152 @@ def heuristic_compare(spark: SparkSession, sf: str) -> DataFrame:
   SELECT (SELECT 'Source ' || entity_id FROM m ORDER BY r DESC, entity_id LIMIT 1) AS avg_rating, (SELECT 'Source ' || entity_id FROM m ORDER BY a DESC, entity_id LIMIT 1) AS answered_pct, (SELECT 'Source ' || entity_id FROM m ORDER BY n DESC, entity_id LIMIT 1) AS review_count""")
 def heuristic_winners(spark: SparkSession, sf: str) -> DataFrame:
     return heuristics.compare(_rated(spark, sf), ["src0", "src1", "src2"], "entity_name", "text", THEMES, COMPLAINTS)[1].select("winner_by_metric.*")
+
+
+# Pages, feeds, keys and chats made from the tables
+
+
+def _page(state: Column) -> Column:
+    """A page that holds a state, as JSON text."""
+    whole = F.concat(F.lit('{"props": {"pageProps": {"preloadedState": '), state, F.lit("}}}"))
+    return F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">'), whole, F.lit("</script>"))
+
+
+def _quoted(value: Column) -> Column:
+    return F.replace(value, F.lit('"'), F.lit("&quot;"))
+
+
+@query("""SELECT s_suppkey AS id, s_name AS name, round(s_acctbal, 2) AS total_rating, 'd' || s_suppkey AS alias, s_nationkey % 3 AS reviews, s_nationkey % 3 AS total, CASE WHEN s_nationkey % 3 > 0 THEN 8.5 END AS first_rating FROM supplier""")
+def doctor_pages(spark: SparkSession, sf: str) -> DataFrame:
+    review = F.struct(F.lit(1).alias("id"), F.lit(" ok ").alias("text"), F.struct(F.lit(8.5).alias("value")).alias("rating"))
+    reviews = F.slice(F.array(review, review), 1, F.col("s_nationkey") % 3)
+    info = F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("fullName"), F.col("s_acctbal").alias("rating"))
+    state = F.to_json(F.struct(F.struct(info.alias("doctorInfo"), reviews.alias("reviews")).alias("doctorPage")))
+    pages = load(spark, sf, "supplier").select(F.concat(F.lit("https://h.example.com/doctor/d"), F.col("s_suppkey").cast("string"), F.lit("/?a=1")).alias("page_url"), _page(state).alias("html"))
+    read = readers_of_pages.doctor_pages(pages)
+    return read.select("doctor.id", "doctor.name", F.round("doctor.total_rating", 2).alias("total_rating"), F.col("doctor_alias").alias("alias"), F.size("reviews").alias("reviews"), F.col("reviews_count_total").alias("total"), F.get("reviews", F.lit(0))["rating_value"].alias("first_rating"))
+
+
+@query("""SELECT p_partkey AS clinic_id, 'c' || p_partkey AS clinic_alias, p_name AS name, p_size % 7 AS total, p_size % 2 AS loaded, p_size % 2 < p_size % 7 AS incomplete, p_retailprice AS price FROM part""")
+def clinic_pages(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("p_partkey").cast("string")
+    cards = F.to_json(F.array(F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))))
+    med = F.to_json(F.create_map(F.lit("12"), F.struct(F.lit("Dir").alias("name"), F.array(F.struct(F.lit(1).alias("id"), F.col("p_retailprice").alias("price"))).alias("prices"))))
+    html = F.concat(
+        F.lit('<div :clinics="'), _quoted(cards), F.lit('" :med-services="'), _quoted(med), F.lit('"></div><input name="clinicId" value="'), key, F.lit('"><x :total-reviews-count="'),
+        (F.col("p_size") % 7).cast("string"), F.lit('">'), F.when(F.col("p_size") % 2 == 1, '<i itemtype="http://schema.org/Review">').otherwise(""),
+    )
+    read = readers_of_pages.clinic_pages(load(spark, sf, "part").select(F.concat(F.lit("https://h.example.com/clinic/c"), key, F.lit("#reviews")).alias("page_url"), html.alias("html")))
+    return read.select("clinic_id", "clinic_alias", "clinic.name", F.col("reviews_count_total").alias("total"), F.col("reviews_loaded_count").alias("loaded"), F.col("reviews_incomplete").alias("incomplete"), F.get("service_catalog", F.lit(0))["price"].alias("price"))
+
+
+@query("""SELECT p_partkey AS doctor_id, 'https://h.example.com/doctor/d' || p_partkey AS profile_url, p_brand AS service_name, p_size AS reviews_count FROM part""")
+def doctor_cards(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("p_partkey").cast("string")
+    card = F.struct(F.col("p_partkey").alias("id"), F.lit("D").alias("name"), F.concat(F.lit("/doctor/d"), key).alias("url"), F.col("p_size").alias("reviewsCount"))
+    state = F.to_json(F.struct(F.struct(F.struct(F.lit(7).alias("id"), F.col("p_brand").alias("name")).alias("serviceInfo"), F.array(card).alias("bestDoctors")).alias("servicePage")))
+    services = readers_of_pages.service_pages(load(spark, sf, "part").select(F.lit("https://h.example.com/service/a/b").alias("page_url"), _page(state).alias("html")))
+    return readers_of_pages.best_doctors(services).select("doctor_id", "profile_url", "service_name", "reviews_count")
+
+
+@query("""SELECT p_partkey AS service_id, p_size % 5 AS "offset", p_size AS total, 'https://api.example.com/reviews?serviceId=' || p_partkey || '&offset=' || (p_size % 5) || '&filter=0&sort=2' AS url FROM part WHERE p_size > 3""")
+def review_feeds(spark: SparkSession, sf: str) -> DataFrame:
+    service = F.struct(F.col("p_partkey").alias("serviceId"), F.slice(F.array(*(F.lit("r"),) * 4), 1, F.col("p_size") % 5).alias("reviews"), F.col("p_size").alias("reviewsCount"), F.lit(2).alias("reviewsSort"))
+    layout = F.struct(F.when(F.col("p_size") > 3, "https://api.example.com/").alias("apiBaseUrl"))
+    pages = load(spark, sf, "part").select(F.lit("https://h.example.com/service/a/b").alias("page_url"), _page(F.to_json(F.struct(layout.alias("defaultLayout"), service.alias("servicePage")))).alias("html"))
+    return readers_of_pages.review_feed(pages, "/reviews").select("service_id", "offset", "total", "url")
+
+
+@query("""SELECT doc_id::VARCHAR AS source_page_url, b AS pos, source AS patient_public_name, (doc_id % 10)::DOUBLE AS rating_value, 'text ' || b AS text FROM documents, (VALUES (0), (1)) v(b)""")
+def page_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    block = lambda n: F.concat(F.lit('<div itemprop="review"><span itemprop="author">'), "source", F.lit('</span><meta itemprop="ratingValue" content="'), (F.col("doc_id") % 10).cast("string"), F.lit(f'"><p itemprop="reviewBody"> text\n {n}</p></div>'))
+    pages = load(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("url"), F.concat(F.lit("<html>"), block(0), block(1)).alias("html"))
+    return readers.page_reviews(pages).select("source_page_url", "pos", "patient_public_name", "rating_value", "text")
+
+
+@query("""SELECT event_id, user_id AS review_id, event_type AS text, CASE WHEN user_id % 2 = 0 THEN 'Москва' END AS clinic_city, value AS rating_value, CASE event_id % 2 WHEN 0 THEN 9 ELSE 4 END::BIGINT AS total FROM events""")
+def api_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers of a paged API, whose rows come under one of two names, in canonical columns."""
+    address = F.struct(F.when(F.col("user_id") % 2 == 0, "Москва").alias("city"))
+    review = F.to_json(F.struct(F.col("user_id").alias("id"), F.col("event_type").alias("text"), F.struct(F.col("value").alias("value")).alias("rating"), F.struct(address.alias("fullAddress")).alias("clinic")))
+    body = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"rows": ['), review, F.lit('], "total": 9}'))).otherwise(F.concat(F.lit('{"items": ['), review, F.lit('], "totalCount": 4}')))
+    read = readers.review_payload(load(spark, sf, "events").select("event_id", body.alias("body")), "body")
+    one = read.select("event_id", "total", F.get("rows", F.lit(0)).alias("row"))
+    canonical = readers.canonical_api_review(one.select(F.to_json(F.struct(F.get_json_object("row", "$.id").cast("bigint").alias("id"), F.concat_ws("|", F.col("event_id").cast("string"), F.col("total").cast("string"), F.get_json_object("row", "$.text")).alias("text"), F.from_json(F.get_json_object("row", "$.rating"), "value double").alias("rating"), F.from_json(F.get_json_object("row", "$.clinic"), "fullAddress struct<city: string>").alias("clinic"))).alias("row")), "row")
+    parts = F.split("text", r"\|")
+    return canonical.select(parts[0].cast("bigint").alias("event_id"), "review_id", parts[2].alias("text"), "clinic_city", "rating_value", parts[1].cast("bigint").alias("total"))
+
+
+@query("""SELECT p_partkey, p_brand AS block, p_name AS name, p_retailprice AS price FROM part""")
+def price_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Prices in an attribute of a page."""
+    blocks = F.to_json(F.create_map(F.lit("7"), F.struct(F.col("p_brand").alias("title"), F.array(F.struct(F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"))).alias("prices"))))
+    pages = load(spark, sf, "part").select("p_partkey", F.concat(F.lit('<x :prices="'), _quoted(blocks), F.lit('">')).alias("html"))
+    return readers.price_list(pages.select("p_partkey", T.attribute_json(F.col("html"), "prices").alias("body")), "body").select("p_partkey", "block", "name", "price")
+
+
+@query("""SELECT page_id, html AS shown FROM pages WHERE html NOT LIKE '%<td%'""")
+def saved_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages saved as a browser's source view, of one line each."""
+    escaped = F.replace(F.replace(F.replace(F.col("html"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    saved = F.concat(F.lit('<table><td class="line-content"><span class="t">'), escaped, F.lit("</span></td></table>"))
+    return load(spark, sf, "pages").where("html not like '%<td%'").select("page_id", readers_of_pages.page_source(saved).alias("shown"))
+
+
+@query("""SELECT event_id, user_id AS first, 2::BIGINT AS n FROM events""")
+def lenient_arrays(spark: SparkSession, sf: str) -> DataFrame:
+    rows = F.concat(F.lit("["), F.col("user_id").cast("string"), F.lit(", 5]"))
+    said = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), rows, F.lit("```"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit('{"replies": '), rows, F.lit("}"))).otherwise(F.concat(F.lit("Sure: "), rows, F.lit(" done")))
+    read = F.from_json(T.lenient_array(said), "array<bigint>")
+    return load(spark, sf, "events").select("event_id", read[0].alias("first"), F.size(read).cast("bigint").alias("n"))
+
+
+@query("""SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'reputation_analyze' WHEN 1 THEN 'rag_search' ELSE 'fallback' END AS intent, CASE turn % 3 WHEN 1 THEN ['Beta'] ELSE ['Alpha'] END AS entities,
+  CASE turn % 3 WHEN 0 THEN 0.75 WHEN 1 THEN 0.5 ELSE 0.2 END::DOUBLE AS confidence FROM conversations""")
+def session_intents(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions in a session whose last entity is Alpha."""
+    said = F.when(F.col("turn") % 3 == 0, "проанализируй клинику «Alpha»").when(F.col("turn") % 3 == 1, "покажи отзывы «Beta»").otherwise("ясно")
+    last = F.struct(F.lit("rag_search").alias("intent"), F.lit("clinic").alias("entity_kind"), F.array(F.lit("Alpha")).alias("entities"))
+    asked = load(spark, sf, "conversations").select("conv_id", "turn", said.alias("q"))
+    return asked.select("conv_id", "turn", routing.in_session(F.col("q"), routing.intent(F.col("q")), last).alias("v")).select("conv_id", "turn", "v.intent", "v.entities", "v.confidence")
+
+
+@query(f"""SELECT doc_id, source || '. {routing.DEFAULT_SEARCH["doctor"]}. жалобы; похвала' AS asked, regexp_extract_all(source || ' Galaxy, (Pixel) or Nokia', '[A-Z][a-z]{{3,}}')[1:3] AS named FROM documents""")
+def search_texts(spark: SparkSession, sf: str) -> DataFrame:
+    asked = routing.search_text("doctor", F.col("source"), ["top_praises", "top_complaints"])
+    return load(spark, sf, "documents").select("doc_id", asked.alias("asked"), routing.capitalised(F.concat("source", F.lit(" Galaxy, (Pixel) or Nokia"))).alias("named"))
+
+
+@query("""SELECT c_custkey, c_mktsegment || '/' || c_name AS service, c_mktsegment AS category, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE (c_custkey % 3)::VARCHAR END AS doctor, CASE WHEN c_custkey % 2 = 0 THEN 'unknown' ELSE c_name END AS clinic FROM customer""")
+def entity_keys(spark: SparkSession, sf: str) -> DataFrame:
+    own = load(spark, sf, "customer").select(
+        "c_custkey", F.col("c_name").alias("service_name"), F.col("c_mktsegment").alias("parent_service_name"), F.lit("other").alias("category_direction_title"), (F.col("c_custkey") % 3).alias("doctor_id"),
+        F.col("c_name").alias("doctor_name"), F.when(F.col("c_custkey") % 2 == 1, F.col("c_name")).otherwise(" ").alias("clinic_alias"), F.lit("").alias("clinic_name"),
+    )
+    return own.select("c_custkey", *(E.entity_key(k).alias(k) for k in ("service", "category", "doctor", "clinic")))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, CASE l_quantity::INT % 8 WHEN 1 THEN floor(l_quantity / 8) + 0.12 WHEN 3 THEN floor(l_quantity / 8) + 0.38 WHEN 5 THEN floor(l_quantity / 8) + 0.62 WHEN 7 THEN floor(l_quantity / 8) + 0.88 ELSE l_quantity / 8 END AS rounded FROM lineitem""")
+def rounded_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Eighths to two places: halves go to the even digit."""
+    return load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", T.python_round(F.col("l_quantity") / 8, F.lit(2)).alias("rounded"))
+
+
+_CRC_TABLE = "list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END))"
+
+
+@query(f"""WITH t AS (SELECT doc_id, source || '|' || lang || '|' || substr(regexp_replace(text, '[^\x20-\x7E]', '', 'g'), 1, 300) || '|n' AS joined FROM documents),
+  b AS (SELECT doc_id, list_transform(string_split(joined, ''), lambda c: ascii(c)::BIGINT) AS codes, {_CRC_TABLE} AS tab FROM t)
+  SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, codes), lambda c, x: xor(c // 256, tab[(xor(c, x) % 256) + 1])), 4294967295) % 2147483648 AS id FROM b""")
+def synthetic_ids(spark: SparkSession, sf: str) -> DataFrame:
+    docs = load(spark, sf, "documents").withColumn("text", F.regexp_replace("text", r"[^\x20-\x7E]", ""))
+    return docs.select("doc_id", T.synthetic_id(F.col("source"), F.col("lang"), F.col("text"), F.lit("n")).alias("id"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN 'none' ELSE upper(substr(text, 1, 5)) END AS answer, CASE WHEN trim(source) <> '' THEN [length(source)::FLOAT, 1.0::FLOAT, 0.0::FLOAT] END AS embedding FROM documents""")
+def injected_models(spark: SparkSession, sf: str) -> DataFrame:
+    """A text model and an embedder that the caller brings; the model fails on some and the fallback stands."""
+    docs = load(spark, sf, "documents").select("doc_id", "source", F.when(F.col("doc_id") % 4 != 3, F.substring("text", 1, 5)).alias("prompt"))
+    said = models.answered(docs, "prompt", lambda texts: [t.upper() for t in texts])
+    made = models.embedded(said, "source", lambda texts: [[len(t), 1.0] for t in texts], 3)
+    return made.select("doc_id", F.coalesce("answer", F.lit("none")).alias("answer"), "embedding")
