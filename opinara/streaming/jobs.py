@@ -30,7 +30,7 @@ def poll(spark: SparkSession, folder: str, schema: str, target: str, checkpoint:
         if exists(batch.sparkSession, target):
             known = batch.sparkSession.read.parquet(target)
             if by:
-                known = known.join(F.broadcast(batch.select(by).distinct()), by, "left_semi")  # the batch's days: pruned as the join runs
+                known = known.join(batch.select(by).distinct(), by, "left_semi")  # a batch has few days: other partitions are pruned as the join runs
             new = new.join(known.select(*own), own, "left_anti")
         writer = new.write.mode("append")
         (writer.partitionBy(by) if by else writer).parquet(target)

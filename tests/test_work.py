@@ -182,7 +182,9 @@ def test_confidence(spark):
     assert (none["confidence"], none["passed"], none["notes"]) == (0.13, False, "no_relevant_chunks")
 
 
-def test_pages_of_a_sort(spark):
+@pytest.mark.parametrize("early", [0, 10_000])
+def test_pages_of_a_sort(spark, monkeypatch, early):
+    monkeypatch.setattr(S, "EARLY", early)
     df = spark.range(103).selectExpr("id", "id % 7 as k")
     order = [F.col("k"), F.col("id").desc()]
     whole = [r["id"] for r in df.orderBy(*order).collect()]
