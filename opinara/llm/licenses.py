@@ -204,7 +204,7 @@ def detect(text: str) -> list[Detection]:
 def evidence(kept: list[Detection], base: set[str]) -> float:
     """How sure it is that a text names a license: the chance that not all detections are wrong, 0.6 at least with a base phrase."""
     doubt = sum(math.log1p(-min(rule.weight, 1 - 1e-12)) for rule, _, _ in kept)
-    return max(-math.expm1(doubt), 0.6 if base else 0.0)
+    return max(0.0 - math.expm1(doubt), 0.6 if base else 0.0)
 
 
 _WORD = np.zeros(256, bool)

@@ -34,7 +34,7 @@ from opinara.llm.common import durable, slices
 MAX_LABELLED = 40_000
 LEAST_TOXIC = 3
 CUT = 0.7
-INPUTS = 7  # of the regression
+INPUTS = 9  # of the regression
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
 
 #: What a sign may stand for.
@@ -204,13 +204,13 @@ def telling(words: set[str], table: dict[str, object], worth) -> list[float]:
 
 
 def document(text: str | None, reader: Reader, table: dict[str, object], worth) -> list[float]:
-    """What the regression sees of a document: its three strongest words, all others together, the strongest restored word
-    that doesn't stand in the text itself, and how many words tell."""
+    """What the regression sees of a document: its three strongest words, the squares of the first two, all others together, the
+    strongest restored word that doesn't stand in the text itself, and how many words tell."""
     plain, hidden = reader.read(text)
     veiled = telling(hidden - plain, table, worth)
     values = sorted(telling(plain, table, worth) + veiled, reverse=True)
     top = values[:3] + [0.0] * 3
-    return [*top[:3], math.log1p(sum(values[3:])), max(veiled, default=0.0), min(len(values), 5) / 5, 1.0]
+    return [*top[:3], top[0] ** 2, top[1] ** 2, math.log1p(sum(values[3:])), max(veiled, default=0.0), min(len(values), 5) / 5, 1.0]
 
 
 def evidence(toxic: float, clean: float, share: float) -> float:

@@ -13,7 +13,7 @@ import pytest
 import regex
 
 import corpus_pipeline
-from opinara.llm import bpe, langid, licenses, packing, pii, toxicity, urlfilter
+from opinara.llm import bpe, langid, licenses, packing, pii, queries, toxicity, urlfilter
 from opinara.llm.license_signatures import BODIES, REFERENCES, lines
 from tests.llm.conftest import ODD, make
 from tests.llm.test_dedup import brute_exact, brute_similar
@@ -208,7 +208,7 @@ def test_long_stretches_are_decoded_whole():
 def test_scores_are_those_of_a_plain_version(spark, documents):
     model = toxicity.fit(documents, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
     toxic = {"idiot": 4.0, "stup-": 2.0, "loser": 3.0}
-    model = model._replace(odds={**model.odds, **toxic}, weights=[0.9, 0.5, 0.3, 0.2, 0.4, 1.0, -5.0])
+    model = model._replace(odds={**model.odds, **toxic}, weights=[0.4, 0.5, 0.3, 0.1, 0.2, 0.2, 0.4, 1.0, -5.0])
     given = ["an 1d10t and a stupid loser", "plain words", None, "idiot idiot l0$er", "", "stupidly"]
     reader = toxicity.Reader(model.trigrams)
     for text, mine in zip(given, toxicity.score(given, model, reader)):
@@ -218,7 +218,8 @@ def test_scores_are_those_of_a_plain_version(spark, documents):
         worth = lambda w: max([model.odds.get(k, 0.0) for k in (w, *([w[:4] + "-"] if len(w) > 4 else []), *([w[:5] + "-"] if len(w) > 5 else []))])
         values = sorted(filter(None, map(worth, plain | hidden)), reverse=True)
         veiled = max(filter(None, map(worth, hidden - plain)), default=0.0)
-        x = [*(values + [0.0] * 3)[:3], math.log1p(sum(values[3:])), veiled, min(len(values), 5) / 5, 1.0]
+        first, second, third = (values + [0.0] * 3)[:3]
+        x = [first, second, third, first**2, second**2, math.log1p(sum(values[3:])), veiled, min(len(values), 5) / 5, 1.0]
         assert abs(mine - 1 / (1 + math.exp(-sum(a * b for a, b in zip(model.weights, x))))) < 1e-9, text
 
 
@@ -479,5 +480,17 @@ def test_pipeline_is_that_of_plain_stages(spark, both, tmp_path):
     assert sorted(t for _, t in pieces.get(200_001, [])) == sorted(t for d, t in want if d == 200_001)
 
 
+@pytest.mark.parametrize("kind", ["empty", "null"])
+def test_every_query_takes_empty_and_null_tables(spark, tmp_path, kind):
+    """Tables without rows, or with rows of nulls alone, and with columns that operators use inside."""
+    given = {"documents": "doc_id long, text string, lang string, source string, n_chars long, row string, key string, uid long, canon string", "labels": "doc_id long, quality int, toxic int, text string", "pages": "page_id long, url string, html string, host string, template string, segments string"}
+    for name, schema in given.items():
+        rows = [] if kind == "empty" else [(None,) * len(schema.split(", "))] * 3
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for name, query in queries.QUERIES.items():
+        assert len(query(spark, str(tmp_path)).collect()) == (0 if kind == "empty" else 3), name
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 def test_brute_force_agrees_with_itself():
     assert brute_exact([(1, "a b"), (2, "ab")])[2][0] == 1 and len(ODD) > 10
