@@ -53,3 +53,16 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes durable tables that nothing reads any more, before the driver's end."""
+    for table in tables:
+        for path in table.inputFiles()[:1]:
+            remove(table.sparkSession, path.rsplit("/", 1)[0])
+
+
+def settle(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are done: it does so when the driver's JVM finds them unreachable, which
+    on a large heap can take until disks are full."""
+    spark.sparkContext._jvm.System.gc()
