@@ -102,7 +102,7 @@ class Codec:
         if len(self.known) > KNOWN:
             for cache in (self.known, self.written, self.decoded):
                 cache.clear()
-        new = list({p for pieces in found for p in pieces} - self.known.keys())
+        new = list(set().union(*found) - self.known.keys())
         for at in range(0, len(new), 1 << 14):
             part = new[at : at + (1 << 14)]
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
@@ -118,9 +118,9 @@ class Codec:
         """Number of ids, SHA-256 of the ids in decimal joined by spaces, SHA-256 of the bytes they decode to."""
         out = []
         for pieces in self.pieces(texts):
-            n = sum(map(len, map(self.known.__getitem__, pieces)))
-            written, decoded = (hashlib.sha256(sep.join(map(cache.__getitem__, pieces))) for sep, cache in ((b" ", self.written), (b"", self.decoded)))
-            out.append((n, written.hexdigest(), decoded.hexdigest()))
+            written, decoded = b" ".join(map(self.written.__getitem__, pieces)), b"".join(map(self.decoded.__getitem__, pieces))
+            n = written.count(b" ") + 1 if pieces else 0  # a match has a token at least
+            out.append((n, hashlib.sha256(written).hexdigest(), hashlib.sha256(decoded).hexdigest()))
         return out
 
     def encode(self, texts: list[str]) -> list[Encoding]:
