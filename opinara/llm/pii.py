@@ -42,28 +42,33 @@ EXTRA = ("secret", "iban", "ssn", "local", "spelled", "dob")
 #: Their generators: kind, what a text must have to be tried, pattern.
 GENERATORS = [
     ("secret", r"AKIA|ASIA|gh[pousr]_|xox[abp]-|eyJ", r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{20,}|xox[abp]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]+)?"),
-    ("secret", r"[=:]['\x22]?\s?['\x22]?[A-Za-z0-9+/_-]{12}", r"(?<=[=:]['\x22]?\s?['\x22]?)(?<![A-Za-z0-9])[A-Za-z0-9+/_-]{12,}={0,2}"),
-    ("secret", r"(?i)passw|pwd|secret|token", r"(?i)(?<=(?:password|passwd|pwd|secret|token)(?:\sis)?['\x22]?\s?[=:]?\s?['\x22]?)(?<![A-Za-z0-9])[A-Za-z0-9!#%&*+/@^_-]{6,64}"),
+    ("secret", r"[=:]['\x22]?\s?['\x22]?[A-Za-z0-9+/_-]{12}", r"(?<![A-Za-z0-9])(?=[A-Za-z0-9+/_-]{12})(?<=[=:]['\x22]?\s?['\x22]?)[A-Za-z0-9+/_-]{12,}={0,2}"),
+    ("secret", r"(?i)passw|pwd|secret|token", r"(?i)(?<![A-Za-z0-9])(?=[A-Za-z0-9!#%&*+/@^_-]{6})(?<=(?:password|passwd|pwd|secret|token)(?:\sis)?['\x22]?\s?[=:]?\s?['\x22]?)[A-Za-z0-9!#%&*+/@^_-]{6,64}"),
     ("iban", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("ssn", r"[0-9]{3}[-\x20][0-9]{2}[-\x20][0-9]{4}", r"(?<![0-9-])[0-9]{3}([-\x20])[0-9]{2}\1[0-9]{4}(?![0-9-])"),
     ("local", r"[0-9]{3}\)?[\x20.-]{1,2}[0-9]", r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
-    ("local", r"(?i)(?:phone|tel|call|fax|mobile)", r"(?i)(?<=(?:phone|tel|call|fax|mobile)[.:]{0,2}\s?)(?<![0-9])0[0-9](?:[\x20/-]?[0-9]){6,11}(?![0-9])"),
+    ("local", r"(?i)(?:phone|tel|call|fax|mobile)[.:]{0,2}\s?0[0-9]", r"(?i)(?<![0-9])(?=0[0-9])(?<=(?:phone|tel|call|fax|mobile)[.:]{0,2}\s?)0[0-9](?:[\x20/-]?[0-9]){6,11}(?![0-9])"),
     ("spelled", r"[\[(]\x20?at\x20?[\])]", r"(?<![A-Za-z0-9])[A-Za-z0-9._]{1,40}\x20?[\[(]\x20?at\x20?[\])]\x20?[A-Za-z0-9-]{1,40}(?:(?:\.|\x20?[\[(]\x20?dot\x20?[\])]\x20?)[A-Za-z0-9-]{1,40}){1,6}"),
     ("spelled", r"(?i)\sat\s\S+\sdot\s", r"(?i)(?<![a-z0-9])[a-z0-9._]{1,40}\sat\s[a-z0-9-]{1,40}(?:\sdot\s[a-z0-9-]{1,40}){1,4}"),
     ("dob", r"[0-9]{1,4}[./-][0-9]{1,2}[./-][0-9]{2}", r"(?<![0-9./-])(?:[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4})(?![0-9/-])"),
 ]
 BEFORE, AFTER = 32, 16
 
-#: Words near a span that speak for or against it, by feature.
+#: Words near a span that speak for or against it, by feature. A word must begin with a cue, and be one of the last kind.
 CUES = {
-    "credential": "token|secret|passw|pwd|api.?key|credential|bearer|auth|access.?key",
-    "contact": "call|phone|tel|mobile|fax|contact|mail|reach|write",
-    "account": "iban|account|konto|compte|cuenta|bank|ssn|social|insurance",
+    "credential": "token|secret|passw|pwd|api.?key|credential|bearer|auth|access.?(?:key|token)",
+    "contact": "call|phone|tel|mobile|fax|contact|e.?mail|mail|reach|write",
+    "account": "iban|account|konto|compte|cuenta|bank|ssn|social.?security|social|insurance",
     "birth": "born|birth|dob|geboren|naissance|nacid",
-    "number": "isbn|order|invoice|version|page|vol|issue|part|ref|sha|commit|md5|hash|checksum|digest|uuid|href|src|path",
+    "number": "(?:isbn|order|invoice|version|page|vol|volume|issue|part|ref|sha|sha1|sha256|commit|md5|hash|checksum|digest|uuid|href|src|path)s?(?![a-z])",
 }
+_NEAR = {name: f"(?<![a-z])(?:{words})" for name, words in CUES.items()}
+#: The last word before a span is a cue of that kind.
+_LAST = {name: rf"{near}{'' if name == 'number' else '[a-z]*'}[^a-z0-9]{{0,5}}(?:(?:is|on|am|at|me)[^a-z0-9]{{1,3}})?END" for name, near in _NEAR.items()}
+_SPOKEN = "|".join(near for name, near in _NEAR.items() if name != "number")
 TLD = r"[. \])](?:com|org|net|edu|gov|info|io|de|fr|es|it|uk|eu)"
-FEATURES = ("kind", "length", "digits", "upper", "varied", "groups", "classes", "tld", "assigned", *CUES, "cue_after")
+PREFIXED = r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_|xox[abp]-|eyJ)"
+FEATURES = ("kind", "length", "digits", "upper", "varied", "groups", "classes", "tld", "prefixed", "assigned", *CUES, *(f"last_{name}" for name in CUES), "cue_after")
 SPAN = "struct<start:int,kind_no:int,kind:string,end:int,text:string>"
 NONE = f"array<{SPAN}>"
 BLOCK = 128  # elements that a running sum takes at a time
@@ -171,9 +176,11 @@ def features_of(kind: int, span: str, before: str, after: str) -> list[float]:
         float(len(re.split("[^A-Za-z0-9]+", span))),
         has("[0-9]", span) + has("[a-z]", span) + has("[A-Z]", span) + has("[^A-Za-z0-9]", span),
         has(TLD + r"\Z", span.lower()),
+        has(PREFIXED, span),
         has(r"[=:]['\x22 ]{0,3}\Z", before),
-        *(has(cue, before.lower()) for cue in CUES.values()),
-        has("|".join((CUES["contact"], CUES["account"], CUES["birth"])), after.lower()),
+        *(has(cue, before.lower()) for cue in _NEAR.values()),
+        *(has(last.replace("END", r"\Z"), before.lower()) for last in _LAST.values()),
+        has(_SPOKEN, after.lower()),
     ]
 
 
@@ -190,9 +197,11 @@ def feature_columns(kind: Column, span: Column, before: Column, after: Column) -
         F.size(F.split(span, "[^A-Za-z0-9]+")).cast("double"),
         has("[0-9]", span) + has("[a-z]", span) + has("[A-Z]", span) + has("[^A-Za-z0-9]", span),
         has(TLD + r"\z", F.lower(span)),
+        has(PREFIXED, span),
         has(r"[=:]['\x22 ]{0,3}\z", before),
-        *(has(cue, F.lower(before)) for cue in CUES.values()),
-        has("|".join((CUES["contact"], CUES["account"], CUES["birth"])), F.lower(after)),
+        *(has(cue, F.lower(before)) for cue in _NEAR.values()),
+        *(has(last.replace("END", r"\z"), F.lower(before)) for last in _LAST.values()),
+        has(_SPOKEN, F.lower(after)),
     ]
 
 
@@ -203,8 +212,15 @@ def examples(n: int, seed: int) -> list[tuple[list[float], int]]:
     word = lambda k: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(k))
     mixed = lambda k, chars: "".join(rng.choice(chars) for _ in range(k))
     hexes, base64 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    neutral = lambda: f"{word(4)} {word(6)} {word(3)} "
-    cue = lambda name: rng.choice(CUES[name].replace(".?", "_").split("|"))
+    words = {
+        "credential": ["token", "secret", "password", "pwd", "api_key", "credential", "bearer", "auth", "access_key"],
+        "contact": ["call", "phone", "tel", "mobile", "fax", "contact", "email", "reach", "write"],
+        "account": ["iban", "account", "konto", "compte", "cuenta", "bank", "ssn", "social security", "insurance"],
+        "birth": ["born", "birth", "dob", "geboren", "date of birth"],
+        "number": ["isbn", "order", "invoice", "version", "page", "vol", "issue", "part", "ref", "sha", "commit", "md5", "hash", "checksum", "uuid", "href", "src", "path"],
+    }
+    cue = lambda name: rng.choice(words[name])
+    neutral = lambda: f"{word(4)} {cue(rng.choice(list(words))) if rng.random() < 0.25 else word(6)} {word(3)} {word(5)} "
     tld = lambda: rng.choice(["com", "org", "net", "edu", "de", "fr", "es", "io"])
     own_cue = {"secret": "credential", "iban": "account", "ssn": "account", "local": "contact", "spelled": "contact", "dob": "birth"}
     for _ in range(n):
@@ -422,8 +438,7 @@ def extra_spans(text: Column, base: Column) -> Column:
         ends = F.transform(over, lambda r: F.struct(r["s"]["start"].alias("start"), r["s"]["end"].alias("end"), r["less"].alias("less"), r["s"].alias("s")))
         return highest(apart_from(base, ends))
 
-    best = let(found, lambda all_: F.when(F.size(all_) > 0, let(F.struct(text_blocks(text).alias("blocks"), F.length(text).alias("n")), lambda t: judged(all_, t))).otherwise(none))
-    return F.when(reduce(lambda a, b: a | b, (text.rlike(g) for _, g, _ in GENERATORS)), best).otherwise(none)
+    return let(found, lambda all_: F.when(F.size(all_) > 0, let(F.struct(text_blocks(text).alias("blocks"), F.length(text).alias("n")), lambda t: judged(all_, t))).otherwise(none))
 
 
 def _joined(found: Column) -> Column:
