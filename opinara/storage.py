@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -64,5 +65,6 @@ def discard(*tables: DataFrame) -> None:
 
 def settle(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that are done: it does so when the driver's JVM finds them unreachable, which
-    on a large heap can take until disks are full."""
+    on a large heap can take until disks are full. Plans that Python still refers to by cycles go first."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
