@@ -11,12 +11,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.storage import durable, remove, shared_dir
+from opinara.storage import discard, durable, settle, shared_dir
 
-__all__ = ["SLICE_BYTES", "components", "durable", "even_join", "same_rows", "shared_dir", "slices", "table", "whole_row"]
+__all__ = ["SLICE_BYTES", "components", "discard", "durable", "even_join", "marked", "settle", "same_rows", "shared_dir", "slices", "table", "whole_row"]
 
 #: Bytes of text that a Python step works on at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,7 @@ def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     part = (np.cumsum(size) - size) // SLICE_BYTES
     bounds = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
     yield from (batch.slice(a, b - a) for a, b in zip(bounds, bounds[1:]))
+    pa.default_memory_pool().release_unused()  # workers live on: what a batch has taken goes back with it
 
 
 def whole_row(docs: DataFrame) -> Column:
@@ -42,6 +43,22 @@ def same_rows(docs: DataFrame) -> Column:
     return F.xxhash64(*(F.col(f"`{c}`") for c in plain)) if plain else F.lit(0)
 
 
+BITMAP_BITS = 1 << 22
+_PER_MAP = 1 << 15  # what one row of bitmap_construct_agg holds
+
+
+def marked(df: DataFrame, value: Column, wanted: DataFrame) -> DataFrame:
+    """The rows of df whose value may be in wanted's only column: all that are, and others by chance. A bitmap of fixed size
+    (BITMAP_BITS / 8 bytes, broadcast) tells, so that a join with wanted moves few rows where wanted is small."""
+    place = lambda v: F.pmod(F.xxhash64(v), F.lit(BITMAP_BITS))
+    places = wanted.select(place(F.col(wanted.columns[0])).alias("at"))
+    maps = places.groupBy(F.floor(F.col("at") / _PER_MAP).alias("_part")).agg(F.bitmap_construct_agg(F.col("at") % _PER_MAP).alias("_bits"))
+    placed = df.withColumn("_at", place(value)).withColumn("_part", F.floor(F.col("_at") / _PER_MAP))
+    byte = F.conv(F.hex(F.expr(f"substring(_bits, cast(_at % {_PER_MAP} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) > 0
+    return placed.join(F.broadcast(maps), "_part").where(hit).drop("_part", "_at", "_bits")
+
+
 def even_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """An equi-join for a left side with hot keys and a right side that was aggregated by the same keys.
 
@@ -73,6 +90,5 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         small = even_join(large, least, ["a"])
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", "m")).distinct()
         new = durable(small, name)
-        for path in edges.inputFiles()[:1]:  # what the round before has left isn't read any more
-            remove(edges.sparkSession, path.rsplit("/", 1)[0])
+        discard(edges)
         edges = new

@@ -4,7 +4,7 @@ A text's canonical form is its NFKC normal form with case folded and runs of whi
 library, whose static functions java_method calls). Its fingerprint is 128 bits of xxhash, under two seeds, in hexadecimal.
 Texts whose canonical forms share a fingerprint are compared byte by byte: the distinct forms of all buckets of two or more
 rows are counted, and where a bucket has several, the form's SHA-256 is appended. Which rows need that is told by a
-bitmap of fixed size (BITMAP_BITS), which lets through all of them and, by chance, some others.
+bitmap of fixed size (`marked`), which lets through all of them and, by chance, some others.
 
 Edited texts are never stored: their forms are told apart, from each other and from the documents' own, by SHA-256.
 
@@ -20,10 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opinara.llm.common import durable, even_join
+from opinara.llm.common import durable, even_join, marked
 
-BITMAP_BITS = 1 << 22
-_PER_MAP = 1 << 15  # what one row of bitmap_construct_agg holds
 NO_ID = -(1 << 63)
 
 
@@ -45,20 +43,12 @@ def raw_hash(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def _place(raw: Column) -> Column:
-    return F.pmod(F.xxhash64(raw), F.lit(BITMAP_BITS))
-
-
 def collisions(texts: DataFrame, prints: DataFrame) -> DataFrame:
     """Fingerprints that stand for several canonical forms. texts: (text); prints: (print, raw) of each of its rows, raw being
     a hash of the text as it is, which tells the rows of shared fingerprints without making their form anew."""
-    shared = even_join(prints, prints.groupBy("print").count().where("count > 1").select("print"), ["print"]).select(_place(F.col("raw")).alias("at"))
-    maps = shared.groupBy(F.floor(F.col("at") / _PER_MAP).alias("part")).agg(F.bitmap_construct_agg(F.col("at") % _PER_MAP).alias("bits"))
+    shared = even_join(prints, prints.groupBy("print").count().where("count > 1").select("print"), ["print"]).select("raw")
     text = F.coalesce("text", F.lit(""))
-    placed = texts.select(text.alias("text"), _place(raw_hash(text)).alias("at")).withColumn("part", F.floor(F.col("at") / _PER_MAP))
-    byte = F.conv(F.hex(F.expr(f"substring(bits, cast(at % {_PER_MAP} div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    set_ = byte.bitwiseAND(F.expr("shiftleft(1, cast(at % 8 as int))")) > 0
-    near = placed.join(F.broadcast(maps), "part").where(set_)  # BITMAP_BITS / 8 bytes at most
+    near = marked(texts.select(text.alias("text")), raw_hash(F.col("text")), shared)
     forms = near.select(canonical(F.col("text")).alias("canon")).withColumn("print", wide_hash(F.col("canon")))
     return forms.distinct().groupBy("print").count().where("count > 1").select("print")
 

@@ -33,7 +33,7 @@ from opinara.llm.common import durable, slices
 
 SIZES = (512, 1024, 2048, 4096, 8192)
 SHARD = 8192
-SHARD_BYTES = 16 << 20  # of text that a shard carries
+SHARD_BYTES = 8 << 20  # of text that a shard carries
 PACKED = "doc_id long, piece int, start long, length int, bin_id long, capacity int, bin_offset int, bin_fill int"
 
 

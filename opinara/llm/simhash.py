@@ -25,11 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opinara.llm.common import components, durable, even_join, same_rows, slices, whole_row
+from opinara.llm.common import components, discard, durable, even_join, marked, same_rows, settle, slices, whole_row
 
 SEED = 42
 THRESHOLD = 3
-PAIRS_AT_ONCE = 1 << 20
+PAIRS_AT_ONCE = 1 << 18
 COMMON = 1 << 18  # shingles whose counts order the prefixes
 FORESTS = 2  # spanning forests of neighbours that are checked first
 CROWD = 4096  # rows under one key that a task compares with each other
@@ -165,6 +165,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: int = 1, most: int | N
             ready = [c[stay] for c in ready]
         if len(ready[0]) or len(crowds):
             yield ready, crowds
+        pa.default_memory_pool().release_unused()
     if rest is not None and len(rest[0]):
         yield rest, np.zeros(0, np.int64)
 
@@ -436,34 +437,61 @@ def _distinct(a: np.ndarray, b: np.ndarray, *more: np.ndarray) -> list[np.ndarra
     return [x[new] for x in columns]
 
 
+def _told(kinds: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Rows (a, b) of several kinds, in the order of the constants below; one value stands in both columns."""
+    kind = np.repeat(np.arange(len(kinds)), [len(a) for a, _ in kinds]).astype(np.int32)
+    return pa.record_batch([pa.array(np.concatenate([x[c] for x in kinds]), pa.int64()) for c in (0, 1)] + [pa.array(kind)], names=["a", "b", "kind"])
+
+
+PAIR, REST, NODE, CROWDED = 0, 1, 2, 3  # pairs to check first, other pairs, nodes of larger groups, keys of crowds
+
+
+def _near_pairs(more: list[np.ndarray], node: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float, whole: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Of pairs that can be as similar FORESTS forests of the likest, and those of the others for which whole holds."""
+    can = _can(more, i, j, similarity)
+    i, j, whole = i[can], j[can], whole[can]
+    a, b, weight, whole = _distinct(np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), _parity(more[1], more[2], i, j), whole)
+    stay = np.zeros(len(a), bool)
+    stay[forests(a, b, weight)] = True
+    rest = whole & ~stay
+    return (a[stay], b[stay]), (a[rest], b[rest])
+
+
+def _first_pairs(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Of keys that up to NEIGHBOURS + 1 rows share all pairs that can be as similar; of larger ones only forests of neighbours in
+    order of size, and their nodes; of crowds the key."""
+    none = np.zeros(0, np.int64)
+    for (key, node, _, n, b0, b1, place), crowds in whole_groups(batches, 1, CROWD):
+        first, rest, nodes = (none, none), (none, none), none
+        if len(key):
+            group = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
+            large = (np.bincount(group) > NEIGHBOURS + 1)[group]
+            steps = [np.flatnonzero(group[step:] == group[:-step]) + step for step in range(1, min(NEIGHBOURS, len(key) - 1) + 1)]
+            if steps:
+                i, j = np.concatenate(steps), np.concatenate([x - step for step, x in enumerate(steps, 1)])
+                first, rest = _near_pairs([n, b0, b1, place], node, i, j, similarity, ~large[i])
+            nodes = np.unique(node[large])
+        yield _told([first, rest, (nodes, nodes), (crowds, crowds)])
+
+
 def _neighbour_pairs(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of neighbours in order of size that can be as similar: FORESTS forests of the likest."""
+    """Pairs of neighbours in a crowd, in order of size, that can be as similar: FORESTS forests of the likest."""
     for (_, node, _, n, b0, b1, place), i, j in neighbours(batches):
-        can = _can([n, b0, b1, place], i, j, similarity)
-        i, j = i[can], j[can]
-        a, b, weight = _distinct(np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), _parity(b0, b1, i, j))
-        stay = forests(a, b, weight)
-        yield pa.record_batch([pa.array(a[stay]), pa.array(b[stay])], names=["a", "b"])
+        (a, b), _ = _near_pairs([n, b0, b1, place], node, i, j, similarity, np.zeros(len(i), bool))
+        yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
 def _other_pairs(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """All pairs of different roots that share a key and can be as similar, and keys that are too crowded (crowd)."""
+    """All pairs of different roots that can be as similar, of keys that more than NEIGHBOURS + 1 rows share, but for crowds."""
     none = np.zeros(0, np.int64)
-
-    def found(a: np.ndarray, b: np.ndarray, crowds: np.ndarray) -> pa.RecordBatch:
-        size = len(a) + len(crowds)
-        pair = np.arange(size) < len(a)
-        columns = (np.concatenate((a, crowds)), ~pair), (np.concatenate((b, crowds)), ~pair), (np.concatenate((np.zeros(len(a), np.int64), crowds)), pair)
-        return pa.record_batch([pa.array(x, pa.int64(), mask=mask) for x, mask in columns], names=["a", "b", "crowd"])
-
-    for rows, crowds in whole_groups(batches, 1, CROWD):
+    for rows, _ in whole_groups(batches, 1, CROWD):
         a, b = none, none
         if len(rows[0]):
             group = np.cumsum(np.concatenate(([0], rows[0][1:] != rows[0][:-1])))
             lowest, highest = np.full(group[-1] + 1, np.iinfo(np.int64).max), np.full(group[-1] + 1, np.iinfo(np.int64).min)
             np.minimum.at(lowest, group, rows[2])
             np.maximum.at(highest, group, rows[2])
-            some = (lowest < highest)[group]  # else one row, or all of one root
+            some = ((lowest < highest) & (np.bincount(group) > NEIGHBOURS + 1))[group]  # others are of one root, or done
             group, (node, root, n, b0, b1, place) = group[some], (x[some].astype(np.int64) for x in rows[1:])
             last = np.searchsorted(group << 32 | n, group << 32 | np.floor(n / similarity + 1e-9).astype(np.int64), "right")
             first = np.arange(len(n)) + 1
@@ -474,36 +502,34 @@ def _other_pairs(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterat
                 i, j = i[can], j[can]
                 a, b = _distinct(np.concatenate((a, np.minimum(node[i], node[j]))), np.concatenate((b, np.maximum(node[i], node[j]))))
                 if len(a) > PAIRS_AT_ONCE:
-                    yield found(a, b, none)
+                    yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
                     a, b = none, none
-        yield found(a, b, crowds)
-
-
-def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, 1):
-            yield pa.record_batch([part.column(0), pa.array([_shingles(t, width).tobytes() for t in _texts(part, 1)], pa.binary())], names=["node", "set"])
+        yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Which pairs of sets have that Jaccard similarity."""
+def _verified(batches: Iterator[pa.RecordBatch], width: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Which pairs (a, b, and their texts) have sets of shingles of that Jaccard similarity."""
     for batch in batches:
-        stay = []
-        for at in range(batch.num_rows):  # one pair's sets at a time
-            x, y = (np.frombuffer(batch.column(c)[at].as_buffer(), np.uint64) for c in (2, 3))
+        stay, known = [], (None, None)
+        for at in range(batch.num_rows):  # one pair's texts at a time
+            raw = [batch.column(c)[at].as_py() for c in (0, 2, 3)]
+            if raw[0] != known[0]:
+                known = raw[0], _shingles(raw[1].encode("utf-8", "surrogatepass"), width)
+            x, y = known[1], _shingles(raw[2].encode("utf-8", "surrogatepass"), width)
             both = len(np.intersect1d(x, y, assume_unique=True))
             stay.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
         yield batch.select([0, 1]).filter(pa.array(stay, pa.bool_()))
+        pa.default_memory_pool().release_unused()
 
 
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id and component_id, by links of documents whose sets of shingles have that Jaccard similarity or more.
 
     Candidates are found by prefixes, without exception: of two sets of that similarity, each in one order (common shingles
-    last), the first n - ceil(similarity * n) + 1 share a shingle. Pairs are checked twice over: first those of NEIGHBOURS rows
-    under a shingle in order of size, which unite most groups, then every pair that is left between different components. Rows
-    under a shingle of a crowd, known from the counts or told by the task that meets it, are dealt out in blocks (across).
-    Shingles are compared as 64-bit hashes; texts of equal sets are one node.
+    last), the first n - ceil(similarity * n) + 1 share a shingle. Spanning forests of the likest pairs are checked first, which
+    unite most groups; then every other pair between different components: those under a shingle that few sets share are
+    kept from the first pass, those under others are made in a second one, of the sets that have such shingles. Rows under a shingle of a crowd, known from the counts or told by the task that meets it, are
+    dealt out in blocks (across). Shingles are compared as 64-bit hashes; texts of equal sets are one node.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     common, counts = common_shingles(docs, width)
@@ -512,49 +538,66 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     nodes = found.groupBy(*DIGEST).agg(F.min(F.struct("doc_id", "whole")).alias("c"), *(F.first(c).alias(c) for c in ("n", "b0", "b1", "prefix")))
     nodes = nodes.select(*DIGEST, F.col("c.doc_id").alias("least"), "c.whole", "n", "b0", "b1", "prefix")
     nodes = durable(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-
+    ids = durable(found.select("doc_id", *DIGEST), "ids")
+    discard(found)
+    settle(docs.sparkSession)
     hot = common[counts > CROWD].view(np.int64)
 
     def replicated(rooted: DataFrame) -> DataFrame:
         return rooted.select("prefix", "node", "root", "n", "b0", "b1").mapInArrow(partial(_replicate, hot=hot), REPLICAS)
 
-    def near(rooted: DataFrame) -> DataFrame:
-        rows = replicated(rooted)
-        hashed = rows.where("not hot").drop("hot").repartition("key").sortWithinPartitions("key", "n", "node")
-        ranged = rows.where("hot").drop("hot").repartitionByRange("key", "n", "node").sortWithinPartitions("key", "n", "node")
-        pairs = [part.mapInArrow(partial(_neighbour_pairs, similarity=similarity), "a long, b long") for part in ((hashed, ranged) if len(hot) else (hashed,))]
-        return reduce(DataFrame.union, pairs).distinct()
-
-    def other(rooted: DataFrame) -> DataFrame:
-        rows, can = replicated(rooted), partial(_can, similarity=similarity)
-        hashed = rows.where("not hot").drop("hot").repartition("key").sortWithinPartitions("key", "n", "node")
-        found = durable(hashed.mapInArrow(partial(_other_pairs, similarity=similarity), "a long, b long, crowd long"), "pairs")
-        pairs, told = found.where("crowd is null").select("a", "b"), found.where("crowd is not null").select(F.col("crowd").alias("key")).distinct()
-        crowds = [rows.where("hot").drop("hot")] if len(hot) else []
-        if not told.isEmpty():
-            crowds.append(rows.where("not hot").drop("hot").join(told, "key", "left_semi"))
-        if crowds:
-            pairs = pairs.union(across(durable(reduce(DataFrame.unionByName, crowds), "crowds"), can))
-        return pairs.distinct()
+    def hashed(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key").sortWithinPartitions("key", "n", "node")
 
     def verified(links: DataFrame) -> DataFrame:
         ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-        named = nodes.join(ends, "node", "left_semi").select("node", F.col("least").alias("id"), F.col("whole").alias("digest"))
+        named = durable(marked(nodes, F.col("node"), ends).join(ends, "node").select("node", F.col("least").alias("id"), F.col("whole").alias("digest")), "ends")
         text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("whole", F.xxhash64("text"))
+        text = marked(text, F.col("whole"), named.select("digest"))
         texts = text.join(named, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("whole") == F.col("digest"))).groupBy("node").agg(F.first("text").alias("text"))
-        sets = durable(texts.select("node", "text").mapInArrow(partial(_sets, width=width), "node long, set binary"), "sets")
-        side = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"{c}_set"))
-        pairs = even_join(even_join(links, side("a"), ["a"]), side("b"), ["b"])
-        return pairs.select("a", "b", "a_set", "b_set").mapInArrow(partial(_verified, similarity=similarity), "a long, b long")
-
-    first = durable(near(nodes.withColumn("root", F.col("node"))), "candidates")
-    roots = components(verified(first), "similar")
-    rooted = nodes.select("node", "n", "b0", "b1", "prefix").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    others = durable(other(rooted).join(first, ["a", "b"], "left_anti"), "candidates")
+        texts = durable(texts, "texts")
+        settle(docs.sparkSession)
+        side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"{c}_text"))
+        both = even_join(even_join(links, side("a"), ["a"]), side("b"), ["b"])  # texts move, which are smaller than their shingles
+        alike = durable(both.select("a", "b", "a_text", "b_text").mapInArrow(partial(_verified, width=width, similarity=similarity), "a long, b long"), "alike")
+        discard(named, texts)
+        settle(docs.sparkSession)
+        return alike
+
+    each = replicated(nodes.withColumn("root", F.col("node")))
+    cold, crowds = each.where("not hot").drop("hot"), [each.where("hot").drop("hot")] if len(hot) else []
+    marks = durable(hashed(cold).mapInArrow(partial(_first_pairs, similarity=similarity), "a long, b long, kind int"), "candidates")
+    settle(docs.sparkSession)
+    pairs = lambda kind: marks.where(F.col("kind") == kind)
+    if told := not pairs(CROWDED).isEmpty():
+        keys = durable(pairs(CROWDED).select(F.col("a").alias("key")).distinct(), "keys")
+        crowds.append(cold.join(keys, "key", "left_semi"))
+    first = [pairs(PAIR).select("a", "b")]
+    if crowds:
+        crowd = durable(reduce(DataFrame.unionByName, crowds), "crowds")
+        near = crowd.repartitionByRange("key", "n", "node").sortWithinPartitions("key", "n", "node")
+        first.append(near.mapInArrow(partial(_neighbour_pairs, similarity=similarity), "a long, b long"))
+    checked = durable(reduce(DataFrame.union, first).distinct(), "pairs")
+    roots = components(verified(checked), "similar")
+    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    rest = pairs(REST).select("a", "b").distinct().join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+    rest = rest.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+    wanted = pairs(NODE).select(F.col("a").alias("node")).distinct()
+    large = marked(nodes, F.col("node"), wanted).join(wanted, "node").select("node", "n", "b0", "b1", "prefix")  # a semi join would go before the bitmap
+    rooted = replicated(large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))).where("not hot").drop("hot")
+    rooted = rooted.join(keys, "key", "left_anti") if told else rooted
+    others = hashed(rooted).mapInArrow(partial(_other_pairs, similarity=similarity), "a long, b long").union(rest)
+    if crowds:
+        again = crowd.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        others = others.union(across(durable(again.select("key", "node", "root", "n", "b0", "b1", "place"), "crowds"), partial(_can, similarity=similarity)))
+    others = durable(others.distinct().join(checked, ["a", "b"], "left_anti"), "candidates")
+    discard(marks, checked)
+    settle(docs.sparkSession)
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(others)), "similar")
+    discard(others)
     placed = durable(nodes.select(*DIGEST, "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
     named = even_join(placed, placed.groupBy("root").agg(F.min("least").alias("component_id")), ["root"]).select(*DIGEST, "component_id")
-    return even_join(found.select("doc_id", *DIGEST), named, DIGEST).select("doc_id", "component_id")
+    return even_join(ids, named, DIGEST).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
