@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opinara.llm import bpe, chunk_dedup, fingerprint, langid, licenses, packing, pii, simhash, toxicity, urlfilter
+from opinara.llm import bpe, chunk_dedup, filteraudit, fingerprint, langid, licenses, packing, pii, simhash, toxicity, urlfilter
 from opinara.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chunk_dedup": op1_chunk_dedup,
     "op2_fingerprint": op2_fingerprint,
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_url_filter": op9_url_filter,
     "op10_pii": op10_pii,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -71,4 +76,29 @@ ORACLE_SQL: dict[str, str] = {
         g AS (SELECT doc_id, sha256(bare) AS text_sha256, count(*) OVER (PARTITION BY bare) AS group_size,
                      first_value(doc_id) OVER (PARTITION BY bare ORDER BY n_chars DESC, doc_id) AS keep_id FROM n)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g""",
+    "op11_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+                          list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+        l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                     [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words),
+                      100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text), regexp_matches(text, '[#$%&*|]'),
+                      coalesce(min(d.doc_id) OVER (PARTITION BY text) < d.doc_id, false)] AS fails
+              FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+        n AS (SELECT part, fails, count(*) AS docs, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+        letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+                   WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        run AS (SELECT *, list_filter([1, 2, 3, 4, 5], lambda k: fails[ascii(filter_order[k]) - 64])[1] AS hit FROM n, orders),
+        steps AS (SELECT run.*, step, fails[ascii(filter_order[step]) - 64] AS here,
+                         len(list_filter(fails, lambda x: x)) AS failed FROM run, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+        r AS (SELECT part, filter_order, step, sum(CASE WHEN hit IS NULL OR hit > step THEN docs ELSE 0 END) AS kept,
+                     sum(CASE WHEN hit = step THEN docs ELSE 0 END) AS removed, sum(CASE WHEN here AND hit < step THEN docs ELSE 0 END) AS redundant,
+                     sum(CASE WHEN here AND failed = 1 THEN docs ELSE 0 END) AS unique_fails,
+                     sum(CASE WHEN hit = step THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN hit = step THEN toxic ELSE 0 END) AS toxic_lost
+              FROM steps GROUP BY ALL)
+        SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+               unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+               (sum(removed) OVER (PARTITION BY part, filter_order[step]))::BIGINT AS shapley,
+               (sum(kept) OVER (PARTITION BY filter_order, step))::BIGINT AS kept_all FROM r""",
 }
