@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opinara.llm import bpe, chunk_dedup, filteraudit, fingerprint, langid, licenses, packing, pii, simhash, toxicity, urlfilter
+from opinara.llm import bpe, chunk_dedup, filteraudit, fingerprint, langid, licenses, packing, pii, simhash, toxicity, urlfilter, vectorcodes
 from opinara.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chunk_dedup": op1_chunk_dedup,
     "op2_fingerprint": op2_fingerprint,
@@ -67,8 +71,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_pii": op10_pii,
     "op11_filter_audit": op11_filter_audit,
+    "op12_vector_codes": op12_vector_codes,
 }
 
+#: A round of the codebooks: each part's nearest entry (n), then the entries' new places (c).
+_NEAREST = """
+        n{i} AS MATERIALIZED (SELECT rid, p.part, min([list_sum(list_transform(range(1, len(p.v) + 1), lambda j: (p.v[j] - c.v[j]) ** 2))::BIGINT, entry]) AS best
+              FROM p JOIN c{i} c ON p.part = c.part GROUP BY rid, p.part),"""
+_MOVED = """
+        s{j} AS (SELECT part, entry, place, sum(x)::BIGINT AS total, count(*) AS n
+              FROM (SELECT n.part, best[2] AS entry, unnest(v) AS x, unnest(range(len(v))) AS place FROM n{i} n JOIN p ON n.rid = p.rid AND n.part = p.part) GROUP BY ALL),
+        m{j} AS (SELECT part, entry, list(((total - ((total % n) + n) % n) // n)::BIGINT ORDER BY place) AS v FROM s{j} GROUP BY ALL),
+        c{j} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{j} m ON c.part = m.part AND c.entry = m.entry),"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_chunk_dedup": r"""
         WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS n_chars,
@@ -101,4 +116,17 @@ ORACLE_SQL: dict[str, str] = {
                unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
                (sum(removed) OVER (PARTITION BY part, filter_order[step]))::BIGINT AS shapley,
                (sum(kept) OVER (PARTITION BY filter_order, step))::BIGINT AS kept_all FROM r""",
+    "op12_vector_codes": """
+        WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label,
+                    list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+              WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS MATERIALIZED (SELECT rid, part, v[part * len(v) // 8 + 1 : (part + 1) * len(v) // 8] AS v FROM k, (SELECT unnest(range(8)) AS part)),
+        c0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, v FROM p WHERE rid <= 16),"""
+    + "".join(_NEAREST.format(i=i) + _MOVED.format(i=i, j=i + 1) for i in range(6))
+    + _NEAREST.format(i=6)
+    + """
+        r AS (SELECT vec_id, label, string_agg(printf('%02x', best[2]), '' ORDER BY part) AS code, sum(best[1])::BIGINT AS error
+              FROM n6 JOIN k ON n6.rid = k.rid GROUP BY n6.rid, vec_id, label)
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+               sha256((SELECT string_agg(array_to_string(v, ','), ',' ORDER BY part, entry) FROM c6)) AS codebooks_sha256 FROM r""",
 }
