@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opinara.llm import bpe, chunk_dedup, filteraudit, fingerprint, langid, licenses, packing, pii, simhash, toxicity, urlfilter, vectorcodes
+from opinara.llm import bpe, chunk_dedup, filteraudit, fingerprint, htmltext, langid, licenses, packing, pii, simhash, toxicity, urlfilter, vectorcodes
 from opinara.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcodes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chunk_dedup": op1_chunk_dedup,
     "op2_fingerprint": op2_fingerprint,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
     "op11_filter_audit": op11_filter_audit,
     "op12_vector_codes": op12_vector_codes,
+    "op13_html_text": op13_html_text,
 }
 
 #: A round of the codebooks: each part's nearest entry (n), then the entries' new places (c).
