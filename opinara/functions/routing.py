@@ -143,6 +143,11 @@ def intent(query: Column) -> Column:
     return F.coalesce(*(F.when(holds, made(*rest)) for holds, *rest in found))
 
 
+def named_late(query: Column) -> Column:
+    """What a question names in quotes, else after a key."""
+    return _or_else(quoted(query), _after(query, AFTER_KEY))
+
+
 def in_session(query: Column, asked: Column, last: Column) -> Column:
     """asked with what it lacks from last (struct<intent, entity_kind, entities>; null without a session)."""
     more, fallback, none = is_continued(query), asked["intent"] == "fallback", F.size(asked["entities"]) == 0
@@ -154,7 +159,7 @@ def in_session(query: Column, asked: Column, last: Column) -> Column:
     name = F.when(goes_on | search, last["intent"]).otherwise(asked["intent"])
     surer = search | (goes_on & named & last["intent"].isin("fallback", "rag_search"))
     sure = F.greatest(asked["confidence"], F.when(surer, 0.75).when(goes_on, 0.7).otherwise(0.0))
-    late = F.when((name != "fallback") & (F.size(entities) == 0), _or_else(quoted(query), _after(query, AFTER_KEY))).otherwise(entities)
+    late = F.when((name != "fallback") & (F.size(entities) == 0), named_late(query)).otherwise(entities)
     kept = F.struct(name.alias("intent"), kind.alias("entity_kind"), late.alias("entities"), sure.alias("confidence"))
     return F.when(last.isNull(), asked).otherwise(kept)
 

@@ -1065,6 +1065,26 @@ def session_intents(spark: SparkSession, sf: str) -> DataFrame:
     return asked.select("conv_id", "turn", routing.in_session(F.col("q"), routing.intent(F.col("q")), last).alias("v")).select("conv_id", "turn", "v.intent", "v.entities", "v.confidence")
 
 
+@query("""WITH t AS (SELECT conv_id, turn, role, turn // 4 AS part, CASE WHEN role = 'user' THEN (conv_id * 7 + turn * 5) % 6 END AS k FROM conversations),
+  s AS (SELECT *, CASE k WHEN 0 THEN 'reputation_analyze' WHEN 1 THEN 'rag_search' WHEN 4 THEN 'reputation_compare' END AS own,
+      CASE k WHEN 0 THEN ['Alpha'] WHEN 1 THEN ['Beta'] WHEN 3 THEN ['Gamma'] WHEN 4 THEN ['Alpha', 'Beta'] END AS named, CASE WHEN k IN (0, 4) THEN 'clinic' END AS kind FROM t),
+  w AS (SELECT *, last_value(own IGNORE NULLS) OVER p AS last_intent, last_value(named IGNORE NULLS) OVER p AS last_named, last_value(kind IGNORE NULLS) OVER p AS last_kind,
+      count(*) OVER p AS history FROM s WINDOW p AS (PARTITION BY conv_id, part ORDER BY turn))
+  SELECT conv_id, turn, CASE WHEN k IN (3, 5) THEN coalesce(last_intent, 'fallback') ELSE coalesce(own, 'fallback') END AS intent, coalesce(kind, last_kind) AS entity_kind,
+    CASE WHEN k = 2 THEN coalesce(last_named, []) ELSE coalesce(named, []) END AS entities,
+    CASE k WHEN 0 THEN 0.75 WHEN 1 THEN 0.5 WHEN 4 THEN 0.9 WHEN 3 THEN CASE WHEN last_intent = 'rag_search' THEN 0.75 WHEN last_intent IS NULL THEN 0.2 ELSE 0.7 END
+      WHEN 5 THEN CASE WHEN last_intent IS NULL THEN 0.2 ELSE 0.7 END ELSE 0.2 END::DOUBLE AS confidence, history::INT AS history FROM w WHERE k IS NOT NULL""")
+def session_dialogues(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions whose intents depend on earlier ones of their session; four turns on, a session has expired."""
+    questions = ["проанализируй клинику «Alpha»", "покажи отзывы «Beta»", "ясно", "а теперь «Gamma»", "сравни клиники «Alpha» и «Beta»", "то же самое"]
+    said = F.when(F.col("role") == "user", F.array(*map(F.lit, questions))[((F.col("conv_id") * 7 + F.col("turn") * 5) % 6).cast("int")]).otherwise(F.col("text"))
+    ts = F.col("turn") * 60 + F.floor(F.col("turn") / 4) * 7200
+    turns = _stream(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), ts.alias("ts"), "role", said.alias("said"))
+    found = jobs.run_to_table(spark, jobs.dialogues(turns, expire=False), None)
+    hours = F.floor(F.col("ts") / 7200)
+    return found.select(F.col("session_id").alias("conv_id"), F.floor((F.col("ts") - hours * 7200) / 60).alias("turn"), "intent", "entity_kind", "entities", "confidence", "history")
+
+
 @query(f"""SELECT doc_id, source || '. {routing.DEFAULT_SEARCH["doctor"]}. жалобы; похвала' AS asked, regexp_extract_all(source || ' Galaxy, (Pixel) or Nokia', '[A-Z][a-z]{{3,}}')[1:3] AS named FROM documents""")
 def search_texts(spark: SparkSession, sf: str) -> DataFrame:
     asked = routing.search_text("doctor", F.col("source"), ["top_praises", "top_complaints"])

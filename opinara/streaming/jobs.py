@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from opinara.functions import routing
 from opinara.storage import exists, scratch
 
 TTL_SECONDS = 3600
@@ -105,6 +106,78 @@ def sessions(turns: DataFrame, expire: bool = True, limit: int = HISTORY_TURNS)
     return rows.groupBy("session_id").applyInPandasWithState(step, "session_id long, kept int, entity string, history array<string>", kept, "update", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
 
 
+_LAST = "intent string, entity_kind string, entities array<string>, at long"
+_ANSWERED = "session_id long, ts long, intent string, entity_kind string, entities array<string>, confidence double, history int"
+
+
+def inherited(asked: Row, more: bool, late: list[str], last: tuple[str | None, str | None, list[str]]) -> tuple[str, str | None, list[str], float]:
+    """What a question asks for, with what it lacks from the session's last intent, kind and entities, as routing.in_session
+    fills it in: asked is routing.intent's struct, more is_continued, late what the question names in quotes or after a key."""
+    name, kind, entities, sure = asked["intent"], asked["entity_kind"] or last[1], list(asked["entities"]), asked["confidence"]
+    if name == "fallback" and not entities and not more:
+        entities = list(last[2])
+    if more and last[0]:
+        named = bool(entities) and name in ("fallback", "rag_search")
+        if name == "fallback":
+            name, sure = last[0], max(sure, 0.7)
+        if named and (asked["intent"] == "rag_search" or last[0] in ("fallback", "rag_search")):
+            name, sure = last[0], max(sure, 0.75)
+    if name != "fallback" and not entities:
+        entities = list(late)
+    return name, kind, entities, sure
+
+
+class Dialogue(StatefulProcessor):
+    """A session's state: its last turns as a list, what it last asked for as a value. Both go ttl seconds after their last use, by
+    the clock; a turn that comes later than ttl after the one before, by its own time, finds a new session too."""
+
+    def __init__(self, ttl: int, limit: int, expire: bool) -> None:
+        self.ttl, self.limit, self.expire = ttl, limit, expire
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        life = self.ttl * 1000 if self.expire else None
+        self.last = handle.getValueState("last", _LAST, life)
+        self.history = handle.getListState("history", "ts long, role string, said string", life)
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timer: Any) -> Iterator[Row]:
+        last = tuple(self.last.get()) if self.last.exists() else (None, None, [], None)
+        history = [tuple(r) for r in self.history.get()]
+        for r in sorted(rows, key=lambda r: (r["ts"], r["said"])):
+            if last[3] is not None and r["ts"] - last[3] > self.ttl:
+                last, history = (None, None, [], None), []
+            history = [*history, (r["ts"], r["role"], r["said"])][-2 * self.limit :]
+            if r["asked"] is None:
+                last = (*last[:3], r["ts"])
+                continue
+            name, kind, entities, sure = inherited(r["asked"], r["more"], r["late"], last[:3])
+            last = (name if name != "fallback" else last[0], kind or last[1], entities or last[2], r["ts"])
+            yield Row(session_id=key[0], ts=r["ts"], intent=name, entity_kind=kind, entities=entities, confidence=sure, history=len(history))
+        self.last.update(last)
+        self.history.put(history)
+
+    def close(self) -> None:
+        pass
+
+
+def dialogues(turns: DataFrame, expire: bool = True, ttl: int = TTL_SECONDS, limit: int = HISTORY_TURNS) -> DataFrame:
+    """Of a stream of turns (session_id, ts, role, said), what each of the user's asks for: (session_id, ts, intent, entity_kind,
+    entities, confidence, history), history being the number of turns that the session keeps, this one included.
+
+    What a question lacks comes from the turns before it, in whichever batch they came: a fallback is not remembered, nor are no
+    entities. Intents are columns; the state's code gets their small results, a batch's turns of a session in order of ts. Turns of
+    a later batch come after those of an earlier one. A replay of past turns has expire=False: by the clock it wouldn't expire as
+    its turns say, and a query whose state does goes on without rows, past availableNow. Sets the session's state store to RocksDB.
+    """
+    turns.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    said = F.coalesce("said", F.lit(""))
+    rows = turns.select(
+        F.col("session_id").cast("long").alias("session_id"), F.coalesce(F.col("ts").cast("long"), F.lit(0)).alias("ts"), "role", said.alias("said"),
+        F.when(F.col("role") == "user", routing.intent(said)).alias("asked"), routing.is_continued(said).alias("more"), routing.named_late(said).alias("late"),
+    )
+    mode = "ProcessingTime" if expire else "None"
+    return rows.groupBy("session_id").transformWithState(Dialogue(ttl, limit, expire), _ANSWERED, "append", mode)
+
+
 def run_to_table(spark: SparkSession, stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """What a stream over what is there now leaves, as a table in the shared folder; of rows with equal keys the last batch's.
 
