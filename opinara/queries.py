@@ -672,15 +672,16 @@ def _chat_export(spark: SparkSession, sf: str) -> str:
         some(F.col("role") != "assistant", F.col("role")).alias("from"),
         F.concat(F.lit("id-"), "role").alias("from_id"),
         some(turn > 0, turn - 1).alias("reply_to_message_id"),
-        F.when(turn % 5 == 1, F.concat(F.lit("["), F.to_json(F.struct(F.col("text").alias("text"))), F.lit(', " end"]'))).when(turn % 5 != 2, F.col("text")).alias("text"),
+        F.when(turn % 5 == 1, F.parse_json(F.concat(F.lit("["), F.to_json(F.struct(F.col("text").alias("text"))), F.lit(', " end"]')))).when(turn % 5 != 2, F.col("text").cast("variant")).alias("text"),
         some(turn % 5 == 2, F.array(F.struct(F.col("text").alias("text")), F.struct(F.lit("!").alias("text")))).alias("text_entities"),
         some(turn % 4 == 1, F.lit("see photo")).alias("caption"),
         some(turn % 4 == 1, F.lit("a.jpg")).alias("photo"),
         some(turn % 7 == 6, F.struct(F.lit("ok?").alias("question"), F.array(F.struct(F.lit("yes").alias("text")), F.struct(F.lit("no").alias("text"))).alias("answers"))).alias("poll"),
     )
-    chats = load(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", message.alias("m")))).alias("each"))  # a conversation is one file
-    doc = F.struct(some(F.col("conv_id") % 2 == 0, F.col("conv_id")).alias("id"), F.concat(F.lit("Chat no. "), "conv_id").alias("name"), F.lit("personal_chat").alias("type"), F.transform("each", lambda x: x["m"]).alias("messages"))
-    chats.select(F.to_json(doc).alias("value")).write.text(path)
+    chats = load(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.to_json(message).alias("m")))).alias("each"))  # a conversation is one file
+    head = F.to_json(F.struct(some(F.col("conv_id") % 2 == 0, F.col("conv_id")).alias("id"), F.concat(F.lit("Chat no. "), "conv_id").alias("name"), F.lit("personal_chat").alias("type")))
+    messages = F.array_join(F.transform("each", lambda x: x["m"]), ",")
+    chats.select(F.concat(F.substring(head, 1, F.length(head) - 1), F.lit(', "messages": ['), messages, F.lit("]}")).alias("value")).write.text(path)
     return path
 
 
@@ -694,6 +695,21 @@ def chat_export(spark: SparkSession, sf: str) -> DataFrame:
     return _utc(readers.chat_messages(spark, _chat_export(spark, sf), lines=True), "sent_at")
 
 
+@query("""SELECT '7' AS export_key, conv_id * 1000 + turn AS message_id, CASE turn % 3 WHEN 0 THEN '["' || role || '"]' WHEN 1 THEN text || '}{' || role ELSE text END AS text, conv_id AS reply_to FROM conversations""")
+def chat_export_split(spark: SparkSession, sf: str) -> DataFrame:
+    """All messages as one document, whose parts are read by different tasks; some texts are strings that look like lists."""
+    text = F.when(F.col("turn") % 3 == 0, F.to_json(F.struct(F.concat(F.lit('["'), "role", F.lit('"]')).alias("text"))))
+    parts = F.array(F.struct(F.lit(None).cast("string").alias("text"), F.col("text").alias("plain")), F.struct(F.concat(F.lit("}{"), "role").alias("text"), F.lit(None).cast("string").alias("plain")))
+    listed = F.to_json(F.struct(F.transform(parts, lambda p: F.coalesce(p["text"], p["plain"])).alias("text")))
+    body = F.coalesce(text, F.when(F.col("turn") % 3 == 1, listed), F.to_json(F.struct("text")))
+    rest = F.to_json(F.struct(F.lit("message").alias("type"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("reply_to_message_id")))
+    message = F.concat(F.lit(","), F.substring(body, 1, F.length(body) - 1), F.lit(", "), F.substring(rest, 2, F.length(rest)))
+    path, lines = scratch(spark, "one-export"), load(spark, sf, "conversations").select((F.lit(1)).alias("o"), message.alias("value"))
+    ends = spark.range(2).select((F.col("id") * 2).alias("o"), F.when(F.col("id") == 0, '{"name": "{all}", "id": 7, "messages": [null').otherwise('], "last": {"messages": [{}]}}').alias("value"))
+    lines.union(ends).coalesce(1).sortWithinPartitions("o").select("value").write.text(path)  # one document is one file
+    return readers.split_chat_messages(spark, path).select("export_key", "message_id", "text", "reply_to")
+
+
 @query(f"""SELECT count(*) AS n, count(DISTINCT {_EXPORT_KEY}) AS chats, sum(length({_SAID}))::BIGINT AS characters FROM conversations WHERE turn % 11 <> 10""")
 def chat_export_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The same exports a few files at a time."""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinara.functions import text as T
+from opinara.sources import split
 from opinara.storage import exists
 
 DOCTOR = "doctor_id bigint, name string, speciality string, address string, total_rating double, reviews_count int, price double, service_id bigint, service_name string, parent_service_name string, profile_url string, profile_path string"
@@ -23,7 +24,7 @@ CRAWL = (
     f"doctor_profiles array<struct<ok: boolean, page_url: string, doctor_alias: string, doctor: struct<id: bigint, name: string, speciality: string, total_rating: double, reviews_count: int>, reviews: array<struct<{REVIEW}>>>>, "
     f"reviews array<struct<{REVIEW}>>"
 )
-MESSAGE = "type string, id bigint, date string, date_unixtime string, `from` string, from_id string, actor string, reply_to_message_id bigint, text string, text_entities array<struct<text: string>>, caption string, poll struct<question: string, answers: array<struct<text: string>>>, photo string, file string, media_type string, sticker_emoji string"
+MESSAGE = "type string, id bigint, date string, date_unixtime string, `from` string, from_id string, actor string, reply_to_message_id bigint, text variant, text_entities array<struct<text: string>>, caption variant, poll struct<question: string, answers: array<struct<text: string>>>, photo string, file string, media_type string, sticker_emoji string"
 EXPORT = f"id string, name string, type string, messages array<struct<{', '.join(f.strip().replace(' ', ': ', 1) for f in MESSAGE.replace('struct<question: string, answers: array<struct<text: string>>>', 'POLL').split(', '))}>>".replace("POLL", "struct<question: string, answers: array<struct<text: string>>>")
 
 
@@ -89,10 +90,12 @@ def crawl_entities(doc: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def fragments(text: Column) -> Column:
-    """A text that is a string, or a JSON list of strings and of objects with a text."""
-    parts = F.from_json(text, "array<string>")
-    one = lambda p: F.when(p.startswith("{"), F.coalesce(F.get_json_object(p, "$.text"), F.lit(""))).otherwise(p)
-    return F.when(text.startswith("[") & parts.isNotNull(), F.array_join(F.transform(parts, one), "")).otherwise(text)
+    """Of a variant, a string as it is, or what a list's strings and its objects' texts say together; other kinds say nothing."""
+    kind = lambda v: F.schema_of_variant(v)
+    whole = lambda v: F.try_variant_get(v, "$", "string")
+    one = lambda p: F.when(kind(p) == "STRING", whole(p)).when(kind(p).startswith("OBJECT"), F.coalesce(F.try_variant_get(p, "$.text", "string"), F.lit(""))).otherwise("")
+    parts = F.array_join(F.transform(F.try_variant_get(text, "$", "array<variant>"), one), "")
+    return F.when(kind(text) == "STRING", whole(text)).when(kind(text).startswith("ARRAY"), parts)
 
 
 def message_text(m: dict[str, Column]) -> Column:
@@ -128,6 +131,15 @@ def chat_messages(spark: SparkSession, path: str, limit: int | None = None, line
     return rows.limit(limit) if limit else rows
 
 
+def split_chat_messages(spark: SparkSession, path: str) -> DataFrame:
+    """The messages of chat_messages from files of any size, each one document, whose parts are read by different tasks."""
+    found, fields = split.elements(spark, path, "messages")
+    value = lambda k: F.max(F.when(F.col("key") == f'"{k}"', F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<string>")[0]))
+    keys = fields.groupBy("file").agg(T.export_key(value("id").try_cast("bigint"), value("name")).alias("export_key"))
+    each = found.join(keys, "file").select("export_key", F.from_json("element", MESSAGE).alias("m"))
+    return normalised_messages(each)
+
+
 def chat_meta(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """chat_id, name, type and export_key of chat exports; only these columns are parsed."""
     doc = spark.read.schema("id string, name string, type string").option("multiLine", not lines).json(path)
