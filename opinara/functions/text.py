@@ -264,16 +264,38 @@ def payload(*columns: str | Column) -> Column:
     return F.to_json(F.struct(*columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss", "ignoreNullFields": "false"})
 
 
-@F.pandas_udf(DoubleType())
-def python_round(value: pd.Series, places: pd.Series) -> pd.Series:
-    """Rounding of the exact binary value, ties to even. Spark's round and bround go by the shortest decimal that reads back
-    as the value, so that 2.675, which lies below its decimal, becomes 2.68; casts to decimal do the same."""
-    return pd.Series([None if pd.isna(v) else round(v, int(p)) for v, p in zip(value, places)], dtype="float64")
-
-
-@F.pandas_udf(DoubleType())
-def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratio of matching blocks of two names."""
-    import difflib
-
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype="float64")
+def round_exact(value: Column, places: int) -> Column:
+    """value to 0 to 15 places by its exact binary value, ties to even. Spark's round and bround go by the shortest decimal that
+    reads back as the value, so that 2.675, which lies below its decimal, becomes 2.68; casts to decimal do the same.
+
+    A value is m / 2^s with whole m and s; the nearest whole number k to value * 10^places is found from the approximate product, and
+    corrected by 2 * (m * 10^places - k * 2^s), which decimals of 38 digits hold. k / 10^places is then the nearest double.
+    """
+    whole = lambda c: c.cast("bigint").cast("decimal(38,0)")  # a double's own cast goes by its shortest decimal
+    power, size = 10**places, F.abs(value)
+    s = 53 - F.floor(F.log2(size)).cast("int")
+    about = F.floor(size * float(power) + 0.5)
+    unit = whole(F.pow(F.lit(2.0), F.least(s, F.lit(62)))) * whole(F.pow(F.lit(2.0), F.greatest(s - 62, F.lit(0))))
+    twice = (whole(size * F.pow(F.lit(2.0), s)) * whole(F.lit(power)) - whole(about) * unit) * whole(F.lit(2))
+    odd = about % 2 == 1
+    step = F.when((twice > unit) | ((twice == unit) & odd), 1).when((twice < -unit) | ((twice == -unit) & odd), -1).otherwise(0)
+    rounded = F.when(value < 0, -1.0).otherwise(1.0) * ((about + step).cast("double") / float(power))
+    small, fine = size * float(power) < 0.25, ~F.isnan(value) & (size * float(power) < float(2**53)) & (size < float(2**52))
+    return F.when(small & ~F.isnan(value), F.when(value < 0, -0.0).otherwise(value * 0.0)).when(fine, rounded).otherwise(value)
+
+
+def likeness(wanted: str):
+    """A function of a name column: the share of characters in blocks that match, found longest first, in name and wanted."""
+
+    @F.pandas_udf(DoubleType())
+    def ratio(names: pd.Series) -> pd.Series:
+        import difflib
+
+        matcher = difflib.SequenceMatcher(None, "", wanted)  # what it knows of wanted serves all names
+        out = []
+        for name in names:
+            matcher.set_seq1(name or "")
+            out.append(matcher.ratio())
+        return pd.Series(out, dtype="float64")
+
+    return ratio

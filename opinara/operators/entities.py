@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,15 +49,40 @@ def in_scope(reviews: DataFrame, scope: dict[str, str]) -> DataFrame:
 
 
 MOST_NEEDLES = 1000
+GRAM = 3
+
+
+def _grams(text: Column, n: int) -> Column:
+    """The different stretches of n characters."""
+    places = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, F.lit(n))))
+
+
+def containing(names: DataFrame, needles: DataFrame) -> DataFrame:
+    """Pairs (name, needle) of a name that contains a needle, of tables of different ones without empty ones, both of any size.
+
+    An index has the stretches of GRAM characters of each name; a needle is looked up by that of its own stretches that the
+    fewest names have, and what shares it is searched for the whole. A needle shorter than that is a stretch itself."""
+    index = names.select("name", F.explode(F.concat(*(_grams(F.col("name"), n) for n in range(1, GRAM + 1)))).alias("gram"))
+    own = needles.select("needle", F.explode(_grams(F.col("needle"), GRAM)).alias("gram"))
+    common = index.join(own.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    found = own.join(common, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
+    rarest = found.where("least.n > 0").select("needle", "least.gram")  # a stretch that no name has: nor has one the needle
+    wanted = rarest.union(needles.where(F.length("needle") < GRAM).select("needle", F.col("needle").alias("gram")))
+    return index.join(wanted, "gram").where(F.contains("name", F.col("needle"))).select("name", "needle")
 
 
 def match_needles(entities: DataFrame, needles: DataFrame) -> DataFrame:
-    """(needle, entity_id, entity_name, pos, score) of names that contain a needle. Needles are a query's few words: more than
-    MOST_NEEDLES, which would have to be compared with each name, raise ValueError."""
-    if needles.limit(MOST_NEEDLES + 1).count() > MOST_NEEDLES:
-        raise ValueError(f"more than {MOST_NEEDLES} needles")
+    """(needle, entity_id, entity_name, pos, score) of names that contain a needle. A query's few words are compared with each name;
+    more than MOST_NEEDLES are looked up in an index."""
     name, needle = T.for_matching(F.col("entity_name")), T.for_matching(F.col("needle"))
-    found = entities.join(F.broadcast(needles), name.contains(needle) & (needle != ""))  # MOST_NEEDLES rows
+    if needles.limit(MOST_NEEDLES + 1).count() > MOST_NEEDLES:
+        own, wanted = entities.withColumn("_name", name), needles.withColumn("_needle", needle)
+        different = lambda df, c, to: df.select(F.col(c).alias(to)).where(F.col(c) != "").distinct()
+        pairs = containing(different(own, "_name", "name"), different(wanted, "_needle", "needle")).toDF("_name", "_needle")
+        found = own.join(pairs, "_name").join(wanted, "_needle").drop("_name", "_needle")
+    else:
+        found = entities.join(F.broadcast(needles), name.contains(needle) & (needle != ""))  # MOST_NEEDLES rows
     whole = F.array_contains(F.split(name, " "), needle)
     return found.withColumn("score", F.length(needle) + F.when(name.startswith(needle) | whole, 10).otherwise(0))
 
@@ -76,12 +104,22 @@ def seeded_groups(catalogue: DataFrame, counts: DataFrame) -> DataFrame:
     return catalogue.join(counts, "entity_id", "left").withColumn("review_count", F.coalesce("review_count", F.lit(0)))
 
 
-def suggest(names: DataFrame, wanted: str, k: int = 5) -> DataFrame:
-    """Names that contain the wanted one, else those of a similarity of 0.5 or more, best first."""
-    hits = names.where(F.lower("name").contains(wanted.lower())).select("name", F.lit(1.0).alias("ratio"))
-    if hits.isEmpty():
-        hits = names.select("name", T.similarity_ratio(F.lit(wanted), "name").alias("ratio")).where("ratio >= 0.5")
-    return hits.distinct().orderBy(F.col("ratio").desc(), "name").limit(k)
+def likeness_bound(name: Column, wanted: str) -> Column:
+    """What the ratio of matching blocks of name and wanted can be at most: by the characters that both have, in any order."""
+    shared = (F.least(F.length(name) - F.length(F.replace(name, F.lit(c), F.lit(""))), F.lit(n)) for c, n in Counter(wanted).items())
+    both = F.length(name) + len(wanted)
+    return F.when(both == 0, 1.0).otherwise(reduce(lambda a, b: a + b, shared, F.lit(0)) * 2.0 / both)
+
+
+def suggest(names: DataFrame, wanted: str, k: int = 5, least: float = 0.5) -> DataFrame:
+    """(name, ratio): the first k names that contain the wanted one, else the k likest of a ratio of least or more, of equals the later
+    by name first. Each name counts once; only those whose bound reaches least are compared block by block."""
+    names = names.select("name").where("name is not null").distinct()
+    hits = names.where(F.lower("name").contains(wanted.lower().strip())).select("name", F.lit(1.0).alias("ratio"))
+    if not hits.isEmpty():
+        return hits.orderBy("name").limit(k)
+    near = names.where(likeness_bound(F.col("name"), wanted) >= least).select("name", T.likeness(wanted)("name").alias("ratio"))
+    return near.where(F.col("ratio") >= least).orderBy(F.col("ratio").desc(), F.col("name").desc()).limit(k)
 
 
 def risk_reviews(reviews: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:

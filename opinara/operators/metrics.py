@@ -38,14 +38,14 @@ COMPLAINTS = [
 
 
 def entity_metrics(reviews: DataFrame, by: list[str]) -> DataFrame:
-    """Of reviews (rating, answered, doctor_id, doctor_name, created): count, mean, shares, doctors, latest day."""
+    """Of reviews (rating, answered, doctor_id, doctor_name, created): count, mean, shares (to a digit), doctors, latest day."""
     rated = F.count("rating")
     doctor = F.when(T.filled(F.col("doctor_name")), F.coalesce(F.col("doctor_id").cast("string"), F.col("doctor_name")))
     return reviews.groupBy(*by).agg(
         F.count("*").alias("review_count"),
-        F.avg("rating").alias("avg_rating"),
-        (F.lit(100.0) * F.count_if(F.col("rating") < LOW) / F.nullif(rated, F.lit(0))).alias("negative_pct"),
-        (F.lit(100.0) * F.count_if(~F.col("answered")) / F.count("*")).alias("unanswered_pct"),
+        T.round_exact(F.avg("rating"), 1).alias("avg_rating"),
+        T.round_exact(F.lit(100.0) * F.count_if(F.col("rating") < LOW) / F.nullif(rated, F.lit(0)), 1).alias("negative_pct"),
+        T.round_exact(F.lit(100.0) * F.count_if(~F.col("answered")) / F.count("*"), 1).alias("unanswered_pct"),
         F.count_distinct(doctor).alias("doctor_count"),
         F.max(F.substring(F.col("created").cast("string"), 1, 10)).alias("latest"),
     )
@@ -70,7 +70,7 @@ def rank_metrics(reviews: DataFrame, by: list[str]) -> DataFrame:
 
 def response_status(reviews: DataFrame, by: list[str]) -> DataFrame:
     share = F.lit(100.0) * F.count_if(F.col("answered")) / F.nullif(F.count("*"), F.lit(0))
-    return reviews.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(F.col("answered")).alias("answered"), F.count_if(~F.col("answered")).alias("unanswered"), share.alias("answered_pct"))
+    return reviews.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(F.col("answered")).alias("answered"), F.count_if(~F.col("answered")).alias("unanswered"), T.round_exact(share, 1).alias("answered_pct"))
 
 
 def top_entities(reviews: DataFrame, name: str, n: int) -> DataFrame:
@@ -99,18 +99,18 @@ def sentiment_histogram(df: DataFrame, text: str) -> DataFrame:
 
 
 def run_kpi(runs: DataFrame) -> DataFrame:
-    return runs.agg(F.count("*").alias("runs"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("avg_confidence"))
+    return runs.agg(F.count("*").alias("runs"), F.coalesce(T.round_exact(F.avg("confidence"), 3), F.lit(0.0)).alias("avg_confidence"))
 
 
 def review_kpi(reviews: DataFrame, low: float = 2.0, high: float = 4.0) -> DataFrame:
     """Count, mean, and shares of low and high ratings; 0 without rows."""
     n = F.nullif(F.count("*"), F.lit(0))
-    zero = lambda c, name: F.coalesce(c, F.lit(0.0)).alias(name)
+    zero = lambda c, name: F.coalesce(T.round_exact(c, 3), F.lit(0.0)).alias(name)
     return reviews.agg(F.count("*").alias("reviews"), zero(F.avg("rating"), "avg_rating"), zero(F.count_if(F.col("rating") <= low) / n, "negative_ratio"), zero(F.count_if(F.col("rating") >= high) / n, "positive_ratio"))
 
 
 def daily_series(runs: DataFrame) -> DataFrame:
-    return runs.groupBy(F.to_date("created_at").alias("date")).agg(F.count("*").alias("runs"), F.avg("confidence").alias("avg_confidence")).orderBy("date")
+    return runs.groupBy(F.to_date("created_at").alias("date")).agg(F.count("*").alias("runs"), T.round_exact(F.avg("confidence"), 3).alias("avg_confidence")).orderBy("date")
 
 
 def winners(metrics: DataFrame, entity: str, columns: list[str], position: str) -> DataFrame:
@@ -119,12 +119,13 @@ def winners(metrics: DataFrame, entity: str, columns: list[str], position: str)
 
 
 def shared_themes(tops: DataFrame, entities: int, n: int = 4) -> DataFrame:
-    """Themes of all entities' lists, else those of max(2, half of them); the most frequent first."""
+    """Themes of all entities' lists, in order of name; if there are none, the first n, most frequent first, of max(2, half of them).
+    Of equally frequent themes the first by name comes first."""
     spread = tops.groupBy("theme").agg(F.count_distinct("entity_id").alias("n"))
     common = spread.where(F.col("n") == entities)
     least = max(2, (entities + 1) // 2)
     some = spread.where(F.col("n") >= least).crossJoin(F.broadcast(common.agg(F.count("*").alias("_c")))).where("_c = 0").drop("_c")  # one row
-    return common.unionByName(some).orderBy(F.col("n").desc(), "theme").limit(n)
+    return common.unionByName(some.orderBy(F.col("n").desc(), "theme").limit(n)).orderBy(F.col("n").desc(), "theme")
 
 
 def unique_themes(tops: DataFrame, n: int = 3, otherwise: int = 2) -> DataFrame:
@@ -152,7 +153,7 @@ def confidence(chunks: DataFrame, text: str, answer: str) -> DataFrame:
     """One row: the mean of coverage and grounding within 0 and 1, to two digits, and whether there is any chunk."""
     both = coverage(chunks, text).crossJoin(grounding(chunks, text, answer)).crossJoin(chunks.agg(F.count("*").alias("n")))  # one row each
     mean = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("coverage") + F.col("grounding")) / 2))
-    return both.select(F.round(mean, 2).alias("confidence"), (F.col("n") > 0).alias("passed"), F.when(F.col("n") > 0, "ok").otherwise("no_relevant_chunks").alias("notes"))
+    return both.select(T.round_exact(mean, 2).alias("confidence"), (F.col("n") > 0).alias("passed"), F.when(F.col("n") > 0, "ok").otherwise("no_relevant_chunks").alias("notes"))
 
 
 def export_statistics(messages: DataFrame, kinds: dict[str, Column]) -> DataFrame:

@@ -7,6 +7,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opinara.functions import text as T
 from opinara.operators import entities as E
 from opinara.operators import metrics as M
 
@@ -65,7 +66,7 @@ def _themes(reviews: DataFrame, by: list[str], text: str, themes: dict, complain
 
 
 def _number(value: Column, places: int) -> Column:
-    return F.round(value, places).cast("string")
+    return T.round_exact(value, places).cast("string")
 
 
 def _hints(table: dict[str, str], themes: Column, otherwise) -> Column:
@@ -134,7 +135,7 @@ def report(reviews: DataFrame, by: list[str], name: str, text: str, themes: dict
     summary = F.concat_ws(
         " ",
         F.concat(F.lit("«"), "_name", F.lit("»: "), F.col("review_count").cast("string"), F.lit(" отзывов в выборке.")),
-        F.concat(F.lit("Средняя оценка "), _number(F.col("avg_rating"), 2), F.lit(".")),
+        F.concat(F.lit("Средняя оценка "), _number(F.col("avg_rating"), 1), F.lit(".")),
         F.concat(F.lit("Доля негатива "), _number(F.col("negative_pct"), 1), F.lit("%.")),
         F.concat(F.lit("Без ответа клиники "), _number(F.col("unanswered_pct"), 1), F.lit("%.")),
         F.when(some("_good"), F.concat(F.lit("Чаще всего ценят: "), first("_good", 3), F.lit("."))),
@@ -183,7 +184,7 @@ def compare(reviews: DataFrame, ids: list[str], name: str, text: str, themes: di
     each = each.withColumn("_ad", F.concat(F.lit("«"), "entity_name", F.lit("» — акцент на "), praised))
     each = each.withColumns({"strengths": said("strengths", NO_PRAISE), "weaknesses": said("weaknesses", FEW_COMPLAINTS), "unique_selling_points": said("unique_selling_points", NO_PRAISE)})
     line = F.concat(
-        F.lit("«"), "entity_name", F.lit("»: "), F.col("review_count").cast("string"), F.lit(" отз., рейтинг "), F.coalesce(_number(F.col("avg_rating"), 2), F.lit("—")),
+        F.lit("«"), "entity_name", F.lit("»: "), F.col("review_count").cast("string"), F.lit(" отз., рейтинг "), F.coalesce(_number(F.col("avg_rating"), 1), F.lit("—")),
         F.lit(", негатив "), F.coalesce(_number(F.col("negative_pct"), 1), F.lit("—")), F.lit("%, ответы "), F.coalesce(_number(F.col("answered_pct"), 1), F.lit("—")), F.lit("%."),
     )
     in_order = lambda c, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", c.alias("v")))), lambda x: x["v"]), sep)  # of ids
@@ -191,7 +192,7 @@ def compare(reviews: DataFrame, ids: list[str], name: str, text: str, themes: di
     best = M.winners(each, "entity_name", list(WINNERS), "position")
     won = F.concat_ws("; ", *(F.concat(F.lit(f"лучший {label} — «"), F.col(c), F.lit("»")) for c, label in WINNERS.items()))
     tops = M.top_per_group(bad, by, [F.col("n").desc(), F.col("theme")], 6).select("entity_id", "theme")
-    shared = M.shared_themes(tops, len(ids)).agg(F.array_sort(F.collect_list("theme")).alias("_shared"))
+    shared = M.shared_themes(tops, len(ids)).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "theme"))), lambda x: x["theme"]).alias("_shared"))
     row = texts.crossJoin(best).crossJoin(shared)  # one row each
     whole = row.select(
         F.concat_ws(" ", "_summary", F.when(won != "", F.concat(F.lit("По метрикам: "), won, F.lit("."))), F.lit(MADE_BY_RULE)).alias("summary"),

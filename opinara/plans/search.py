@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +21,53 @@ def vector_candidates(chunks: DataFrame, query: list[float], k: int, id_: str =
     return top.withColumn("vector_rank", F.row_number().over(Window.orderBy(*order)) - 1)  # of k rows
 
 
+def _blocks(rows: DataFrame, id_: str, as_: str, block: int) -> tuple[DataFrame, int]:
+    """(width, number, ids, vectors): usable vectors of one width in blocks of about as many rows each; how many numbers there are."""
+    usable = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    rows = rows.where(F.col("embedding").isNotNull() & usable & F.exists("embedding", lambda x: x != 0)).select(F.col(id_).alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    count = max(1, -(-rows.count() // block))
+    placed = rows.withColumns({"width": F.size("v"), "number": F.pmod(F.xxhash64("id", "v"), F.lit(count))})
+    packed = placed.groupBy("width", "number").agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("rows"))
+    return packed.select("width", F.col("number").alias(f"{as_}_number"), F.col("rows.id").alias(f"{as_}_ids"), F.flatten("rows.v").alias(f"{as_}_vectors")), count
+
+
+def nearest_of_each(queries: DataFrame, chunks: DataFrame, k: int, id_: str = "chunk_id", block: int = 4096) -> DataFrame:
+    """For each query (query_id, embedding) the k chunks (id_, embedding) of the greatest cosine, of equals the smallest id first:
+    (query_id, id_, score, place from 1). Exact, whatever the number of either.
+
+    Both sides are packed in blocks; a block of queries meets a block of chunks as a product of two matrices, of which each query's
+    k best stay, and only these are merged. Vectors without a direction (null, empty, zeros, not finite) are nobody's
+    neighbours, nor are those of other widths. A score doesn't depend on the block that it is found in.
+    """
+    (one, n), (other, m) = _blocks(queries, "query_id", "q", block), _blocks(chunks, id_, "c", block)
+    each = lambda rows, name, count: rows.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
+    if n > m:  # the side of fewer blocks goes to each block of the other one, and tasks are as many as those
+        met = one.join(each(other, "q_number", n), ["width", "q_number"])
+    else:
+        met = each(one, "c_number", m).join(other, ["width", "c_number"])
+    kinds = dict(queries.dtypes)["query_id"], dict(chunks.dtypes)[id_]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, found = [batch.column(j).slice(i, 1).flatten() for j in (0, 2)], [batch.column(j).slice(i, 1).flatten().to_numpy(zero_copy_only=False) for j in (1, 3)]
+                q, c = (v.reshape(len(n), -1) for v, n in zip(found, ids))
+                norms = [np.sqrt((m * m).sum(axis=1)) for m in (q, c)]
+                near = (q / norms[0][:, None]) @ (c / norms[1][:, None]).T
+                least = np.partition(near, max(len(c) - k, 0), axis=1)[:, max(len(c) - k, 0)]
+                rows, columns = np.nonzero(near >= least[:, None] - 1e-9)  # products differ in their last digits by place
+                score = np.concatenate([(q[r] * c[s]).sum(axis=1) / (norms[0][r] * norms[1][s]) for r, s in zip(np.array_split(rows, 1 + len(rows) // block), np.array_split(columns, 1 + len(rows) // block))])
+                order = np.lexsort((columns, -score, rows))
+                rows, columns, score = rows[order], columns[order], score[order]
+                first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+                best = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)])) < k
+                yield pa.RecordBatch.from_arrays([ids[0].take(pa.array(rows[best])), ids[1].take(pa.array(columns[best])), pa.array(score[best])], names=["query_id", id_, "score"])
+
+    found = met.select("q_ids", "q_vectors", "c_ids", "c_vectors").mapInArrow(task, f"query_id {kinds[0]}, `{id_}` {kinds[1]}, score double")
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), id_)
+    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+
+
 def keyword_candidates(chunks: DataFrame, query: str, columns: list[str], k: int, id_: str = "chunk_id") -> DataFrame:
     """The first k by id with the query in a column, with keyword_rank from 0."""
     top = chunks.where(T.contains_any([F.col(c) for c in columns], query)).orderBy(id_).limit(k)
@@ -41,7 +92,7 @@ def hybrid_search(chunks: DataFrame, query: str, vector: list[float] | None, k:
     near = V.cosine(F.col("embedding"), V.literal(vector)) if vector else F.lit(0.0)
     words = T.lexical_overlap(F.lit(query), F.concat_ws(" ", "title", "body", "tags"))
     w, x = (weights[0] / sum(weights), weights[1] / sum(weights)) if vector else (0.0, 1.0)
-    scored = one.withColumn("vector_score", F.round(near, 4)).withColumn("keyword_score", F.round(words, 4)).withColumn("score", F.round(w * near + x * words, 4))
+    scored = one.withColumns({"vector_score": T.round_exact(near, 4), "keyword_score": T.round_exact(words, 4), "score": T.round_exact(w * near + x * words, 4)})
     return scored.orderBy(F.col("score").desc(), "pos", "chunk_id").limit(k)
 
 

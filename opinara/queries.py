@@ -6,6 +6,7 @@ customer the doctor, a part the service, an event a run, an embedding with its d
 
 from __future__ import annotations
 
+import difflib
 from collections.abc import Callable
 from functools import reduce
 
@@ -49,6 +50,11 @@ def query(sql: str | None = None):
     return add
 
 
+def rounded(value: str, places: int) -> str:
+    """SQL's way to round the exact binary value, ties to even."""
+    return f"printf('%.{places}f', {value})::DOUBLE"
+
+
 def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -87,8 +93,8 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 # Metrics
 
 
-@query(f"""SELECT entity_id, count(*) AS review_count, avg(rating) AS avg_rating, 100.0::DOUBLE * sum((rating < 7)::INT) / count(rating) AS negative_pct,
-  100.0::DOUBLE * sum((NOT answered)::INT) / count(*) AS unanswered_pct, count(DISTINCT o_custkey) AS doctor_count, substr(max(created)::VARCHAR, 1, 10) AS latest
+@query(f"""SELECT entity_id, count(*) AS review_count, {rounded("avg(rating)", 1)} AS avg_rating, {rounded("100.0::DOUBLE * sum((rating < 7)::INT) / count(rating)", 1)} AS negative_pct,
+  {rounded("100.0::DOUBLE * sum((NOT answered)::INT) / count(*)", 1)} AS unanswered_pct, count(DISTINCT o_custkey) AS doctor_count, substr(max(created)::VARCHAR, 1, 10) AS latest
   FROM {REVIEWS} JOIN orders ON o_orderkey = l_orderkey GROUP BY entity_id""")
 def entity_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return M.entity_metrics(with_doctors(spark, sf), ["entity_id"])
@@ -102,7 +108,7 @@ def detailed_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""SELECT entity_id, count(*) AS total, sum(answered::INT)::BIGINT AS answered, sum((NOT answered)::INT)::BIGINT AS unanswered,
-  100.0::DOUBLE * sum(answered::INT) / count(*) AS answered_pct FROM {REVIEWS} GROUP BY entity_id""")
+  {rounded("100.0::DOUBLE * sum(answered::INT) / count(*)", 1)} AS answered_pct FROM {REVIEWS} GROUP BY entity_id""")
 def response_status(spark: SparkSession, sf: str) -> DataFrame:
     return M.response_status(reviews(spark, sf), ["entity_id"])
 
@@ -113,17 +119,17 @@ def top_entities(spark: SparkSession, sf: str) -> DataFrame:
     return M.top_entities(named.withColumnRenamed("s_name", "name"), "name", 10)
 
 
-@query("""SELECT count(*) AS runs, coalesce(avg(value), 0) AS avg_confidence FROM events WHERE event_type = 'click'""")
+@query(f"""SELECT count(*) AS runs, coalesce({rounded("avg(value)", 3)}, 0) AS avg_confidence FROM events WHERE event_type = 'click'""")
 def dashboard_kpi(spark: SparkSession, sf: str) -> DataFrame:
     return M.run_kpi(S.where_equal(runs(spark, sf), product_name="click"))
 
 
-@query(f"""SELECT count(*) AS reviews, avg(rating) AS avg_rating, sum((rating <= 2)::INT) / count(*) AS negative_ratio, sum((rating >= 4)::INT) / count(*) AS positive_ratio FROM {REVIEWS}""")
+@query(f"""SELECT count(*) AS reviews, {rounded("avg(rating)", 3)} AS avg_rating, {rounded("sum((rating <= 2)::INT) / count(*)", 3)} AS negative_ratio, {rounded("sum((rating >= 4)::INT) / count(*)", 3)} AS positive_ratio FROM {REVIEWS}""")
 def review_kpi(spark: SparkSession, sf: str) -> DataFrame:
     return M.review_kpi(reviews(spark, sf))
 
 
-@query("""SELECT ts::DATE AS date, count(*) AS runs, avg(value) AS avg_confidence FROM events GROUP BY 1""")
+@query(f"""SELECT ts::DATE AS date, count(*) AS runs, {rounded("avg(value)", 3)} AS avg_confidence FROM events GROUP BY 1""")
 def daily_series(spark: SparkSession, sf: str) -> DataFrame:
     return M.daily_series(runs(spark, sf))
 
@@ -147,7 +153,7 @@ def _compare_sql(scope: str) -> str:
       own AS (SELECT r.*, p_type FROM {REVIEWS} r JOIN part ON l_partkey = p_partkey), seen AS (SELECT * FROM own WHERE {scope})
       SELECT position, entity_id, (SELECT nullif(count(*), 0) FROM own o WHERE o.entity_id = w.entity_id) AS reviews_before_scope,
       n AS total, r AS avg_rating, CASE WHEN w.entity_id NOT IN (SELECT entity_id FROM own) THEN 'not_found' WHEN n IS NULL THEN 'scope_empty' ELSE 'ok' END AS status
-      FROM w LEFT JOIN (SELECT entity_id, count(*) AS n, avg(rating) AS r FROM seen GROUP BY 1) USING (entity_id)"""
+      FROM w LEFT JOIN (SELECT entity_id, count(*) AS n, {rounded('avg(rating)', 1)} AS r FROM seen GROUP BY 1) USING (entity_id)"""
 
 
 @query(_compare_sql("contains(lower(p_type), 'a')"))
@@ -173,11 +179,18 @@ def tops(spark: SparkSession, sf: str) -> DataFrame:
     return theme_counts(spark, sf).withColumn("place", place).select("entity_id", "theme", "place")
 
 
-@query(f"""WITH t AS (SELECT * FROM {TOPS} WHERE place <= 2), c AS (SELECT theme, count(DISTINCT entity_id) AS n FROM t GROUP BY 1), e AS (SELECT count(DISTINCT source) AS k FROM documents)
-  SELECT theme, n FROM c, e WHERE CASE WHEN EXISTS (SELECT 1 FROM c, e WHERE n = k) THEN n = k ELSE n >= greatest(2, (k + 1) // 2) END ORDER BY n DESC, theme LIMIT 4""")
+#: Six themes that all sources share, and one that few do.
+SHARED = {"en": ("en",), "er": ("er",), "an": ("an",), "re": ("re",), "on": ("on",), "st": ("st",), "rare": ("zzq",)}
+_SHARED_BY = f"""(SELECT DISTINCT source AS entity_id, theme FROM documents, (VALUES {", ".join(f"('{k}', '{v[0]}')" for k, v in SHARED.items())}) v(theme, p) WHERE contains(lower(coalesce(text, '')), p))"""
+
+
+@query(f"""WITH c AS (SELECT theme, count(*) AS n FROM {_SHARED_BY} GROUP BY 1), e AS (SELECT count(DISTINCT source) AS k FROM documents),
+  f AS (SELECT theme, n, row_number() OVER (ORDER BY n DESC, theme) AS place FROM c, e WHERE n >= greatest(2, (k + 1) // 2))
+  SELECT theme, n FROM c, e WHERE n = k UNION ALL SELECT theme, n FROM f WHERE place <= 4 AND NOT EXISTS (SELECT 1 FROM c, e WHERE n = k)""")
 def shared_themes(spark: SparkSession, sf: str) -> DataFrame:
-    n = load(spark, sf, "documents").select("source").distinct().count()
-    return M.shared_themes(tops(spark, sf).where("place <= 2"), n)
+    docs = load(spark, sf, "documents")
+    found = M.theme_counts(docs.withColumnRenamed("source", "entity_id"), "text", SHARED, ["entity_id"])
+    return M.shared_themes(found, docs.select("source").where("source is not null").distinct().count())
 
 
 @query(f"""WITH t AS (SELECT *, count(*) OVER (PARTITION BY theme) AS k FROM (SELECT * FROM {TOPS} WHERE place <= 3)),
@@ -236,6 +249,16 @@ def knn_topk(spark: SparkSession, sf: str) -> DataFrame:
     return H.vector_candidates(load(spark, sf, "embeddings"), query_vector(spark, sf), 30, "vec_id").select("vec_id", F.round("distance", 9).alias("distance"))
 
 
+@query("""SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score,
+    row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS place
+  FROM embeddings a, embeddings b QUALIFY place <= 5""")
+def knn_of_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest of all vectors to each of all vectors."""
+    rows = load(spark, sf, "embeddings")
+    found = H.nearest_of_each(rows.select(F.col("vec_id").alias("query_id"), "embedding"), rows.select("vec_id", "embedding"), 5, "vec_id", block=300)
+    return found.select("query_id", "vec_id", F.round("score", 9).alias("score"), F.col("place").cast("bigint").alias("place"))
+
+
 @query(f"""SELECT vec_id, greatest(0.0, least(1.0, list_cosine_similarity(embedding::DOUBLE[], q))) AS score FROM embeddings, {QUERY} WHERE label = 1""")
 def filtered_scores(spark: SparkSession, sf: str) -> DataFrame:
     near = V.cosine(F.col("embedding"), V.literal(query_vector(spark, sf)))
@@ -367,7 +390,7 @@ def filtered_runs(spark: SparkSession, sf: str) -> DataFrame:
 # Entities
 
 
-@query(f"""SELECT r.entity_id, review_count, avg_rating, median_rating FROM (SELECT entity_id, count(*) AS review_count, avg(rating) AS avg_rating, list_sort(list(rating))[count(rating) // 2 + 1] AS median_rating FROM {REVIEWS} GROUP BY 1) r""")
+@query(f"""SELECT r.entity_id, review_count, avg_rating, median_rating FROM (SELECT entity_id, count(*) AS review_count, {rounded('avg(rating)', 1)} AS avg_rating, list_sort(list(rating))[count(rating) // 2 + 1] AS median_rating FROM {REVIEWS} GROUP BY 1) r""")
 def research_table(spark: SparkSession, sf: str) -> DataFrame:
     own = reviews(spark, sf).withColumns({"doctor_id": F.lit(1), "doctor_name": F.lit("")})
     return R.research_table(own, ["entity_id"]).select("entity_id", "review_count", "avg_rating", "median_rating")
@@ -410,9 +433,33 @@ def name_suggestions(spark: SparkSession, sf: str) -> DataFrame:
     return E.suggest(load(spark, sf, "nation").select(F.col("n_name").alias("name")), "Nation_1")
 
 
-@query()
+#: Ratios of matching blocks have no SQL; parts' names are known, and so are their ratios.
+_NAMES = [f"{kind} {part}" for kind in "blue cold hot large new old red small".split() for part in "anvil bolt gear gizmo plate ring rod widget".split()]
+_RATIOS = ", ".join(f"('{name}', {difflib.SequenceMatcher(None, name, 'tobl reglad').ratio()!r})" for name in _NAMES)
+
+
+@query(f"""SELECT p_name AS name, ratio::DOUBLE AS ratio FROM (SELECT DISTINCT p_name FROM part), (VALUES {_RATIOS}) v(name, ratio) WHERE p_name = name AND ratio >= 0.45 ORDER BY ratio DESC, p_name DESC LIMIT 20""")
 def name_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    return E.suggest(load(spark, sf, "nation").select(F.col("n_name").alias("name")), "NATION-12")
+    """Names that aren't as like the wanted one as it is like them."""
+    return E.suggest(load(spark, sf, "part").select(F.col("p_name").alias("name")), "tobl reglad", 20, 0.45)
+
+
+@query("""WITH n AS (SELECT DISTINCT p_name || ' of ' || c_name AS name FROM part JOIN customer ON p_partkey % 500 = c_custkey),
+  w AS (SELECT DISTINCT lower(substr(c_name, 10 + c_custkey % 3, 4 + c_custkey % 4)) AS needle FROM customer UNION SELECT DISTINCT (o_orderkey % 200000)::VARCHAR FROM orders
+    UNION SELECT lpad((100000 + l_orderkey * 7 + l_linenumber)::VARCHAR, 7, '0') FROM lineitem UNION SELECT DISTINCT split_part(p_name, ' ', 2) || ' of c' FROM part)
+  SELECT needle, count(*) AS names, min(name) AS first FROM n JOIN w ON contains(lower(name), needle) GROUP BY 1""")
+def needle_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Names that contain any of a large table of needles."""
+    part, customer = load(spark, sf, "part"), load(spark, sf, "customer")
+    names = part.join(customer, F.col("p_partkey") % 500 == F.col("c_custkey")).select(F.concat("p_name", F.lit(" of "), "c_name").alias("name")).distinct()
+    k = F.col("c_custkey")
+    needles = customer.select(F.lower(F.substring("c_name", (10 + k % 3).cast("int"), (4 + k % 4).cast("int"))).alias("needle"))
+    needles = needles.union(load(spark, sf, "orders").select((F.col("o_orderkey") % 200_000).cast("string")))
+    needles = needles.union(load(spark, sf, "lineitem").select(F.lpad((100_000 + F.col("l_orderkey") * 7 + F.col("l_linenumber")).cast("string"), 7, "0")))
+    needles = needles.union(part.select(F.concat(F.split("p_name", " ")[1], F.lit(" of c")))).distinct()
+    lower = names.select(F.lower("name").alias("name"), F.col("name").alias("whole"))
+    found = E.containing(lower.select("name").distinct(), needles).join(lower, "name")
+    return found.groupBy("needle").agg(F.count("*").alias("names"), F.min("whole").alias("first"))
 
 
 @query(f"""WITH r AS (SELECT source AS entity_id, doc_id, text, ((n_chars % 50) / 5)::DOUBLE AS rating, n_chars % 3 = 0 AS answered FROM documents),
@@ -1119,7 +1166,7 @@ def entity_keys(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, CASE l_quantity::INT % 8 WHEN 1 THEN floor(l_quantity / 8) + 0.12 WHEN 3 THEN floor(l_quantity / 8) + 0.38 WHEN 5 THEN floor(l_quantity / 8) + 0.62 WHEN 7 THEN floor(l_quantity / 8) + 0.88 ELSE l_quantity / 8 END AS rounded FROM lineitem""")
 def rounded_values(spark: SparkSession, sf: str) -> DataFrame:
     """Eighths to two places: halves go to the even digit."""
-    return load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", T.python_round(F.col("l_quantity") / 8, F.lit(2)).alias("rounded"))
+    return load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", T.round_exact(F.col("l_quantity") / 8, 2).alias("rounded"))
 
 
 _CRC_TABLE = "list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END))"

@@ -2,7 +2,11 @@
 
 import difflib
 import json
+import random
 
+from pyspark.sql import functions as F
+
+from opinara.functions import text as T
 from opinara.operators import entities as E
 from opinara.plans import research as C
 from opinara.plans.tools import Tools
@@ -53,6 +57,32 @@ def test_suggestions_are_by_substring_then_by_difflib(spark):
     names = ["Клиника Альфа", "Альфа Центр", "Бета", "Alphabet", "Alpine"]
     df = spark.createDataFrame([(n,) for n in names], "name string")
     assert {r["name"] for r in E.suggest(df, "альфа").collect()} == {"Клиника Альфа", "Альфа Центр"}
-    near = {n for n in names if difflib.SequenceMatcher(None, "Alphabit", n).ratio() >= 0.5}
-    assert {r["name"] for r in E.suggest(df, "Alphabit").collect()} == near and near
+    assert [r["name"] for r in E.suggest(df, "Alphabit").collect()] == difflib.get_close_matches("Alphabit", names, 5, 0.5) == ["Alphabet", "Alpine"]
     assert E.suggest(df, "zzz").count() == 0
+    assert [r["name"] for r in E.suggest(spark.createDataFrame([("diet",)], "name string"), "tide").collect()] == ["diet"]  # not the other way round
+
+
+def test_suggestions_are_those_of_difflib(spark):
+    rng = random.Random(5)
+    names = sorted({"".join(rng.choice("abcdé") for _ in range(rng.randint(1, 9))) for _ in range(300)}) + ["a" * 250 + "b"]
+    df = spark.createDataFrame([(n,) for n in names + names[:20]] + [(None,)], "name string")
+    for wanted in ("abecad", "édcba", "aab" * 3, "x", "abc" * 80):
+        if any(wanted in n for n in names):
+            continue
+        found = E.suggest(df, wanted, 7).collect()
+        assert [r["name"] for r in found] == difflib.get_close_matches(wanted, names, 7, 0.5)
+        bounds = df.select("name", E.likeness_bound(F.col("name"), wanted).alias("b")).where("name is not null").collect()
+        assert all(r["b"] == difflib.SequenceMatcher(None, r["name"], wanted).quick_ratio() for r in bounds)
+
+
+def test_rounding_is_of_the_binary_value(spark):
+    rng = random.Random(7)
+    values = [0.0, -0.0, 2.675, 1.005, 86.25, 0.125, -0.375, 2.5, 3.5, 0.5, 1e-300, 5e-324, 1e300, 2.0**52 + 0.5, 2.0**53, 0.05, 0.15, 0.25, 0.35, 1e15 + 0.3, float("inf"), float("-inf")]
+    values += [rng.uniform(-100, 100) for _ in range(500)] + [rng.randint(-2000, 2000) / 2 ** rng.randint(1, 12) for _ in range(500)] + [rng.randint(0, 10**7) / 10**4 for _ in range(500)]
+    values += [rng.uniform(0.1, 10) * 10.0 ** rng.randint(-12, 18) for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double")
+    places = (0, 1, 2, 3, 4, 9, 15)
+    for r in df.select("v", *(T.round_exact(F.col("v"), p).alias(f"p{p}") for p in places)).collect():
+        for p in places:
+            want = None if r["v"] is None else r["v"] if r["v"] != r["v"] or abs(r["v"]) == float("inf") else round(r["v"], p)
+            assert str(r[f"p{p}"]) == str(want), (r["v"], p)

@@ -134,7 +134,7 @@ def test_texts(spark):
     assert overlap[0] > 0 and overlap[1:] == [0, 0]
     assert value(spark, T.lenient_object(lit('prefix {"a": {"b": 1}} suffix'))) == '{"a": {"b": 1}}'
     assert value(spark, T.lenient_array(lit('```json\n{"rows": [1, 2]}\n```'))) == "[1, 2]"
-    assert [value(spark, T.python_round(lit(x), lit(n))) for x, n in ((86.25, 1), (2.675, 2), (1.005, 2))] == [86.2, 2.67, 1.0]
+    assert [value(spark, T.round_exact(lit(x), n)) for x, n in ((86.25, 1), (2.675, 2), (1.005, 2))] == [86.2, 2.67, 1.0]
     assert value(spark, T.export_key(lit(1448120171), lit("Name"))) == "1448120171"
     assert value(spark, T.export_key(lit(None).cast("long"), lit("Мой чат"))) == "name:Мой_чат"
     assert value(spark, T.promotion(lit("Приглашаем вас на вебинар! https://zoom.us/j/1")))["spam"]

@@ -1,6 +1,7 @@
 """Phases, jobs, drains, backups, polling, sessions, salvage and reports by rule."""
 
 import json
+import random
 import time
 
 import pytest
@@ -194,11 +195,17 @@ def test_pages_of_a_sort(spark, monkeypatch, early):
     assert S.page(df.where("id < 0"), 3, 10, order).count() == 0
 
 
-def test_too_many_needles_are_refused(spark):
-    names = spark.createDataFrame([("a", "Alpha", 0)], "entity_id string, entity_name string, pos int")
-    needles = spark.range(E.MOST_NEEDLES + 1).selectExpr("cast(id as string) as needle")
-    with pytest.raises(ValueError, match="needles"):
-        E.match_needles(names, needles)
+def test_many_needles_find_what_few_do(spark, monkeypatch):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abñ ") for _ in range(rng.randint(0, n)))
+    names = [(str(i), word(14), i) for i in range(150)] + [("x", None, 0), ("y", "a" * 300, 1)]
+    needles = [(w,) for w in {word(6) for _ in range(200)}] + [("a" * 200,), ("zzz",), (None,), ("ab",), ("ab",), ("AB!",)]
+    df, wanted = spark.createDataFrame(names, "entity_id string, entity_name string, pos int"), spark.createDataFrame(needles, "needle string")
+    few = sorted(map(str, E.match_needles(df, wanted).collect()))
+    monkeypatch.setattr(E, "MOST_NEEDLES", 10)
+    many = E.match_needles(df, wanted)
+    assert sorted(map(str, many.collect())) == few and len(few) > 500
+    assert "NestedLoop" not in many._jdf.queryExecution().executedPlan().toString()
 
 
 def test_flags(spark):
