@@ -131,7 +131,8 @@ def risk_reviews(reviews: DataFrame, k: int, by: list[str] | None = None) -> Dat
 
 
 def sample_within(reviews: DataFrame, by: list[str], text: str, budget: int, n: int) -> DataFrame:
-    """Each entity's first n reviews as long as their texts together stay within budget characters."""
+    """Each entity's first n reviews as long as their texts together stay within budget characters. Tasks keep n rows of an entity
+    each before any row moves (a limit of the window's groups), so that an entity's rows never meet but for those."""
     first = Window.partitionBy(*by).orderBy("pos")
     upto = F.sum(F.length(text)).over(first.rowsBetween(Window.unboundedPreceding, 0))
     return reviews.withColumn("place", F.row_number().over(first)).where(F.col("place") <= n).withColumn("upto", upto).where(F.col("upto") <= budget)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinara.functions import text as T
+from opinara.operators import prefix
 
 LOW, HIGH = 7.0, 8.0
 #: Themes and what texts about them contain.
@@ -54,18 +57,23 @@ def entity_metrics(reviews: DataFrame, by: list[str]) -> DataFrame:
 def rank_metrics(reviews: DataFrame, by: list[str]) -> DataFrame:
     """Upper median and tenth percentile by index, and unanswered low ratings.
 
-    Ratings are first counted by value, so that no task gathers an entity's reviews: the value at an index is the
-    first whose running count passes it.
+    Ratings are first counted by value. The value at an index is the one before which fewer, and up to which more are: running counts
+    in ranges of entities and ratings, so that no task gathers an entity's ratings, however many different ones it has.
     """
     counts = reviews.groupBy(*by, "rating").agg(F.count("*").alias("n"), F.count_if((F.col("rating") < LOW) & ~F.col("answered")).alias("low"))
-    rated = counts.where("rating is not null")
-    total = rated.groupBy(*by).agg(F.sum("n").alias("total"))
-    before = Window.partitionBy(*by).orderBy("rating").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rated.withColumn("upto", F.sum("n").over(before)).join(total, by)
-    at = lambda i: F.min(F.when(F.col("upto") > i, F.col("rating")))
+    counts = prefix.in_ranges(counts, by, ["rating"])
+    rated = F.when(F.col("rating").isNotNull(), F.col("n")).otherwise(0)
+    whole = counts.groupBy(*by).agg(F.sum("n").alias("review_count"), F.sum("low").alias("negative_unanswered"), F.sum(rated).alias("total"))
+    names = {c: f"_by{i}" for i, c in enumerate(by)}
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()))
+    upto = F.col("earlier") + F.col("n")
+    placed = prefix.before(counts.where("rating is not null"), by, "block", ["rating"], {"earlier": F.col("n")}).withColumn("upto", upto)
+    placed = placed.join(whole.select(*(F.col(c).alias(n) for c, n in names.items()), "total"), same).drop(*names.values())
+    at = lambda i: F.min(F.when((F.col("earlier") <= i) & (i < F.col("upto")), F.col("rating")))
     tenth = F.greatest(F.lit(0), F.floor(F.col("total") * 0.1) - 1)
     ranks = placed.groupBy(*by).agg(at(F.floor(F.col("total") / 2)).alias("median_rating"), at(tenth).alias("p10_rating"))
-    return counts.groupBy(*by).agg(F.sum("n").alias("review_count"), F.sum("low").alias("negative_unanswered")).join(ranks, by, "left")
+    ranks = ranks.select(*(F.col(c).alias(n) for c, n in names.items()), "median_rating", "p10_rating")
+    return whole.drop("total").join(ranks, same, "left").drop(*names.values())
 
 
 def response_status(reviews: DataFrame, by: list[str]) -> DataFrame:
