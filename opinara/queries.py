@@ -24,7 +24,7 @@ from opinara.plans import jobs as work
 from opinara.plans import reputation as R
 from opinara.plans import search as H
 from opinara.sources import pages as readers_of_pages
-from opinara.sources import readers, sinks
+from opinara.sources import feeds, readers, sinks
 from opinara.storage import scratch
 from opinara.streaming import jobs
 
@@ -703,6 +703,44 @@ def session_state(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.run_to_table(spark, jobs.sessions(turns, expire=False), ["session_id"])
 
 
+def _event_feeds(spark: SparkSession, sf: str, name: str) -> None:
+    """Registers a source of that name, by which events are served as a feed for each rest of user_id by 8, in pages of 200."""
+
+    served: dict[str, list[dict]] = {}  # a feed's server, as the task that asks it sees it
+
+    def fetch(feed: str, offset: int) -> tuple[list[dict], None, None]:
+        import pyarrow.dataset as ds
+
+        if feed not in served:
+            rows = ds.dataset(f"{sf.removeprefix('file://')}/events.parquet").to_table(columns=["event_id", "user_id", "value"]).to_pylist()
+            served[feed] = sorted((r for r in rows if f"users-{r.pop('user_id') % 8}" == feed), key=lambda r: r["event_id"])
+        return served[feed][offset : offset + 200], None, None
+
+    counts = load(spark, sf, "events").groupBy(F.concat(F.lit("users-"), F.col("user_id") % 8).alias("feed")).count().collect()  # a row for each feed
+    sizes = {r["feed"]: r["count"] for r in counts}
+    spark.dataSource.register(feeds.paged_feeds(name, fetch, lambda: sizes, 200, 100_000))
+
+
+_FED = """SELECT 'users-' || user_id % 8 AS feed, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) - 1 AS place, event_id, value FROM events"""
+
+
+def _fed(rows: DataFrame) -> DataFrame:
+    return rows.select("feed", "place", F.from_json("row", "event_id bigint, value double").alias("e")).select("feed", "place", "e.*")
+
+
+@query(_FED)
+def paged_feed(spark: SparkSession, sf: str) -> DataFrame:
+    """Events by pages of feeds, drained by a task for each feed."""
+    _event_feeds(spark, sf, "event_feeds")
+    return _fed(spark.read.format("event_feeds").load())
+
+
+@query(_FED)
+def paged_feed_stream(spark: SparkSession, sf: str) -> DataFrame:
+    _event_feeds(spark, sf, "event_feed_stream")
+    return _fed(jobs.run_to_table(spark, spark.readStream.format("event_feed_stream").load()))
+
+
 @query("""SELECT event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, ts::DATE FROM events) GROUP BY 1""")
 def polled_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """Files are polled twice into one table, by day; what is there already isn't added again."""

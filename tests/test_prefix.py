@@ -40,6 +40,6 @@ def test_ranks_of_a_hot_entity_with_values_of_all_kinds(spark):
 
 
 def test_a_sample_moves_no_more_than_n_rows_of_a_task(spark):
-    df = spark.range(1000).selectExpr("'hot' AS entity_id", "id AS pos", "'abc' AS text")
+    df = spark.range(1000).selectExpr("concat('hot', id % 1) AS entity_id", "id AS pos", "'abc' AS text")
     sample = E.sample_within(df, ["entity_id"], "text", 20, 9)
     assert "WindowGroupLimit" in sample._jdf.queryExecution().optimizedPlan().toString() and [r["pos"] for r in sample.orderBy("pos").collect()] == list(range(6))
