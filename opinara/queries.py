@@ -18,6 +18,7 @@ from opinara.functions import text as T
 from opinara.functions import vectors as V
 from opinara.operators import entities as E
 from opinara.operators import metrics as M
+from opinara.operators import stored
 from opinara.operators import tables as S
 from opinara.plans import heuristics, ingest, models, research, tools
 from opinara.plans import jobs as work
@@ -25,7 +26,7 @@ from opinara.plans import reputation as R
 from opinara.plans import search as H
 from opinara.sources import pages as readers_of_pages
 from opinara.sources import feeds, readers, sinks
-from opinara.storage import scratch
+from opinara.storage import durable, scratch
 from opinara.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -353,6 +354,24 @@ def upsert_last_wins(spark: SparkSession, sf: str) -> DataFrame:
     return S.upsert(old, new, ["user_id"], "pos")
 
 
+@query("""WITH one AS (SELECT user_id, arg_max(value, event_id) AS value FROM events WHERE event_type <> 'click' GROUP BY 1),
+  two AS (SELECT user_id, arg_max(value, event_id) AS value FROM events WHERE event_type = 'click' AND user_id % 16 IN (3, 5, 11) GROUP BY 1),
+  t AS (SELECT coalesce(two.user_id, one.user_id) AS user_id, CASE WHEN two.user_id IS NULL THEN one.value ELSE two.value END AS value FROM one FULL JOIN two ON one.user_id = two.user_id)
+  SELECT user_id, value, user_id % 16 IN (3, 5, 11) AS rewritten FROM t""")
+def bucketed_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Two upserts, the second one twice: whether a row's file is not one of the first upsert's."""
+    events, path = load(spark, sf, "events"), scratch(spark, "upserted")
+    new = events.select("user_id", "value", F.col("event_id").alias("pos"), "event_type")
+    put = lambda rows: stored.upsert_into(path, rows.drop("event_type"), ["user_id"], "pos", 16, F.col("user_id") % 16)
+    put(new.where("event_type <> 'click'"))
+    table = lambda: spark.read.parquet(f"{path}/of=16")
+    first = durable(table().select(F.col("_metadata.file_path").alias("file")).distinct(), "files")
+    for _ in range(2):
+        put(new.where("event_type = 'click' and user_id % 16 in (3, 5, 11)"))
+    rows = table().select("user_id", "value", F.col("_metadata.file_path").alias("file"))
+    return rows.join(first.withColumn("old", F.lit(True)), "file", "left").select("user_id", "value", F.col("old").isNull().alias("rewritten"))
+
+
 @query("""SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')""")
 def anti_insert(spark: SparkSession, sf: str) -> DataFrame:
     return S.insert_absent(load(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").withColumnRenamed("o_custkey", "c_custkey"), load(spark, sf, "customer"), ["c_custkey"]).select("c_custkey", "c_name")
