@@ -56,8 +56,9 @@ def tables(spark: SparkSession, folder: str, *names: str) -> list[DataFrame]:
 
 def crawl(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """A crawl file, which is one document; with lines a document in each line, of which tasks share a file's. Unreadable ones
-    give a row of nulls."""
-    return spark.read.schema(CRAWL).option("multiLine", not lines).option("mode", "PERMISSIVE").json(path)
+    give a row of nulls. document tells their order: by file, and in it."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return spark.read.schema(CRAWL).option("multiLine", not lines).option("mode", "PERMISSIVE").json(path).select("*", place.alias("document"))
 
 
 def crawl_checkpoint(spark: SparkSession, path: str) -> DataFrame | None:
@@ -69,13 +70,15 @@ def crawl_checkpoint(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def crawl_reviews(doc: DataFrame) -> DataFrame:
-    """All reviews of a crawl, from services, clinics, doctors and its own list, with src_order and pos."""
+    """All reviews of a crawl, from services, clinics, doctors and its own list, with src_order and pos: the place of the document,
+    of the page in its list and of the review in the page."""
     flat = None
+    place = F.struct("document", F.col("a").alias("page"), F.col("b").alias("review")).alias("pos")
     for order, source in enumerate(("services", "clinics", "doctor_profiles")):
-        outer = doc.select(F.posexplode(source).alias("a", "x")).select("a", F.posexplode("x.reviews").alias("b", "r"))
-        part = outer.select(F.lit(order).alias("src_order"), (F.col("a").cast("long") * (1 << 20) + F.col("b")).alias("pos"), "r.*")
+        outer = doc.select("document", F.posexplode(source).alias("a", "x")).select("document", "a", F.posexplode("x.reviews").alias("b", "r"))
+        part = outer.select(F.lit(order).alias("src_order"), place, "r.*")
         flat = part if flat is None else flat.unionByName(part)
-    own = doc.select(F.posexplode("reviews").alias("b", "r")).select(F.lit(3).alias("src_order"), F.col("b").cast("long").alias("pos"), "r.*")
+    own = doc.select("document", F.lit(0).alias("a"), F.posexplode("reviews").alias("b", "r")).select(F.lit(3).alias("src_order"), place, "r.*")
     return flat.unionByName(own)
 
 

@@ -155,6 +155,15 @@ def test_crawl(spark, tmp_path):
     assert services.first()["has_reviews"] and [r["clinic_alias"] for r in clinics.collect()] == ["a"] and doctors.count() == 1
 
 
+def test_the_first_of_equal_ids_is_of_the_first_document(spark, tmp_path):
+    page = lambda text: {"services": [{"reviews": [{"review_id": 7, "text": text}]}], "reviews": [{"review_id": 8, "text": text}]}
+    for part in range(3):
+        lines = [json.dumps(page(f"{part}-{i}")) for i in range(40)]
+        (tmp_path / f"{part}.json").write_text("\n".join(lines))
+    kept = S.reviews_deduped(readers.crawl_reviews(readers.crawl(spark, str(tmp_path), lines=True).repartition(5))).collect()
+    assert {(r["review_id"], r["text"]) for r in kept} == {(7, "0-0"), (8, "0-0")}
+
+
 def test_chat_export(spark, tmp_path):
     messages = [
         {"type": "message", "id": 1, "date": "2024-01-02T03:04:05", "from": "A", "text": "plain"},
