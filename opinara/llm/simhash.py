@@ -35,6 +35,7 @@ FORESTS = 2  # spanning forests of neighbours that are checked first
 CROWD = 4096  # rows under one key that a task compares with each other
 NEIGHBOURS = 8  # rows before it that a row of a crowd is compared with at first
 DIGEST = ["d0", "d1"]  # of a set of shingles
+SKETCH = 4  # parities for each shingle of a set, at least
 
 _BITS31 = np.arange(31, dtype=np.int64)
 #: Syndrome of each byte at each of the four places of a half; bit i of the low 31 counts as i + 1, bit 31 is free.
@@ -339,9 +340,9 @@ def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], width: int, similarity: float, common: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """For each text: digest of its set of shingles, size, parities of the hashes' places in 128 bits, and the prefix."""
+    """For each text: digest of its set of shingles, size, parities of the hashes' places in 128 bits, prefix and sketch."""
     for batch in (part for whole in batches for part in slices(whole, 1)):
-        whole, digests, sizes, bits, prefixes = [], [], [], [], []
+        whole, digests, sizes, bits, prefixes, sketches = [], [], [], [], [], []
         for text in _texts(batch, 1):
             s = _shingles(text, width)
             n, first = len(s), s
@@ -354,10 +355,11 @@ def _prefixes(batches: Iterator[pa.RecordBatch], width: int, similarity: float,
             digests.append(xxhash.xxh3_128_digest(s.tobytes()))
             sizes.append(n)
             bits.append(np.packbits(np.bincount((s & np.uint64(127)).astype(np.int64), minlength=128).astype(np.uint8) & 1).tobytes())
+            sketches.append(_sketch(s))
             prefixes.append(first[: n - math.ceil(similarity * n - 1e-9) + 1 if n else 0].tobytes())
         d, b = (np.frombuffer(b"".join(x), np.int64).reshape(-1, 2).T.copy() for x in (digests, bits))
-        columns = [batch.column(0), pa.array(np.array(whole, np.uint64).view(np.int64)), *map(pa.array, d), pa.array(np.array(sizes, np.int32)), *map(pa.array, b), pa.array(prefixes, pa.binary())]
-        yield pa.record_batch(columns, names=["doc_id", "whole", *DIGEST, "n", "b0", "b1", "prefix"])
+        columns = [batch.column(0), pa.array(np.array(whole, np.uint64).view(np.int64)), *map(pa.array, d), pa.array(np.array(sizes, np.int32)), *map(pa.array, b), pa.array(prefixes, pa.binary()), pa.array(sketches, pa.binary())]
+        yield pa.record_batch(columns, names=["doc_id", "whole", *DIGEST, "n", "b0", "b1", "prefix", "sketch"])
 
 
 def _replicate(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -507,6 +509,29 @@ def _other_pairs(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterat
         yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
+def _sketch(shingles: np.ndarray) -> bytes:
+    """Parities of the numbers of shingles at each place; places are SKETCH times as many as shingles, or more, and a power of two."""
+    places = 1 << max(7, (SKETCH * len(shingles) - 1).bit_length())
+    return np.packbits(np.bincount((shingles & np.uint64(places - 1)).astype(np.int64), minlength=places).astype(np.uint8) & 1).tobytes()
+
+
+def _unlike(a: bytes, b: bytes) -> int:
+    """By how many shingles two sets differ at least: places of other parity. Places of the larger sketch fold to those of the other."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _could(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b, and the sizes and sketches of both) whose sketches leave it open that they are as similar."""
+    for batch in batches:
+        n, m = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a_n", "b_n"))
+        need = 2 * np.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
+        differ = np.fromiter((_unlike(x.as_py(), y.as_py()) for x, y in zip(batch.column("a_sketch"), batch.column("b_sketch"))), np.int64, batch.num_rows)
+        yield batch.select(["a", "b"]).filter(pa.array(n + m - differ >= need))
+
+
 def _verified(batches: Iterator[pa.RecordBatch], width: int, similarity: float) -> Iterator[pa.RecordBatch]:
     """Which pairs (a, b, and their texts) have sets of shingles of that Jaccard similarity."""
     for batch in batches:
@@ -528,15 +553,16 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     Candidates are found by prefixes, without exception: of two sets of that similarity, each in one order (common shingles
     last), the first n - ceil(similarity * n) + 1 share a shingle. Spanning forests of the likest pairs are checked first, which
     unite most groups; then every other pair between different components: those under a shingle that few sets share are
-    kept from the first pass, those under others are made in a second one, of the sets that have such shingles. Rows under a shingle of a crowd, known from the counts or told by the task that meets it, are
+    kept from the first pass, those under others are made in a second one, of the sets that have such shingles. Sketches of as many
+    bits as a set needs rule out most of these before texts move to them. Rows under a shingle of a crowd, known from the counts or told by the task that meets it, are
     dealt out in blocks (across). Shingles are compared as 64-bit hashes; texts of equal sets are one node.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     common, counts = common_shingles(docs, width)
     prefixes = partial(_prefixes, width=width, similarity=similarity, common=common, counts=counts)
-    found = durable(docs.select("doc_id", "text").mapInArrow(prefixes, f"doc_id {kind}, whole long, d0 long, d1 long, n int, b0 long, b1 long, prefix binary"), "prefixes")
-    nodes = found.groupBy(*DIGEST).agg(F.min(F.struct("doc_id", "whole")).alias("c"), *(F.first(c).alias(c) for c in ("n", "b0", "b1", "prefix")))
-    nodes = nodes.select(*DIGEST, F.col("c.doc_id").alias("least"), "c.whole", "n", "b0", "b1", "prefix")
+    found = durable(docs.select("doc_id", "text").mapInArrow(prefixes, f"doc_id {kind}, whole long, d0 long, d1 long, n int, b0 long, b1 long, prefix binary, sketch binary"), "prefixes")
+    nodes = found.groupBy(*DIGEST).agg(F.min(F.struct("doc_id", "whole")).alias("c"), *(F.first(c).alias(c) for c in ("n", "b0", "b1", "prefix", "sketch")))
+    nodes = nodes.select(*DIGEST, F.col("c.doc_id").alias("least"), "c.whole", "n", "b0", "b1", "prefix", "sketch")
     nodes = durable(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     ids = durable(found.select("doc_id", *DIGEST), "ids")
     discard(found)
@@ -549,6 +575,12 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     def hashed(rows: DataFrame) -> DataFrame:
         return rows.repartition("key").sortWithinPartitions("key", "n", "node")
 
+    def open_(links: DataFrame) -> DataFrame:
+        """Links that sketches don't rule out: of texts that are alike, but less than similarity, most don't get past this."""
+        side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch"))
+        both = even_join(even_join(links, side("a"), ["a"]), side("b"), ["b"]).select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch")
+        return durable(both.mapInArrow(partial(_could, similarity=similarity), "a long, b long"), "open")
+
     def verified(links: DataFrame) -> DataFrame:
         ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
         named = durable(marked(nodes, F.col("node"), ends).join(ends, "node").select("node", F.col("least").alias("id"), F.col("whole").alias("digest")), "ends")
@@ -593,7 +625,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     others = durable(others.distinct().join(checked, ["a", "b"], "left_anti"), "candidates")
     discard(marks, checked)
     settle(docs.sparkSession)
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(others)), "similar")
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(open_(others))), "similar")
     discard(others)
     placed = durable(nodes.select(*DIGEST, "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
     named = even_join(placed, placed.groupBy("root").agg(F.min("least").alias("component_id")), ["root"]).select(*DIGEST, "component_id")

@@ -304,6 +304,40 @@ def test_no_link_of_a_crowd_is_lost(spark):
     assert got == want, f"{len(set(got.values()))} groups, not {len(set(want.values()))}"
 
 
+def test_sketches_never_rule_out_what_is_alike():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n, m = (int(rng.integers(0, 400)) for _ in range(2))
+        pool = rng.integers(0, 1 << 63, 800).astype(np.uint64)
+        a, b = (np.unique(rng.choice(pool, k)) if k else pool[:0] for k in (n, m))
+        differ = len(np.setxor1d(a, b))
+        assert simhash._unlike(simhash._sketch(a), simhash._sketch(b)) <= differ
+
+
+def test_texts_move_to_few_of_a_crowds_pairs(spark, monkeypatch):
+    """Of texts that are alike but under 0.8, of which nearly all pairs pass the bounds of their prefixes, hardly any move."""
+    rng = random.Random(1)
+    base, places = [f"w{i}" for i in range(300)], rng.sample(range(300), 14)
+    texts = [" ".join(f"v{rng.randint(0, 7)}" if i in places else w for i, w in enumerate(base)) for _ in range(120)]
+    met, checked = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counting(f, counter):
+        def counted(batches, **given):
+            def each():
+                for batch in batches:
+                    counter.add(batch.num_rows)
+                    yield batch
+
+            return f(each(), **given)
+
+        return counted
+
+    monkeypatch.setattr(simhash, "_could", counting(simhash._could, met))
+    monkeypatch.setattr(simhash, "_verified", counting(simhash._verified, checked))
+    simhash.similar_groups(make(spark, texts)).collect()
+    assert met.value > 20 * len(texts) and checked.value < 4 * len(texts)
+
+
 def test_other_texts_of_a_doc_id_stay(spark):
     words = [f"w{i}" for i in range(100)]
     long, unique = " ".join(words), "only here"
