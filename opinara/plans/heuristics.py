@@ -48,6 +48,13 @@ PARTS = {
 }
 ONE_TEXT = {"executive_summary", "ad_angle", "target_audience"}
 NESTED = ["report", "result", "data", "analysis", "ответ"]
+# What an answer says of failures, and of what is like a name that isn't there.
+NOT_READ, NOT_COMPARED, LIKE_IT = "Не получилось разобрать объект: ", "Не получилось сравнить: ", "Похожие в данных: "
+NO_SEARCH, ASK_OTHERWISE = "Поиск временно недоступен", "Постройте индекс, либо переформулируйте запрос."
+HELP = (
+    "Я умею разбирать отзывы. Попробуйте:\n- «Проанализируй отзывы по клинике \"Союз\"»\n- «Сравни клиники \"Союз\" и \"Авиценна\" по услуге \"Тонзиллор\"»\n"
+    "- «Что говорят про детского ЛОРа?»"
+)
 WINNERS = {"avg_rating": "рейтинг", "answered_pct": "ответы на отзывы", "review_count": "число отзывов"}
 
 
@@ -95,6 +102,42 @@ def normalised(made: object) -> dict[str, Any]:
     return out
 
 
+def _quoted(names: Column, most: int) -> Column:
+    return F.array_join(F.transform(F.slice(names, 1, most), lambda n: F.concat(F.lit("«"), n, F.lit("»"))), ", ")
+
+
+def _failed(head: str, error: Column, hint: Column) -> Column:
+    said = F.concat(F.lit(head), F.coalesce(T.or_null(error), F.lit("unknown")), F.lit("."))
+    return F.concat_ws(" ", said, T.or_null(hint))
+
+
+def failed_report_answer(error: Column, hint: Column, suggestions: Column) -> Column:
+    """A report that failed as a chat's answer: error (null: unknown), hint, and the first five of the names that are like the one asked
+    for."""
+    like = F.when(F.size(suggestions) > 0, F.concat(F.lit(LIKE_IT), _quoted(suggestions, 5)))
+    return F.concat_ws("\n\n", _failed(NOT_READ, error, hint), like)
+
+
+def failed_comparison_answer(error: Column, hint: Column, suggestions: Column) -> Column:
+    """A comparison that failed as a chat's answer: of suggestions (array of name and candidates) the first three, three candidates each;
+    names without candidates say nothing."""
+    each = F.transform(F.filter(F.slice(suggestions, 1, 3), lambda s: F.size(s["candidates"]) > 0), lambda s: F.concat(F.lit("«"), s["name"], F.lit("» → "), _quoted(s["candidates"], 3)))
+    like = F.when(F.size(each) > 0, F.concat(F.lit(LIKE_IT), F.array_join(each, "; ")))
+    return F.concat_ws("\n\n", _failed(NOT_COMPARED, error, hint), like)
+
+
+def search_answers(query: Column, ok: Column, error: Column, items: Column) -> Column:
+    """A search as a chat's answer: why it failed; that it found nothing, and what can be asked; or how many chunks it found, with
+    the title (else the id) and the first 240 characters of five. items: array of (title, chunk_id, snippet)."""
+    failed = F.concat(F.concat_ws(": ", F.lit(NO_SEARCH), T.or_null(error)), F.lit(". " + ASK_OTHERWISE))
+    nothing = F.concat(F.lit("По запросу «"), query, F.lit("» ничего не нашлось.\n\n" + HELP))
+    text = lambda i: T.strip(F.translate(F.coalesce(i["snippet"], F.lit("")), "\n", " "))
+    short = lambda t: F.when(F.length(t) > 240, F.concat(F.substring(t, 1, 240), F.lit("…"))).otherwise(t)
+    line = lambda i: F.concat(F.lit("- **"), F.coalesce(T.or_null(i["title"]), i["chunk_id"].cast("string"), F.lit("")), F.lit("** — "), short(text(i)))
+    found = F.concat(F.lit("Нашёл "), F.size(items).cast("string"), F.lit(" релевантных фрагментов:\n"), F.array_join(F.transform(F.slice(items, 1, 5), line), "\n"))
+    return F.when(~F.coalesce(ok, F.lit(False)), failed).when(F.coalesce(F.size(items), F.lit(0)) <= 0, nothing).otherwise(found)
+
+
 def report_answer(name: str, metrics: dict[str, Any], report: dict[str, Any]) -> str:
     """A report as a chat's answer: paragraphs for what it has."""
     head = f"**{name}** — отзывов: {metrics.get('review_count', 0)}, avg: {metrics.get('avg_rating')}, негатив: {metrics.get('negative_pct')}%, без ответа: {metrics.get('unanswered_pct')}%"

@@ -47,6 +47,12 @@ def ingest_crawl(doc: DataFrame, skip_empty: bool = True) -> tuple[dict[str, Dat
     return out, counts
 
 
+def reingest(spark: SparkSession, path: str, skip_empty: bool = True, lines: bool = False) -> tuple[dict[str, DataFrame], DataFrame] | None:
+    """ingest_crawl of what a crawl that didn't end has saved so far; None where it has saved nothing that can be read."""
+    doc = readers.crawl_checkpoint(spark, path, lines)
+    return None if doc is None else ingest_crawl(doc, skip_empty)
+
+
 def crawl_stats(doc: DataFrame) -> DataFrame:
     """One row: what a crawl has fetched by phase, and its distinct reviews."""
     size = lambda c: F.coalesce(F.sum(F.greatest(F.size(c), F.lit(0))), F.lit(0))

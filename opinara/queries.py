@@ -879,6 +879,12 @@ def crawl_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.ingest_crawl(readers.crawl(spark, _crawl(spark, sf), lines=True))[1].where("n > 0")
 
 
+@query(ORACLE_SQL["crawl_ingest"])
+def crawl_reingest(spark: SparkSession, sf: str) -> DataFrame:
+    """The same crawl from what it has saved so far."""
+    return ingest.reingest(spark, _crawl(spark, sf), lines=True)[1].where("n > 0")
+
+
 @query(f"""SELECT id AS review_id, CASE WHEN id % 9 = 4 THEN ' ' ELSE 'review ' || id END AS text, (id % 11)::DOUBLE AS rating FROM {_CRAWLED}""")
 def crawl_reviews(spark: SparkSession, sf: str) -> DataFrame:
     rows = S.reviews_deduped(readers.crawl_reviews(readers.crawl(spark, _crawl(spark, sf), lines=True)))
@@ -1215,6 +1221,38 @@ def session_dialogues(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("session_id").alias("conv_id"), F.floor((F.col("ts") - hours * 7200) / 60).alias("turn"), "intent", "entity_kind", "entities", "confidence", "history")
 
 
+@query("""SELECT event_id, '{"at":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '","user":' || user_id || ',"none":null,"kinds":["' || event_type || '"]}' AS body FROM events""")
+def payloads(spark: SparkSession, sf: str) -> DataFrame:
+    at = F.date_trunc("second", F.col("ts")).cast("timestamp_ntz").alias("at")
+    body = T.payload(at, F.col("user_id").alias("user"), F.lit(None).cast("int").alias("none"), F.array("event_type").alias("kinds"))
+    return load(spark, sf, "events").select("event_id", body.alias("body"))
+
+
+_LIKE_SQL = "array_to_string(list_transform(range(least({}, n_nationkey % 4 * 2)), lambda i: '«' || n_name || i || '»'), ', ')"
+_BREAK = "chr(10) || chr(10)"
+
+
+@query(f"""SELECT n_nationkey, 'Не получилось разобрать объект: ' || CASE WHEN n_nationkey % 3 = 0 THEN 'unknown' ELSE 'not_found' END || '.' || CASE WHEN n_nationkey % 2 = 0 THEN ' Проверьте имя' ELSE '' END
+    || CASE WHEN n_nationkey % 4 > 0 THEN {_BREAK} || 'Похожие в данных: ' || {_LIKE_SQL.format(5)} ELSE '' END AS report,
+  'Не получилось сравнить: too_many.' || CASE WHEN n_nationkey % 4 > 0 THEN {_BREAK} || 'Похожие в данных: «b» → ' || {_LIKE_SQL.format(3)} ELSE '' END AS comparison,
+  CASE n_nationkey % 3 WHEN 0 THEN 'Поиск временно недоступен' || CASE WHEN n_nationkey % 2 = 0 THEN ': off' ELSE '' END || '. Постройте индекс, либо переформулируйте запрос.'
+    WHEN 1 THEN 'По запросу «' || n_name || '» ничего не нашлось.' || {_BREAK} || '{heuristics.HELP}'
+    ELSE 'Нашёл 7 релевантных фрагментов:' || chr(10) || array_to_string(list_transform(range(5), lambda i: '- **' || CASE WHEN i % 2 = 0 THEN n_name ELSE i::VARCHAR END || '** — ' || repeat('a b', 70 + 5 * i::INT)[1:240] || CASE WHEN i > 2 THEN '…' ELSE '' END), chr(10)) END AS search
+  FROM nation""")
+def failure_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers to what failed, found nothing or found more than is shown."""
+    key, name = F.col("n_nationkey"), F.col("n_name")
+    none = F.array().cast("array<string>")
+    like = F.when(key % 4 > 0, F.transform(F.sequence(F.lit(0), (key % 4 * 2 - 1).cast("int")), lambda i: F.concat(name, i.cast("string")))).otherwise(none)
+    report = heuristics.failed_report_answer(F.when(key % 3 > 0, "not_found"), F.when(key % 2 == 0, "Проверьте имя "), like)
+    pairs = F.array(F.struct(F.lit("a").alias("name"), none.alias("candidates")), F.struct(F.lit("b").alias("name"), like.alias("candidates")))
+    comparison = heuristics.failed_comparison_answer(F.lit("too_many"), F.lit(None).cast("string"), pairs)
+    item = lambda i: F.struct(F.when(i % 2 == 0, name).alias("title"), i.alias("chunk_id"), F.repeat(F.lit("a\nb"), 70 + 5 * i).alias("snippet"))
+    items = F.when(key % 3 == 2, F.transform(F.sequence(F.lit(0), F.lit(6)), item))
+    search = heuristics.search_answers(name, key % 3 > 0, F.when(key % 2 == 0, "off"), items)
+    return load(spark, sf, "nation").select("n_nationkey", report.alias("report"), comparison.alias("comparison"), search.alias("search"))
+
+
 @query(f"""SELECT doc_id, source || '. {routing.DEFAULT_SEARCH["doctor"]}. жалобы; похвала' AS asked, regexp_extract_all(source || ' Galaxy, (Pixel) or Nokia', '[A-Z][a-z]{{3,}}')[1:3] AS named FROM documents""")
 def search_texts(spark: SparkSession, sf: str) -> DataFrame:
     asked = routing.search_text("doctor", F.col("source"), ["top_praises", "top_complaints"])

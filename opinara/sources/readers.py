@@ -61,11 +61,11 @@ def crawl(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     return spark.read.schema(CRAWL).option("multiLine", not lines).option("mode", "PERMISSIVE").json(path).select("*", place.alias("document"))
 
 
-def crawl_checkpoint(spark: SparkSession, path: str) -> DataFrame | None:
+def crawl_checkpoint(spark: SparkSession, path: str, lines: bool = False) -> DataFrame | None:
     """A crawl's saved state; None where there is none or it can't be read."""
     if not exists(spark, path):
         return None
-    doc = crawl(spark, path)
+    doc = crawl(spark, path, lines)
     return None if doc.where("base_url is not null or services is not null or reviews is not null").isEmpty() else doc
 
 
