@@ -1167,6 +1167,29 @@ def api_payloads(spark: SparkSession, sf: str) -> DataFrame:
     return canonical.select(parts[0].cast("bigint").alias("event_id"), "review_id", parts[2].alias("text"), "clinic_city", "rating_value", parts[1].cast("bigint").alias("total"))
 
 
+@query("""SELECT '/service/' || lower(replace(p_type, ' ', '-')) || '/' || (p_partkey % 500) AS url FROM part WHERE p_partkey % 3 <> 1 GROUP BY 1
+  UNION SELECT '/service/b/' || (p_partkey % 70) FROM part WHERE p_partkey % 2 = 0""")
+def discovered_services(spark: SparkSession, sf: str) -> DataFrame:
+    """Links of a main page in pieces and of hubs, some on both and some of one level only."""
+    kind, k = F.lower(F.replace("p_type", F.lit(" "), F.lit("-"))), F.col("p_partkey")
+    link = lambda *path: F.concat(F.lit('<a href="/service/'), *path, F.lit('/">x</a>'))
+    part = load(spark, sf, "part")
+    main = part.select(F.when(k % 3 == 0, link(kind, F.lit("/"), (k % 500).cast("string"))).otherwise(link(kind)).alias("html"))
+    hubs = part.select(F.concat(F.when(k % 3 == 2, link(kind, F.lit("/"), (k % 500).cast("string"))).otherwise(""), F.when(k % 2 == 0, link(F.lit("b/"), (k % 70).cast("string"))).otherwise("")).alias("html"))
+    return readers_of_pages.discovered_services(main, hubs)[0]
+
+
+@query("""WITH p AS (SELECT event_id, user_id, value, user_id % 2 = 0 AS here FROM events ORDER BY event_id LIMIT 500)
+  SELECT user_id AS review_id, value AS rating_value, (SELECT count(*) FILTER (NOT here) FROM p) AS dropped FROM p WHERE here""")
+def api_page(spark: SparkSession, sf: str) -> DataFrame:
+    """A page of a review API, of which the rows of one city stay."""
+    clinic = F.struct(F.concat(F.lit("c"), F.col("user_id") % 2).alias("alias"))
+    body = F.to_json(F.struct(F.col("user_id").alias("id"), F.struct(F.col("value").alias("value")).alias("rating"), clinic.alias("clinic")))
+    clinics = spark.range(2).select(F.concat(F.lit("c"), "id").alias("clinic_alias"), F.when(F.col("id") == 0, "Москва").otherwise("Тверь").alias("city"))
+    kept, dropped = research.api_reviews(load(spark, sf, "events").select("event_id", body.alias("body")), "body", "event_id", 500, clinics, "Москва")
+    return kept.select("review_id", "rating_value").crossJoin(F.broadcast(dropped))  # one row
+
+
 @query("""SELECT p_partkey, p_brand AS block, p_name AS name, p_retailprice AS price FROM part""")
 def price_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Prices in an attribute of a page."""
