@@ -1093,6 +1093,22 @@ def heuristic_winners(spark: SparkSession, sf: str) -> DataFrame:
     return heuristics.compare(_rated(spark, sf), ["src0", "src1", "src2"], "entity_name", "text", THEMES, COMPLAINTS)[1].select("winner_by_metric.*")
 
 
+@query(f"""WITH r AS (SELECT * FROM {_RATED} WHERE entity_id IN ('src0', 'src1', 'src2')), good AS (SELECT * FROM r WHERE rating >= 8), bad AS (SELECT * FROM r WHERE coalesce(nullif(rating, 0), 10) < 7),
+  m AS (SELECT row_number() OVER (ORDER BY entity_id) AS position, entity_id, 'Source ' || entity_id AS name, count(*) AS n, {rounded("avg(rating)", 1)} AS r, {rounded("100.0 * sum((rating < 7)::INT) / count(*)", 1)} AS neg,
+    {rounded("100.0 * sum(answered::INT) / count(*)", 1)} AS a FROM r GROUP BY entity_id),
+  t AS (SELECT theme, count(DISTINCT entity_id) AS k FROM (SELECT entity_id, unnest(themes) AS theme FROM {_lists("bad", COMPLAINTS, 6)}) GROUP BY 1),
+  g AS (SELECT position, '«' || name || '» — акцент на ' || themes[1] AS ad FROM m JOIN {_lists("good", _PRAISES, 4)} l USING (entity_id))
+  SELECT (SELECT string_agg('«' || name || '»: ' || n || ' отз., рейтинг ' || printf('%.1f', r) || ', негатив ' || printf('%.1f', neg) || '%, ответы ' || printf('%.1f', a) || '%.', ' ' ORDER BY position) FROM m)
+    || ' По метрикам: лучший рейтинг — «' || (SELECT name FROM m ORDER BY r DESC, position LIMIT 1) || '»; лучший ответы на отзывы — «' || (SELECT name FROM m ORDER BY a DESC, position LIMIT 1)
+    || '»; лучший число отзывов — «' || (SELECT name FROM m ORDER BY n DESC, position LIMIT 1) || '». {heuristics.MADE_BY_RULE}' AS summary,
+  CASE WHEN EXISTS (SELECT 1 FROM t WHERE k = 3) THEN (SELECT list(theme ORDER BY theme) FROM t WHERE k = 3) WHEN EXISTS (SELECT 1 FROM t WHERE k = 2) THEN (SELECT list(theme ORDER BY theme) FROM t WHERE k = 2)
+    ELSE ['{heuristics.NOTHING_SHARED}'] END AS shared_complaints,
+  coalesce((SELECT string_agg(ad, '; ' ORDER BY position) || '.' FROM g), 'Нужно больше отзывов для точных рекламных углов.') AS ad_angle""")
+def heuristic_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    """What a comparison says of all entities together."""
+    return heuristics.compare(_rated(spark, sf), ["src0", "src1", "src2"], "entity_name", "text", THEMES, COMPLAINTS)[1].select("summary", "shared_complaints", "ad_angle")
+
+
 # Pages, feeds, keys and chats made from the tables
 
 
