@@ -180,7 +180,7 @@ def test_confidence(spark):
     row = M.confidence(chunks, "text", "the answer").first()
     assert (row["confidence"], row["passed"], row["notes"]) == (0.6, True, "ok")
     none = M.confidence(chunks.where("text = 'x'"), "text", "the answer").first()
-    assert (none["confidence"], none["passed"], none["notes"]) == (0.13, False, "no_relevant_chunks")
+    assert (none["confidence"], none["passed"], none["notes"]) == (0.12, False, "no_relevant_chunks")  # 0.125 is a tie, and goes to the even digit
 
 
 @pytest.mark.parametrize("early", [0, 10_000])
