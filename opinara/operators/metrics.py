@@ -121,6 +121,11 @@ def daily_series(runs: DataFrame) -> DataFrame:
     return runs.groupBy(F.to_date("created_at").alias("date")).agg(F.count("*").alias("runs"), T.round_exact(F.avg("confidence"), 3).alias("avg_confidence")).orderBy("date")
 
 
+def compared_by(reviews: DataFrame, by: list[str]) -> DataFrame:
+    """What winners are told by, unrounded: of two means that look alike to a digit one is still the greater."""
+    return reviews.groupBy(*by).agg(F.avg("rating").alias("avg_rating"), (F.lit(100.0) * F.count_if(F.col("answered")) / F.count("*")).alias("answered_pct"), F.count("*").alias("review_count"))
+
+
 def winners(metrics: DataFrame, entity: str, columns: list[str], position: str) -> DataFrame:
     """One row: for each metric the entity with the most, the first in position of equals."""
     return metrics.agg(*(F.max_by(entity, F.when(F.col(c).isNotNull(), F.struct(F.col(c), -F.col(position)))).alias(c) for c in columns))

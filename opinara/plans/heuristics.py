@@ -212,7 +212,7 @@ def report(reviews: DataFrame, by: list[str], name: str, text: str, themes: dict
 
 def compare(reviews: DataFrame, ids: list[str], name: str, text: str, themes: dict = M.THEMES, complaints: list[str] = M.COMPLAINTS) -> tuple[DataFrame, DataFrame]:
     """Of the entities ids, in their order: strengths, weaknesses and what only one of them has; and one row on all: summary,
-    shared_complaints, ad_angle and the winners by metric."""
+    shared_complaints, ad_angle and the winners by metric, unrounded; summary names those of the rounded metrics that it shows."""
     by, own = ["entity_id"], reviews.where(F.col("entity_id").isin(*ids))
     good, bad = _themes(own, by, text, themes, complaints)
     place = F.array_position(F.array(*map(F.lit, ids)), F.col("entity_id"))
@@ -232,15 +232,17 @@ def compare(reviews: DataFrame, ids: list[str], name: str, text: str, themes: di
     )
     in_order = lambda c, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", c.alias("v")))), lambda x: x["v"]), sep)  # of ids
     texts = each.agg(in_order(line, " ").alias("_summary"), F.nullif(in_order(F.col("_ad"), "; "), F.lit("")).alias("_ads"))
-    best = M.winners(each, "entity_name", list(WINNERS), "position")
+    shown = M.winners(each, "entity_name", list(WINNERS), "position")
+    best = M.winners(M.compared_by(own, by).join(each.select("entity_id", "entity_name", "position"), by), "entity_name", list(WINNERS), "position")
+    best = best.select(F.struct(*WINNERS).alias("winner_by_metric"))
     won = F.concat_ws("; ", *(F.concat(F.lit(f"лучший {label} — «"), F.col(c), F.lit("»")) for c, label in WINNERS.items()))
     tops = M.top_per_group(bad, by, [F.col("n").desc(), F.col("theme")], 6).select("entity_id", "theme")
     shared = M.shared_themes(tops, len(ids)).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "theme"))), lambda x: x["theme"]).alias("_shared"))
-    row = texts.crossJoin(best).crossJoin(shared)  # one row each
+    row = texts.crossJoin(shown).crossJoin(best).crossJoin(shared)  # one row each
     whole = row.select(
         F.concat_ws(" ", "_summary", F.when(won != "", F.concat(F.lit("По метрикам: "), won, F.lit("."))), F.lit(MADE_BY_RULE)).alias("summary"),
         F.when(F.size("_shared") > 0, F.col("_shared")).otherwise(F.array(F.lit(NOTHING_SHARED))).alias("shared_complaints"),
         F.coalesce(F.concat("_ads", F.lit(".")), F.lit("Нужно больше отзывов для точных рекламных углов.")).alias("ad_angle"),
-        F.struct(*WINNERS).alias("winner_by_metric"),
+        "winner_by_metric",
     )
     return each.select("position", "entity_id", "entity_name", "strengths", "weaknesses", "unique_selling_points").orderBy("position"), whole

@@ -175,6 +175,15 @@ def test_comparison_by_rule(spark):
     assert none.first()["shared_complaints"] == [heuristics.NOTHING_SHARED] and none.first()["winner_by_metric"]["avg_rating"] == "Бета"
 
 
+def test_winners_are_told_by_unrounded_metrics(spark):
+    rows = [(i, "ab"[i % 2], "АБ"[i % 2], "", 5.5 if i == 1 else 5.0, i != 0, "2024-01-01", 1, "D", i) for i in range(4000)]
+    own = spark.createDataFrame(rows, REVIEWS)
+    assert {r["avg_rating"] for r in M.entity_metrics(own, ["entity_id"]).collect()} == {5.0}
+    whole = heuristics.compare(own, ["a", "b"], "entity_name", "text")[1].first()
+    assert whole["winner_by_metric"].asDict() == {"avg_rating": "Б", "answered_pct": "Б", "review_count": "А"} and "лучший рейтинг — «А»" in whole["summary"]
+    assert tuple(R.winners(M.compared_by(own, ["entity_id"]).withColumn("position", F.ascii("entity_id"))).first()) == ("b", "b", "a")
+
+
 def test_confidence(spark):
     chunks = spark.createDataFrame([("the answer is here",), ("",)], "text string")
     row = M.confidence(chunks, "text", "the answer").first()
