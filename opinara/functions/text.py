@@ -196,9 +196,21 @@ def unescape(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
 
-def plain_text(html: Column) -> Column:
-    """Tags as spaces, entities as characters, white space collapsed."""
-    return strip(F.regexp_replace(unescape(F.regexp_replace(html, "<[^>]+>", " ")), r"(?U)\s+", " "))
+@F.pandas_udf(StringType())
+def unescape_closed(text: pd.Series) -> pd.Series:
+    """unescape for references that end in a semicolon alone: one that is cut off, or a bare &copy in an address, stays as it is."""
+    import html.entities
+    import re
+
+    closed = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|([A-Za-z][A-Za-z0-9]*));")
+    named = lambda m: html.entities.html5.get(f"{m[1]};", m[0]) if m[1] else html.unescape(m[0])
+    return text.map(lambda t: closed.sub(named, t), na_action="ignore")
+
+
+def plain_text(html: Column, closed: bool = False) -> Column:
+    """Tags as spaces, entities (those that end in a semicolon, if closed) as characters, white space collapsed."""
+    bare = F.regexp_replace(html, "<[^>]+>", " ")
+    return strip(F.regexp_replace(unescape_closed(bare) if closed else unescape(bare), r"(?U)\s+", " "))
 
 
 def page_state(html: Column) -> Column:

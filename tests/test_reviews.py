@@ -140,6 +140,8 @@ def test_texts(spark):
     assert value(spark, T.promotion(lit("Приглашаем вас на вебинар! https://zoom.us/j/1")))["spam"]
     assert not value(spark, T.promotion(lit("Какие у вас впечатления от новой версии, стоит ли обновляться? " * 3)))["spam"]
     assert value(spark, T.plain_text(lit("<p>a &amp; b</p>\n<i>c</i>"))) == "a & b c"
+    assert value(spark, T.plain_text(lit("<p>a&amp</p> &copy; &#65;&#x42; &amp;lt; &ampx; &nosuch;"), closed=True)) == "a&amp © AB &lt; &ampx; &nosuch;"
+    assert value(spark, T.plain_text(lit("<p>a&amp</p>"))) == "a&" and value(spark, T.plain_text(lit(None).cast("string"), closed=True)) is None
     assert value(spark, T.city_name(lit(None).cast("string"), lit("https://irk.example.org/x"))) == "Иркутск"
     assert value(spark, T.mentions(lit("Сеть Мед Лайн плюс"), "мед лайн")) and not value(spark, T.mentions(lit("x"), " "))
     assert value(spark, T.review_time(lit("2024-05-06"))).day == 6 and value(spark, T.review_time(lit("x"))) is None
