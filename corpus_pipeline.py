@@ -23,7 +23,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates on shingles of five words."""
+    """One row of each group of near-duplicates on shingles of five words: SimHash by anchors, its links checked on whole sets, then
+    the pairs of that similarity that its three bits don't reach."""
     return simhash.keep_one(docs, width=5)
 
 

@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by anchor points.
+"""SimHash near-duplicates by anchor points, alone (near_dedup) or as the first step before an exact similarity (similar_groups).
 
 Fingerprints of 64 bits link at 3 or fewer differing bits, so that in one of their two halves at most 1 bit differs. For a
 half, the anchors are the words of a covering code: the [31,26] Hamming code with one free bit, of covering radius 1. Each
@@ -340,9 +340,9 @@ def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], width: int, similarity: float, common: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """For each text: digest of its set of shingles, size, parities of the hashes' places in 128 bits, prefix and sketch."""
+    """For each text: fingerprint, digest of its set of shingles, size, parities of the hashes' places in 128 bits, prefix and sketch."""
     for batch in (part for whole in batches for part in slices(whole, 1)):
-        whole, digests, sizes, bits, prefixes, sketches = [], [], [], [], [], []
+        whole, prints, digests, sizes, bits, prefixes, sketches = [], [], [], [], [], [], []
         for text in _texts(batch, 1):
             s = _shingles(text, width)
             n, first = len(s), s
@@ -352,14 +352,16 @@ def _prefixes(batches: Iterator[pa.RecordBatch], width: int, similarity: float,
                 if known.any():
                     first = s[np.argsort(np.where(known, counts[at], 0), kind="stable")]
             whole.append(xxhash.xxh64_intdigest(text, SEED))
+            prints.append(fingerprint(text, width))
             digests.append(xxhash.xxh3_128_digest(s.tobytes()))
             sizes.append(n)
             bits.append(np.packbits(np.bincount((s & np.uint64(127)).astype(np.int64), minlength=128).astype(np.uint8) & 1).tobytes())
             sketches.append(_sketch(s))
             prefixes.append(first[: n - math.ceil(similarity * n - 1e-9) + 1 if n else 0].tobytes())
         d, b = (np.frombuffer(b"".join(x), np.int64).reshape(-1, 2).T.copy() for x in (digests, bits))
-        columns = [batch.column(0), pa.array(np.array(whole, np.uint64).view(np.int64)), *map(pa.array, d), pa.array(np.array(sizes, np.int32)), *map(pa.array, b), pa.array(prefixes, pa.binary()), pa.array(sketches, pa.binary())]
-        yield pa.record_batch(columns, names=["doc_id", "whole", *DIGEST, "n", "b0", "b1", "prefix", "sketch"])
+        long = lambda values: pa.array(np.array(values, np.uint64).view(np.int64))
+        columns = [batch.column(0), long(whole), long(prints), *map(pa.array, d), pa.array(np.array(sizes, np.int32)), *map(pa.array, b), pa.array(prefixes, pa.binary()), pa.array(sketches, pa.binary())]
+        yield pa.record_batch(columns, names=["doc_id", "whole", "fp", *DIGEST, "n", "b0", "b1", "prefix", "sketch"])
 
 
 def _replicate(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -547,10 +549,22 @@ def _verified(batches: Iterator[pa.RecordBatch], width: int, similarity: float)
         pa.default_memory_pool().release_unused()
 
 
+def _printed_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes by near_links of their fingerprints: every node of a fingerprint with its first one, and the first ones
+    of fingerprints that link."""
+    heads = durable(nodes.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    same = even_join(nodes.select("fp", "node"), heads, ["fp"]).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    head = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head"))
+    linked = even_join(even_join(near_links(heads.select("fp")), head("a"), ["a"]), head("b"), ["b"])
+    ends = F.col("a_head"), F.col("b_head")
+    return same.union(linked.where("a_head <> b_head").select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")))
+
+
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id and component_id, by links of documents whose sets of shingles have that Jaccard similarity or more.
 
-    Candidates are found by prefixes, without exception: of two sets of that similarity, each in one order (common shingles
+    SimHash comes first: texts whose fingerprints link by their anchors are checked on their whole sets before others. What
+    differs in more bits, as most pairs just above the similarity do, is found by prefixes, without exception: of two sets of that similarity, each in one order (common shingles
     last), the first n - ceil(similarity * n) + 1 share a shingle. Spanning forests of the likest pairs are checked first, which
     unite most groups; then every other pair between different components: those under a shingle that few sets share are
     kept from the first pass, those under others are made in a second one, of the sets that have such shingles. Sketches of as many
@@ -560,9 +574,9 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     kind = docs.schema["doc_id"].dataType.simpleString()
     common, counts = common_shingles(docs, width)
     prefixes = partial(_prefixes, width=width, similarity=similarity, common=common, counts=counts)
-    found = durable(docs.select("doc_id", "text").mapInArrow(prefixes, f"doc_id {kind}, whole long, d0 long, d1 long, n int, b0 long, b1 long, prefix binary, sketch binary"), "prefixes")
-    nodes = found.groupBy(*DIGEST).agg(F.min(F.struct("doc_id", "whole")).alias("c"), *(F.first(c).alias(c) for c in ("n", "b0", "b1", "prefix", "sketch")))
-    nodes = nodes.select(*DIGEST, F.col("c.doc_id").alias("least"), "c.whole", "n", "b0", "b1", "prefix", "sketch")
+    found = durable(docs.select("doc_id", "text").mapInArrow(prefixes, f"doc_id {kind}, whole long, fp long, d0 long, d1 long, n int, b0 long, b1 long, prefix binary, sketch binary"), "prefixes")
+    nodes = found.groupBy(*DIGEST).agg(F.min(F.struct("doc_id", "whole", "fp")).alias("c"), *(F.first(c).alias(c) for c in ("n", "b0", "b1", "prefix", "sketch")))
+    nodes = nodes.select(*DIGEST, F.col("c.doc_id").alias("least"), "c.whole", "c.fp", "n", "b0", "b1", "prefix", "sketch")
     nodes = durable(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     ids = durable(found.select("doc_id", *DIGEST), "ids")
     discard(found)
@@ -604,7 +618,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     if told := not pairs(CROWDED).isEmpty():
         keys = durable(pairs(CROWDED).select(F.col("a").alias("key")).distinct(), "keys")
         crowds.append(cold.join(keys, "key", "left_semi"))
-    first = [pairs(PAIR).select("a", "b")]
+    first = [_printed_pairs(nodes.select("fp", "node")), pairs(PAIR).select("a", "b")]
     if crowds:
         crowd = durable(reduce(DataFrame.unionByName, crowds), "crowds")
         near = crowd.repartitionByRange("key", "n", "node").sortWithinPartitions("key", "n", "node")

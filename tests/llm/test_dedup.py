@@ -223,6 +223,26 @@ def brute_similar(texts, width=5, similarity=0.8):
     return {d: find(d) for d in sets}
 
 
+def test_similar_groups_begin_with_simhash(spark, monkeypatch):
+    """Links of fingerprints unite texts without any help of prefixes, but none whose sets are too unlike."""
+    rng = random.Random(18)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for _ in range(60):
+        words = [word() for _ in range(300)]
+        texts += [" ".join(words), " ".join(words[:-3] + [word() for _ in range(3)])]
+    once, unlike = "a b c d e f g h i j", " ".join("q" * 60)
+    texts += [once, " ".join([once] * 2), unlike, unlike + " w x y z"]
+    docs, prints = make(spark, texts), [simhash.fingerprint(t.encode(), 5) for t in texts]
+    near = lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 3
+    linked = [i for i in range(0, 120, 2) if near(i, i + 1)]
+    assert len(linked) > 20 and near(122, 123) and brute_similar(dict(enumerate(texts)))[123] == 123
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()} == brute_similar(dict(enumerate(texts)))
+    monkeypatch.setattr(simhash, "_first_pairs", lambda batches, similarity: iter(()))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
+    assert {i for i in range(0, 120, 2) if got[i + 1] == i} == set(linked) and got[123] == 123
+
+
 def test_similar_groups_are_brute_force(spark, documents):
     """Copies on either side of the threshold: none below it is taken for one, and none above it is missed."""
     rng = random.Random(9)
