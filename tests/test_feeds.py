@@ -83,3 +83,16 @@ def test_events_are_served_part_by_part(spark, monkeypatch):
     assert [fetch(feed, at)[0] for at in (0, 10, len(rows[feed]) - 2, len(rows[feed]))] == [rows[feed][:7], rows[feed][10:17], rows[feed][-2:], []]
     stored = inspect.getclosurevars(fetch).nonlocals["stored"]
     assert sum(map(len, inspect.getclosurevars(stored).nonlocals["held"].values())) <= 14
+
+
+def test_a_stream_of_events_is_served_part_by_part(spark, monkeypatch):
+    sf, asked = "/root/testdata/sf0.001", []
+    monkeypatch.setattr(queries, "FED_PAGE", 7, raising=False)
+    monkeypatch.setattr(queries, "FED_PAGES", 2, raising=False)
+    monkeypatch.setattr(queries.feeds, "paged_feeds", lambda name, fetch, *more: asked.append(fetch) or paged_feeds(name, fetch, *more))
+    found = sorted(map(tuple, queries.paged_feed_stream(spark, sf).collect()))
+    assert found == sorted(map(tuple, queries.paged_feed(spark, sf).collect())) and len(found) == spark.read.parquet(f"{sf}/events.parquet").count()
+    for number in range(3):
+        assert len(asked[0]("users-0", 14 * number)[0]) == 7
+        stored = inspect.getclosurevars(asked[0]).nonlocals["stored"]
+        assert list(inspect.getclosurevars(stored).nonlocals["held"]) == [("users-0", number)]
