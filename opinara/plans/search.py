@@ -21,11 +21,18 @@ def vector_candidates(chunks: DataFrame, query: list[float], k: int, id_: str =
     return top.withColumn("vector_rank", F.row_number().over(Window.orderBy(*order)) - 1)  # of k rows
 
 
+SIDE = 16  # blocks of a side, as long as a block has no more than HELD numbers
+HELD = 1 << 22
+TILE = 1 << 22  # products at once
+
+
 def _blocks(rows: DataFrame, id_: str, as_: str, block: int) -> tuple[DataFrame, int]:
-    """(width, number, ids, vectors): usable vectors of one width in blocks of about as many rows each; how many numbers there are."""
+    """(width, number, ids, vectors): usable vectors of one width in blocks; how many there are, in rows of block each, but SIDE at
+    most, so that what moves grows with the rows alone; more only where a block would else have over HELD numbers."""
     usable = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    rows = rows.where(F.col("embedding").isNotNull() & usable & F.exists("embedding", lambda x: x != 0)).select(F.col(id_).alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    count = max(1, -(-rows.count() // block))
+    rows = rows.where(F.col("embedding").isNotNull() & usable & F.exists("embedding", lambda x: x != 0)).select(F.col(id_).alias("id"), F.col("embedding").alias("v"))
+    n, most = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    count = max(1, min(-(-n // block), max(SIDE, -(-n * most // HELD))))
     placed = rows.withColumns({"width": F.size("v"), "number": F.pmod(F.xxhash64("id", "v"), F.lit(count))})
     packed = placed.groupBy("width", "number").agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("rows"))
     return packed.select("width", F.col("number").alias(f"{as_}_number"), F.col("rows.id").alias(f"{as_}_ids"), F.flatten("rows.v").alias(f"{as_}_vectors")), count
@@ -35,37 +42,49 @@ def nearest_of_each(queries: DataFrame, chunks: DataFrame, k: int, id_: str = "c
     """For each query (query_id, embedding) the k chunks (id_, embedding) of the greatest cosine, of equals the smallest id first:
     (query_id, id_, score, place from 1). Exact, whatever the number of either.
 
-    Both sides are packed in blocks; a block of queries meets a block of chunks as a product of two matrices, of which each query's
-    k best stay, and only these are merged. Vectors without a direction (null, empty, zeros, not finite) are nobody's
+    Both sides are packed in blocks; a block of queries meets a block of chunks as a product of two matrices, tile by tile, of which
+    each query's k best stay, and only these are merged. Vectors without a direction (null, empty, zeros, not finite) are nobody's
     neighbours, nor are those of other widths. A score doesn't depend on the block that it is found in.
     """
     (one, n), (other, m) = _blocks(queries, "query_id", "q", block), _blocks(chunks, id_, "c", block)
     each = lambda rows, name, count: rows.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
-    if n > m:  # the side of fewer blocks goes to each block of the other one, and tasks are as many as those
-        met = one.join(each(other, "q_number", n), ["width", "q_number"])
-    else:
-        met = each(one, "c_number", m).join(other, ["width", "c_number"])
+    met = each(one, "c_number", m).join(each(other, "q_number", n), ["width", "q_number", "c_number"])  # each pair of blocks is a key of its own
     kinds = dict(queries.dtypes)["query_id"], dict(chunks.dtypes)[id_]
 
+    def best(q: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of rows of q in order: rows of c, the best first, and their scores."""
+        norms = [np.sqrt((x * x).sum(axis=1)) for x in (q, c)]
+        q_unit, c_unit = q / norms[0][:, None], c / norms[1][:, None]
+        rows, columns, score, floor = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.full(len(q), -np.inf)
+        step = max(1, TILE // len(q))
+        for at in range(0, len(c), step):
+            near = q_unit @ c_unit[at : at + step].T
+            if at == 0 and near.shape[1] >= k:
+                floor = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
+            r, s = np.nonzero(near >= floor[:, None] - 1e-9)  # products differ in their last digits by place
+            parts = 1 + len(r) // 4096
+            exact = [(q[i] * c[j + at]).sum(axis=1) / (norms[0][i] * norms[1][j + at]) for i, j in zip(np.array_split(r, parts), np.array_split(s, parts))]
+            rows, columns, score = np.concatenate((rows, r)), np.concatenate((columns, s + at)), np.concatenate((score, *exact))
+            order = np.lexsort((columns, -score, rows))
+            rows, columns, score = rows[order], columns[order], score[order]
+            first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+            nth = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)]))
+            floor[rows[nth == k - 1]] = score[nth == k - 1]
+            rows, columns, score = rows[nth < k], columns[nth < k], score[nth < k]
+        return rows, columns, score
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, found = [batch.column(j).slice(i, 1).flatten() for j in (0, 2)], [batch.column(j).slice(i, 1).flatten().to_numpy(zero_copy_only=False) for j in (1, 3)]
+                ids, found = [batch.column(j).slice(i, 1).flatten() for j in (0, 2)], [batch.column(j).slice(i, 1).flatten().to_numpy(zero_copy_only=False).astype(np.float64) for j in (1, 3)]
                 q, c = (v.reshape(len(n), -1) for v, n in zip(found, ids))
-                norms = [np.sqrt((m * m).sum(axis=1)) for m in (q, c)]
-                near = (q / norms[0][:, None]) @ (c / norms[1][:, None]).T
-                least = np.partition(near, max(len(c) - k, 0), axis=1)[:, max(len(c) - k, 0)]
-                rows, columns = np.nonzero(near >= least[:, None] - 1e-9)  # products differ in their last digits by place
-                score = np.concatenate([(q[r] * c[s]).sum(axis=1) / (norms[0][r] * norms[1][s]) for r, s in zip(np.array_split(rows, 1 + len(rows) // block), np.array_split(columns, 1 + len(rows) // block))])
-                order = np.lexsort((columns, -score, rows))
-                rows, columns, score = rows[order], columns[order], score[order]
-                first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-                best = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)])) < k
-                yield pa.RecordBatch.from_arrays([ids[0].take(pa.array(rows[best])), ids[1].take(pa.array(columns[best])), pa.array(score[best])], names=["query_id", id_, "score"])
+                for at in range(0, len(q), 1024):
+                    rows, columns, score = best(q[at : at + 1024], c)
+                    yield pa.RecordBatch.from_arrays([ids[0].take(pa.array(rows + at)), ids[1].take(pa.array(columns)), pa.array(score)], names=["query_id", id_, "score"])
 
     found = met.select("q_ids", "q_vectors", "c_ids", "c_vectors").mapInArrow(task, f"query_id {kinds[0]}, `{id_}` {kinds[1]}, score double")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), id_)
-    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+    ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), id_)
+    return found.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= k)
 
 
 def keyword_candidates(chunks: DataFrame, query: str, columns: list[str], k: int, id_: str = "chunk_id") -> DataFrame:

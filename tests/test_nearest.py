@@ -29,3 +29,16 @@ def test_the_nearest_of_each_are_those_of_all_pairs(spark):
     turned = search.nearest_of_each(b.toDF("query_id", "embedding"), a.toDF("chunk_id", "embedding"), 3, block=16)  # more blocks of queries than of chunks
     assert sorted((r["query_id"], r["chunk_id"], r["place"]) for r in turned.collect()) == plain(chunks, queries, 3)
     assert search.nearest_of_each(a.limit(0), b, 3).count() == 0
+
+
+def test_blocks_do_not_grow_in_number_with_the_rows(spark, monkeypatch):
+    """What moves is each row as often as the other side has blocks."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "query_id long, embedding array<double>")
+    assert search._blocks(df, "query_id", "q", 1)[1] == 16 and search._blocks(df, "query_id", "q", 150)[1] == 2
+    monkeypatch.setattr(search, "HELD", 40, raising=False)
+    monkeypatch.setattr(search, "TILE", 20, raising=False)
+    assert 16 < search._blocks(df, "query_id", "q", 1)[1] <= 20
+    found = search.nearest_of_each(df, df.withColumnRenamed("query_id", "chunk_id"), 3, block=50)
+    assert sorted((r["query_id"], r["chunk_id"], r["place"]) for r in found.collect()) == plain(rows, rows, 3)
