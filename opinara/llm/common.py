@@ -75,20 +75,24 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     edges: (a, b) of any orderable type, any direction, repeats and loops allowed. Returns (node, root): for every
     node with a link to another one, the smallest node it reaches. A round shuffles the edges twice; nothing is collected.
+    Each of a round's two steps is a plan and a table of its own, and so is the result: the driver holds small plans alone.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges, before = durable(edges, name), None
+    pair = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
     while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
         if state[0] == 0 or state == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b")).distinct()
+            found = durable(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b")).distinct(), name)
+            discard(edges)
+            return found
         before = state
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = edges.select(F.inline(F.array(pair("a", "b"), pair("b", "a"))))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = even_join(both, least, ["a"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = durable(even_join(both, least, ["a"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), name)
+        discard(edges)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = even_join(large, least, ["a"])
-        small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", "m")).distinct()
-        new = durable(small, name)
-        discard(edges)
-        edges = new
+        edges = durable(small.select(F.inline(F.array(pair("b", "m"), pair("a", "m")))).where("a <> b").distinct(), name)
+        discard(large)
+        settle(edges.sparkSession)

@@ -217,7 +217,7 @@ def across(rows: DataFrame, test: Callable) -> DataFrame:
     left = marked.select("key", dealt("ks", 1).alias("k"), every("ms").alias("m"), F.lit(0).alias("side"), "node", "root", *more)
     right = marked.where("root <> main").select("key", every("ks").alias("k"), dealt("ms", 2).alias("m"), F.lit(1).alias("side"), "node", "root", *more)
     both = left.unionByName(right).repartition("key", "k", "m").sortWithinPartitions("key", "k", "m", "side")
-    return both.mapInArrow(partial(_block_pairs, test=test), "a long, b long").distinct()
+    return durable(both.mapInArrow(partial(_block_pairs, test=test), "a long, b long").distinct(), "across")  # a plan of its own
 
 
 def _apart(more: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: int) -> np.ndarray:
@@ -632,12 +632,13 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     large = marked(nodes, F.col("node"), wanted).join(wanted, "node").select("node", "n", "b0", "b1", "prefix")  # a semi join would go before the bitmap
     rooted = replicated(large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))).where("not hot").drop("hot")
     rooted = rooted.join(keys, "key", "left_anti") if told else rooted
-    others = hashed(rooted).mapInArrow(partial(_other_pairs, similarity=similarity), "a long, b long").union(rest)
+    others = made = durable(hashed(rooted).mapInArrow(partial(_other_pairs, similarity=similarity), "a long, b long").union(rest), "others")
+    settle(docs.sparkSession)
     if crowds:
         again = crowd.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         others = others.union(across(durable(again.select("key", "node", "root", "n", "b0", "b1", "place"), "crowds"), partial(_can, similarity=similarity)))
     others = durable(others.distinct().join(checked, ["a", "b"], "left_anti"), "candidates")
-    discard(marks, checked)
+    discard(marks, checked, made)
     settle(docs.sparkSession)
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(open_(others))), "similar")
     discard(others)

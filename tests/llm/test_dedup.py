@@ -432,3 +432,13 @@ def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.shared_dir(Session())
+
+
+def test_components_are_made_by_small_plans(spark, monkeypatch):
+    """Chains, a star and a ring, in rounds of which no plan reads its table more than a few times; the result is a table."""
+    plans, durable = [], common.durable
+    monkeypatch.setattr(common, "durable", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or durable(df, name))
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(200, 201), (201, 202), (202, 200)] + [(300, 300)]
+    found = common.components(spark.createDataFrame(edges, "a long, b long"))
+    assert sorted(map(tuple, found.collect())) == [(i, 0) for i in range(41)] + [(i, 100) for i in range(100, 130)] + [(i, 200) for i in range(200, 203)]
+    assert max(p.count("FileScan") for p in plans) <= 2 and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
